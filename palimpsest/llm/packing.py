@@ -18,15 +18,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import Bpe, byte_symbols
 from palimpsest.llm.common import slices, text_of, written
 
-#: A range of tails: length, first rank, count, where in the tail it starts, tokens taken, first pack, offset in the pack.
-PLAN = "tail int, rank_lo long, n long, seg_start int, seg_len int, pack_lo long, at int"
+#: A range of tails (length, first rank, count, start and tokens of the part placed, place on the line of tails) and
+#: a range of holes (place on the line of holes, tokens, count, first pack, offset in the pack) that it runs into.
+PLAN = "tail int, rank_lo long, n long, seg_start int, seg_len int, a0 long, hole0 long, room int, holes long, pack_lo long, fill int"
+#: Holes of fewer tokens are left as padding.
+LEAST_HOLE = 4
 #: Documents of one length that one task ranks, about.
 RANK_ROWS = 200_000
 
@@ -56,46 +59,46 @@ def shortest_pack_first(hist: dict[int, int], size: int) -> tuple[list[tuple], i
             held.append([length, rank, take, 0, length, first, fill])
             by_fill[fill + length].append((first, take))
             rank, left = rank + take, left - take
-    return fill_up(held, {f: r for f, r in by_fill.items() if r}, size, packs)
+    rows = [(length, rank, n, start, seg, 0, 0, seg, n, first, fill) for length, rank, n, start, seg, first, fill in held]
+    return fill_up(rows, {f: r for f, r in by_fill.items() if r}, size, packs)
 
 
-def fill_up(held: list[list], by_fill: dict[int, list[tuple[int, int]]], size: int, packs: int) -> tuple[list[tuple], int]:
-    """Take the emptiest packs apart and fill the room of the others with their tails, cut where needed."""
-    room = sum((size - f) * n for f, r in by_fill.items() for _, n in r)
-    apart: list[tuple[int, int]] = []
-    freed = 0
+def fill_up(held: list[tuple], by_fill: dict[int, list[tuple[int, int]]], size: int, packs: int) -> tuple[list[tuple], int]:
+    """Take the emptiest packs apart and fill the room of the others with their tails, cut where needed.
+
+    The loose tails lie end to end on one line and the holes on another, so that a tail's segments follow
+    by arithmetic from its place on the line, and the plan stays as short as the list of ranges.
+    """
+    room = sum((size - f) * n for f, r in by_fill.items() for _, n in r if size - f >= LEAST_HOLE)
+    gone, freed = [], 0
     for fill in sorted(by_fill):  # the emptiest give their tokens while the others have room for them
         for i, (first, n) in enumerate(by_fill[fill]):
-            k = min(n, max(0, (room - freed) // size))
-            if k:
-                apart.append((first, k))
+            if k := min(n, (room - freed) // size) if size - fill >= LEAST_HOLE else 0:
+                gone.append((first, k))
                 by_fill[fill][i] = (first + k, n - k)
                 freed += k * size
-    gone = sorted(apart)
-    stay: list[tuple] = []
-    loose: list[list] = []
+    gone.sort()
+    stay, loose = [], []
     for row in held:
-        for lo, n, out in split_by(row[5], row[2], gone):
-            (loose if out else stay).append([row[0], row[1] + lo - row[5], n, row[3], row[4], lo, row[6]])
-    holes = [[f, first, n] for f, r in sorted(by_fill.items(), reverse=True) for first, n in r if n and f < size]
-    loose.sort(key=lambda r: -r[4])
-    while loose and holes:
-        length, rank, n, start, seg, _, _ = loose.pop()
-        fill, first, m = holes.pop(0)
-        k, take = min(n, m), min(seg, size - fill)
-        stay.append([length, rank, k, start, take, first, fill])
-        if fill + take < size:
-            holes.insert(0, [fill + take, first, k])
-        if k < m:
-            holes.insert(1 if fill + take < size else 0, [fill, first + k, m - k])
-        if k < n:
-            loose.append([length, rank + k, n - k, start, seg, 0, 0])
-        if take < seg:
-            loose.append([length, rank, k, start + take, seg - take, 0, 0])
-    for length, rank, n, start, seg, _, _ in loose:  # at most what rounding left over
-        stay.append([length, rank, n, start, seg, packs, 0])
-        packs += n
-    return [tuple(r) for r in stay], packs
+        for first, n, out in split_by(row[9], row[2], gone):
+            (loose if out else stay).append((row[0], row[1] + first - row[9], n, row[3], row[4], 0, 0, row[4], n, first, row[10]))
+    holes, at = [], 0
+    for fill, ranges in sorted(by_fill.items()):
+        for first, n in ranges:
+            if n and size - fill >= LEAST_HOLE:
+                holes.append((at, size - fill, n, first, fill))
+                at += (size - fill) * n
+    at, h = 0, 0
+    for row in loose:
+        end = at + row[2] * row[4]
+        while holes[h][0] + holes[h][1] * holes[h][2] <= at:
+            h += 1
+        i = h
+        while i < len(holes) and holes[i][0] < end:
+            stay.append((*row[:5], at, *holes[i]))
+            i += 1
+        at = end
+    return stay, packs
 
 
 def split_by(first: int, n: int, gone: list[tuple[int, int]]) -> list[tuple[int, int, bool]]:
@@ -159,8 +162,8 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0) -> DataF
 
     docs: doc_id, text and any other columns, which are left out. A null text counts as empty and gives
     the end id alone. Repeated rows and null ids are packed like others, each row by itself; a text of
-    any length is cut into full sequences and a tail. An empty table gives no rows. ``size`` is a power
-    of two's multiple of tokens per sequence, ``path`` a byte-level BPE JSON file on every worker.
+    any length is cut into full sequences and a tail. An empty table gives no rows. ``size`` is the tokens
+    of a full sequence, ``path`` a byte-level BPE JSON file on every worker.
     """
     spark = docs.sparkSession
     done = tokenised(docs, path, size, end_id)
@@ -182,18 +185,27 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0) -> DataF
     ranked = done.withColumn("i", F.row_number().over(order) - 1).withColumn("f", F.sum(F.size("crcs")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.size("crcs"))
     ranked = ranked.join(starts, ["tail", "bucket"]).withColumn("rank", F.col("rank0") + F.col("i")).withColumn("seq0", F.col("seq0") + F.col("f"))
     # The plan has a bounded number of rows: it grows with the sequence size, not with the documents.
-    slots = spark.createDataFrame(plan, PLAN).groupBy(F.col("tail").alias("t")).agg(F.collect_list(F.struct("rank_lo", "n", "seg_start", "seg_len", "pack_lo", "at")).alias("slots"))
+    slots = spark.createDataFrame(plan, PLAN).groupBy(F.col("tail").alias("t")).agg(F.collect_list(F.struct(*[c.split()[0] for c in PLAN.split(", ")[1:]])).alias("slots"))
     ranked = ranked.join(F.broadcast(slots), ranked["tail"] == slots["t"], "left")
     whole = F.transform("crcs", lambda c, i: F.struct((i * size).cast("long").alias("start"), F.lit(size).cast("long").alias("length"), c.alias("ids_crc32"), (F.col("seq0") + i).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
     mine = F.filter(F.coalesce("slots", F.array()), lambda s: (F.col("rank") >= s["rank_lo"]) & (F.col("rank") < s["rank_lo"] + s["n"]))
-    ends = F.transform(
-        mine,
-        lambda s: F.struct(
-            (F.col("doc_tokens") - F.col("tail") + s["seg_start"]).alias("start"),
-            s["seg_len"].cast("long").alias("length"),
-            F.crc32(F.substring(F.col("tail_ids"), s["seg_start"] * 4 + 1, s["seg_len"] * 4)).alias("ids_crc32"),
-            (s["pack_lo"] + F.col("rank") - s["rank_lo"]).alias("sequence_id"),
-            s["at"].cast("long").alias("offset"),
-        ),
-    )
+    def cut(s: Column) -> Column:
+        a = s["a0"] + (F.col("rank") - s["rank_lo"]) * s["seg_len"]
+        first = F.greatest(F.lit(0), F.floor((a - s["hole0"]) / s["room"]))
+        last = F.least(s["holes"] - 1, F.floor((a + s["seg_len"] - 1 - s["hole0"]) / s["room"]))
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda j: segment(s, a, j)))
+
+    def segment(s: Column, a: Column, j: Column) -> Column:
+        hole = s["hole0"] + j * s["room"]
+        lo, hi = F.greatest(a, hole), F.least(a + s["seg_len"], hole + s["room"])
+        at = (s["seg_start"] + lo - a).cast("int")
+        return F.struct(
+            (F.col("doc_tokens") - F.col("tail") + at).alias("start"),
+            (hi - lo).alias("length"),
+            F.crc32(F.substring(F.col("tail_ids"), at * 4 + 1, (hi - lo).cast("int") * 4)).alias("ids_crc32"),
+            (s["pack_lo"] + j).alias("sequence_id"),
+            (s["fill"] + lo - hole).alias("offset"),
+        )
+
+    ends = F.flatten(F.filter(F.transform(mine, cut), lambda x: x.isNotNull()))
     return ranked.select("doc_id", "doc_tokens", F.inline(F.concat(whole, ends))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
