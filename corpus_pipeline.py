@@ -1,24 +1,64 @@
-"""Corpus pipeline: quality classifier, near-dedup, secret scans, packing."""
+"""Corpus pipeline: quality classifier, near-dedup, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a table that the next one reads as its docs. All but the
+last return the columns of documents. SQL can't express the classifier or the packing, so ORACLE_SQL is
+None and the tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import packing
+from palimpsest.llm import near_dup, packing, quality, secrets
+from palimpsest.llm.common import written
 from palimpsest.llm.queries import vocabulary
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good; it learns from the labelled ones among them."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): that of smallest id.
+
+    Rows that repeat an id are one document, of which one row stays; rows without an id all stay.
+    """
+    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    many = left.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    again = left.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(many, "doc_id", "left_anti").unionByName(again)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced and n_chars counted anew where that happened."""
+    ledger = secrets.updated(docs.select("doc_id", "text"))
+    found = secrets.findings(docs.select("doc_id", "text"), ledger).where("size(found) > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    hit = F.coalesce("found", F.array().cast(found.schema["found"].dataType))
+    new = docs.select(*COLUMNS).join(found.select("doc_id", "found"), "doc_id", "left").withColumn("new", secrets.redacted(F.col("text"), hit))
+    n_chars = F.when(F.size(hit) > 0, F.char_length("new").cast("long")).otherwise(F.col("n_chars"))
+    return new.select("doc_id", F.col("new").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of at most 1024 tokens."""
     return packing.pack(docs, vocabulary(), size=1024, end_id=0)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality classifier", keep_good), ("near-dedup", keep_one), ("secret scans", hide_secrets), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs
