@@ -269,7 +269,7 @@ def in_tiles(docs: DataFrame, links: DataFrame, members: DataFrame, reps: DataFr
         rows = rows.join(weigh.select("band", blocks.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         cols = ["band", "id", "component", "n_shingles", "registers", "items"]
         left = rows.select(*cols, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-        right = rows.select(*cols, F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+        right = rows.select(*[F.col(c).alias(c) for c in cols], F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
         new = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInPandas(tile_links(percent), "a long, b long")
         new = written(new)
         if not new.isEmpty():

@@ -89,8 +89,8 @@ def updated(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return written(new if ledger is None else ledger.select("blob", "rule", "spans").unionAll(new))
 
 
-def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """versions, without the text, with found: array of (kind, start, end) by start, then by the rules' order."""
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """versions with found: array of (kind, start, end) by start, then by the rules' order; without the text, unless asked for."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.id, i)])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     hits = ledger.where(F.col("rule").isin([r.id for r in rules]) & (F.size("spans") > 0))
@@ -98,7 +98,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     # At most one row for each rule and blob.
     by_blob = each.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
     by_blob = by_blob.select("blob", F.transform("s", lambda x: F.struct(F.get(kinds, x["nth"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("found"))
-    rest = addressed(versions, text).drop(text, "found")
+    rest = addressed(versions, text).drop("found", *[] if keep_text else [text])
     none = F.array().cast("array<struct<kind:string, start:int, end:int>>")
     return rest.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", none)).drop("blob")
 
