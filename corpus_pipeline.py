@@ -38,11 +38,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced and n_chars counted anew where that happened."""
-    ledger = secrets.updated(docs.select("doc_id", "text"))
-    found = secrets.findings(docs.select("doc_id", "text"), ledger).where("size(found) > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    hit = F.coalesce("found", F.array().cast(found.schema["found"].dataType))
-    new = docs.select(*COLUMNS).join(found.select("doc_id", "found"), "doc_id", "left").withColumn("new", secrets.redacted(F.col("text"), hit))
-    n_chars = F.when(F.size(hit) > 0, F.char_length("new").cast("long")).otherwise(F.col("n_chars"))
+    docs = docs.select(*COLUMNS)
+    found = secrets.findings(docs, secrets.updated(docs.select("text")), keep_text=True)
+    new = found.withColumn("new", secrets.redacted(F.col("text"), F.col("found")))
+    n_chars = F.when(F.size("found") > 0, F.char_length("new").cast("long")).otherwise(F.col("n_chars"))
     return new.select("doc_id", F.col("new").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
