@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, fingerprints, near_dup, packing, quality, secrets, warc
+from palimpsest.llm import ann, bpe, fingerprints, lm, near_dup, packing, quality, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,10 +18,22 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    """The sentencepiece model whose pieces weigh the lattice."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -34,6 +46,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), pieces())
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -50,5 +66,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_near_dup, op4_bpe, op5_warc, op7_secrets, op8_packing, op9_fingerprints, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann, op3_near_dup, op4_bpe, op5_warc, op6_lm, op7_secrets, op8_packing, op9_fingerprints, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
