@@ -130,7 +130,7 @@ class Bpe:
         rest = [p[1:] for p in parts]
         new = [*set().union(*rest).difference(self.spaced)] if rest else []
         self.spaced.update(dict.fromkeys(new))
-        plain = [s for s in new if s and (s if s[0] != "\n" else s[1:] or " ").strip() == s.removeprefix("\n")]
+        plain = [s for s in new if (body := s.removeprefix("\n")) and body.strip() == body]
         cut = [self.word_re.findall(s if s[0] == "\n" else " " + s) for s in plain]
         firsts = [[] if not p[0] or p[0][-1].isspace() else self.word_re.findall(p[0]) for p in parts]
         self.learn([*cut, *firsts])
