@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
@@ -69,11 +70,12 @@ def rules(events: DataFrame) -> DataFrame:
     events after the last purge that took effect count.
     """
     key = ["scope", "rule_id"]
-    retire = events.where("op = 'retire'").groupBy(*key).agg(F.max("seq").alias("retired_at"))
-    add = events.where("op = 'add'").groupBy(*key).agg(F.max("seq").alias("added_at"))
-    purge = events.where("op = 'purge'").groupBy(*key).agg(F.max("seq").alias("purged_at")).join(retire, key).join(add, key)
-    gone = purge.where("purged_at > retired_at AND retired_at > added_at").select(*key)
-    live = events.join(gone, key, "left_anti")
+    before = W.partitionBy(*key).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    state = F.last(F.when(F.col("op") != "purge", F.col("op")), ignorenulls=True).over(before)
+    took = (F.col("op") == "purge") & (state == "retire")
+    rows = events.withColumn("took", F.when(took, F.col("seq")))
+    rows = rows.withColumn("purged", F.coalesce(F.max("took").over(W.partitionBy(*key)), F.lit(-1)))
+    live = rows.where((F.col("seq") > F.col("purged")) & (F.col("op") != "purge"))
     adds = F.col("op") == "add"
     out = live.groupBy(*key).agg(
         F.max_by(F.when(adds, F.col("text")), F.when(adds, F.col("seq"))).alias("text"), F.max_by(F.when(adds, F.col("agent")), F.when(adds, F.col("seq"))).alias("agent"),

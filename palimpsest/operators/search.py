@@ -35,14 +35,14 @@ class Validity:
 CURRENT = Validity()
 
 
-def _phrase_count(terms: Column, phrase: list[str]) -> Column:
-    """How often the phrase's terms stand in a row."""
-    if len(phrase) == 1:
-        return F.size(F.filter(terms, lambda t: t == phrase[0]))
-    wanted = F.array(*map(F.lit, phrase))
-    n = len(phrase)
-    starts = F.sequence(F.lit(1), F.size(terms) - n + 1)
-    return F.when(F.size(terms) >= n, F.size(F.filter(starts, lambda i: F.slice(terms, i, n) == wanted))).otherwise(0)
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with the columns behind a generator, so that what reads them several times doesn't compute them anew."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _line(text: str) -> Column:
+    """The terms of a text between blanks."""
+    return F.concat(F.lit(" "), F.array_join(tx.terms(F.col(text)), " "), F.lit(" "))
 
 
 def scored(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
@@ -54,16 +54,19 @@ def scored(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
     phrases = tx.phrases_of(query)
     if not phrases:
         return rows.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    counted = rows.withColumn("_t", tx.terms(F.col(text))).withColumn("_f", F.array(*[_phrase_count(F.col("_t"), p) for p in phrases])).withColumn("_n", F.size("_t")).drop("_t")
-    stats = counted.agg(F.count("*").alias("_all"), F.avg("_n").alias("_avg"), F.array(*[F.count_if(F.get("_f", F.lit(i)) > 0) for i in range(len(phrases))]).alias("_df"))
-    hits = counted.where(F.exists("_f", lambda f: f > 0)).crossJoin(F.broadcast(stats))
+    fs = [f"_f{i}" for i in range(len(phrases))]
+    # A lookahead counts occurrences that overlap as well.
+    found = {f: F.regexp_count("_line", F.lit(f"(?= {' '.join(p)} )")) for f, p in zip(fs, phrases, strict=True)}
+    counted = _once(_once(rows, _line=_line(text)), **found, _n=F.regexp_count("_line", F.lit(" ")) - 1 - F.when(F.col("_line") == "  ", 1).otherwise(0)).drop("_line")
+    stats = counted.agg(F.count("*").alias("_all"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(f) > 0).alias(f"_d{f}") for f in fs])
+    hits = counted.where(" OR ".join(f"{f} > 0" for f in fs)).crossJoin(F.broadcast(stats))
     norm = K1 * (1 - B + B * F.col("_n") / F.col("_avg"))
     score = F.lit(0.0)
-    for i in range(len(phrases)):
-        f, df = F.get("_f", F.lit(i)), F.get("_df", F.lit(i))
+    for f in fs:
+        df = F.col(f"_d{f}")
         idf = F.ln((F.col("_all") - df + 0.5) / (df + 0.5))
-        score = score + F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + norm)
-    return hits.withColumn("score", score).drop("_f", "_n", "_all", "_avg", "_df")
+        score = score + F.when(idf <= 0, LEAST_IDF).otherwise(idf) * F.col(f) * (K1 + 1) / (F.col(f) + norm)
+    return hits.withColumn("score", score).select(*rows.columns, "score")
 
 
 def with_rank(rows: DataFrame, *order: Column, limit: int) -> DataFrame:
@@ -86,11 +89,8 @@ def search(memories: DataFrame, query: str, scope: str | None = None, validity:
 
 def matching(memories: DataFrame, query: str, text: str = "content") -> DataFrame:
     """Memories that hold a phrase of the query."""
-    terms = tx.terms(F.col(text))
-    hit = F.lit(False)
-    for p in tx.phrases_of(query):
-        hit = hit | (_phrase_count(terms, p) > 0)
-    return memories.where(hit)
+    any_of = "|".join(" ".join(p) for p in tx.phrases_of(query))
+    return memories.where(_line(text).rlike(f" (?:{any_of}) ") if any_of else F.lit(False))
 
 
 def recall(memories: DataFrame, scope: str, limit: int = 50, validity: Validity = CURRENT) -> DataFrame:

@@ -1,0 +1,60 @@
+"""Importers of exported chats: Texinfo archives, Markdown and terminal scrollback."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from palimpsest.functions import text as tx
+from palimpsest.functions import times
+
+HEADING = r"^@(?:chapter|section) Message by (.*) \(([^()]*)\) at (\S+)$"
+SPEAKER = r"^## (User|Assistant)\s*$"
+GLYPHS = "^[❯●]"
+
+
+def sniffed(text: Column) -> Column:
+    """texinfo, markdown, scrollback, or null."""
+    return F.when(F.contains(text, F.lit("\\input texinfo")) | text.rlike(r"(?m)^@(?:chapter|section) Message by "), "texinfo").when(text.rlike(f"(?m){SPEAKER}"), "markdown").when(text.rlike(f"(?m){GLYPHS}"), "scrollback")
+
+
+def _islands(exports: DataFrame, head: str) -> DataFrame:
+    """Lines of exports (name, text) with run: 0 before the first heading, then the number of headings so far."""
+    lines = exports.select("name", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    return lines.withColumn("is_head", F.col("value").rlike(head)).withColumn("run", F.sum(F.col("is_head").cast("int")).over(W.partitionBy("name").orderBy("line")))
+
+
+def _bodies(lines: DataFrame, sep: str) -> DataFrame:
+    body = F.array_sort(F.collect_list(F.when(~F.col("is_head"), F.struct("line", "value"))))
+    runs = lines.where("run > 0").groupBy("name", "run").agg(F.max(F.when(F.col("is_head"), F.col("value"))).alias("head"), body.alias("b"))
+    return runs.withColumn("text", tx.trimmed(F.array_join(F.transform("b", lambda x: x["value"]), sep)))
+
+
+def texinfo(exports: DataFrame) -> DataFrame:
+    """name, nth, agent, role, created_at, text of each message of Texinfo archives."""
+    lines = _islands(exports, HEADING).where("value <> '@bye'")
+    part = lambda i: tx.texinfo_unescaped(F.regexp_extract("head", HEADING, i))
+    at = times.normalized(part(3))
+    at = F.coalesce(at, F.raise_error(F.concat(F.lit("no instant in: "), "head")))
+    return _bodies(lines, "\n").select("name", (F.col("run") - 1).alias("nth"), part(1).alias("agent"), part(2).alias("role"), at.alias("created_at"), tx.texinfo_unescaped(F.col("text")).alias("text"))
+
+
+def markdown(exports: DataFrame, anchor: str) -> DataFrame:
+    """The same of Markdown exports, their times a second apart from the anchor on."""
+    rows = _bodies(_islands(exports, SPEAKER).where("value <> '---'"), "\n").where("text <> ''")
+    nth = F.row_number().over(W.partitionBy("name").orderBy("run")) - 1
+    rows = rows.withColumn("nth", nth).withColumn("role", F.lower(F.regexp_extract("head", SPEAKER, 1)))
+    at = times.as_text(F.timestamp_seconds(F.unix_timestamp(F.lit(anchor).cast("timestamp")) + F.col("nth")))
+    return rows.select("name", "nth", F.lit("export").alias("agent"), "role", at.alias("created_at"), "text")
+
+
+def scrollback(exports: DataFrame, anchor: str) -> DataFrame:
+    """The same of terminal scrollback: a glyph in the first column starts a speaker, other lines go on."""
+    lines = _islands(exports, GLYPHS).withColumn("said", tx.trimmed(F.regexp_replace("value", GLYPHS, ""))).where("run > 0")
+    runs = lines.groupBy("name", "run").agg(F.max(F.when(F.col("is_head"), F.substring("value", 1, 1))).alias("glyph"), F.array_sort(F.collect_list(F.struct("line", "said"))).alias("b"))
+    runs = runs.withColumn("text", tx.trimmed(F.array_join(F.filter(F.transform("b", lambda x: x["said"]), lambda t: t != ""), " "))).where("text <> ''")
+    nth = F.row_number().over(W.partitionBy("name").orderBy("run")) - 1
+    rows = runs.withColumn("nth", nth)
+    at = times.as_text(F.timestamp_seconds(F.unix_timestamp(F.lit(anchor).cast("timestamp")) + F.col("nth")))
+    return rows.select("name", "nth", F.lit("export").alias("agent"), F.when(F.col("glyph") == "❯", "user").otherwise("assistant").alias("role"), at.alias("created_at"), "text")

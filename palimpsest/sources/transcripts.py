@@ -1,0 +1,183 @@
+"""Readers of session logs. Each takes lines (session, line, value) and gives turns.
+
+Turns: session, line, source_id, role, text, created_at, dropped (why a record gives no turn, else null).
+``turns_only`` keeps the turns; ``filter_stats`` counts the rest by reason.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from palimpsest.functions import ids, times
+from palimpsest.functions import text as tx
+
+#: Files beyond this size are refused, so a file fits a row.
+MOST_BYTES = 64 << 20
+TURN = ("session", "line", "source_id", "role", "text", "created_at", "dropped")
+BLOCK = "array<struct<type:string,text:string,thinking:string,name:string,content:string>>"
+
+
+def read_lines(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """session (the file), line, value of files below path; a file that is too large fails the read."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session"), F.col("_metadata.file_size").alias("bytes"), "value")
+    whole = F.when(F.col("bytes") > most_bytes, F.raise_error(F.concat(F.lit("too large: "), "session"))).otherwise(F.col("value"))
+    lines = files.select("session", F.posexplode(F.split(whole, "\r?\n")).alias("line", "value"))
+    return lines.where(F.trim("value") != "")
+
+
+def sessions(spark: SparkSession, path: str) -> DataFrame:
+    """session, bytes, modified, newest first; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("session"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "session")
+
+
+def _parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """Lines with r, the record, and torn, whether it can't be read."""
+    return lines.withColumn("r", F.from_json("value", schema)).withColumn("torn", F.expr("try_parse_json(value) IS NULL"))
+
+
+def block_text(content: Column, tools: bool = False, thinking: bool = False) -> Column:
+    """The text of a message's content: a JSON string, or an array of blocks joined by blank lines."""
+    blocks = F.from_json(content, BLOCK)
+    kind = lambda b, k: F.coalesce(b["type"], F.lit("")) == k
+    size = lambda b: F.octet_length(F.coalesce(b["content"], F.lit("")))
+    shown = F.transform(
+        blocks,
+        lambda b: F.when(kind(b, "text") | kind(b, ""), b["text"])
+        .when(kind(b, "thinking") & F.lit(thinking), b["thinking"])
+        .when(kind(b, "tool_use") & F.lit(tools), F.concat(F.lit("[tool_use: "), F.coalesce(b["name"], F.lit("tool")), F.lit("]")))
+        .when(kind(b, "tool_result") & F.lit(tools), F.concat(F.lit("[tool_result: "), size(b).cast("string"), F.lit(" bytes]"))),
+    )
+    return F.when(F.ltrim(content).startswith("["), F.array_join(F.filter(shown, lambda t: t.isNotNull()), "\n\n")).otherwise(content)
+
+
+def _finished(rows: DataFrame, text: Column, dropped: Column) -> DataFrame:
+    """Rows (session, line, source_id, role, created_at) with the stored text, and the reason to drop what has none."""
+    rows = rows.withColumn("text", tx.scrubbed(tx.normalized(text))).withColumn("dropped", dropped)
+    rows = rows.withColumn("dropped", F.when(F.col("dropped").isNull() & (F.coalesce("text", F.lit("")) == ""), "empty").otherwise(F.col("dropped")))
+    rows = rows.withColumn("dropped", F.when(F.col("dropped").isNull() & F.col("created_at").isNull(), "bad_time").otherwise(F.col("dropped")))
+    return rows.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text"))).select(*TURN)
+
+
+def block_log(lines: DataFrame, sidechains: bool = False, tools: bool = False, thinking: bool = False) -> DataFrame:
+    """Logs of records of type user or assistant whose message holds text or blocks (content, or parts)."""
+    r = _parsed(lines, "type string, uuid string, timestamp string, isMeta boolean, isApiErrorMessage boolean, isSidechain boolean, message struct<content:string,parts:string>")
+    why = (
+        F.when(F.col("torn"), "torn_line")
+        .when(~F.coalesce(F.col("r.type").isin("user", "assistant"), F.lit(False)), "non_message")
+        .when(F.col("r.isMeta"), "meta")
+        .when(F.col("r.isApiErrorMessage"), "non_message")
+        .when(F.col("r.isSidechain") & ~F.lit(sidechains), "sidechain")
+        .when(F.col("r.uuid").isNull(), "missing_uuid")
+    )
+    rows = r.select("session", "line", F.col("r.uuid").alias("source_id"), F.col("r.type").alias("role"), times.normalized(F.col("r.timestamp")).alias("created_at"), F.coalesce("r.message.content", "r.message.parts").alias("raw"), why.alias("why"))
+    return _finished(rows, block_text(F.col("raw"), tools, thinking), F.col("why"))
+
+
+def two_channel_log(lines: DataFrame) -> DataFrame:
+    """Logs that hold displayed events and raw responses: a session's events win if they give any turn."""
+    r = _parsed(lines, "timestamp string, type string, payload struct<type:string,message:string,text:string,role:string,content:array<struct<text:string>>>")
+    p = F.col("r.payload")
+    event, response = F.col("r.type") == "event_msg", F.col("r.type") == "response_item"
+    role = F.when(event, F.when(p["type"] == "user_message", "user").when(p["type"] == "agent_message", "assistant")).when(response & (p["type"] == "message"), F.when(p["role"].isin("user", "assistant"), p["role"]))
+    raw = F.when(event, F.coalesce(p["message"], p["text"])).otherwise(F.array_join(F.transform(p["content"], lambda b: b["text"]), "\n\n"))
+    why = F.when(F.col("torn"), "torn_line").when(F.col("role").isNull(), "non_message")
+    rows = r.select("session", "line", F.lit(None).cast("string").alias("source_id"), role.alias("role"), raw.alias("raw"), times.normalized(F.col("r.timestamp")).alias("created_at"), "torn", F.coalesce(event, F.lit(False)).alias("event"))
+    done = _finished_keeping(rows, F.col("raw"), why, "event")
+    shown = done.where("event AND dropped IS NULL").select("session").distinct().withColumn("shown", F.lit(True))
+    done = done.join(shown, "session", "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
+    return done.where("event = shown OR dropped = 'torn_line'").withColumn("source_id", ids.positional_id(F.col("line"), F.col("text"))).select(*TURN)
+
+
+def _finished_keeping(rows: DataFrame, text: Column, why: Column, *keep: str) -> DataFrame:
+    rows = rows.withColumn("text", tx.scrubbed(tx.normalized(text))).withColumn("dropped", F.coalesce(why, F.when(F.coalesce("text", F.lit("")) == "", "empty")))
+    return rows.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text"))).select(*TURN, *keep)
+
+
+def step_log(lines: DataFrame) -> DataFrame:
+    """Logs of steps that may be replayed: a step that runs is pending, and of equal finished steps the first counts."""
+    r = _parsed(lines, "type string, source string, step_index long, status string, created_at string, content string")
+    role = F.when(F.col("r.type") == "USER_INPUT", "user").when(F.col("r.type") == "PLANNER_RESPONSE", "assistant")
+    print_ = ids.uuid5(F.to_json(F.struct(*[F.col(f"r.{c}").alias(c) for c in ("content", "created_at", "source", "step_index", "type")])))
+    rows = r.select("session", "line", print_.alias("source_id"), role.alias("role"), F.col("r.content").alias("raw"), times.normalized(F.col("r.created_at")).alias("created_at"), F.coalesce(F.col("r.status") == "RUNNING", F.lit(False)).alias("pending"), "torn")
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("session", "source_id", "pending").orderBy("line")))
+    why = F.when(F.col("torn"), "torn_line").when(F.col("pending"), "pending").when(F.col("nth") > 1, "replayed").when(F.col("role").isNull(), "non_message")
+    return _finished(rows, F.col("raw"), why)
+
+
+def chunk_log(lines: DataFrame) -> DataFrame:
+    """Logs of message chunks: neighbours of one kind are one turn, and the run that is open at the end is pending."""
+    r = _parsed(lines, "method string, timestamp long, params struct<update:struct<sessionUpdate:string,content:struct<type:string,text:string>>>")
+    u = F.col("r.params.update")
+    kind = F.when(u["sessionUpdate"] == "user_message_chunk", "user").when(u["sessionUpdate"] == "agent_message_chunk", "assistant").otherwise("other")
+    order = W.partitionBy("session").orderBy("line")
+    rows = r.where("NOT torn").select("session", "line", kind.alias("role"), F.when(u["content"]["type"] == "text", u["content"]["text"]).alias("part"), F.col("r.timestamp").alias("second"))
+    rows = rows.withColumn("new", F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order)).withColumn("last", F.max("line").over(W.partitionBy("session")))
+    runs = rows.where("role <> 'other'").groupBy("session", "run", "role").agg(
+        F.min("line").alias("line"), F.max("line").alias("end"), F.first("last").alias("last"), F.min("second").alias("second"), F.array_sort(F.collect_list(F.struct("line", "part"))).alias("parts")
+    )
+    text = F.array_join(F.transform("parts", lambda p: p["part"]), "")
+    nth = F.row_number().over(W.partitionBy("session", "second").orderBy("line")) - 1
+    runs = runs.withColumn("raw", text).withColumn("source_id", ids.positional_id(F.col("line"), F.get("parts", F.lit(0))["part"])).withColumn("created_at", times.from_millis(F.col("second") * 1000 + F.least(nth, F.lit(999))))
+    return _finished(runs, F.col("raw"), F.when(F.col("end") == F.col("last"), "pending"))
+
+
+def prompt_log(lines: DataFrame) -> DataFrame:
+    """Logs where an accepted prompt stands for the typed one of the same id, beside the model's text parts."""
+    r = _parsed(lines, "type string, time long, promptId string, input array<struct<text:string>>, event struct<type:string,uuid:string,part:struct<type:string,text:string>>").where("NOT torn")
+    joined = F.array_join(F.transform("r.input", lambda b: b["text"]), "\n\n")
+    at = times.from_millis(F.col("r.time"))
+    prompts = r.where("r.type IN ('prompt.accepted', 'turn.prompt')").select("session", "line", F.col("r.promptId").alias("source_id"), joined.alias("raw"), at.alias("created_at"), (F.col("r.type") == "prompt.accepted").alias("accepted"))
+    accepted, typed = prompts.where("accepted").drop("accepted"), prompts.where("NOT accepted").drop("accepted")
+    typed = typed.select("session", "source_id", *[F.col(c).alias(f"t_{c}") for c in ("line", "raw", "created_at")])
+    users = accepted.join(typed, ["session", "source_id"], "full").select("session", F.coalesce("line", "t_line").alias("line"), "source_id", F.coalesce("raw", "t_raw").alias("raw"), F.coalesce("created_at", "t_created_at").alias("created_at"), F.lit("user").alias("role"))
+    said = r.where("r.event.type = 'content.part' AND r.event.part.type = 'text'").select("session", "line", F.col("r.event.uuid").alias("source_id"), F.col("r.event.part.text").alias("raw"), at.alias("created_at"), F.lit("assistant").alias("role"))
+    return _finished(users.unionByName(said), F.col("raw"), F.lit(None).cast("string"))
+
+
+def flag_log(lines: DataFrame) -> DataFrame:
+    """Logs of records with id, role, content and visibility."""
+    r = _parsed(lines, "id string, role string, content string, visible boolean, createTime string")
+    why = F.when(F.col("torn"), "torn_line").when(~F.coalesce(F.col("r.visible"), F.lit(True)), "meta").when(~F.coalesce(F.col("r.role").isin("user", "assistant"), F.lit(False)), "non_message")
+    rows = r.select("session", "line", F.col("r.id").alias("source_id"), F.col("r.role").alias("role"), F.col("r.content").alias("raw"), times.normalized(F.col("r.createTime")).alias("created_at"), why.alias("why"))
+    return _finished(rows, F.col("raw"), F.col("why"))
+
+
+def message_parts(messages: DataFrame, parts: DataFrame) -> DataFrame:
+    """Turns of a relational log: messages (id, session, role, millis) with their text parts (message_id, id, text) joined by blank lines."""
+    texts = parts.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("p")).withColumnRenamed("message_id", "id")
+    rows = messages.join(texts, "id", "left").select("session", F.lit(0).alias("line"), F.col("id").alias("source_id"), "role", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("raw"), times.from_millis(F.col("millis")).alias("created_at"))
+    return _finished(rows, F.col("raw"), F.lit(None).cast("string"))
+
+
+def paired_turns(rows: DataFrame) -> DataFrame:
+    """Turns of a relational log whose rows (session, turn_index, user_message, assistant_response, at) hold two each."""
+    side = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("raw"))
+    each = rows.select("session", F.col("turn_index").alias("line"), times.normalized(F.col("at")).alias("created_at"), F.inline(F.array(side("user", "user_message"), side("assistant", "assistant_response"))))
+    each = each.withColumn("source_id", F.concat_ws(":", F.col("line").cast("string"), "role"))
+    return _finished(each, F.col("raw"), F.lit(None).cast("string"))
+
+
+def sqlite_table(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
+    """A query's rows from a SQLite file that every worker can open, read-only."""
+
+    def run(_):
+        import sqlite3
+
+        import pandas as pd
+
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
+            yield from pd.read_sql_query(query, c, chunksize=10_000)
+
+    return spark.range(1).mapInPandas(run, schema)
+
+
+def turns_only(turns: DataFrame) -> DataFrame:
+    return turns.where("dropped IS NULL").drop("dropped")
+
+
+def filter_stats(turns: DataFrame) -> DataFrame:
+    """reason, n of the records that gave no turn."""
+    return turns.where("dropped IS NOT NULL").groupBy(F.col("dropped").alias("reason")).agg(F.count("*").alias("n"))
