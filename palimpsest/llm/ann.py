@@ -53,9 +53,8 @@ def tile(k: int):
     """For a block of queries and one of vectors: query_id, ids and scores of each query's k best."""
 
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ids": [], "scores": []})
         if not len(queries) or not len(vectors):
-            return empty
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
         qx, vx = (np.array(f["vector"].tolist(), dtype=np.float64) for f in (queries, vectors))
         qid, vid = queries["id"].to_numpy(), vectors["id"].to_numpy()
         vq, vs, vn, ve = coded(vx)

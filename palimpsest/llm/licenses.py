@@ -3,10 +3,10 @@
 Overlapping windows of a text's shingles meet the templates by MinHash bands, and the templates found are
 then verified by exact containment of their shingles in the whole text.
 
-Windows hold four shingles and start at every second one; a template is cut at every one, so a run of five
-of its shingles holds a window that equals one of its own and collides for certain. Where a window shares
-three of four, all eight one-row bands miss with probability 0.4^8 = 0.0007. Templates of under four
-shingles are met by windows of one shingle, whose one band always collides.
+Windows hold four shingles and start at every one, as do a template's own: a run of four of its shingles
+is one of its windows, so their similarity is 1 and every band collides. A window that shares three of
+four (similarity 0.6) is still found by one of two one-row bands with probability 0.84. Templates of under
+four shingles are met by windows of one shingle, whose one band always collides.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import ascii_lower, text_of, written
 
 WIDTH, LEAST_PERCENT = 5, 80
-WINDOW, STEP, BLOCK, BANDS = 4, 2, 8, 8
+WINDOW, BLOCK, BANDS = 4, 8, 2
 #: Candidates that may be broadcast, at most (a few dozen bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -61,10 +61,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), "[^a-z0-9]+"), "")
 
 
-def hashed(ws: Column, at: int, width: int) -> Column:
-    """The hash of the shingle of ``width`` words at ``at``, null past the end."""
-    parts = [F.get(ws, F.lit(at + k)) for k in range(width)]
-    return F.when(parts[-1].isNotNull(), F.xxhash64(*parts))
+def hashed(at: int, width: int) -> Column:
+    """The hash of the shingle of ``width`` words that starts at column w<at>; null past the text's end."""
+    return F.when(F.col(f"w{at + width - 1}").isNotNull(), F.xxhash64(*[f"w{at + k}" for k in range(width)]))
 
 
 def seeds() -> list[int]:
@@ -92,11 +91,10 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, widt
     short = sorted({w for _, _, s, w in sets if w != width})
     table = spark.createDataFrame([(i, name, s) for i, name, s, _ in sets], "template int, license string, shingles array<string>")
     # The templates' own hashes, by the same functions; a bounded number of literals.
-    known = {}
     pairs = spark.createDataFrame([(i, j, w.split()) for i, _, s, _ in sets for j, w in enumerate(s)], "template int, at int, w array<string>")
-    sized = pairs.select("template", "at", F.coalesce(*[F.when(F.size("w") == n, F.xxhash64(*[F.get("w", F.lit(k)) for k in range(n)])) for n in sorted({width, *short})]).alias("h"))
-    for r in sized.collect():
-        known[r["template"], r["at"]] = r["h"]
+    pairs = pairs.select("template", "at", F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
+    sized = pairs.select("template", "at", F.coalesce(*[F.when(F.col("n") == n, F.xxhash64(*[F.get("w", F.lit(k)) for k in range(n)])) for n in sorted({width, *short})]).alias("h"))
+    known = {(r["template"], r["at"]): r["h"] for r in sized.collect()}
     single: dict[int, set[tuple[int, int]]] = {w: set() for w in (width, *short)}  # width: (hash, template)
     bands: list[set[tuple[int, int]]] = [set() for _ in range(BANDS)]
     for i, _, s, w in sets:
@@ -107,24 +105,21 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, widt
             for at in range(len(h) - WINDOW + 1):
                 for b, seed in enumerate(seeds()):
                     bands[b].add((min(x ^ seed for x in h[at : at + WINDOW]), i))
-    reach = BLOCK - STEP + WINDOW
-    ws = words(text_of(docs))
-    blocks = docs.select(F.col(key), ws.alias("w")).where(F.size("w") > 0)
-    blocks = blocks.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK)), lambda p: F.slice("w", p + 1, reach + width - 1))).alias("b"))
-    columns = [hashed(F.col("b"), k, width).alias(f"h{k}") for k in range(reach)] + [hashed(F.col("b"), k, w).alias(f"s{w}_{k}") for w in short for k in range(BLOCK)]
-    # A generator keeps the hashes apart from what reads them, so each is computed once.
-    blocks = blocks.select(key, F.inline(F.array(F.struct(*columns))))
-    hashes = [F.col(f"h{k}") for k in range(reach)]
-    probes = [(b, v) for at in range(0, BLOCK, STEP) for b, v in enumerate(band_values(hashes, at))]
-    probes += [(BANDS, F.col(f"h{k}")) for k in range(BLOCK)] + [(BANDS + 1 + n, F.col(f"s{w}_{k}")) for n, w in enumerate(short) for k in range(BLOCK)]
-    values = [*bands, single[width], *[single[w] for w in short]]
-    hit = F.lit(False)
-    for n, v in probes:
-        if values[n]:
-            hit = hit | v.isin(sorted({x for x, _ in values[n]}))
-    index = spark.createDataFrame([(n, x, i) for n, s in enumerate(values) for x, i in sorted(s)], "band int, value long, template int")
-    found = blocks.where(hit).select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("band"), v.alias("value")) for n, v in probes])).alias("p")).select(key, "p.band", "p.value")
-    candidates = written(found.join(F.broadcast(index), ["band", "value"]).select(key, "template").distinct())
+    reach = BLOCK - 1 + WINDOW
+    ws = F.transform(words(text_of(docs)), lambda w: F.xxhash64(w))
+    blocks = docs.select(F.col(key), ws.alias("w"))
+    blocks = blocks.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 1), F.lit(BLOCK)), lambda p: F.slice("w", p + 1, reach + width - 1))).alias("b"))
+    # Generators keep each step's columns apart from what reads them, so that each is computed once.
+    step = lambda df, columns: df.select(key, F.inline(F.array(F.struct(*columns))))
+    blocks = step(blocks, [F.get("b", F.lit(k)).alias(f"w{k}") for k in range(reach + width - 1)])
+    blocks = step(blocks, [hashed(k, width).alias(f"h{k}") for k in range(reach)] + [hashed(k, w).alias(f"s{w}_{k}") for w in short for k in range(BLOCK)])
+    probes = [v for at in range(BLOCK) for v in band_values([F.col(f"h{k}") for k in range(reach)], at)]
+    probes += [F.col(f"h{k}") for k in range(BLOCK)] + [F.col(f"s{w}_{k}") for w in short for k in range(BLOCK)]
+    # Bands differ by 64 random bits, so values of all bands and windows can share one set and one join.
+    values = sorted({x for s in (*bands, *single.values()) for x in s})
+    index = spark.createDataFrame(values, "value long, template int")
+    found = blocks.select(key, F.explode(F.array(*probes)).alias("value")).where(F.col("value").isin(sorted({x for x, _ in values})))
+    candidates = written(found.join(F.broadcast(index), "value").select(key, "template").distinct())
     side = candidates.withColumnRenamed(key, "k")
     side = F.broadcast(side) if candidates.count() <= BROADCAST_ROWS else side
     near = docs.select(key, text_of(docs).alias("text")).join(side, F.col(key).eqNullSafe(F.col("k"))).join(F.broadcast(table), "template")

@@ -1,5 +1,7 @@
 import collections
+import functools
 import math
+import operator
 import zlib
 
 import numpy as np
@@ -26,7 +28,7 @@ def test_nearest_against_brute_force(spark, small, monkeypatch):
     queries = [i for i in x if i % 20 == 0]
     assert set(got) == set(queries)
     for q in queries:
-        best = sorted((-sum(a * b for a, b in zip(x[q], v)), i) for i, v in x.items() if i != q and len(v) == len(x[q]))[:20]
+        best = sorted((-functools.reduce(operator.add, map(operator.mul, x[q], v), 0.0), i) for i, v in x.items() if i != q and len(v) == len(x[q]))[:20]
         assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert ann.nearest(df.limit(0), df).count() == 0
 
