@@ -261,7 +261,7 @@ N = "CAST(substr(rule_id, 2) AS BIGINT)"
 oracle(
     "rule_fold",
     f"""SELECT scope, rule_id, CASE WHEN again THEN upper(content) ELSE content END AS text, CASE WHEN purged THEN '{NOW}' ELSE created_at END AS created_at,
-  CASE WHEN again OR odd OR fifth THEN '{NOW}' ELSE created_at END AS updated_at, CASE WHEN again THEN 'active' WHEN odd OR fifth THEN 'retired' ELSE 'active' END AS status
+  CASE WHEN again OR odd THEN '{NOW}' ELSE created_at END AS updated_at, CASE WHEN again THEN 'active' WHEN odd THEN 'retired' ELSE 'active' END AS status
 FROM (SELECT *, {N} % 3 = 0 AS again, {N} % 2 = 1 AS odd, {N} % 5 = 0 AS fifth, odd AND fifth AS purged FROM mem_conv WHERE rule_id IS NOT NULL) WHERE NOT purged OR again""",
     "mem_conv",
 )
@@ -341,3 +341,45 @@ oracle(
     "mem_conv",
 )
 oracle("eval_kind_shares", f"SELECT kind, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT kind, count(DISTINCT query) AS n FROM {QRELS} GROUP BY kind)", "mem_conv")
+PARTS["msg"] = f"""SELECT 'session-' || conv_id AS session, CAST(turn AS INTEGER) AS line, role, coalesce(text, '') AS raw, strftime(TIMESTAMP '{START}' + to_seconds(CAST(conv_id * 3600 + turn AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at, conv_id, turn FROM conversations"""
+STORED = r"regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '')"
+GOOD = f"role IN ('user', 'assistant') AND {STORED} <> ''"
+KEYED = "session, session || '-' || line AS source_id, role"
+
+
+def turn_query(name: str, columns: str, where: str = "true") -> None:
+    oracle(name, f"SELECT {columns}, {STORED} AS text, created_at FROM msg WHERE {GOOD} AND {where}", "msg")
+
+
+turn_query("src_claude_turns", KEYED, "line NOT IN (3, 4, 5)")
+oracle(
+    "filter_stats",
+    f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN line = 5 THEN 'torn_line' WHEN role = 'system' THEN 'non_message' WHEN line = 3 THEN 'meta' WHEN line = 4 THEN 'sidechain' WHEN {STORED} = '' THEN 'empty' END AS reason FROM msg) WHERE reason IS NOT NULL GROUP BY reason",
+    "msg",
+)
+oracle("json_blocks", "SELECT session, line, md5(CASE WHEN line % 2 = 0 THEN raw ELSE raw || chr(10) || chr(10) || '[tool_use: search]' END) AS digest FROM msg WHERE line <> 5", "msg")
+POSITION = "({0}) || ':' || replace({1}, '-', '')"
+turn_query("src_codex_turns", f"session, {POSITION.format('line * 2', uuid5(STORED))} AS source_id, role")
+turn_query("src_kimi_turns", KEYED)
+turn_query("src_deepcode_turns", KEYED, "line <> 3")
+oracle("src_opencode_turns", rf"SELECT {KEYED}, regexp_replace(regexp_replace(replace(raw, chr(10), chr(10) || chr(10)), '^\s+', ''), '\s+$', '') AS text, created_at FROM msg WHERE {GOOD}", "msg")
+oracle(
+    "src_copilot_unpivot",
+    f"""SELECT session, (turn // 2) || ':' || role AS source_id, role, max({STORED}) AS text, min(least_at) AS created_at
+FROM (SELECT *, min(created_at) OVER (PARTITION BY session, turn // 2) AS least_at FROM msg) WHERE {GOOD} GROUP BY session, turn // 2, role""",
+    "msg",
+)
+FLAT = r"trim(regexp_replace(raw, '\s+', ' ', 'g'))"
+oracle(
+    "import_texinfo",
+    f"SELECT scope AS name, CAST(row_number() OVER (PARTITION BY scope ORDER BY created_at, id) - 1 AS INTEGER) AS nth, agent, role, created_at, md5({TRIM}) AS digest FROM mem_conv WHERE role <> 'rule'",
+    "mem_conv",
+)
+oracle("import_sniff", "SELECT session AS name, CASE WHEN conv_id % 2 = 0 THEN 'markdown' ELSE 'scrollback' END AS format FROM msg WHERE role <> 'system' GROUP BY session, conv_id", "msg")
+for name, odd in (("import_markdown", 0), ("import_scrollback", 1)):
+    oracle(
+        name,
+        f"""SELECT session AS name, CAST(n AS INTEGER) AS nth, role, strftime(TIMESTAMP '{START}' + to_seconds(CAST(n AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at, {FLAT} AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line) - 1 AS n FROM msg WHERE role <> 'system' AND conv_id % 2 = {odd} AND {FLAT} <> '')""",
+        "msg",
+    )

@@ -16,7 +16,9 @@ from palimpsest.operators import grid as gx
 from palimpsest.operators import lifecycle as lx
 from palimpsest.operators import search as sx
 from palimpsest.operators import vectors as vx
+from palimpsest.sources import exports as ex
 from palimpsest.sources import projections as px
+from palimpsest.sources import transcripts as tr
 from palimpsest.sources.projections import NOW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -545,3 +547,135 @@ def eval_metrics(spark, d):
 @query
 def eval_kind_shares(spark, d):
     return gx.kind_shares(_qrels(spark, d)).withColumn("share", F.round("share", 6))
+
+
+def _message(spark, d):
+    """Conversation turns with what session logs need: session, line, text, instant."""
+    t = px.table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    at = times.as_text(F.timestamp_seconds(F.unix_timestamp(F.lit(px.START)) + F.col("conv_id") * 3600 + F.col("turn")))
+    return t.select(F.concat(F.lit("session-"), F.col("conv_id").cast("string")).alias("session"), F.col("turn").cast("int").alias("line"), "role", "text", at.alias("at"), "conv_id", "turn")
+
+
+def _json(**columns):
+    return F.to_json(F.struct(*[c.alias(k) for k, c in columns.items()]))
+
+
+def _block_lines(spark, d):
+    m = _message(spark, d)
+    blocks = F.array(
+        F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("name")),
+        F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("search").alias("name")),
+    )
+    head = {"type": F.col("role"), "uuid": F.concat_ws("-", "session", "line"), "timestamp": F.col("at"), "isMeta": F.col("line") == 3, "isSidechain": F.col("line") == 4}
+    plain, rich = _json(**head, message=F.struct(F.col("text").alias("content"))), _json(**head, message=F.struct(blocks.alias("content")))
+    line = F.when(F.col("line") % 2 == 0, plain).otherwise(rich)
+    return m.select("session", "line", F.when(F.col("line") == 5, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+
+
+TURN_KEYS = ("session", "source_id", "role", "text", "created_at")
+
+
+@query
+def src_claude_turns(spark, d):
+    return tr.turns_only(tr.block_log(_block_lines(spark, d))).select(*TURN_KEYS)
+
+
+@query
+def filter_stats(spark, d):
+    return tr.filter_stats(tr.block_log(_block_lines(spark, d)))
+
+
+@query
+def json_blocks(spark, d):
+    rows = _block_lines(spark, d).withColumn("c", F.get_json_object("value", "$.message.content"))
+    return rows.where("line <> 5").select("session", "line", F.md5(F.encode(tr.block_text(F.col("c"), tools=True), "UTF-8")).alias("digest"))
+
+
+@query
+def src_codex_turns(spark, d):
+    m = _message(spark, d).where("role <> 'system'")
+    event = _json(timestamp=F.col("at"), type=F.lit("event_msg"), payload=F.struct(F.when(F.col("role") == "user", "user_message").otherwise("agent_message").alias("type"), F.col("text").alias("message")))
+    response = _json(timestamp=F.col("at"), type=F.lit("response_item"), payload=F.struct(F.lit("message").alias("type"), "role", F.array(F.struct("text")).alias("content")))
+    both = F.when(F.col("conv_id") % 2 == 0, F.array(event, response)).otherwise(F.array(response))
+    lines = m.select("session", F.posexplode(both).alias("p", "value"), "line").select("session", (F.col("line") * 2 + F.col("p")).alias("line"), "value")
+    return tr.turns_only(tr.two_channel_log(lines)).select(*TURN_KEYS)
+
+
+@query
+def src_antigravity_turns(spark, d):
+    m = _message(spark, d)
+    step = lambda status: _json(type=F.when(F.col("role") == "user", "USER_INPUT").when(F.col("role") == "assistant", "PLANNER_RESPONSE").otherwise("INFO"), source=F.lit("s"), step_index=F.col("line"), status=F.lit(status), created_at=F.col("at"), content=F.col("text"))
+    lines = m.select("session", "line", F.posexplode(F.array(step("RUNNING"), step("DONE"), step("DONE"))).alias("p", "value"))
+    return tr.turns_only(tr.step_log(lines.select("session", (F.col("line") * 3 + F.col("p")).alias("line"), "value"))).select(*TURN_KEYS)
+
+
+@query
+def src_grok_runs(spark, d):
+    m = _message(spark, d).where("role <> 'system'")
+    kind = F.when(F.col("role") == "user", "user_message_chunk").otherwise("agent_message_chunk")
+    chunk = lambda text: _json(method=F.lit("session/update"), timestamp=F.unix_timestamp(F.col("at").cast("timestamp")), params=F.struct(F.struct(kind.alias("sessionUpdate"), F.struct(F.lit("text").alias("type"), text.alias("text")).alias("content")).alias("update")))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    lines = m.select("session", "line", F.posexplode(F.array(chunk(F.substring(F.col("text"), F.lit(1), half)), chunk(F.substring(F.col("text"), half + 1, F.char_length("text"))))).alias("p", "value"))
+    return tr.turns_only(tr.chunk_log(lines.select("session", (F.col("line") * 2 + F.col("p")).alias("line"), "value"))).select(*TURN_KEYS)
+
+
+@query
+def src_kimi_turns(spark, d):
+    m = _message(spark, d).where("role <> 'system'")
+    ms = F.unix_timestamp(F.col("at").cast("timestamp")) * 1000
+    ident = F.concat_ws("-", "session", "line")
+    prompt = lambda kind, text: _json(type=F.lit(kind), time=ms, promptId=ident, input=F.array(F.struct(text.alias("text"))))
+    said = _json(type=F.lit("loop"), time=ms, event=F.struct(F.lit("content.part").alias("type"), ident.alias("uuid"), F.struct(F.lit("text").alias("type"), "text").alias("part")))
+    lines = m.select("session", "line", F.explode(F.when(F.col("role") == "assistant", F.array(said)).when(F.col("line") % 2 == 0, F.array(prompt("turn.prompt", F.lit("typed")), prompt("prompt.accepted", F.col("text")))).otherwise(F.array(prompt("turn.prompt", F.col("text"))))).alias("value"))
+    return tr.turns_only(tr.prompt_log(lines)).select(*TURN_KEYS)
+
+
+@query
+def src_deepcode_turns(spark, d):
+    m = _message(spark, d)
+    line = _json(id=F.concat_ws("-", "session", "line"), role=F.col("role"), content=F.col("text"), visible=F.col("line") != 3, createTime=F.col("at"))
+    return tr.turns_only(tr.flag_log(m.select("session", "line", line.alias("value")))).select(*TURN_KEYS)
+
+
+@query
+def src_opencode_turns(spark, d):
+    m = _message(spark, d).where("role <> 'system'").withColumn("id", F.concat_ws("-", "session", "line"))
+    messages = m.select("id", "session", "role", (F.unix_timestamp(F.col("at").cast("timestamp")) * 1000).alias("millis"))
+    parts = m.select(F.col("id").alias("message_id"), F.posexplode(F.split("text", "\n")).alias("n", "text")).select("message_id", F.format_string("%06d", "n").alias("id"), "text")
+    return tr.turns_only(tr.message_parts(messages, parts)).select(*TURN_KEYS)
+
+
+@query
+def src_copilot_unpivot(spark, d):
+    m = _message(spark, d)
+    pairs = m.groupBy("session", F.floor(F.col("turn") / 2).cast("int").alias("turn_index")).agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("user_message"), F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("assistant_response"), F.min("at").alias("at"))
+    return tr.turns_only(tr.paired_turns(pairs)).select(*TURN_KEYS)
+
+
+@query
+def import_texinfo(spark, d):
+    done = lx.archive(px.mem_conv(spark, d)).select(F.col("scope").alias("name"), F.col("document").alias("text"))
+    return ex.texinfo(done).select("name", "nth", "agent", "role", "created_at", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+def _exports(spark, d):
+    """Conversations as Markdown (even ids) and as scrollback."""
+    m = _message(spark, d).where("role <> 'system'").withColumn("flat", F.regexp_replace("text", r"\s+", " "))
+    part = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), "flat", F.lit("\n\n---\n"))).otherwise(F.concat(F.when(F.col("role") == "user", "❯ ").otherwise("● "), "flat", F.lit("\n")))
+    g = m.groupBy(F.col("session").alias("name"), (F.col("conv_id") % 2).alias("odd")).agg(F.array_sort(F.collect_list(F.struct("line", part.alias("p")))).alias("ps"))
+    return g.select("name", "odd", F.array_join(F.transform("ps", lambda x: x["p"]), "").alias("text"))
+
+
+@query
+def import_sniff(spark, d):
+    return _exports(spark, d).select("name", ex.sniffed(F.col("text")).alias("format"))
+
+
+@query
+def import_markdown(spark, d):
+    return ex.markdown(_exports(spark, d).where("odd = 0"), px.START).select("name", "nth", "role", "created_at", "text")
+
+
+@query
+def import_scrollback(spark, d):
+    return ex.scrollback(_exports(spark, d).where("odd = 1"), px.START).select("name", "nth", "role", "created_at", "text")

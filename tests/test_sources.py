@@ -1,0 +1,63 @@
+import json
+import sqlite3
+
+from pyspark.sql import functions as F
+
+from palimpsest.operators import lifecycle as lx
+from palimpsest.sources import exports as ex
+from palimpsest.sources import transcripts as tr
+from palimpsest.streaming import ingest as si
+
+
+def test_block_log_from_files(spark, tmp_path):
+    rows = [
+        {"type": "user", "uuid": "u1", "timestamp": "2024-01-01T00:00:00Z", "message": {"content": "hello ghp_" + "A" * 20}},
+        {"type": "assistant", "uuid": "u2", "timestamp": "2024-01-01T00:00:01Z", "message": {"content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "one"}, {"type": "tool_use", "name": "grep"}, {"type": "text", "text": "two"}]}},
+        {"type": "summary"},
+        {"type": "user", "uuid": "u3", "isMeta": True, "timestamp": "2024-01-01T00:00:01Z", "message": {"content": "x"}},
+        {"type": "user", "uuid": "u4", "timestamp": "2024-01-01T00:00:02Z", "message": {"parts": [{"text": "untyped"}]}},
+    ]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)) + '\n{"type": "us')
+    turns = tr.block_log(tr.read_lines(spark, str(tmp_path)))
+    assert [(r["role"], r["text"]) for r in tr.turns_only(turns).orderBy("line").collect()] == [("user", "hello [redacted:github-token]"), ("assistant", "one\n\ntwo"), ("user", "untyped")]
+    assert {r["reason"]: r["n"] for r in tr.filter_stats(turns).collect()} == {"torn_line": 1, "non_message": 1, "meta": 1}
+    assert tr.sessions(spark, str(tmp_path)).count() == 1
+
+
+def test_chunks_and_their_open_end(spark):
+    chunk = lambda kind, text: json.dumps({"method": "session/update", "timestamp": 1700000000, "params": {"update": {"sessionUpdate": kind, "content": {"type": "text", "text": text}}}})
+    lines = [chunk("user_message_chunk", "a"), chunk("agent_message_chunk", "b"), chunk("agent_message_chunk", "c"), chunk("tool_call", "x"), chunk("agent_message_chunk", "d")]
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(lines)], "session string, line int, value string")
+    got = [(r["role"], r["text"], r["created_at"], r["dropped"]) for r in tr.chunk_log(df).orderBy("line").collect()]
+    assert got == [("user", "a", "2023-11-14T22:13:20.000Z", None), ("assistant", "bc", "2023-11-14T22:13:20.001Z", None), ("assistant", None, "2023-11-14T22:13:20.002Z", "pending")]
+
+
+def test_relational_log(spark, tmp_path):
+    path = str(tmp_path / "log.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE turns (session_id TEXT, turn_index INTEGER, user_message TEXT, assistant_response TEXT, timestamp TEXT)")
+        c.executemany("INSERT INTO turns VALUES (?, ?, ?, ?, ?)", [("s", 0, "q", "a", "2024-01-01T00:00:00Z"), ("s", 1, "q2", None, None)])
+    rows = tr.sqlite_table(spark, path, "SELECT session_id AS session, turn_index, user_message, assistant_response, timestamp AS at FROM turns", "session string, turn_index long, user_message string, assistant_response string, at string")
+    got = {(r["source_id"], r["text"], r["dropped"]) for r in tr.paired_turns(rows).collect()}
+    assert got == {("0:user", "q", None), ("0:assistant", "a", None), ("1:user", None, "bad_time"), ("1:assistant", None, "empty")}
+
+
+def test_archive_comes_back(spark):
+    rows = [("1", "me", "s", "user", "a @{b}\nline", "2024-01-01T00:00:00.000Z"), ("2", "you", "s", "assistant", "fine", "2024-01-01T00:00:01.000Z")]
+    df = spark.createDataFrame(rows, "id string, agent string, scope string, role string, content string, created_at string")
+    back = ex.texinfo(lx.archive(df).select(F.col("scope").alias("name"), F.col("document").alias("text")))
+    assert [(r["agent"], r["role"], r["text"], r["created_at"]) for r in back.orderBy("nth").collect()] == [r[1:2] + r[3:] for r in rows]
+
+
+def test_growing_log_is_taken_once(spark, tmp_path):
+    log, store, state = (tmp_path / x for x in ("log", "store", "state"))
+    log.mkdir()
+    write = lambda name, *rows: (log / name).write_text("\n".join(json.dumps({"session": "s", "n": n, "text": f"t{n}"}) for n in rows))
+    turns = lambda df: df.select("session", F.col("n").cast("string").alias("source_id"), F.lit("user").alias("role"), "text", F.lit("2024-01-01T00:00:00.000Z").alias("created_at"))
+    run = lambda: si.ingest(spark, str(log), str(store), str(state), "session string, n int, text string", turns, "h", "scope")
+    write("a.json", 1, 2, 2)
+    run()
+    write("b.json", 2, 3)  # a replay, and one new
+    run()
+    run()
+    assert sorted(r["text"] for r in spark.read.parquet(str(store)).collect()) == ["t1", "t2", "t3"]
