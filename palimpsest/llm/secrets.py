@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import text_of, written
 
+#: Tasks that the copies of one blob are dealt to when findings are joined back.
+SALTS = 16
 LEDGER = "blob binary, rule string, spans array<struct<start:int, end:int>>"
 
 
@@ -99,8 +101,32 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     by_blob = each.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
     by_blob = by_blob.select("blob", F.transform("s", lambda x: F.struct(F.get(kinds, x["nth"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("found"))
     rest = addressed(versions, text).drop("found", *[] if keep_text else [text])
+    # Copies of one blob are dealt to SALTS tasks; the few blobs with findings go to each of them.
+    rest = rest.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rest.columns if c != "blob"]), F.lit(SALTS)).cast("int"))
+    by_blob = by_blob.select("blob", "found", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
     none = F.array().cast("array<struct<kind:string, start:int, end:int>>")
-    return rest.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", none)).drop("blob")
+    return rest.join(by_blob, ["blob", "_salt"], "left").withColumn("found", F.coalesce("found", none)).drop("blob", "_salt")
+
+
+def oracle() -> str:
+    """``secrets`` by plain matching, for DuckDB."""
+    text = "coalesce(text, '')"
+    kinds = []
+    for nth, r in enumerate(RULES):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        kinds.append(f"""
+  SELECT doc_id, {nth} AS nth, '{r.kind}' AS kind, unnest(range(len(hits))) + 1 AS i, hits, gaps, groups, {r.least} AS least FROM (
+    SELECT doc_id, regexp_extract_all({text}, {p}) AS hits, string_split_regex({text}, {p}) AS gaps, regexp_extract_all({text}, {p}, {r.group}) AS groups FROM documents)""")
+    return f"""
+WITH each AS ({" UNION ALL ".join(kinds)}),
+placed AS (
+  SELECT doc_id, nth, kind, length(groups[i]) >= least AS ok, length(hits[i]) AS n,
+    CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start_at FROM each),
+found AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start_at || ':' || (start_at + n), ',' ORDER BY start_at, nth) AS spans FROM placed WHERE ok GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN found f USING (doc_id)"""
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
