@@ -9,6 +9,7 @@ tag and weight, so likeness follows from two fingerprints alone.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -21,26 +22,42 @@ from palimpsest.llm.common import slices, text_of
 
 #: Paragraphs of more words are cut after a word of which one in CUT_EVERY says so, or after MOST_WORDS words.
 LEAST_WORDS, CUT_EVERY, MOST_WORDS = 8, 8, 48
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 400_000
 #: Paragraphs of a section, at most; an empty line ends one too.
 SECTION = 16
 #: Documents of one range that a task sorts, about.
 RANGE_ROWS = 20_000
 
 
+class Cuts(dict):
+    """Whether a line may be cut after a word, by the word's hash."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        self[word] = cut = zlib.crc32(word.encode()) % CUT_EVERY == 0
+        return cut
+
+
+CUTS = Cuts()
+
+
 def pieces(line: str) -> list[str]:
     """The line cut into pieces whose concatenation it is."""
     words = line.split(" ")
     if len(words) <= 2 * LEAST_WORDS:
         return [line]
     out, at = [], 0
-    for i, w in enumerate(words):
-        n = i - at + 1
-        if n >= LEAST_WORDS and (n >= MOST_WORDS or (len(w) * 31 + sum(map(ord, w[-3:]))) % CUT_EVERY == 0):
-            out.append(" ".join(words[at : i + 1]) + " ")
-            at = i + 1
-    if at < len(words):
-        return [*out, " ".join(words[at:])]
-    return [*out[:-1], out[-1][:-1]]
+    ends = [i for i, cut in enumerate(map(CUTS.__getitem__, words), 1) if cut]
+    for end in [*ends, len(words)]:
+        while end - at > MOST_WORDS:
+            out.append(" ".join(words[at : at + MOST_WORDS]) + " ")
+            at += MOST_WORDS
+        if end - at >= LEAST_WORDS and end < len(words):
+            out.append(" ".join(words[at:end]) + " ")
+            at = end
+    return [*out, " ".join(words[at:])]
 
 
 def digest(*parts: bytes) -> bytes:

@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     A document's set holds its distinct ``width``-word shingles after lower-casing A-Z. Documents are
     linked when 100 * intersection >= percent * union; component_id is the smallest doc_id reachable.
     Null and blank texts have no shingles and are linked with nothing. Rows with the same doc_id count as
-    one document of the component of any of them. A null doc_id is kept, alone, with a null component.
+    one document: exact copies of any of its texts are linked with it, and one of the texts stands for it in
+    the search for near copies. A null doc_id is kept, alone, with a null component.
     An empty table gives no rows. Candidates share one of BANDS bands: a pair at the threshold is missed
     with a probability of about 3e-6; all else is exact.
     """
