@@ -41,8 +41,9 @@ def folding() -> tuple[str, str]:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without Latin diacritics."""
-    return F.translate(F.lower(text), *folding())
+    """Lower case without Latin diacritics; plain ASCII, which has none, is spared the table."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(F.lower(text), *folding()))
 
 
 def terms(text: Column) -> Column:

@@ -84,10 +84,14 @@ def contradictions(memories: DataFrame, percent: int = 50) -> DataFrame:
     freq = each.groupBy("scope", "word").agg(F.count("*").alias("df"), F.count_if("neg").alias("negs"))
     # A word that only negated or only other memories hold finds no pair, but keeps its place in the order.
     line = each.join(freq, ["scope", "word"]).groupBy("id", "scope", "neg", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word", (F.col("negs").between(1, F.col("df") - 1)).alias("both")))).alias("line"))
-    prefix = F.slice("line", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    probes = line.select("id", "scope", "neg", "n", F.explode(F.filter(prefix, lambda x: x["both"])).alias("x")).select("id", "scope", "neg", "n", "x.word")
+    t = percent / 100
+    prefix = F.slice("line", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
+    core = F.col("n") - F.ceil(F.col("n") * 2 * t / (1 + t) - 1e-9) + 1  # of the smaller set fewer words suffice
+    marked = F.transform(prefix, lambda x, i: F.struct(x["word"].alias("word"), x["both"].alias("both"), (i < core).alias("core")))
+    probes = line.select("id", "scope", "neg", "n", F.explode(F.filter(marked, lambda x: x["both"])).alias("x")).select("id", "scope", "neg", "n", "x.word", "x.core")
     l, r = probes.where("neg").alias("l"), probes.where("NOT neg").alias("r")
-    alike = (F.col("l.scope") == F.col("r.scope")) & (F.col("l.word") == F.col("r.word")) & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
+    near = F.when(F.col("l.n") >= F.col("r.n"), F.col("r.core")).otherwise(F.col("l.core")) & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
+    alike = (F.col("l.scope") == F.col("r.scope")) & (F.col("l.word") == F.col("r.word")) & near
     pairs = l.join(r, alike).select(F.col("l.id").alias("p"), F.col("r.id").alias("q")).distinct()
     side = lambda c: rows.select(F.col("id").alias(c), F.col("created_at").alias(f"{c}_at"), F.col("w").alias(f"{c}_w"), F.col("scope").alias(f"{c}_scope"))
     full = pairs.join(side("p"), "p").join(side("q"), "q")

@@ -333,7 +333,7 @@ oracle("uuid5_fact_id", "SELECT id, " + uuid5("'memory-fact:' || id || ':' || co
 oracle("ts_normalize", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS utc, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.005Z') AS millis FROM events")
 oracle("ordered_in_second", "SELECT event_id, strftime(make_timestamp((sec * 1000 + least(row_number() OVER (PARTITION BY sec ORDER BY event_id) - 1, 999)) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM (SELECT event_id, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS sec FROM events)")
 oracle("anchor_series", f"SELECT conv_id, turn, strftime(TIMESTAMP '{START}' + to_seconds(CAST(conv_id * 60 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM conversations")
-QRELS = "(SELECT scope || '-' || agent AS query, role AS kind, id FROM mem_conv WHERE rule_id IS NULL AND created_at < '2024-01-01T20:00:00.000Z')"
+QRELS = "(SELECT string_split(id, '-')[1] AS query, role AS kind, id FROM mem_conv WHERE rule_id IS NULL)"
 oracle(
     "eval_metrics",
     f"""SELECT kind, count(*) AS queries, round(avg(h5 / n), 6) AS recall_at_5, round(avg(h10 / n), 6) AS recall_at_10, round(avg(1.0 / (first + 1)), 6) AS mrr FROM (
