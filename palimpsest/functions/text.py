@@ -172,3 +172,10 @@ def rule_fault(rule_id: Column, text: Column, sentinel: str = "rules:") -> Colum
 def cell(value: Column) -> Column:
     """A grid cell's text: line ends as a mark, null as empty."""
     return F.coalesce(F.regexp_replace(value.cast("string"), "\r\n|\n", " ⏎ "), F.lit(""))
+
+
+def workspace(uri: Column) -> Column:
+    """The folder of a file URI, of a workspace file the one that holds it; null for other URIs."""
+    path = percent_decoded(F.regexp_extract(uri, r"^file://(/.*)$", 1))
+    path = F.when(path.endswith(".code-workspace"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(path)
+    return F.when(uri.startswith("file:///"), path)

@@ -383,3 +383,18 @@ for name, odd in (("import_markdown", 0), ("import_scrollback", 1)):
 FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line) - 1 AS n FROM msg WHERE role <> 'system' AND conv_id % 2 = {odd} AND {FLAT} <> '')""",
         "msg",
     )
+turn_query("src_goose_turns", "session, CASE WHEN line % 2 = 0 THEN session || '-' || line ELSE 'row:' || line END AS source_id, role")
+oracle("workspace_of", "SELECT page_id, '/w/' || regexp_replace(url, '[^a-z0-9/]', ' ', 'g') AS folder FROM pages")
+oracle("stream_ingest", "SELECT " + uuid5("'memory-turn:log:' || session || ':' || line") + " AS id, 'chat' AS scope, role, raw AS text, created_at FROM msg WHERE role <> 'system'", "msg")
+KIND = "CASE role WHEN 'user' THEN 'USER_INPUT' ELSE 'PLANNER_RESPONSE' END"
+PRINT = f"CAST(to_json(struct_pack(content := raw, created_at := created_at, source := 's', step_index := line, type := {KIND})) AS VARCHAR)"
+turn_query("src_antigravity_turns", f"session, {uuid5(PRINT)} AS source_id, role")
+oracle(
+    "src_grok_runs",
+    f""", marked AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY session ORDER BY line) = role THEN 0 ELSE 1 END AS new FROM msg WHERE role <> 'system'),
+  runs AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY line) AS run FROM marked),
+  closed AS (SELECT * FROM (SELECT *, max(run) OVER (PARTITION BY session) AS last FROM runs) WHERE run < last),
+  joined AS (SELECT session, role, min(line) AS line, string_agg(raw, '' ORDER BY line) AS raw, min(created_at) AS created_at, arg_min(substr(raw, 1, length(raw) // 2), line) AS part FROM closed GROUP BY session, run, role)
+SELECT session, {POSITION.format('line * 2', uuid5('part'))} AS source_id, role, {STORED} AS text, created_at FROM joined WHERE {STORED} <> ''""",
+    "msg",
+)

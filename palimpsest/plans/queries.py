@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from palimpsest.operators import vectors as vx
 from palimpsest.sources import exports as ex
 from palimpsest.sources import projections as px
 from palimpsest.sources import transcripts as tr
+from palimpsest.streaming import ingest as si
 from palimpsest.sources.projections import NOW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -679,3 +681,29 @@ def import_markdown(spark, d):
 @query
 def import_scrollback(spark, d):
     return ex.scrollback(_exports(spark, d).where("odd = 1"), px.START).select("name", "nth", "role", "created_at", "text")
+
+
+@query
+def src_goose_turns(spark, d):
+    m = _message(spark, d).withColumn("row", F.col("line"))
+    blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text")))
+    ident = F.when(F.col("line") % 2 == 0, F.concat_ws("-", "session", "line"))
+    return tr.turns_only(tr.json_messages(m.select("session", "row", ident.alias("message_id"), "role", blocks.alias("content_json"), F.unix_timestamp(F.col("at").cast("timestamp")).alias("seconds")))).select(*TURN_KEYS)
+
+
+@query
+def workspace_of(spark, d):
+    uri = F.concat(F.lit("file:///w/"), F.regexp_replace("url", "[^a-z0-9/]", "%20"), F.when(F.col("page_id") % 2 == 0, "/x.code-workspace").otherwise(""))
+    return px.table(spark, d, "pages").select("page_id", tx.workspace(uri).alias("folder"))
+
+
+@query
+def stream_ingest(spark, d):
+    """Conversations written as a log, taken in by the streaming job, twice."""
+    ready(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    m = _message(spark, d).where("role <> 'system'")
+    m.select("session", F.col("line").cast("string").alias("source_id"), "role", "text", F.col("at").alias("created_at")).write.json(f"{base}/log")
+    for _ in range(2):
+        si.ingest(spark, f"{base}/log", f"{base}/store", f"{base}/state", "session string, source_id string, role string, text string, created_at string", lambda df: df, "log", "chat")
+    return spark.read.parquet(f"{base}/store").select("id", "scope", "role", "text", "created_at")

@@ -181,3 +181,10 @@ def turns_only(turns: DataFrame) -> DataFrame:
 def filter_stats(turns: DataFrame) -> DataFrame:
     """reason, n of the records that gave no turn."""
     return turns.where("dropped IS NOT NULL").groupBy(F.col("dropped").alias("reason")).agg(F.count("*").alias("n"))
+
+
+def json_messages(rows: DataFrame) -> DataFrame:
+    """Turns of a relational log whose rows (session, row, message_id, role, content_json, seconds) hold blocks; a row without an id gets one of its number."""
+    made = rows.select("session", F.col("row").cast("int").alias("line"), F.coalesce("message_id", F.concat(F.lit("row:"), F.col("row").cast("string"))).alias("source_id"), "role", "content_json", times.from_millis(F.col("seconds") * 1000).alias("created_at"))
+    why = F.when(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)), "non_message")
+    return _finished(made, block_text(F.col("content_json")), why)
