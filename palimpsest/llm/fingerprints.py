@@ -14,6 +14,8 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ KEPT_WORDS = 400_000
 #: Paragraphs of a section, at most; an empty line ends one too.
 SECTION = 16
 #: Documents of one range that a task sorts, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 10_000
 
 
 class Cuts(dict):
@@ -111,26 +113,31 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Rows (range, ahead, doc_id, text) sorted in each range: its documents, then (ahead = 1) those that follow the last.
 
     Ranges come from approximate quantiles of doc_id. The first document of each range is also dealt to
-    the range before it, and the very first to the last, so no row needs another range's.
+    the range before it, and the very first to the last, so no row needs another range's. What is sent to
+    the tasks is two numbers for each RANGE_ROWS documents.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = max(1, ids.count() // RANGE_ROWS)
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    where = F.lit(0)
-    if cuts:  # one number for each RANGE_ROWS documents
-        where = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("doc_id")))
-    rows = docs.select(F.coalesce(where, F.lit(0)).alias("range"), F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    firsts = rows.groupBy("range").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()  # a row for each range
-    order = sorted(r["range"] for r in firsts)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    if not order:
-        return rows.withColumn("ahead", F.lit(0)).select("range", "ahead", "doc_id", "text")
-    ahead = docs.sparkSession.createDataFrame([(r["range"], r["first"], before[r["range"]]) for r in firsts], "r int, first long, target int")
-    main = rows.withColumn("ahead", F.lit(0))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    extra = rows.join(F.broadcast(ahead), (F.col("range") == F.col("r")) & (key == F.col("first"))).select(F.col("target").alias("range"), F.lit(1).alias("ahead"), "doc_id", "text")
-    both = main.select("range", "ahead", "doc_id", "text").unionAll(extra.select("range", "ahead", "doc_id", "text"))
-    return both.repartition(max(len(order), 1), "range").sortWithinPartitions("range", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    n = max(1, rows.count() // RANGE_ROWS)
+    cuts = np.unique(np.array(rows.approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else [], dtype=np.int64))
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right").astype(np.int32))
+
+    firsts = sorted(tuple(r) for r in rows.select(place("key").alias("range"), "key").groupBy("range").agg(F.min("key")).collect())  # a row for each range
+    held, first = np.array([r for r, _ in firsts], dtype=np.int32), np.array([k for _, k in firsts], dtype=np.int64)
+    before = np.roll(held, 1)
+
+    @F.pandas_udf("range int, target int")
+    def dealt(key: pd.Series) -> pd.DataFrame:
+        mine = np.searchsorted(cuts, key.to_numpy(), side="right").astype(np.int32)
+        at = np.searchsorted(held, mine)
+        return pd.DataFrame({"range": mine, "target": np.where(first[at] == key.to_numpy(), before[at], -1).astype(np.int32)})
+
+    both = rows.withColumn("d", dealt("key"))
+    to = F.filter(F.array(F.struct(F.col("d.range").alias("range"), F.lit(0).alias("ahead")), F.struct(F.col("d.target").alias("range"), F.lit(1).alias("ahead"))), lambda x: x["range"] >= 0)
+    both = both.select("doc_id", "text", F.inline(to)).select("range", "ahead", "doc_id", "text")
+    return both.repartitionById(len(cuts) + 1, "range").sortWithinPartitions("range", "ahead", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
