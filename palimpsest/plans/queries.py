@@ -178,7 +178,7 @@ def cosine_pairs(spark, d):
 
 def _channels(spark, d):
     m = px.mem_docs(spark, d)
-    facts = fx.extract(px.mem_conv(spark, d))
+    facts = fx.extract(m)
     return m, ux.channels_of(m, facts, px.vectors(spark, d), WORDS, _query_vector(spark, d), "m")
 
 
