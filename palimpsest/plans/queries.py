@@ -472,7 +472,7 @@ def strip_reminders(spark, d):
 
 @query
 def normalize_turns(spark, d):
-    t = tx.normalized(F.col("content"), 2000)
+    t = tx.normalized(F.col("content"))
     return px.mem_secret(spark, d).select("id", F.md5(F.encode(t, "UTF-8")).alias("digest"), F.char_length(t).alias("n"))
 
 

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from palimpsest.functions import text as tx
 from palimpsest.plans import queries as q
 
 
@@ -15,3 +18,16 @@ def test_hybrid_search_ranks_the_facts_of_what_it_searches(spark, tmp_path):
     scores = {r["id"]: r["score"] for r in q.rrf_fuse(spark, d).collect()}
     assert abs(scores["d000001"] - (1 / 60 + 1 / 60 + 1 / 61)) < 1e-8  # first by text and by fact, second by vector
     assert q.hybrid_search(spark, d).orderBy("rank").first()["id"] == "d000001"
+
+
+def test_turns_are_kept_whole_up_to_the_library_limit(spark, tmp_path):
+    d = tables(spark, tmp_path, ["x" * 2001, "y" * 32_768, "z" * 32_769])
+    n = {r["id"]: r["n"] for r in q.normalize_turns(spark, d).collect()}
+    # The projection adds a credential of 35 characters to the first, a bearer of 28 to the second.
+    assert n["d000000"] == 2001 + 35 and n["d000002"] == 32_768 + len("\n[truncated 1 characters]")
+    assert n["d000001"] == 32_768 + len("\n[truncated 28 characters]")
+
+
+def test_the_cut_of_a_turn(spark):
+    df = spark.createDataFrame([("abcde",), ("abcdef",)], "t string").select(tx.normalized(F.col("t"), 5).alias("n"))
+    assert [r["n"] for r in df.collect()] == ["abcde", "abcde\n[truncated 1 characters]"]
