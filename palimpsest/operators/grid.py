@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
@@ -33,6 +34,20 @@ def ordered(rows: DataFrame, column: str, *tie: str) -> DataFrame:
     return rows.orderBy(*sort_key(F.col(column), is_numeric(rows, column)), *tie)
 
 
+def ranked(rows: DataFrame, column: str, *tie: str) -> DataFrame:
+    """All rows with rank from 0 in the order of ``ordered``.
+
+    Rows are sorted by ranges and checkpointed with their range and place; a range's rank begins where the
+    ranges before it end. Only the ranges' counts meet in one task.
+    """
+    done = ordered(rows, column, *tie).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    done = done.withColumn("_range", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND((1 << 33) - 1))
+    counts = done.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_range", before.alias("_start"))
+    return done.join(F.broadcast(starts), "_range").withColumn("rank", F.col("_start") + F.col("_nth")).drop("_range", "_at", "_nth", "_start")
+
+
 def sections(parts: dict[str, DataFrame]) -> DataFrame:
     """The parts' rows under all their columns, with their section's name."""
     out = None

@@ -149,7 +149,7 @@ def vector_count(spark, d):
 @query
 def vector_upsert(spark, d):
     v = px.vectors(spark, d)
-    new = v.where("memory_id < 'd000100'").withColumn("model", F.lit("n"))
+    new = v.where(F.substring("memory_id", 2, 18).cast("long") % 3 == 0).withColumn("model", F.lit("n"))
     return vx.upsert(v, new).select("memory_id", "model", F.size("embedding").alias("dim"))
 
 
@@ -429,8 +429,8 @@ def grid_filter(spark, d):
 
 @query
 def grid_sort(spark, d):
-    rows = px.table(spark, d, "events").select("event_id", "value", "event_type")
-    return sx.with_rank(rows, *gx.sort_key(F.col("value"), True), F.col("event_id"), limit=100).select("rank", "event_id", "value")
+    ready(spark)
+    return gx.ranked(px.table(spark, d, "events").select("event_id", "value"), "value", "event_id").select("rank", "event_id", "value")
 
 
 @query

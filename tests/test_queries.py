@@ -31,3 +31,17 @@ def test_turns_are_kept_whole_up_to_the_library_limit(spark, tmp_path):
 def test_the_cut_of_a_turn(spark):
     df = spark.createDataFrame([("abcde",), ("abcdef",)], "t string").select(tx.normalized(F.col("t"), 5).alias("n"))
     assert [r["n"] for r in df.collect()] == ["abcde", "abcde\n[truncated 1 characters]"]
+
+
+def test_all_rows_are_ranked(spark, tmp_path):
+    rows = [(i, None if i % 4 == 0 else float(i * 7919 % 500)) for i in range(1000)]
+    spark.createDataFrame(rows, "event_id long, value double").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r["event_id"], r["value"]) for r in q.grid_sort(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert [r["rank"] for r in q.grid_sort(spark, str(tmp_path)).orderBy("rank").collect()] == list(range(1000))
+
+
+def test_new_vectors_come_from_the_whole_table(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i)]) for i in range(300)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["memory_id"]: r["model"] for r in q.vector_upsert(spark, str(tmp_path)).collect()}
+    assert got == {f"d{i:06d}": "n" if i % 3 == 0 else "m" for i in range(300)}
