@@ -47,17 +47,29 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def dedup_groups(memories: DataFrame, vector_edges: DataFrame | None = None) -> DataFrame:
-    """scope, winner, losers (ascending time, comma-joined), detectors of each group of duplicates.
-
-    The newest memory wins, equal times by greater id.
-    """
+def _members(memories: DataFrame, vector_edges: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with what found them, the components they make, and the memories in one (component, scope, id, created_at)."""
     edges = exact_edges(memories).withColumn("by", F.lit("exact"))
     if vector_edges is not None:
         edges = edges.unionByName(vector_edges.select("scope", "a", "b", F.lit("vector").alias("by")))
     parts = components(edges)
+    return edges, parts, plain(memories).select("id", "scope", "created_at").join(parts, "id")
+
+
+def dedup_losers(memories: DataFrame, vector_edges: DataFrame | None = None) -> DataFrame:
+    """scope, winner, loser: one row for each loser of each group of duplicates, however large the group."""
+    _, _, rows = _members(memories, vector_edges)
+    best = rows.groupBy("component", "scope").agg(F.max_by("id", F.struct("created_at", "id")).alias("winner"))
+    return rows.join(best, ["component", "scope"]).where("id <> winner").select("scope", "winner", F.col("id").alias("loser"))
+
+
+def dedup_groups(memories: DataFrame, vector_edges: DataFrame | None = None) -> DataFrame:
+    """scope, winner, losers (ascending time, comma-joined), detectors of each group of duplicates.
+
+    The newest memory wins, equal times by greater id. A group is one row here; ``dedup_losers`` has no such row.
+    """
+    edges, parts, rows = _members(memories, vector_edges)
     detectors = edges.join(parts, F.col("a") == F.col("id")).groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("by")), ",").alias("detectors"))
-    rows = plain(memories).select("id", "scope", "created_at").join(parts, "id")
     best = rows.groupBy("component", "scope").agg(F.max_by("id", F.struct("created_at", "id")).alias("winner"), F.array_sort(F.collect_list(F.struct("created_at", "id"))).alias("all"))
     losers = F.array_join(F.transform(F.filter("all", lambda m: m["id"] != F.col("winner")), lambda m: m["id"]), ",")
     return best.join(detectors, "component").select("scope", "winner", losers.alias("losers"), "detectors")
@@ -65,7 +77,12 @@ def dedup_groups(memories: DataFrame, vector_edges: DataFrame | None = None) ->
 
 def dedup_applied(memories: DataFrame, groups: DataFrame, now: str) -> DataFrame:
     """Memories with each group's losers closed at ``now`` in favour of its winner; closed ones stay as they are."""
-    gone = groups.select("winner", F.explode(F.split("losers", ",")).alias("loser"))
+    return losers_closed(memories, groups.select("winner", F.explode(F.split("losers", ",")).alias("loser")), now)
+
+
+def losers_closed(memories: DataFrame, losers: DataFrame, now: str) -> DataFrame:
+    """The same from rows (winner, loser)."""
+    gone = losers.select("winner", "loser")
     close = F.col("loser").isNotNull() & F.col("valid_to").isNull()
     rows = memories.join(gone, F.col("id") == F.col("loser"), "left")
     rows = rows.withColumn("superseded_by", F.when(close, F.col("winner")).otherwise(F.col("superseded_by")))

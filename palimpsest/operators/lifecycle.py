@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
+from palimpsest.operators import grid as gx
 from palimpsest.operators.facts import first_of
 
 
@@ -126,14 +127,30 @@ def rules_block(rules_of_scopes: DataFrame) -> DataFrame:
     return lines.select("scope", F.concat(F.lit("## Rules of "), "scope", F.lit(" ("), F.size("e").cast("string"), F.lit(")\n\n"), F.array_join(F.transform("e", lambda x: x["entry"]), "")).alias("block"))
 
 
+def _chapter() -> Column:
+    esc = tx.texinfo_escaped
+    return F.concat(F.lit("@chapter Message by "), esc(F.col("agent")), F.lit(" ("), esc(F.col("role")), F.lit(") at "), "created_at", F.lit("\n"), esc(F.col("content")), F.lit("\n\n"))
+
+
+def chapters(history: DataFrame) -> DataFrame:
+    """scope, place, text: the chapters of each scope's archive, a row each, with place from 0.
+
+    Messages are ranked by ranges over all scopes, so no scope meets in one task.
+    """
+    rows = history.where("role <> 'rule'").select("scope", "created_at", "id", _chapter().alias("text"))
+    rows = gx.ranked(rows, "scope", "created_at", "id").select("scope", "rank", "text")
+    first = rows.groupBy("scope").agg(F.min("rank").alias("first"))
+    return rows.join(first, "scope").select("scope", (F.col("rank") - F.col("first")).alias("place"), "text")
+
+
 def archive(history: DataFrame) -> DataFrame:
     """scope, document: a scope's history as Texinfo, one chapter for each message.
 
-    One document holds one scope, so its messages meet in one row, as in the file it is written to.
+    One document holds one scope, so its messages meet in one row, as in the file it is written to. That
+    row bounds a scope by what an array and a string can hold (2 GB); ``chapters`` has no such bound.
     """
     esc = tx.texinfo_escaped
-    chapter = F.concat(F.lit("@chapter Message by "), esc(F.col("agent")), F.lit(" ("), esc(F.col("role")), F.lit(") at "), "created_at", F.lit("\n"), esc(F.col("content")), F.lit("\n\n"))
-    rows = history.where("role <> 'rule'").groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", chapter.alias("c")))).alias("m"))
+    rows = history.where("role <> 'rule'").groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", _chapter().alias("c")))).alias("m"))
     title = esc(F.col("scope"))
     head = F.concat(F.lit("\\input texinfo\n@documentencoding UTF-8\n@settitle Chat history for scope: "), title, F.lit("\n@c Messages: "), F.size("m").cast("string"), F.lit("\n@c Through: "), F.element_at("m", -1)["created_at"], F.lit("\n\n@node Top\n@top Chat history for scope: "), title, F.lit("\n\n"))
     return rows.select("scope", F.concat(head, F.array_join(F.transform("m", lambda x: x["c"]), ""), F.lit("@bye\n")).alias("document"))

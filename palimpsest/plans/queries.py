@@ -267,7 +267,7 @@ def dedup_groups(spark, d):
 @query
 def dedup_apply(spark, d):
     m, near = _edges(spark, d)
-    return cx.dedup_applied(m, cx.dedup_groups(m, near), NOW).select("id", "scope", "valid_to", "superseded_by")
+    return cx.losers_closed(m, cx.dedup_losers(m, near), NOW).select("id", "scope", "valid_to", "superseded_by")
 
 
 @query
@@ -656,8 +656,8 @@ def src_copilot_unpivot(spark, d):
 
 @query
 def import_texinfo(spark, d):
-    done = lx.archive(px.mem_conv(spark, d)).select(F.col("scope").alias("name"), F.col("document").alias("text"))
-    return ex.texinfo(done).select("name", "nth", "agent", "role", "created_at", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+    ready(spark)
+    return ex.texinfo_chapters(lx.chapters(px.mem_conv(spark, d)).withColumnRenamed("scope", "name")).select("name", "nth", "agent", "role", "created_at", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
 def _exports(spark, d):

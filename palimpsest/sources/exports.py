@@ -40,6 +40,15 @@ def texinfo(exports: DataFrame) -> DataFrame:
     return _bodies(lines, "\n").select("name", (F.col("run") - 1).alias("nth"), part(1).alias("agent"), part(2).alias("role"), at.alias("created_at"), tx.texinfo_unescaped(F.col("text")).alias("text"))
 
 
+def texinfo_chapters(rows: DataFrame) -> DataFrame:
+    """The same from an archive's chapters (name, place, text), each read in its own row."""
+    head, body = F.substring_index("text", "\n", 1), F.expr("substr(text, instr(text, '\\n') + 1)")
+    part = lambda i: tx.texinfo_unescaped(F.regexp_extract(head, HEADING, i))
+    at = times.normalized(part(3))
+    at = F.coalesce(at, F.raise_error(F.concat(F.lit("no instant in: "), head)))
+    return rows.select("name", F.col("place").alias("nth"), part(1).alias("agent"), part(2).alias("role"), at.alias("created_at"), tx.texinfo_unescaped(tx.trimmed(body)).alias("text"))
+
+
 def markdown(exports: DataFrame, anchor: str) -> DataFrame:
     """The same of Markdown exports, their times a second apart from the anchor on."""
     rows = _bodies(_islands(exports, SPEAKER).where("value <> '---'"), "\n").where("text <> ''")

@@ -1,7 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
+from palimpsest.operators import consolidate as cx
+from palimpsest.operators import lifecycle as lx
 from palimpsest.plans import queries as q
+from palimpsest.sources import exports as ex
 
 
 def tables(spark, folder, docs):
@@ -45,3 +49,22 @@ def test_new_vectors_come_from_the_whole_table(spark, tmp_path):
     spark.createDataFrame([(i, [float(i)]) for i in range(300)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["memory_id"]: r["model"] for r in q.vector_upsert(spark, str(tmp_path)).collect()}
     assert got == {f"d{i:06d}": "n" if i % 3 == 0 else "m" for i in range(300)}
+
+
+def test_groups_and_archives_are_taken_apart_into_rows(spark, monkeypatch):
+    """No group or scope is collected, and the rows are those that the whole document or list gives."""
+    rows = [(f"{i:02d}", "a{b", f"s{i % 2}", "user", "Same @text\n@bye\n" + "more" * (i % 3), f"2024-01-01T00:00:{i % 5:02d}.000Z", None, None) for i in range(40)]
+    m = spark.createDataFrame(rows, "id string, agent string, scope string, role string, content string, created_at string, rule_id string, valid_to string")
+    q.ready(spark)
+    whole = {tuple(r) for r in ex.texinfo(lx.archive(m).select(F.col("scope").alias("name"), F.col("document").alias("text"))).collect()}
+    lists = {(r["scope"], r["winner"], x) for r in cx.dedup_groups(m).collect() for x in r["losers"].split(",")}
+    monkeypatch.setattr(F, "collect_list", lambda *_: pytest.fail("a group is collected"))
+    got = ex.texinfo_chapters(lx.chapters(m).withColumnRenamed("scope", "name")).collect()
+    assert len(got) == 40 and {tuple(r) for r in got} == whole
+    assert {tuple(r) for r in cx.dedup_losers(m).collect()} == lists and len(lists) == 34
+
+
+def test_queries_collect_no_scope_or_group(spark, small, monkeypatch):
+    monkeypatch.setattr(F, "collect_list", lambda *_: pytest.fail("a group is collected"))
+    assert q.import_texinfo(spark, small).columns == ["name", "nth", "agent", "role", "created_at", "digest"]
+    assert q.dedup_apply(spark, small).columns == ["id", "scope", "valid_to", "superseded_by"]
