@@ -25,8 +25,6 @@ MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES, READ_BYTES = 16 << 20, 1 << 20
 #: Bytes after which a new archive is begun.
 FILE_BYTES = 256 << 20
-#: A member whose header isn't complete within so many bytes isn't a record.
-HEADER_BYTES = 64 << 10
 RECORD = "record_id string, record_type string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -103,7 +101,7 @@ class Window:
 def member(window: Window, at: int) -> tuple[bytes, int] | None:
     """The decoded gzip member at ``at`` and where it ends, or None if no whole WARC record is there."""
     z, out, pos = zlib.decompressobj(31), [], at
-    seen = b""
+    seen: bytearray | None = bytearray()
     try:
         while not z.eof:
             data = window.upto(pos + 65536)
@@ -114,10 +112,11 @@ def member(window: Window, at: int) -> tuple[bytes, int] | None:
             pos += len(part)
             out.append(got)
             if seen is not None:
+                at_least = max(0, len(seen) - 3)  # the header's end may lie across two parts
                 seen += got
-                if not seen.startswith(b"WARC/1."[: len(seen)]) or (b"\r\n\r\n" not in seen and len(seen) > HEADER_BYTES):
+                if not seen.startswith(b"WARC/1."[: len(seen)]):
                     return None
-                seen = None if b"\r\n\r\n" in seen else seen
+                seen = None if seen.find(b"\r\n\r\n", at_least) >= 0 else seen
     except zlib.error:
         return None
     return (b"".join(out), pos - len(z.unused_data)) if seen is None else None
@@ -217,6 +216,15 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     )
 
 
+def complete(back: DataFrame, made: DataFrame) -> DataFrame:
+    """The records read, or an error if they aren't as many as ``write`` counted."""
+    back = written(back)
+    n, want = back.count(), made.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
+    if n != want:
+        raise ValueError(f"{n} records were read of {want} that were written")
+    return back
+
+
 def round_trip(pages: DataFrame, folder: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each page, written to archives and read back.
 
@@ -224,6 +232,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, range_bytes: int = R
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    back = read(write(records(pages), folder), range_bytes)
+    made = write(records(pages), folder)
+    back = read(made, range_bytes)
     ident = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
-    return back.select(ident("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", ident("refers_to").alias("refers_to"))
+    rows = back.select(ident("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", ident("refers_to").alias("refers_to"))
+    return complete(rows, made)

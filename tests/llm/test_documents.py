@@ -75,3 +75,13 @@ def test_edits_with_nulls_ties_and_few_rows(spark):
     assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in rows) == sorted((k, n, hashlib.sha256(e.encode()).hexdigest()) for k, n, e in [("None", 0, ""), ("None", 2, "aa"), ("3", 4, "aabc"), ("3", 3, "bc")])
     assert fp.with_edits(spark.createDataFrame([(1, "xy")], kind)).first()["edited_sha256"] == hashlib.sha256(b"xx").hexdigest()
     assert fp.with_edits(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_warc_headers_of_any_length(spark, tmp_path):
+    url = base64.b64encode(random.Random(1).randbytes(120_000)).decode()
+    df = spark.createDataFrame([(1, url, "<p>a"), (2, "short", "<p>b")], "page_id long, url string, html string")
+    assert {r["page_id"] for r in warc.round_trip(df, f"file://{tmp_path}/a").collect()} == {1, 2}
+    made = warc.write(warc.records(df), f"file://{tmp_path}/b")
+    assert {r["uri"] for r in warc.read(made).collect()} == {url, "short"}
+    with pytest.raises(ValueError, match="1 records were read of 2"):
+        warc.complete(warc.read(made).limit(1), made)
