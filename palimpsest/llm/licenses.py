@@ -5,8 +5,9 @@ then verified by exact containment of their shingles in the whole text.
 
 Windows hold four shingles and start at every one, as do a template's own: a run of four of its shingles
 is one of its windows, so their similarity is 1 and every band collides. A window that shares three of
-four (similarity 0.6) is still found by one of two one-row bands with probability 0.84. Templates of under
-four shingles are met by windows of one shingle, whose one band always collides.
+four (similarity 0.6) is still found by one of two one-row bands with probability 0.84. All templates are
+also met by windows of one shingle, whose one band always collides, so none that is contained is missed,
+however its shingles are scattered.
 """
 
 from __future__ import annotations
@@ -99,9 +100,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, widt
     bands: list[set[tuple[int, int]]] = [set() for _ in range(BANDS)]
     for i, _, s, w in sets:
         h = [known[i, j] for j in range(len(s))]
-        if len(h) < WINDOW:
-            single[w] |= {(x, i) for x in h}
-        else:
+        single[w] |= {(x, i) for x in h}
+        if len(h) >= WINDOW:
             for at in range(len(h) - WINDOW + 1):
                 for b, seed in enumerate(seeds()):
                     bands[b].add((min(x ^ seed for x in h[at : at + WINDOW]), i))

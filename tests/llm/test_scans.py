@@ -63,3 +63,11 @@ def test_licenses(spark):
     n = len(licenses.shingles_in(mit, 5))
     assert got == {(1, "MIT", 0): (1, 1), (2, "MIT", 1): (n, n), (3, "MIT", 1): (n - 2, n), (7, "All-rights-reserved", 16): (1, 1), (None, "All-rights-reserved", 16): (1, 1)}
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_scattered_shingles_of_a_license(spark):
+    """Templates of four shingles, every shingle alone between other words: contained without a run of any."""
+    templates = [(f"T{n}", " ".join(f"t{n}w{k}" for k in range(8))) for n in range(200)]
+    rows = [(i, f" filler{i} and{i} more{i} ".join(sorted(licenses.shingles_in(t, 5)))) for i, (_, t) in enumerate(templates)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    assert {(r["doc_id"], r["license"], r["containment"]) for r in found} == {(i, name, 1.0) for i, (name, _) in enumerate(templates)}
