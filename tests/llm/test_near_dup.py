@@ -68,6 +68,86 @@ def test_hot_group_below_the_threshold_for_its_lead(spark):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
 
 
+def edits(n_texts, n_words, least, most, seed):
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(n_words)]
+    out = []
+    for _ in range(n_texts):
+        t = list(base)
+        for p in rng.sample(range(n_words), rng.randint(least, most)):
+            t[p] = rng.choice(words)
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("family_rows", [20, 4096])
+def test_tiles_of_a_hot_group_of_short_texts(spark, monkeypatch, family_rows):
+    """Many blocks a bucket, families compared as a whole and bucket by bucket, and ids that repeat with other texts."""
+    monkeypatch.setattr(nd, "TILE_ROWS", 16)
+    monkeypatch.setattr(nd, "FAMILY_ROWS", family_rows)
+    texts = edits(160, 60, 2, 7, 3)
+    rows = [(i % 150, t) for i, t in enumerate(texts)]
+    sets = [(n, i, shingles(t, 2)) for n, (i, t) in enumerate(rows)]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, i, a in sets:
+        for _, j, b in sets[:n]:
+            if 100 * len(a & b) >= 80 * len(a | b):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(df, width=2, percent=80).collect()]
+    assert sorted(got) == sorted((i, len(s), find(i)) for _, i, s in sets)
+    assert 1 < len({find(i) for i in root}) < 150
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    near, other = base.replace("w50", "x"), " ".join(f"u{i}" for i in range(50))
+    rows = [(3, near, "a"), (5, base, "b"), (5, other, "c"), (5, other, "d"), (7, other, "e"), (8, None, "f"), (8, "", "g"), (None, base, "h"), (None, base, "i"), (9, base, "j"), (4, base, "k"), (4, base, "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in nd.one_of_each(df).collect())
+    assert got == sorted([("3", near), ("5", other), ("8", "None"), ("8", ""), ("None", base), ("None", base)])
+    assert nd.one_of_each(df.limit(0)).count() == 0
+
+
+def test_overlaps_and_forest():
+    rng = np.random.Generator(np.random.PCG64(3))
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)) for _ in range(40)] + [np.unique(rng.integers(0, 2**40, 500).astype(np.uint64))]
+    want = [[len(np.intersect1d(a, b)) for b in sets[15:]] for a in sets[:20]]
+    assert nd.overlaps(sets[:20], sets[15:]).tolist() == want
+    hits = rng.random((30, 25)) < 0.05
+    left, right = rng.integers(0, 20, 30), rng.integers(0, 20, 25)
+    part = {g: g for g in range(20)}
+    for i, j in nd.forest(hits, left, right):
+        assert hits[i, j] and part[left[i]] != part[right[j]]  # no link is needless
+        a, b = part[left[i]], part[right[j]]
+        part = {g: a if p == b else p for g, p in part.items()}
+    assert all(part[left[i]] == part[right[j]] for i, j in zip(*np.nonzero(hits), strict=True))
+
+
+def test_a_full_tile_takes_seconds():
+    """Near copies below the threshold, as many as a tile holds on both sides."""
+    import time
+
+    import pyarrow as pa
+
+    hashes = nd.WordHashes()
+    sets = [nd.shingle_set(t.encode(), 2, hashes) for t in edits(2000, 60, 6, 7, 1)]
+    n = len(sets)
+    cols = {"i": [0] * n, "j": [1] * n, "side": [k % 2 for k in range(n)], "key": [str(k).encode() for k in range(n)], "component": [str(k).encode() for k in range(n)], "n_shingles": [len(s) for s in sets]}
+    began = time.time()
+    nd.in_tile(pa.table(cols | {"payload": [s.tobytes() for s in sets]}), 80, True)
+    nd.in_tile(pa.table(cols | {"payload": [nd.sketch(s).tobytes() for s in sets]}), 80, False)
+    assert time.time() - began < 20
+
+
 def test_null_ids_repeats_and_empty(spark):
     got = nd.near_duplicates(spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "x y z"), (2, "x y z"), (0, "a b c")], "doc_id long, text string"), width=2).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == [("0", "0"), ("1", "0"), ("1", "0"), ("2", "0"), ("None", "None")]
