@@ -27,13 +27,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): that of smallest id.
 
-    Rows that repeat an id are one document, of which one row stays; rows without an id all stay.
+    Texts are judged one by one: of rows that share an id each different text stays unless it is a copy, and
+    rows that repeat id and text are one. Rows without an id, and blank texts, all stay; an empty table stays
+    empty. Other columns than those of documents are left out.
     """
-    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    many = left.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    again = left.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(many, "doc_id", "left_anti").unionByName(again)
+    return near_dup.one_of_each(docs.select(*COLUMNS))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
