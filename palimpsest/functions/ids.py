@@ -22,16 +22,21 @@ def keyed(kind: str, *parts: Column, prefix: str = "memory") -> Column:
     return uuid5(F.concat_ws(":", F.lit(f"{prefix}-{kind}"), *parts))
 
 
-def fact_id(memory: Column, fact: Column) -> Column:
-    return keyed("fact", memory, fact)
+def fact_id(memory: Column, fact: Column, prefix: str = "memory") -> Column:
+    return keyed("fact", memory, fact, prefix=prefix)
 
 
-def turn_id(harness: Column, session: Column, source: Column) -> Column:
-    return keyed("turn", harness, session, source)
+def turn_id(harness: Column, session: Column, source: Column, prefix: str = "memory") -> Column:
+    return keyed("turn", harness, session, source, prefix=prefix)
 
 
-def import_id(scope: Column, agent: Column, role: Column, created_at: Column, text: Column) -> Column:
-    return keyed("import", scope, agent, role, created_at, text)
+def import_id(scope: Column, agent: Column, role: Column, created_at: Column, text: Column, prefix: str = "memory") -> Column:
+    return keyed("import", scope, agent, role, created_at, text, prefix=prefix)
+
+
+def random_id() -> Column:
+    """A new random UUID for each row (version 4)."""
+    return F.expr("uuid()")
 
 
 def positional_id(line: Column, text: Column) -> Column:

@@ -32,18 +32,21 @@ NEGATIONS = ("not ", "never ", "no longer ", "don't ", "do not ", "isn't ", "was
 PEM = r"(?s)-----BEGIN [^\n]*?PRIVATE KEY[^\n]*?-----(?:\n| ).*?(?:-----END [^\n]*(?:-----)?(?=\n)|-----END [^\n]*\z|\z)"
 BEARER = r"Bearer [A-Za-z0-9_.\-]{12,}"
 MAX_CHARS = 32_768
+#: Combining diacritics, and a run of white space of any script.
+MARKS = "[\u0300-\u0331]"
+BLANKS = r"(?U)\s+"
 
 
 def folding() -> tuple[str, str]:
-    """Latin letters with a diacritic, and the letters that remain without it."""
-    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250)) if unicodedata.normalize("NFD", c)[0].isascii() and len(unicodedata.normalize("NFD", c)) > 1]
+    """Latin letters with one diacritic (those with two stay, as in SQLite's tokenizer), and the letters that remain without it."""
+    pairs = [(c, d[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) == 2 and d[0].isascii()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def folded(text: Column) -> Column:
-    """Lower case without Latin diacritics; plain ASCII, which has none, is spared the table."""
+    """Lower case without Latin diacritics, also where they are characters of their own; plain ASCII, which has none, is spared that."""
     plain = F.octet_length(text) == F.char_length(text)
-    return F.when(plain, F.lower(text)).otherwise(F.translate(F.lower(text), *folding()))
+    return F.when(plain, F.lower(text)).otherwise(F.regexp_replace(F.translate(F.lower(text), *folding()), MARKS, ""))
 
 
 def terms(text: Column) -> Column:
@@ -56,24 +59,24 @@ def phrases_of(query: str) -> list[list[str]]:
     if not query.strip():
         raise ValueError("the query is empty")
     table = str.maketrans(*folding())
-    cut = [re.findall(r"[^\W_]+", token.lower().translate(table)) for token in query.split()]
+    cut = [re.findall(r"[^\W_]+", re.sub(MARKS, "", token.lower().translate(table))) for token in query.split()]
     return [p for p in cut if p]
 
 
 def fts_quoted(query: Column) -> Column:
     """Each blank-separated token in double quotes, joined by OR."""
-    tokens = F.filter(F.split(query, r"\s+"), lambda t: t != "")
+    tokens = F.filter(F.split(query, BLANKS), lambda t: t != "")
     return F.array_join(F.transform(tokens, lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))), " OR ")
 
 
 def words(text: Column) -> Column:
     """Distinct lower-case words between white space."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), BLANKS), ""))
 
 
 def dedup_key(text: Column) -> Column:
     """Lower case, trimmed, each run of white space one blank."""
-    return F.array_join(F.array_remove(F.split(F.lower(text), r"\s+"), ""), " ")
+    return F.array_join(F.array_remove(F.split(F.lower(text), BLANKS), ""), " ")
 
 
 def tokens_about(text: Column) -> Column:
@@ -179,3 +182,21 @@ def workspace(uri: Column) -> Column:
     path = percent_decoded(F.regexp_extract(uri, r"^file://(/.*)$", 1))
     path = F.when(path.endswith(".code-workspace"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(path)
     return F.when(uri.startswith("file:///"), path)
+
+
+def canonical_json(text: Column) -> Column:
+    """A JSON text with each object's keys in order and no blanks between; null where it can't be read."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def protocol(version: Column) -> Column:
+    """major.minor as two whole numbers, which compare as versions do; null for other shapes."""
+    part = lambda i: F.regexp_extract(version, r"^(\d{1,9})\.(\d{1,9})$", i)
+    return F.when(version.rlike(r"^\d{1,9}\.\d{1,9}$"), F.struct(part(1).try_cast("int").alias("major"), part(2).try_cast("int").alias("minor")))
+
+
+def chat_scope(path: Column, containers: tuple[str, ...] = ("chat", "chats")) -> Column:
+    """The project an export belongs to: its folder's name, but of a folder in or below a chat container the container's parent."""
+    folders = F.filter(F.split(F.regexp_replace(path, r"/[^/]*$", ""), "/"), lambda s: s != "")
+    nearest = F.array_max(F.transform(folders, lambda s, i: F.when(s.isin(*containers), i)))
+    return F.when(nearest > 0, F.get(folders, nearest - 1)).otherwise(F.element_at(folders, -1))

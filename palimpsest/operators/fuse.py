@@ -11,6 +11,7 @@ from palimpsest.functions import text as tx
 from palimpsest.operators import facts as fx
 from palimpsest.operators import search as sx
 from palimpsest.operators import vectors as vx
+from palimpsest.operators.postings import Index
 from palimpsest.operators.search import CURRENT, Validity
 
 K, CHANNEL_LIMIT = 60.0, 50
@@ -22,10 +23,10 @@ def fuse(channels: dict[str, DataFrame], k: float = K) -> DataFrame:
     return reduce(DataFrame.unionAll, each).groupBy("id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
-def channels_of(memories: DataFrame, facts: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, model: str, scope: str | None = None, validity: Validity = CURRENT) -> dict[str, DataFrame]:
+def channels_of(memories: DataFrame, facts: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, model: str, scope: str | None = None, validity: Validity = CURRENT, index: Index | None = None) -> dict[str, DataFrame]:
     """The ranked lists of a hybrid search; rules leave the full-text one after its limit."""
     found = {
-        "fts": sx.search(memories, query, scope, validity, CHANNEL_LIMIT).where("rule_id IS NULL").select("id", "rank"),
+        "fts": sx.search(memories, query, scope, validity, CHANNEL_LIMIT, index).where("rule_id IS NULL").select("id", "rank"),
         "facts": fx.candidates(facts, memories, query, scope, validity, CHANNEL_LIMIT).select("id", "rank"),
     }
     if vectors is not None and vector is not None:
@@ -37,7 +38,7 @@ def channels_of(memories: DataFrame, facts: DataFrame, vectors: DataFrame | None
 
 def hybrid(memories: DataFrame, channels: dict[str, DataFrame], limit: int = 20) -> DataFrame:
     """The fused order's first ``limit`` memories, with rank and score."""
-    return sx.with_rank(fuse(channels), *sx.by_score(), limit=limit).join(memories, "id")
+    return memories.join(F.broadcast(sx.with_rank(fuse(channels), *sx.by_score(), limit=limit)), "id")
 
 
 def channel_counts(channels: dict[str, DataFrame]) -> DataFrame:
@@ -50,25 +51,43 @@ def gate(vectors: DataFrame, model: str) -> DataFrame:
     return vectors.agg(F.count_if(F.col("model") == model).alias("n_vectors")).select(F.lit(model).alias("model"), "n_vectors", F.when(F.col("n_vectors") > 0, "hybrid").otherwise("fts").alias("mode"))
 
 
-def packed(rows: DataFrame, budget: int | F.Column, priority: str) -> DataFrame:
+class NoVectors(ValueError):
+    """A hybrid search was asked for by name, but the model has no vector."""
+
+
+def mode(vectors: DataFrame, model: str, asked: str = "auto") -> str:
+    """hybrid or fts: as asked, or (auto) hybrid if the model has any vector. To ask for hybrid without one is an error."""
+    if asked not in ("auto", "hybrid", "fts"):
+        raise ValueError(f"no such mode: {asked}")
+    some = asked != "fts" and not vectors.where(F.col("model") == model).select("model").limit(1).isEmpty()
+    if asked == "hybrid" and not some:
+        raise NoVectors(f"no vector of {model}")
+    return "hybrid" if some else "fts"
+
+
+def packed(rows: DataFrame, budget: int, priority: str, spent: DataFrame | None = None) -> DataFrame:
     """rows with cost and included: taken in ascending priority if the cost fits what remains, else passed over.
 
-    rows is a limited list of candidates, which one fold goes through in order.
+    rows is a limited list of candidates, which one fold goes through in order. spent: one row of column
+    spent, what of the budget is gone before.
     """
-    costs = rows.select("id", F.col(priority).alias("p"), tx.tokens_about(F.col("content")).alias("cost"))
-    budget = budget if isinstance(budget, F.Column) else F.lit(budget)
-    line = costs.agg(F.array_sort(F.collect_list(F.struct("p", "id", "cost"))).alias("line"))
-    zero = F.struct(F.greatest(budget, F.lit(0)).cast("long").alias("left"), F.array().cast("array<struct<id:string,cost:bigint,included:boolean,nth:int>>").alias("out"))
+    row = F.struct(*rows.columns)
+    line = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(priority).alias("p"), "id", tx.tokens_about(F.col("content")).alias("cost"), row.alias("row")))).alias("line"))
+    left = F.lit(budget)
+    if spent is not None:
+        line, left = line.crossJoin(F.broadcast(spent)), F.lit(budget) - F.col("spent")
+    kind = rows.select(row.alias("row")).schema["row"].dataType.simpleString()
+    zero = F.struct(F.greatest(left, F.lit(0)).cast("long").alias("left"), F.array().cast(f"array<struct<row:{kind},cost:bigint,included:boolean,nth:int>>").alias("out"))
     fold = F.aggregate(
         "line",
         zero,
         lambda acc, x: F.struct(
             F.when(x["cost"] <= acc["left"], acc["left"] - x["cost"]).otherwise(acc["left"]).alias("left"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), x["cost"].alias("cost"), (x["cost"] <= acc["left"]).alias("included"), F.size(acc["out"]).alias("nth")))).alias("out"),
+            F.concat(acc["out"], F.array(F.struct(x["row"].alias("row"), x["cost"].alias("cost"), (x["cost"] <= acc["left"]).alias("included"), F.size(acc["out"]).alias("nth")))).alias("out"),
         ),
         lambda acc: acc["out"],
     )
-    return line.select(F.inline(fold)).join(rows, "id")
+    return line.select(F.inline(fold)).select("row.*", "cost", "included", "nth")
 
 
 def budget_report(done: DataFrame, budget: int, channel: str) -> DataFrame:
@@ -86,12 +105,12 @@ def budget_recall(memories: DataFrame, scope: str, budget: int, limit: int = 50)
     return packed(rows, budget, "priority")
 
 
-def budget_search(memories: DataFrame, query: str, budget: int, limit: int = 20) -> DataFrame:
+def budget_search(memories: DataFrame, query: str, budget: int, limit: int = 20, index: Index | None = None) -> DataFrame:
     """A search's memories with cost and included, the best first to be taken."""
-    return packed(sx.search(memories, query, limit=limit), budget, "rank")
+    return packed(sx.search(memories, query, limit=limit, index=index), budget, "rank")
 
 
-def context(memories: DataFrame, facts: DataFrame, scope: str, budget: int, query: str | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+def context(memories: DataFrame, facts: DataFrame, scope: str, budget: int, query: str | None = None, limit: int = 50, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
     """A scope's active rules, and its candidates with cost and included.
 
     Rules count in full even beyond the budget, and candidates share what remains. Without a query these
@@ -102,13 +121,13 @@ def context(memories: DataFrame, facts: DataFrame, scope: str, budget: int, quer
     recent = sx.recall(memories, scope, limit).where("rule_id IS NULL")
     recent = recent.withColumn("rank", F.row_number().over(sx.W.orderBy(F.desc("place"))) - 1)
     if query and query.strip():
-        found = channels_of(memories, facts, None, query, None, "", scope)
+        found = channels_of(memories, facts, None, query, None, "", scope, index=index)
         order = fuse({"recency": recent, **found})
-        rows = order.join(memories, "id").withColumn("priority", -F.round("score", 10))
+        rows = memories.join(F.broadcast(order), "id").withColumn("priority", -F.round("score", 10))
     else:
         rows = recent.withColumn("priority", F.col("rank").cast("double"))
-    spent = rules.agg(F.coalesce(F.sum(tx.tokens_about(F.col("content"))), F.lit(0)).alias("spent")).first()["spent"]  # one number
-    return rules, packed(rows, max(0, budget - spent), "priority")
+    spent = rules.agg(F.coalesce(F.sum(tx.tokens_about(F.col("content"))), F.lit(0)).alias("spent"))
+    return rules, packed(rows, budget, "priority", spent)
 
 
 def active_rules(memories: DataFrame) -> DataFrame:

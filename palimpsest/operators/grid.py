@@ -92,3 +92,22 @@ def as_csv(rows: DataFrame, key: str) -> DataFrame:
         v = F.coalesce(F.col(c).cast("string"), F.lit(""))
         cells.append(F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v))
     return rows.select(key, F.concat_ws(",", *cells).alias("line"))
+
+
+def _version(command: str, now: str) -> Column:
+    return F.struct(F.lit(command).alias("command"), F.lit(now).alias("timestamp"))
+
+
+def enveloped(rows: DataFrame, command: str, now: str, order: str) -> DataFrame:
+    """envelope: one JSON object of metadata and data, the rows in order, as one command's answer.
+
+    It is for answers that a limit bounds, as all rows meet in it; ``json_lines`` has no such bound.
+    """
+    data = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*rows.columns).alias("r")))).alias("d"))
+    return data.select(F.to_json(F.struct(_version(command, now).alias("metadata"), F.transform("d", lambda x: x["r"]).alias("data")), {"ignoreNullFields": "true"}).alias("envelope"))
+
+
+def json_lines(rows: DataFrame, command: str, now: str) -> DataFrame:
+    """part, line: a first line (part 0) of metadata with null data, then (part 1) a line for each row."""
+    first = rows.sparkSession.range(1).select(F.lit(0).alias("part"), F.to_json(F.struct(_version(command, now).alias("metadata"), F.lit(None).cast("string").alias("data")), {"ignoreNullFields": "false"}).alias("line"))
+    return first.unionAll(as_json(rows).select(F.lit(1), "record"))

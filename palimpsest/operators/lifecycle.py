@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions import ids
 from palimpsest.functions import text as tx
 from palimpsest.operators import grid as gx
 from palimpsest.operators.facts import first_of
@@ -99,25 +100,78 @@ def purge_outcome(memories: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(known, ["scope", "rule_id"], "left").select("scope", "rule_id", outcome.alias("outcome"))
 
 
-def rescope_counts(memories: DataFrame, facts: DataFrame, source: str) -> DataFrame:
-    """memories, rules, facts that moving a scope would move, in one row."""
-    rows = memories.where(F.col("scope") == source).agg(F.count_if(F.col("rule_id").isNull()).alias("memories"), F.count_if(F.col("rule_id").isNotNull()).alias("rules"))
-    return rows.crossJoin(F.broadcast(facts.where(F.col("scope") == source).agg(F.count("*").alias("facts"))))
+def _chosen(memories: DataFrame, source: str, selection: DataFrame | None) -> DataFrame:
+    """The source scope's memories, or those of the selected ids among them that aren't rules."""
+    rows = memories.where(F.col("scope") == source)
+    if selection is None:
+        return rows
+    return rows.where("rule_id IS NULL").join(selection.select("id").distinct(), "id", "left_semi")
 
 
-def rescope_conflicts(memories: DataFrame, target: str, source: str) -> DataFrame:
-    """rule_id of rules that both scopes hold."""
-    rules_of = lambda s: memories.where((F.col("scope") == s) & F.col("rule_id").isNotNull()).select("rule_id").distinct()
-    return rules_of(source).join(rules_of(target), "rule_id")
+def rescope_counts(memories: DataFrame, facts: DataFrame, source: str, selection: DataFrame | None = None) -> DataFrame:
+    """memories, rules, facts that moving a scope, or the selected ids of it, would move, in one row."""
+    moved = _chosen(memories, source, selection)
+    rows = moved.agg(F.count_if(F.col("rule_id").isNull()).alias("memories"), F.count_if(F.col("rule_id").isNotNull()).alias("rules"))
+    mine = facts.join(moved.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    return rows.crossJoin(F.broadcast(mine.agg(F.count("*").alias("facts"))))
+
+
+def rescope_conflicts(memories: DataFrame, target: str, source: str, selection: DataFrame | None = None) -> DataFrame:
+    """rule_id of rules that would move into a scope which holds one of that id."""
+    moved = _chosen(memories, source, selection).where("rule_id IS NOT NULL").select("rule_id").distinct()
+    held = memories.where((F.col("scope") == target) & F.col("rule_id").isNotNull()).select("rule_id").distinct()
+    return moved.join(held, "rule_id")
 
 
 def rescoped(memories: DataFrame, source: str, target: str, selection: DataFrame | None = None) -> DataFrame:
-    """Memories with those of the source (or of the selected ids among them) in the target scope."""
-    move = F.col("scope") == source
-    if selection is not None:
-        memories = memories.join(selection.select("id", F.lit(True).alias("_chosen")).dropDuplicates(["id"]), "id", "left")
-        move = move & F.coalesce("_chosen", F.lit(False))
-    return memories.withColumn("scope", F.when(move, target).otherwise(F.col("scope"))).drop("_chosen")
+    """Memories with those of the source (or of the selected ids among them) in the target scope.
+
+    A single conflict refuses the whole move: then all stay where they are.
+    """
+    conflicts = rescope_conflicts(memories, target, source, selection).agg(F.count("*").alias("_conflicts"))
+    moved = _chosen(memories, source, selection).select("id", F.lit(True).alias("_moves")).distinct()
+    rows = memories.join(moved, "id", "left").crossJoin(F.broadcast(conflicts))
+    go = F.coalesce("_moves", F.lit(False)) & (F.col("_conflicts") == 0)
+    return rows.withColumn("scope", F.when(go, target).otherwise(F.col("scope"))).select(*memories.columns)
+
+
+def facts_rescoped(facts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Facts in the scopes to which their memories have moved (before, after: id, scope)."""
+    was = before.select("id", F.col("scope").alias("_was"))
+    moved = after.join(was, "id").where(F.col("scope") != F.col("_was")).select(F.col("id").alias("memory_id"), F.col("scope").alias("_to"))
+    return facts.join(moved, "memory_id", "left").withColumn("scope", F.coalesce("_to", "scope")).select(*facts.columns)
+
+
+def session_selection(turns: DataFrame, harness: str, session: str, prefix: str = "memory") -> DataFrame:
+    """id of the memories that ingesting a session's turns (session, source_id) gave."""
+    mine = turns.where(F.col("session") == session)
+    return mine.select(ids.turn_id(F.lit(harness), F.col("session"), F.col("source_id"), prefix).alias("id")).distinct()
+
+
+#: The columns of a memory and their types, in the order in which versions of the store have added them.
+MEMORY_SCHEMA = (
+    ("id", "string"), ("agent", "string"), ("scope", "string"), ("role", "string"), ("content", "string"), ("created_at", "string"), ("rule_id", "string"), ("updated_at", "string"), ("status", "string"),
+    ("valid_from", "string"), ("valid_to", "string"), ("superseded_by", "string"), ("last_accessed_at", "string"), ("access_count", "int"),
+)
+
+
+def migrated(memories: DataFrame) -> DataFrame:
+    """Memories of any older store with all columns of today: those that it lacks are null. One that lacks the first six is refused."""
+    lacking = [c for c, _ in MEMORY_SCHEMA[:6] if c not in memories.columns]
+    if lacking:
+        raise ValueError(f"not a store of memories: no {', '.join(lacking)}")
+    have = set(memories.columns)
+    return memories.select(*[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in MEMORY_SCHEMA], *[c for c in memories.columns if c not in dict(MEMORY_SCHEMA)])
+
+
+def remembered(entries: DataFrame, now: str) -> DataFrame:
+    """New memories of entries (agent, scope, role, content), each with a random id and the instant ``now``."""
+    return migrated(entries.select(ids.random_id().alias("id"), "agent", "scope", "role", "content", F.lit(now).alias("created_at")))
+
+
+def remember(store: str, entries: DataFrame, now: str) -> None:
+    """Append new memories to a Parquet store."""
+    remembered(entries, now).write.mode("append").parquet(store)
 
 
 def rules_block(rules_of_scopes: DataFrame) -> DataFrame:

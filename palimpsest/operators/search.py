@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
+from palimpsest.operators import postings
+from palimpsest.operators.postings import Index
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+K1, B, LEAST_IDF = postings.K1, postings.B, postings.LEAST_IDF
 
 
 @dataclass(frozen=True)
@@ -79,16 +81,28 @@ def by_score() -> tuple[Column, Column]:
     return F.round("score", 10).desc(), F.col("id").asc()
 
 
-def search(memories: DataFrame, query: str, scope: str | None = None, validity: Validity = CURRENT, limit: int = 20) -> DataFrame:
-    """The best ``limit`` memories for a query, rules included: rank, score and the memories' columns."""
-    hits = scored(memories, query).where(validity.holds())
+def search(memories: DataFrame, query: str, scope: str | None = None, validity: Validity = CURRENT, limit: int = 20, index: Index | None = None) -> DataFrame:
+    """The best ``limit`` memories for a query, rules included: rank, score and the memories' columns.
+
+    With an index of the memories only its postings of the query's terms are read, and no text but the best
+    ones'; without one all texts are.
+    """
+    if index is None:
+        hits = scored(memories, query).where(validity.holds())
+        if scope is not None:
+            hits = hits.where(F.col("scope") == scope)
+        return with_rank(hits, *by_score(), limit=limit)
+    alive = memories.where(validity.holds())
     if scope is not None:
-        hits = hits.where(F.col("scope") == scope)
-    return with_rank(hits, *by_score(), limit=limit)
+        alive = alive.where(F.col("scope") == scope)
+    best = with_rank(postings.scored(index, query).join(alive.select("id"), "id"), *by_score(), limit=limit)
+    return memories.join(F.broadcast(best), "id").select(*memories.columns, "score", "rank")
 
 
-def matching(memories: DataFrame, query: str, text: str = "content") -> DataFrame:
-    """Memories that hold a phrase of the query."""
+def matching(memories: DataFrame, query: str, text: str = "content", index: Index | None = None) -> DataFrame:
+    """Memories that hold a phrase of the query, by their index if there is one."""
+    if index is not None:
+        return memories.join(postings.matching(index, query), "id", "left_semi")
     any_of = "|".join(" ".join(p) for p in tx.phrases_of(query))
     return memories.where(_line(text).rlike(f" (?:{any_of}) ") if any_of else F.lit(False))
 

@@ -24,6 +24,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) < 1) | (norms == 0), 0.0).otherwise(dot(a, b) / F.nullif(norms, F.lit(0.0)))
 
 
+def encoded(vector: Column) -> Column:
+    """A vector's numbers as 32-bit floats, little-endian, end to end."""
+    bits = lambda x: F.hex(F.unhex(F.lpad(F.conv(_bits(x).cast("string"), 10, 16), 8, "0")))
+    turned = lambda h: F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
+    return F.unhex(F.array_join(F.transform(vector, lambda x: turned(bits(x))), ""))
+
+
+def _bits(x: Column) -> Column:
+    """The 32 bits of a finite number as a float, as a whole number."""
+    x = x.cast("float").cast("double")
+    size = F.abs(x)
+    e = F.when(size >= 2.0**-126, F.floor(F.log2(size))).otherwise(-126)
+    # log2 may round up or down beside a power of two.
+    e = e + F.when(size < F.pow(F.lit(2.0), e), -1).when(size >= F.pow(F.lit(2.0), e + 1), 1).otherwise(0)
+    e = F.greatest(e, F.lit(-126))
+    m = size / F.pow(F.lit(2.0), e)
+    normal = m >= 1
+    whole = F.when(normal, (e + 127) * (1 << 23) + (m - 1) * (1 << 23)).otherwise(m * (1 << 23))
+    sign = F.when((x < 0), F.lit(1 << 31)).otherwise(F.lit(0))
+    return sign + whole.cast("long")
+
+
+def decoded(blob: Column) -> Column:
+    """The vector of such bytes; a rest of under four bytes is left out."""
+
+    def number(h: Column) -> Column:
+        part = lambda k: F.substring(h, k, 2)
+        bits = F.conv(F.concat(part(7), part(5), part(3), part(1)), 16, 10).cast("long")
+        e, m = F.shiftright(bits, 23).bitwiseAND(255), bits.bitwiseAND((1 << 23) - 1) / float(1 << 23)
+        size = F.when(e == 0, m * 2.0**-126).otherwise((m + 1) * F.pow(F.lit(2.0), e - 127))
+        return F.when(bits >= 1 << 31, -size).otherwise(size).cast("float")
+
+    return F.transform(F.regexp_extract_all(F.hex(blob), F.lit(".{8}"), 0), number)
+
+
 def topk(vectors: DataFrame, memories: DataFrame, query: list[float], model: str, scope: str | None = None, validity: Validity = CURRENT, limit: int = 20) -> DataFrame:
     """id, score, rank of the memories nearest to a query vector, by one model's vectors; rules are left out."""
     alive = memories.where(validity.holds() & F.col("rule_id").isNull())
@@ -64,8 +99,12 @@ def _tile(least: float):
         x, y = (np.array(side["embedding"].tolist(), dtype=float) for side in (left, right))
         norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
         rough = np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms > 0)
-        i, j = np.nonzero((rough >= least) & (left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :]))
-        return pd.DataFrame({"scope": left["scope"].iloc[0], "a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j], "similarity": rough[i, j]})
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        hits = rough >= least
+        if left["i"].iloc[0] == left["j"].iloc[0]:
+            hits &= a[:, None] < b[None, :]
+        i, j = np.nonzero(hits)
+        return pd.DataFrame({"scope": left["scope"].iloc[0], "a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": rough[i, j]})
 
     return run
 
@@ -83,10 +122,12 @@ def twin_edges(vectors: DataFrame, memories: DataFrame, model: str, least: float
     one = rows.groupBy("scope", "dim", "embedding").agg(F.min("id").alias("a"))
     copies = rows.join(one, ["scope", "dim", "embedding"]).where((F.col("a") < F.col("id")) & F.exists("embedding", lambda x: x != 0)).select("scope", "a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     n = one.groupBy("scope", "dim").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    one = one.withColumnRenamed("a", "id").join(F.broadcast(n), ["scope", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A row for each scope and length: Spark broadcasts it only where it is small.
+    one = one.withColumnRenamed("a", "id").join(n, ["scope", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cols = ["scope", "dim", "id", "embedding"]
-    left = one.select(*cols, F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    right = one.select(*[F.col(c).alias(c) for c in cols], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"))
+    # Tiles i <= j alone: each pair of blocks meets once.
+    left = one.select(*cols, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = one.select(*[F.col(c).alias(c) for c in cols], F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
     key = ("scope", "dim", "i", "j")
     near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_tile(least), "scope string, a string, b string, similarity double")
     return copies.unionByName(near)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from palimpsest.functions import text as tx
 from palimpsest.operators import facts as fx
 from palimpsest.plans import queries as q
+from palimpsest.sources import transcripts as tr
 from palimpsest.sources.projections import NOW, START
 
 ORACLE: dict[str, str] = {}
@@ -57,6 +58,11 @@ PARTS = {
 }
 
 
+for part, source in (("fact_units", "mem_conv"), ("fact_lists", "fact_units"), ("fact_rows", "fact_lists")):
+    # The same of the documents.
+    PARTS["doc_" + part] = PARTS[part].replace(f"FROM {source}", "FROM " + ("mem_docs" if source == "mem_conv" else "doc_" + source))
+
+
 def uuid5(name: str) -> str:
     h = f"sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode({name}))"
     variant = f"printf('%02x', (CAST('0x' || substr({h}, 17, 2) AS INTEGER) & 63) | 128)"
@@ -91,7 +97,7 @@ def ranked(rows: str, limit: int, order: str = "round(score, 10) DESC, id") -> s
 
 
 def oracle(name: str, body: str, *parts: str) -> None:
-    needs = {"fact_rows": ["mem_conv", "fact_units", "fact_lists"], "fact_lists": ["mem_conv", "fact_units"], "mem_secret": ["mem_docs"], "mem_neg": ["mem_docs"]}
+    needs = {"fact_rows": ["mem_conv", "fact_units", "fact_lists"], "fact_lists": ["mem_conv", "fact_units"], "doc_fact_rows": ["mem_docs", "doc_fact_units", "doc_fact_lists"], "mem_secret": ["mem_docs"], "mem_neg": ["mem_docs"]}
     order = list(dict.fromkeys(x for p in parts for x in [*needs.get(p, []), p]))
     head = ",\n".join(f"{p} AS ({PARTS[p]})" for p in order)
     ORACLE[name] = f"WITH {head}{'' if body.startswith(',') else chr(10)}{body}" if head else body  # a leading comma goes on with subqueries
@@ -119,7 +125,8 @@ oracle("fts_match", f"SELECT id, scope FROM {bm25('mem_docs', 'content', 'thing
 oracle("fts_search", f"SELECT rank, id, scope, round(score, 6) AS score FROM {ranked(bm25('mem_docs', 'content', q.WORDS), 20)}", "mem_docs")
 fr = f"(SELECT * FROM {bm25('mem_docs', 'content', q.WORDS)} WHERE scope = 'fr')"
 oracle("fts_search_scoped", f"SELECT rank, id, round(score, 6) AS score FROM {ranked(fr, 50)}", "mem_docs")
-oracle("fts_sanitize", r"""SELECT id, array_to_string(list_transform(list_filter(regexp_split_to_array(content, '\s+'), lambda t: t <> ''), lambda t: '"' || replace(t, '"', '""') || '"'), ' OR ') AS quoted FROM mem_conv""", "mem_conv")
+oracle("fts_search_unindexed", f"SELECT rank, id, scope, round(score, 6) AS score FROM {ranked('(SELECT * FROM ' + bm25('mem_conv', 'content', q.WORDS) + ' WHERE valid_to IS NULL)', 20)}", "mem_conv")
+oracle("fts_sanitize", r"""SELECT id, array_to_string(list_transform(list_filter(regexp_split_to_array(translate(content, 'zq', chr(160) || chr(8195)), '[\s\x0b\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda t: t <> ''), lambda t: '"' || replace(t, '"', '""') || '"'), ' OR ') AS quoted FROM mem_conv""", "mem_conv")
 oracle("token_estimate", f"SELECT id, {TOKENS} AS tokens FROM mem_docs", "mem_docs")
 fact_id = uuid5("'memory-fact:' || memory_id || ':' || fact")
 oracle("facts_extract", f"SELECT {fact_id} AS id, memory_id, scope, fact FROM fact_rows", "fact_rows")
@@ -130,7 +137,7 @@ COS = "coalesce(CASE WHEN len({0}) = len({1}) THEN list_inner_product({0}, {1})
 NEAR = f"(SELECT memory_id AS id, {COS.format('v.embedding', 'z.e')} AS score FROM vec v JOIN mem_docs m ON m.id = v.memory_id, (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0) z)"
 oracle("vector_topk", f"SELECT rank, id, round(score, 6) AS score FROM {ranked(NEAR, 50)}", "mem_docs", "vec")
 oracle("vector_count", "SELECT model, count(*) AS n FROM vec GROUP BY model", "vec")
-oracle("vector_upsert", "SELECT memory_id, CASE WHEN memory_id < 'd000100' THEN 'n' ELSE model END AS model, CAST(len(embedding) AS INTEGER) AS dim FROM vec", "vec")
+oracle("vector_upsert", "SELECT memory_id, CASE WHEN CAST(substr(memory_id, 2) AS BIGINT) % 3 = 0 THEN 'n' ELSE model END AS model, CAST(len(embedding) AS INTEGER) AS dim FROM vec", "vec")
 LACK = "FROM mem_docs m WHERE NOT EXISTS (SELECT 1 FROM vec v WHERE v.memory_id = m.id)"
 oracle("unindexed", f"SELECT id, created_at {LACK}", "mem_docs", "vec")
 oracle("unindexed_count", f"SELECT scope, count(*) AS n {LACK} GROUP BY scope", "mem_docs", "vec")
@@ -139,13 +146,12 @@ oracle("cosine_pairs", f"SELECT a.memory_id, b.memory_id AS other, round({COS.fo
 CHANNELS = f"""
   SELECT 'fts' AS channel, id, rank FROM {ranked(bm25('mem_docs', 'content', q.WORDS), 50)}
   UNION ALL SELECT 'vector', id, rank FROM {ranked(NEAR, 50)}"""
-# Facts of conversations name no document, so that channel is fused but finds no row of mem_docs.
-FACTS_ON_DOCS = f"(SELECT f.* FROM {FACT_HITS} f JOIN mem_docs USING (id))"
+FACTS_ON_DOCS = f"(SELECT memory_id AS id, max(round(score, 10)) AS score FROM {bm25('doc_fact_rows', 'fact', q.WORDS)} GROUP BY memory_id)"
 ALL_CHANNELS = f"{CHANNELS} UNION ALL SELECT 'facts', id, rank FROM {ranked(FACTS_ON_DOCS, 50)}"
 FUSED = f"(SELECT id, sum(1.0 / (60 + rank)) AS score FROM ({ALL_CHANNELS}) GROUP BY id)"
-oracle("rrf_fuse", f"SELECT id, round(score, 8) AS score FROM {FUSED}", "mem_docs", "vec", "fact_rows")
-oracle("hybrid_search", f"SELECT rank, id, scope, round(score, 8) AS score FROM {ranked(FUSED, 20)} JOIN mem_docs USING (id)", "mem_docs", "vec", "fact_rows")
-oracle("hybrid_channel_counts", f"SELECT c.channel, count(x.id) AS n FROM (VALUES ('fts'), ('facts'), ('vector')) c(channel) LEFT JOIN ({ALL_CHANNELS}) x ON x.channel = c.channel GROUP BY c.channel", "mem_docs", "vec", "fact_rows")
+oracle("rrf_fuse", f"SELECT id, round(score, 8) AS score FROM {FUSED}", "mem_docs", "vec", "doc_fact_rows")
+oracle("hybrid_search", f"SELECT rank, id, scope, round(score, 8) AS score FROM {ranked(FUSED, 20)} JOIN mem_docs USING (id)", "mem_docs", "vec", "doc_fact_rows")
+oracle("hybrid_channel_counts", f"SELECT c.channel, count(x.id) AS n FROM (VALUES ('fts'), ('facts'), ('vector')) c(channel) LEFT JOIN ({ALL_CHANNELS}) x ON x.channel = c.channel GROUP BY c.channel", "mem_docs", "vec", "doc_fact_rows")
 oracle("hybrid_gate", "SELECT m.model, count(v.model) AS n_vectors, CASE WHEN count(v.model) > 0 THEN 'hybrid' ELSE 'fts' END AS mode FROM (VALUES ('m'), ('absent')) m(model) LEFT JOIN vec v ON v.model = m.model GROUP BY m.model", "vec")
 
 
@@ -306,7 +312,7 @@ oracle("ingest_other_scopes", f"SELECT scope, CAST(sum(1 + CAST(role = 'assistan
 oracle("session_bytes", "SELECT s.conv_id, CAST(coalesce(sum(length(t.text)), 0) AS BIGINT) AS bytes FROM (SELECT DISTINCT conv_id FROM conversations UNION SELECT DISTINCT -conv_id - 1 FROM conversations) s LEFT JOIN conversations t ON t.conv_id = s.conv_id AND t.role <> 'system' GROUP BY s.conv_id")
 oracle("project_fields", "SELECT role, id, scope FROM mem_conv", "mem_conv")
 oracle("grid_filter", "SELECT id, status FROM mem_conv WHERE contains(lower(id), 'tive') OR contains(lower(agent), 'tive') OR contains(lower(content), 'tive') OR contains(lower(coalesce(status, '')), 'tive')", "mem_conv")
-oracle("grid_sort", "SELECT CAST(row_number() OVER (ORDER BY value IS NULL, value, event_id) - 1 AS INTEGER) AS rank, event_id, value FROM events ORDER BY rank LIMIT 100")
+oracle("grid_sort", "SELECT CAST(row_number() OVER (ORDER BY value IS NULL, value, event_id) - 1 AS INTEGER) AS rank, event_id, value FROM events")
 oracle("grid_sections", f"SELECT 'rules' AS section, id, rule_id, status, NULL AS role FROM mem_conv WHERE {ACTIVE} UNION ALL SELECT 'memories', id, NULL, NULL, role FROM mem_conv WHERE valid_to IS NULL AND rule_id IS NULL", "mem_conv")
 oracle("out_json", """SELECT '{"id":"' || id || '","scope":"' || scope || '","role":"' || role || '"' || coalesce(',"rule_id":"' || rule_id || '"', '') || '}' AS record FROM mem_conv""", "mem_conv")
 CSV = r"""CASE WHEN regexp_matches(coalesce({0}, ''), '[",\r\n]') THEN '"' || replace({0}, '"', '""') || '"' ELSE coalesce({0}, '') END"""
@@ -323,8 +329,9 @@ oracle("redaction_counts", f"SELECT {counts} FROM mem_secret", "mem_secret")
 oracle("strip_ansi", f"SELECT id, md5({ANSI}) AS digest FROM mem_secret", "mem_secret")
 oracle("strip_reminders", f"SELECT id, md5({REMIND.format('content')}) AS digest FROM mem_secret", "mem_secret")
 CLEAN = rf"regexp_replace(regexp_replace({REMIND.format(ANSI)}, '^\s+', ''), '\s+$', '')"
-oracle("normalize_turns", f"SELECT id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n FROM (SELECT id, CASE WHEN c = '' THEN NULL WHEN length(c) > 2000 THEN substr(c, 1, 2000) || chr(10) || '[truncated ' || (length(c) - 2000) || ' characters]' ELSE c END AS t FROM (SELECT id, {CLEAN} AS c FROM mem_secret))", "mem_secret")
-oracle("normalize_text_key", f"SELECT id, md5({KEY}) AS digest FROM mem_docs", "mem_docs")
+oracle("normalize_turns", f"SELECT id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n FROM (SELECT id, CASE WHEN c = '' THEN NULL WHEN length(c) > 32768 THEN substr(c, 1, 32768) || chr(10) || '[truncated ' || (length(c) - 32768) || ' characters]' ELSE c END AS t FROM (SELECT id, {CLEAN} AS c FROM mem_secret))", "mem_secret")
+BLANK = r"[\s\x0b\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+oracle("normalize_text_key", f"SELECT id, md5(trim(regexp_replace(lower(translate(content, 'zq', chr(160) || chr(8195))), '{BLANK}', ' ', 'g'))) AS digest FROM mem_docs", "mem_docs")
 oracle("mangle_path", r"SELECT page_id, coalesce(nullif(regexp_replace(url, '[^A-Za-z0-9_\-]', '-', 'g'), ''), 'unknown') AS path, regexp_full_match(url, '[A-Za-z0-9_\-]+') AS safe FROM pages")
 oracle("percent_decode", "SELECT page_id, url_decode(url || '%20' || '%2B%41') AS decoded FROM pages")
 oracle("uuid5_turn_id", "SELECT conv_id, turn, " + uuid5("'memory-turn:claude-code:' || conv_id || ':' || turn") + " AS id FROM conversations")
@@ -333,11 +340,13 @@ oracle("uuid5_fact_id", "SELECT id, " + uuid5("'memory-fact:' || id || ':' || co
 oracle("ts_normalize", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS utc, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.005Z') AS millis FROM events")
 oracle("ordered_in_second", "SELECT event_id, strftime(make_timestamp((sec * 1000 + least(row_number() OVER (PARTITION BY sec ORDER BY event_id) - 1, 999)) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM (SELECT event_id, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS sec FROM events)")
 oracle("anchor_series", f"SELECT conv_id, turn, strftime(TIMESTAMP '{START}' + to_seconds(CAST(conv_id * 60 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM conversations")
-QRELS = "(SELECT string_split(id, '-')[1] AS query, role AS kind, id FROM mem_conv WHERE rule_id IS NULL)"
+HELD = " UNION ALL ".join(f"SELECT {quoted(text)} AS query, '{kind}' AS kind, id FROM (SELECT id, {TERMS.format('content')} AS tt FROM mem_conv WHERE valid_to IS NULL AND rule_id IS NULL) WHERE list_contains(tt, {quoted(tx.phrases_of(text)[0][0])})" for text, kind in q.MEASURED)
+QRELS = f"({HELD})"
+FOUND = " UNION ALL ".join(f"SELECT {quoted(text)} AS query, id, rank FROM {ranked('(SELECT * FROM ' + bm25('mem_conv', 'content', text) + ' WHERE valid_to IS NULL)', 10)}" for text, _ in q.MEASURED)
 oracle(
     "eval_metrics",
-    f"""SELECT kind, count(*) AS queries, round(avg(h5 / n), 6) AS recall_at_5, round(avg(h10 / n), 6) AS recall_at_10, round(avg(1.0 / (first + 1)), 6) AS mrr FROM (
-  SELECT query, kind, count(*) AS n, count(*) FILTER (rank < 5) AS h5, count(*) FILTER (rank < 10) AS h10, min(rank) AS first FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY md5(id)) - 1 AS rank FROM {QRELS}) GROUP BY query, kind) GROUP BY kind""",
+    f"""SELECT kind, count(*) AS queries, round(avg(h5 / n), 6) AS recall_at_5, round(avg(h10 / n), 6) AS recall_at_10, round(avg(coalesce(1.0 / (first + 1), 0)), 6) AS mrr FROM (
+  SELECT query, kind, count(*) AS n, count(*) FILTER (rank < 5) AS h5, count(*) FILTER (rank < 10) AS h10, min(rank) AS first FROM {QRELS} LEFT JOIN ({FOUND}) USING (query, id) GROUP BY query, kind) GROUP BY kind""",
     "mem_conv",
 )
 oracle("eval_kind_shares", f"SELECT kind, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT kind, count(DISTINCT query) AS n FROM {QRELS} GROUP BY kind)", "mem_conv")
@@ -360,7 +369,7 @@ oracle(
 oracle("json_blocks", "SELECT session, line, md5(CASE WHEN line % 2 = 0 THEN raw ELSE raw || chr(10) || chr(10) || '[tool_use: search]' END) AS digest FROM msg WHERE line <> 5", "msg")
 POSITION = "({0}) || ':' || replace({1}, '-', '')"
 turn_query("src_codex_turns", f"session, {POSITION.format('line * 2', uuid5(STORED))} AS source_id, role")
-turn_query("src_kimi_turns", KEYED)
+turn_query("src_kimi_turns", KEYED, "conv_id % 9 < 7")
 turn_query("src_deepcode_turns", KEYED, "line <> 3")
 oracle("src_opencode_turns", rf"SELECT {KEYED}, regexp_replace(regexp_replace(replace(raw, chr(10), chr(10) || chr(10)), '^\s+', ''), '\s+$', '') AS text, created_at FROM msg WHERE {GOOD}", "msg")
 oracle(
@@ -372,23 +381,32 @@ FROM (SELECT *, min(created_at) OVER (PARTITION BY session, turn // 2) AS least_
 FLAT = r"trim(regexp_replace(raw, '\s+', ' ', 'g'))"
 oracle(
     "import_texinfo",
-    f"SELECT scope AS name, CAST(row_number() OVER (PARTITION BY scope ORDER BY created_at, id) - 1 AS INTEGER) AS nth, agent, role, created_at, md5({TRIM}) AS digest FROM mem_conv WHERE role <> 'rule'",
+    f"SELECT scope AS name, CAST(row_number() OVER (PARTITION BY scope ORDER BY created_at, id) - 1 AS INTEGER) AS nth, agent, role, created_at, md5(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\\n+$', '')) AS digest FROM mem_conv WHERE role <> 'rule' AND {TRIM} <> ''",
     "mem_conv",
 )
 oracle("import_sniff", "SELECT session AS name, CASE WHEN conv_id % 2 = 0 THEN 'markdown' ELSE 'scrollback' END AS format FROM msg WHERE role <> 'system' GROUP BY session, conv_id", "msg")
-for name, odd in (("import_markdown", 0), ("import_scrollback", 1)):
-    oracle(
-        name,
-        f"""SELECT session AS name, CAST(n AS INTEGER) AS nth, role, strftime(TIMESTAMP '{START}' + to_seconds(CAST(n AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at, {FLAT} AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line) - 1 AS n FROM msg WHERE role <> 'system' AND conv_id % 2 = {odd} AND {FLAT} <> '')""",
-        "msg",
-    )
+SAID = {0: ("opencode", f"trim('## Root cause' || chr(10) || {FLAT}, ' ' || chr(10))"), 1: ("claude-code", f"trim({FLAT} || ' goes on')")}
+SAYING = {
+    odd: f"""SELECT session AS name, CAST(n AS INTEGER) AS nth, '{agent}' AS agent, role,
+  strftime(CASE WHEN conv_id % 4 = 2 THEN TIMESTAMP '2026-07-07 00:39:41' ELSE TIMESTAMP '{START}' END + to_seconds(CAST(n AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at, {text} AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line) - 1 AS n FROM msg WHERE role <> 'system' AND conv_id % 2 = {odd})"""
+    for odd, (agent, text) in SAID.items()
+}
+oracle("import_markdown", SAYING[0], "msg")
+oracle("import_scrollback", SAYING[1], "msg")
+oracle("import_files", f"SELECT name, nth, 'proj' AS scope, agent, role, text FROM ({SAYING[0]} UNION ALL {SAYING[1]})", "msg")
 turn_query("src_goose_turns", "session, CASE WHEN line % 2 = 0 THEN session || '-' || line ELSE 'row:' || line END AS source_id, role")
 oracle("workspace_of", "SELECT page_id, '/w/' || regexp_replace(url, '[^a-z0-9/]', ' ', 'g') AS folder FROM pages")
 oracle("stream_ingest", "SELECT " + uuid5("'memory-turn:log:' || session || ':' || line") + " AS id, 'chat' AS scope, role, raw AS text, created_at FROM msg WHERE role <> 'system'", "msg")
 KIND = "CASE role WHEN 'user' THEN 'USER_INPUT' ELSE 'PLANNER_RESPONSE' END"
-PRINT = f"CAST(to_json(struct_pack(content := raw, created_at := created_at, source := 's', step_index := line, type := {KIND})) AS VARCHAR)"
-turn_query("src_antigravity_turns", f"session, {uuid5(PRINT)} AS source_id, role")
+BODY = "CASE role WHEN 'user' THEN '<USER_REQUEST>' || raw || '</USER_REQUEST>' ELSE raw END"
+STEP = f"""'["' || {KIND} || '","s",' || line || ',"' || created_at || '",' || CAST(to_json({BODY}) AS VARCHAR) || ',null,' || calls || ']'"""
+oracle(
+    "src_antigravity_turns",
+    f"""SELECT session, replace({uuid5(STEP)}, '-', '') AS source_id, role, {STORED} AS text, CASE nth WHEN 0 THEN created_at ELSE replace(created_at, '.000Z', '.001Z') END AS created_at
+FROM (SELECT *, unnest(['null', '[{{"args":{{"a":2,"z":1}},"name":"b"}}]']) AS calls, unnest([0, 1]) AS nth FROM msg WHERE conv_id % 10 <> 9) WHERE {GOOD}""",
+    "msg",
+)
 oracle(
     "src_grok_runs",
     f""", marked AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY session ORDER BY line) = role THEN 0 ELSE 1 END AS new FROM msg WHERE role <> 'system'),
@@ -398,3 +416,42 @@ oracle(
 SELECT session, {POSITION.format('line * 2', uuid5('part'))} AS source_id, role, {STORED} AS text, created_at FROM joined WHERE {STORED} <> ''""",
     "msg",
 )
+
+oracle("rescope_refused", f"SELECT id, scope FROM mem_conv UNION ALL SELECT id || 'x', {O} FROM mem_conv WHERE rule_id IS NOT NULL AND scope = {S}", "mem_conv")
+oracle("rescope_whole", f"SELECT id, CASE WHEN scope = {S} THEN {O} ELSE scope END AS scope FROM mem_conv", "mem_conv")
+oracle("rescope_facts", f"SELECT memory_id, CASE WHEN scope = {S} THEN {O} ELSE scope END AS scope, fact FROM fact_rows", "fact_rows")
+LOGGED = uuid5("'memory-turn:log:' || session || ':' || line")
+oracle("rescope_session", f"SELECT {LOGGED} AS id, CASE WHEN session = 'session-3' THEN {O} ELSE {S} END AS scope FROM msg", "msg")
+oracle("store_migrate", "SELECT id, created_at, NULL::VARCHAR AS rule_id, NULL::VARCHAR AS status, NULL::VARCHAR AS valid_to, NULL::INTEGER AS access_count FROM mem_conv", "mem_conv")
+oracle("remember", f"SELECT scope, agent, count(*) AS ids, CAST(sum(length(content)) AS BIGINT) AS chars, '{NOW}' AS created_at, CAST(0 AS BIGINT) AS closed FROM mem_conv GROUP BY scope, agent", "mem_conv")
+oracle(
+    "json_envelope",
+    f"""SELECT '{{"metadata":{{"command":"recall","timestamp":"{NOW}"}},"data":[' || string_agg('{{"place":' || place || ',"id":"' || id || '","role":"' || role || '"}}', ',' ORDER BY place) || ']}}' AS envelope FROM ({recall(50, "valid_to IS NULL")})""",
+    "mem_conv",
+)
+RECORD = """'{"id":"' || id || '","scope":"' || scope || '","role":"' || role || '"' || coalesce(',"rule_id":"' || rule_id || '"', '') || '}'"""
+oracle("out_jsonl", f"""SELECT 0 AS part, '{{"metadata":{{"command":"export","timestamp":"{NOW}"}},"data":null}}' AS line UNION ALL SELECT 1, {RECORD} FROM mem_conv""", "mem_conv")
+#: The 32 bits of a number: its sign, exponent and fraction, by their definition.
+EXPONENT = "CAST(greatest(floor(log2(abs(x))), -126) AS INTEGER)"
+FRACTION = f"CAST((abs(x) / pow(2.0, {EXPONENT}) - 1) * 8388608 AS BIGINT)"
+WORD = f"CASE WHEN x = 0 THEN 0 ELSE ({EXPONENT} + 127) * 8388608 + {FRACTION} END + CASE WHEN x < 0 THEN 2147483648 ELSE 0 END"
+LITTLE = "substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)"
+oracle("vector_codec", f"SELECT vec_id, string_agg({LITTLE}, '' ORDER BY i) AS blob, true AS same FROM (SELECT vec_id, i, printf('%08x', CAST({WORD} AS BIGINT)) AS h FROM (SELECT vec_id, CAST(unnest(CAST(embedding AS FLOAT[])) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)) GROUP BY vec_id")
+oracle("json_canonical", """SELECT id, '{"c":' || length(content) || ',"m":{"a":["' || id || '","' || agent || '"],"b":"' || role || '"},"z":"' || scope || '"}' AS json FROM mem_conv""", "mem_conv")
+oracle("protocol_versions", "SELECT event_id, event_id % 3 > 1 OR (event_id % 3 = 1 AND event_id % 13 >= 3) AS timed, true AS malformed FROM events")
+oracle("import_scope", "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'notes' ELSE 'p' || (page_id % 7) END AS scope FROM pages")
+oracle("session_listing", "SELECT 'session-' || conv_id AS session, conv_id % 6 = 1 AS nested FROM conversations WHERE conv_id % 3 = 1 AND conv_id % 5 <> 4 GROUP BY conv_id")
+oracle(
+    "session_selected",
+    """, s AS (SELECT conv_id, '/logs/session-' || conv_id || '.jsonl' AS session FROM conversations GROUP BY conv_id)
+SELECT 'latest' AS asked, arg_max(session, conv_id) AS session FROM s UNION ALL SELECT 'session-3', session FROM s WHERE conv_id = 3 UNION ALL SELECT 'all', session FROM s""",
+    "msg",
+)
+oracle(
+    "filter_counters",
+    f"""SELECT reason, CAST(2 * sum(n) AS BIGINT) AS n FROM (
+  SELECT unnest({array(tr.COUNTERS)}) AS reason, 0 AS n
+  UNION ALL SELECT CASE WHEN line = 5 THEN 'torn_line' WHEN role = 'system' THEN 'non_message' WHEN line = 3 THEN 'meta' WHEN line = 4 THEN 'sidechain' WHEN {STORED} = '' THEN 'empty' END, 1 FROM msg
+  UNION ALL SELECT 'tool_use', 1 FROM msg WHERE line % 2 = 1 AND line <> 5) WHERE reason IS NOT NULL GROUP BY reason""",
+    "msg",
+)

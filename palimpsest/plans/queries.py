@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from functools import reduce
+
 from palimpsest.functions import ids, times
 from palimpsest.functions import text as tx
 from palimpsest.operators import consolidate as cx
@@ -15,6 +18,7 @@ from palimpsest.operators import facts as fx
 from palimpsest.operators import fuse as ux
 from palimpsest.operators import grid as gx
 from palimpsest.operators import lifecycle as lx
+from palimpsest.operators import postings as pi
 from palimpsest.operators import search as sx
 from palimpsest.operators import vectors as vx
 from palimpsest.sources import exports as ex
@@ -45,6 +49,25 @@ def ready(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ready(spark)
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (conf or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+_indexes: dict[tuple, pi.Index] = {}
+
+
+def index_of(spark: SparkSession, rows: DataFrame, text: str = "content") -> pi.Index:
+    """The full-text index of a projection, built once for each application and state of the files that it reads."""
+    files = hashlib.sha256("\n".join(sorted(rows.inputFiles())).encode()).hexdigest()
+    key = (spark.sparkContext.applicationId, shared_dir(spark), rows.select("id", F.col(text)).semanticHash(), files)
+    if key not in _indexes:
+        _indexes[key] = pi.build(rows, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", text)
+    return _indexes[key]
+
+
 LIST = ("id", "scope", "role", "created_at", "valid_to")
 
 
@@ -90,22 +113,36 @@ def rules_tokens(spark, d):
 
 @query
 def fts_match(spark, d):
-    return sx.matching(px.mem_docs(spark, d), "thing Éauxré lichen").select("id", "scope")
+    m = px.mem_docs(spark, d)
+    return sx.matching(m, "thing Éauxré lichen", index=index_of(spark, m)).select("id", "scope")
 
 
 @query
 def fts_search(spark, d):
-    return sx.search(px.mem_docs(spark, d), WORDS).select("rank", "id", "scope", F.round("score", 6).alias("score"))
+    m = px.mem_docs(spark, d)
+    return sx.search(m, WORDS, index=index_of(spark, m)).select("rank", "id", "scope", F.round("score", 6).alias("score"))
 
 
 @query
 def fts_search_scoped(spark, d):
-    return sx.search(px.mem_docs(spark, d), WORDS, scope="fr", limit=50).select("rank", "id", F.round("score", 6).alias("score"))
+    m = px.mem_docs(spark, d)
+    return sx.search(m, WORDS, scope="fr", limit=50, index=index_of(spark, m)).select("rank", "id", F.round("score", 6).alias("score"))
+
+
+@query
+def fts_search_unindexed(spark, d):
+    """The same search of turns without an index: every text is read."""
+    return sx.search(px.mem_conv(spark, d), WORDS).select("rank", "id", "scope", F.round("score", 6).alias("score"))
+
+
+def _blanks(text: F.Column) -> F.Column:
+    """Some letters as white space of other scripts: a no-break space and an em space."""
+    return F.translate(text, "zq", "\u00a0\u2003")
 
 
 @query
 def fts_sanitize(spark, d):
-    return px.mem_conv(spark, d).select("id", tx.fts_quoted(F.col("content")).alias("quoted"))
+    return px.mem_conv(spark, d).select("id", tx.fts_quoted(_blanks(F.col("content"))).alias("quoted"))
 
 
 @query
@@ -179,7 +216,7 @@ def cosine_pairs(spark, d):
 def _channels(spark, d):
     m = px.mem_docs(spark, d)
     facts = fx.extract(m)
-    return m, ux.channels_of(m, facts, px.vectors(spark, d), WORDS, _query_vector(spark, d), "m")
+    return m, ux.channels_of(m, facts, px.vectors(spark, d), WORDS, _query_vector(spark, d), "m", index=index_of(spark, m))
 
 
 @query
@@ -212,7 +249,8 @@ def budget_recall(spark, d):
 
 @query
 def budget_search(spark, d):
-    return ux.budget_search(px.mem_docs(spark, d), WORDS, 2500).select("id", "cost", "included", "nth")
+    m = px.mem_docs(spark, d)
+    return ux.budget_search(m, WORDS, 2500, index=index_of(spark, m)).select("id", "cost", "included", "nth")
 
 
 @query
@@ -225,7 +263,7 @@ def context_recency(spark, d):
 @query
 def context_query(spark, d):
     m = px.mem_conv(spark, d)
-    _, rows = ux.context(m, fx.extract(m), SCOPE, BUDGET, query=WORDS)
+    _, rows = ux.context(m, fx.extract(m), SCOPE, BUDGET, query=WORDS, index=index_of(spark, m))
     return rows.where("included").select("id", "cost", "created_at")
 
 
@@ -410,6 +448,123 @@ def ingest_other_scopes(spark, d):
     return lx.other_scopes(*_turns(spark, d), SCOPE)
 
 
+@query
+def rescope_refused(spark, d):
+    """A whole scope isn't moved where one of its rules meets one of the target."""
+    m = px.mem_conv(spark, d)
+    twice = m.unionAll(m.where("rule_id IS NOT NULL AND scope = 's1'").withColumn("scope", F.lit(OTHER)).withColumn("id", F.concat("id", F.lit("x"))))
+    return lx.rescoped(twice, SCOPE, OTHER).select("id", "scope")
+
+
+@query
+def rescope_whole(spark, d):
+    return lx.rescoped(px.mem_conv(spark, d), SCOPE, OTHER).select("id", "scope")
+
+
+@query
+def rescope_facts(spark, d):
+    m = px.mem_conv(spark, d)
+    return lx.facts_rescoped(fx.extract(m), m, lx.rescoped(m, SCOPE, OTHER)).select("memory_id", "scope", "fact")
+
+
+@query
+def rescope_session(spark, d):
+    """Ingested turns of which those of one session change their scope."""
+    turns = _message(spark, d).select("session", F.col("line").cast("string").alias("source_id"))
+    m = turns.select(ids.turn_id(F.lit("log"), F.col("session"), F.col("source_id")).alias("id"), F.lit(SCOPE).alias("scope"), F.lit(None).cast("string").alias("rule_id"))
+    return lx.rescoped(m, SCOPE, OTHER, lx.session_selection(turns, "log", "session-3")).select("id", "scope")
+
+
+@query
+def store_migrate(spark, d):
+    """A store of the first version, with today's columns."""
+    old = px.mem_conv(spark, d).select(*[c for c, _ in lx.MEMORY_SCHEMA[:6]])
+    return lx.migrated(old).select("id", "created_at", "rule_id", "status", "valid_to", "access_count")
+
+
+@query
+def remember(spark, d):
+    """Turns remembered as new memories, whose ids are as many as they."""
+    base = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    lx.remember(base, px.mem_conv(spark, d).select("agent", "scope", "role", "content"), NOW)
+    back = spark.read.parquet(base)
+    return back.groupBy("scope", "agent").agg(F.countDistinct("id").alias("ids"), F.sum(F.char_length("content")).alias("chars"), F.min("created_at").alias("created_at"), F.count("valid_to").alias("closed"))
+
+
+@query
+def json_envelope(spark, d):
+    rows = sx.recall(px.mem_conv(spark, d), SCOPE).select("place", "id", "role")
+    return gx.enveloped(rows, "recall", NOW, "place")
+
+
+@query
+def out_jsonl(spark, d):
+    return gx.json_lines(px.mem_conv(spark, d).select("id", "scope", "role", "rule_id"), "export", NOW)
+
+
+@query
+def vector_codec(spark, d):
+    v = px.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("v"))
+    v = v.select("vec_id", "v", F.inline(F.array(F.struct(vx.encoded(F.col("v")).alias("blob")))))
+    return v.select("vec_id", F.lower(F.hex("blob")).alias("blob"), (vx.decoded(F.col("blob")) == F.col("v")).alias("same"))
+
+
+@query
+def json_canonical(spark, d):
+    """An object's keys in order, whatever their order was."""
+    m = px.mem_conv(spark, d)
+    given = F.to_json(F.struct(F.col("scope").alias("z"), F.struct(F.col("role").alias("b"), F.array("id", "agent").alias("a")).alias("m"), F.length("content").alias("c")))
+    return m.select("id", tx.canonical_json(given).alias("json"))
+
+
+@query
+def protocol_versions(spark, d):
+    e = px.table(spark, d, "events").select("event_id", F.concat_ws(".", (F.col("event_id") % 3).cast("string"), (F.col("event_id") % 13).cast("string")).alias("v"))
+    timed = tx.protocol(F.col("v")) >= F.struct(F.lit(1).alias("major"), F.lit(3).alias("minor"))
+    return e.select("event_id", timed.alias("timed"), tx.protocol(F.concat("v", F.lit("x"))).isNull().alias("malformed"))
+
+
+@query
+def import_scope(spark, d):
+    """The project of exports that lie in, below or outside a chat folder."""
+    n = F.col("page_id") % 3
+    path = F.concat(F.lit("/home/u/p"), (F.col("page_id") % 7).cast("string"), F.when(n == 0, "/chat/x.texi").when(n == 1, "/chats/2026/x.texi").otherwise("/notes/x.texi"))
+    return px.table(spark, d, "pages").select("page_id", tx.chat_scope(path).alias("scope"))
+
+
+def _summaries(spark, d):
+    t = px.table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    uris = F.concat(F.lit('["file:///w/p'), (F.col("conv_id") % 3).cast("string"), F.lit('","https://x/y"]'))
+    return t.select(
+        "conv_id", F.concat(F.lit("session-"), F.col("conv_id").cast("string")).alias("conversation_id"), F.when(F.col("conv_id") % 5 == 4, "torn").otherwise(uris).alias("workspace_uris"),
+        F.when(F.col("conv_id") % 6 == 1, "session-0").otherwise("").alias("parent_conversation_id"), F.lit(0).alias("nesting_depth"),
+    )
+
+
+@query
+def session_listing(spark, d):
+    """The sessions of one working folder, by what their harness knows of them."""
+    s = _summaries(spark, d)
+    listing = s.select(F.col("conversation_id").alias("session"), F.timestamp_seconds(F.col("conv_id")).alias("modified"))
+    return tr.in_workspace(listing, tr.session_owners(s), "/w/p1").select("session", "nested")
+
+
+@query
+def session_selected(spark, d):
+    s = _summaries(spark, d)
+    listing = s.select(F.concat(F.lit("/logs/"), "conversation_id", F.lit(".jsonl")).alias("session"), F.timestamp_seconds(F.col("conv_id")).alias("modified"))
+    pick = lambda which: tr.selected(listing, which).select(F.lit(which).alias("asked"), "session")
+    return pick("latest").unionAll(pick("session-3")).unionAll(pick("absent")).unionAll(pick("all"))
+
+
+@query
+def filter_counters(spark, d):
+    """All thirteen counters of a reader, twice, merged."""
+    lines = _block_lines(spark, d)
+    once = tr.counters(tr.block_log(lines), lines)
+    return tr.merged(once, once)
+
+
 @query
 def session_bytes(spark, d):
     t = px.table(spark, d, "conversations")
@@ -478,7 +633,7 @@ def normalize_turns(spark, d):
 
 @query
 def normalize_text_key(spark, d):
-    return px.mem_docs(spark, d).select("id", F.md5(F.encode(tx.dedup_key(F.col("content")), "UTF-8")).alias("digest"))
+    return px.mem_docs(spark, d).select("id", F.md5(F.encode(tx.dedup_key(_blanks(F.col("content"))), "UTF-8")).alias("digest"))
 
 
 @query
@@ -529,15 +684,25 @@ def anchor_series(spark, d):
     return t.select("conv_id", "turn", times.as_text(F.timestamp_seconds(F.unix_timestamp(F.lit(px.START)) + F.col("conv_id") * 60 + n)).alias("at"))
 
 
+#: Queries that are measured, and their kinds.
+MEASURED = (("the of and", "common"), ("lichen thing", "rare"), ("ertion ciónmente", "rare"), ("of-the", "phrase"))
+
+
 def _qrels(spark, d):
-    """Each conversation is a query for its turns, by role."""
-    m = px.mem_conv(spark, d).where("rule_id IS NULL")
-    return m.select(F.element_at(F.split("id", "-"), 1).alias("query"), F.col("role").alias("kind"), "id")
+    """What is relevant to each measured query: current turns that hold its first word."""
+    m = px.mem_conv(spark, d).where("valid_to IS NULL AND rule_id IS NULL")
+    first = [(q, kind, tx.phrases_of(q)[0][0]) for q, kind in MEASURED]
+    asked = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(kind).alias("kind"), F.lit(w).alias("word")) for q, kind, w in first])
+    held = m.select("id", tx.terms(F.col("content")).alias("t"), F.explode(asked).alias("q"))
+    return held.where(F.array_contains("t", F.col("q.word"))).select("q.query", "q.kind", "id")
 
 
 def _ranking(spark, d):
-    q = _qrels(spark, d).select("query", "id")
-    return q.withColumn("rank", F.row_number().over(sx.W.partitionBy("query").orderBy(F.md5("id"))) - 1)
+    """The engine's own ranks of the measured queries."""
+    m = px.mem_conv(spark, d)
+    index = index_of(spark, m)
+    each = [sx.search(m, q, limit=10, index=index).select(F.lit(q).alias("query"), "id", "rank") for q, _ in MEASURED]
+    return reduce(DataFrame.unionAll, each)
 
 
 @query
@@ -606,9 +771,18 @@ def src_codex_turns(spark, d):
 @query
 def src_antigravity_turns(spark, d):
     m = _message(spark, d)
-    step = lambda status: _json(type=F.when(F.col("role") == "user", "USER_INPUT").when(F.col("role") == "assistant", "PLANNER_RESPONSE").otherwise("INFO"), source=F.lit("s"), step_index=F.col("line"), status=F.lit(status), created_at=F.col("at"), content=F.col("text"))
-    lines = m.select("session", "line", F.posexplode(F.array(step("RUNNING"), step("DONE"), step("DONE"))).alias("p", "value"))
-    return tr.turns_only(tr.step_log(lines.select("session", (F.col("line") * 3 + F.col("p")).alias("line"), "value"))).select(*TURN_KEYS)
+    kind = F.when(F.col("role") == "user", "USER_INPUT").when(F.col("role") == "assistant", "PLANNER_RESPONSE").otherwise("INFO")
+    body = F.when(F.col("role") == "user", F.concat(F.lit("<USER_REQUEST>"), "text", F.lit("</USER_REQUEST>"))).otherwise(F.col("text"))
+    calls = F.array(F.struct(F.lit("b").alias("name"), F.struct(F.lit(1).alias("z"), F.lit(2).alias("a")).alias("args")))
+
+    def step(status: str, **more: F.Column) -> F.Column:
+        return _json(type=kind, source=F.lit("s"), step_index=F.col("line"), status=F.lit(status), created_at=F.col("at"), content=body, **more)
+
+    # The last step differs from the others in its tool calls alone, so it is no replay.
+    lines = m.select("session", "line", F.posexplode(F.array(step("RUNNING"), step("DONE"), step("DONE"), step("DONE", tool_calls=calls))).alias("p", "value"))
+    lines = lines.select("session", (F.col("line") * 4 + F.col("p")).alias("line"), "value")
+    nested = m.where("conv_id % 10 = 9").select("session").distinct()
+    return tr.turns_only(tr.step_log(lines, nested=nested)).select(*TURN_KEYS)
 
 
 @query
@@ -629,6 +803,9 @@ def src_kimi_turns(spark, d):
     prompt = lambda kind, text: _json(type=F.lit(kind), time=ms, promptId=ident, input=F.array(F.struct(text.alias("text"))))
     said = _json(type=F.lit("loop"), time=ms, event=F.struct(F.lit("content.part").alias("type"), ident.alias("uuid"), F.struct(F.lit("text").alias("type"), "text").alias("part")))
     lines = m.select("session", "line", F.explode(F.when(F.col("role") == "assistant", F.array(said)).when(F.col("line") % 2 == 0, F.array(prompt("turn.prompt", F.lit("typed")), prompt("prompt.accepted", F.col("text")))).otherwise(F.array(prompt("turn.prompt", F.col("text"))))).alias("value"))
+    # Some sessions' protocol is too old to bear times, and some name none.
+    head = m.where("conv_id % 9 <> 7").select("session", F.lit(-1).alias("line"), _json(type=F.lit("metadata"), protocol_version=F.when(F.col("conv_id") % 9 == 8, "1.2").otherwise("1.10")).alias("value")).distinct()
+    lines = head.unionAll(lines)
     return tr.turns_only(tr.prompt_log(lines)).select(*TURN_KEYS)
 
 
@@ -657,15 +834,22 @@ def src_copilot_unpivot(spark, d):
 @query
 def import_texinfo(spark, d):
     ready(spark)
-    return ex.texinfo_chapters(lx.chapters(px.mem_conv(spark, d)).withColumnRenamed("scope", "name")).select("name", "nth", "agent", "role", "created_at", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+    # What a signed archive, or a second one in the same file, puts behind a message.
+    rest = F.lit("@c Signed by: x\n@chapter Chat history for scope: y\n@bye\ntail\n")
+    rows = lx.chapters(px.mem_conv(spark, d)).withColumn("text", F.concat("text", rest))
+    return ex.texinfo_chapters(rows.withColumnRenamed("scope", "name")).select("name", "nth", "agent", "role", "created_at", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
 def _exports(spark, d):
     """Conversations as Markdown (even ids) and as scrollback."""
     m = _message(spark, d).where("role <> 'system'").withColumn("flat", F.regexp_replace("text", r"\s+", " "))
-    part = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), "flat", F.lit("\n\n---\n"))).otherwise(F.concat(F.when(F.col("role") == "user", "❯ ").otherwise("● "), "flat", F.lit("\n")))
-    g = m.groupBy(F.col("session").alias("name"), (F.col("conv_id") % 2).alias("odd")).agg(F.array_sort(F.collect_list(F.struct("line", part.alias("p")))).alias("ps"))
-    return g.select("name", "odd", F.array_join(F.transform("ps", lambda x: x["p"]), "").alias("text"))
+    more = F.when(F.col("line") % 3 == 1, " (Build · m · 3.2s)").otherwise("")
+    written = F.concat(F.lit("## "), F.initcap("role"), more, F.lit("\n\n## Root cause\n"), "flat", F.lit("\n\n--- \n"))
+    shown = F.concat(F.when(F.col("role") == "user", "❯ ").otherwise("● "), "flat", F.lit("\n  goes on\n"), F.when(F.col("line") % 2 == 0, "⎿ tool output\n  and more of it\n✻ Thinking\n").otherwise(""))
+    part = F.when(F.col("conv_id") % 2 == 0, written).otherwise(shown)
+    g = m.groupBy(F.col("session").alias("name"), (F.col("conv_id") % 2).alias("odd"), (F.col("conv_id") % 4 == 2).alias("dated")).agg(F.array_sort(F.collect_list(F.struct("line", part.alias("p")))).alias("ps"))
+    head = F.when(F.col("dated"), F.lit("# Chat\n\n**Created:** 7/7/2026, 12:39:41 AM\n\n")).otherwise(F.lit(""))
+    return g.select("name", "odd", F.concat(head, F.array_join(F.transform("ps", lambda x: x["p"]), "")).alias("text"))
 
 
 @query
@@ -675,12 +859,21 @@ def import_sniff(spark, d):
 
 @query
 def import_markdown(spark, d):
-    return ex.markdown(_exports(spark, d).where("odd = 0"), px.START).select("name", "nth", "role", "created_at", "text")
+    return ex.markdown(_exports(spark, d).where("odd = 0"), px.START).select(*ex.MESSAGE)
 
 
 @query
 def import_scrollback(spark, d):
-    return ex.scrollback(_exports(spark, d).where("odd = 1"), px.START).select("name", "nth", "role", "created_at", "text")
+    return ex.scrollback(_exports(spark, d).where("odd = 1"), px.START).select(*ex.MESSAGE)
+
+
+@query
+def import_files(spark, d):
+    """The exports written as files below a project's chat folder, walked, recognised and read back."""
+    base = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}/proj/chat"
+    _exports(spark, d).select("name", "text").write.partitionBy("name").text(base)
+    found = ex.imported(ex.read_exports(spark, base, recursive=True))
+    return found.select(F.regexp_extract("name", "name=([^/]*)", 1).alias("name"), "nth", "scope", "agent", "role", "text")
 
 
 @query

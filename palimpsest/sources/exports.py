@@ -1,17 +1,28 @@
-"""Importers of exported chats: Texinfo archives, Markdown and terminal scrollback."""
+"""Importers of exported chats: Texinfo archives, Markdown and terminal scrollback.
+
+Each takes exports (name, text, and anchor, the instant from which messages without one count) and gives
+messages: name, nth, agent, role, created_at, text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions import ids, times
 from palimpsest.functions import text as tx
-from palimpsest.functions import times
 
-HEADING = r"^@(?:chapter|section) Message by (.*) \(([^()]*)\) at (\S+)$"
-SPEAKER = r"^## (User|Assistant)\s*$"
+HEADING = r"^@(?:chapter|section) Message by (.+) \(([^()]+)\)\s* at \s*(\S+)\s*$"
+SPEAKER = r"^## (User|Assistant)(?:\s*$| \(.*$)"
 GLYPHS = "^[❯●]"
+#: Fixed value: glyphs of tool results, spinners and status lines, which end what was said.
+CHROME = "^[⎿✻⏺]"
+CREATED = r"^\s*\*\*Created:\*\*\s*(\d+)/(\d+)/(\d+), (\d+):(\d+)(?::(\d+))? ([AaPp][Mm])\s*$"
+HEADER_LINES = 40
+FORMATS = ("texinfo", "markdown", "scrollback")
+MESSAGE = ("name", "nth", "agent", "role", "created_at", "text")
+LINE_END = "\r?\n"
 
 
 def sniffed(text: Column) -> Column:
@@ -19,51 +30,112 @@ def sniffed(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\\input texinfo")) | text.rlike(r"(?m)^@(?:chapter|section) Message by "), "texinfo").when(text.rlike(f"(?m){SPEAKER}"), "markdown").when(text.rlike(f"(?m){GLYPHS}"), "scrollback")
 
 
-def _islands(exports: DataFrame, head: str) -> DataFrame:
-    """Lines of exports (name, text) with run: 0 before the first heading, then the number of headings so far."""
-    lines = exports.select("name", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    return lines.withColumn("is_head", F.col("value").rlike(head)).withColumn("run", F.sum(F.col("is_head").cast("int")).over(W.partitionBy("name").orderBy("line")))
+def read_exports(spark: SparkSession, path: str, recursive: bool = False, forced: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """name (the file), text, format (null where none matches), anchor (its change time), scope of the files below path.
 
+    A file of more than ``most_bytes`` fails the read before its content is loaded.
+    """
+    if forced is not None and forced not in FORMATS:
+        raise ValueError(f"no such format: {forced}")
+    files = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True)
+    files = files.select(F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("at"), "value")
+    # Sizes are metadata: neither branch loads the text of a file that the other one takes.
+    large = files.where(F.col("bytes") > most_bytes).select("name", "bytes", "at", F.raise_error(F.concat(F.lit("too large: "), "name")).cast("string").alias("value"))
+    rows = files.where(F.col("bytes") <= most_bytes).unionAll(large)
+    kind = F.lit(forced) if forced else sniffed(F.col("value"))
+    return rows.select("name", F.col("value").alias("text"), kind.alias("format"), times.as_text(F.col("at")).alias("anchor"), tx.chat_scope(F.regexp_replace("name", "^[a-z]+:/+", "/")).alias("scope"))
 
-def _bodies(lines: DataFrame, sep: str) -> DataFrame:
-    body = F.array_sort(F.collect_list(F.when(~F.col("is_head"), F.struct("line", "value"))))
-    runs = lines.where("run > 0").groupBy("name", "run").agg(F.max(F.when(F.col("is_head"), F.col("value"))).alias("head"), body.alias("b"))
-    return runs.withColumn("text", tx.trimmed(F.array_join(F.transform("b", lambda x: x["value"]), sep)))
 
+def imported(exports: DataFrame, scope: str | None = None) -> DataFrame:
+    """Messages of exports (name, text, format, anchor, scope) of all formats, with scope and id; one of no format fails."""
+    kind = F.coalesce("format", F.raise_error(F.concat(F.lit("not recognised: "), "name")).cast("string"))
+    of = lambda k: exports.where(kind == k)
+    found = texinfo(of("texinfo")).unionByName(markdown(of("markdown"))).unionByName(scrollback(of("scrollback")))
+    found = found.join(exports.select("name", (F.lit(scope) if scope else F.col("scope")).alias("scope")), "name")
+    ident = ids.import_id(F.col("scope"), F.col("agent"), F.col("role"), F.col("created_at"), F.col("text"))
+    return found.select(ident.alias("id"), "scope", *MESSAGE)
 
-def texinfo(exports: DataFrame) -> DataFrame:
-    """name, nth, agent, role, created_at, text of each message of Texinfo archives."""
-    lines = _islands(exports, HEADING).where("value <> '@bye'")
-    part = lambda i: tx.texinfo_unescaped(F.regexp_extract("head", HEADING, i))
+
+def _islands(exports: DataFrame, head: str, close: str) -> DataFrame:
+    """Lines of exports with run, the number of headings and closing lines so far: a run that a heading begins is a message."""
+    more = [c for c in ("anchor",) if c in exports.columns]
+    lines = exports.select("name", *more, F.posexplode(F.split("text", LINE_END)).alias("line", "value"))
+    lines = lines.withColumn("is_head", F.col("value").rlike(head)).withColumn("is_mark", F.col("is_head") | F.col("value").rlike(close))
+    return lines.withColumn("run", F.sum(F.col("is_mark").cast("int")).over(W.partitionBy("name").orderBy("line")))
+
+
+def _bodies(lines: DataFrame, sep: str, *more: str) -> DataFrame:
+    """name, run, head, b (the lines that follow the heading, joined by sep) of the runs that a heading begins."""
+    body = F.array_sort(F.collect_list(F.when(~F.col("is_mark"), F.struct("line", "value"))))
+    runs = lines.groupBy("name", "run").agg(F.max(F.when(F.col("is_head"), F.col("value"))).alias("head"), body.alias("b"), *[F.max(c).alias(c) for c in more])
+    return runs.where("head IS NOT NULL").withColumn("body", F.array_join(F.transform("b", lambda x: x["value"]), sep)).drop("b")
+
+
+def _nth(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy("name").orderBy("run")) - 1)
+
+
+def _headed(rows: DataFrame, body: Column) -> DataFrame:
+    """agent, role, created_at, text of rows with head; blank texts are no messages."""
+    part = lambda i: F.regexp_extract("head", HEADING, i)
     at = times.normalized(part(3))
     at = F.coalesce(at, F.raise_error(F.concat(F.lit("no instant in: "), "head")))
-    return _bodies(lines, "\n").select("name", (F.col("run") - 1).alias("nth"), part(1).alias("agent"), part(2).alias("role"), at.alias("created_at"), tx.texinfo_unescaped(F.col("text")).alias("text"))
+    text = tx.texinfo_unescaped(F.regexp_replace(body, r"\n+\z", ""))
+    rows = rows.withColumn("text", text).where(tx.trimmed(F.col("text")) != "")
+    return rows.withColumn("agent", tx.texinfo_unescaped(part(1))).withColumn("role", part(2)).withColumn("created_at", at)
+
+
+def texinfo(exports: DataFrame) -> DataFrame:
+    """Messages of Texinfo archives. A line of a single @ is markup, never text, and @bye ends a message."""
+    lines = _islands(exports, HEADING, r"^@bye\s*$").where(~F.col("value").rlike("^@(?:[^@]|$)") | F.col("is_mark"))
+    return _nth(_headed(_bodies(lines, "\n"), F.col("body"))).select(*MESSAGE)
 
 
 def texinfo_chapters(rows: DataFrame) -> DataFrame:
-    """The same from an archive's chapters (name, place, text), each read in its own row."""
-    head, body = F.substring_index("text", "\n", 1), F.expr("substr(text, instr(text, '\\n') + 1)")
-    part = lambda i: tx.texinfo_unescaped(F.regexp_extract(head, HEADING, i))
-    at = times.normalized(part(3))
-    at = F.coalesce(at, F.raise_error(F.concat(F.lit("no instant in: "), head)))
-    return rows.select("name", F.col("place").alias("nth"), part(1).alias("agent"), part(2).alias("role"), at.alias("created_at"), tx.texinfo_unescaped(tx.trimmed(body)).alias("text"))
-
-
-def markdown(exports: DataFrame, anchor: str) -> DataFrame:
-    """The same of Markdown exports, their times a second apart from the anchor on."""
-    rows = _bodies(_islands(exports, SPEAKER).where("value <> '---'"), "\n").where("text <> ''")
-    nth = F.row_number().over(W.partitionBy("name").orderBy("run")) - 1
-    rows = rows.withColumn("nth", nth).withColumn("role", F.lower(F.regexp_extract("head", SPEAKER, 1)))
-    at = times.as_text(F.timestamp_seconds(F.unix_timestamp(F.lit(anchor).cast("timestamp")) + F.col("nth")))
-    return rows.select("name", "nth", F.lit("export").alias("agent"), "role", at.alias("created_at"), "text")
-
-
-def scrollback(exports: DataFrame, anchor: str) -> DataFrame:
-    """The same of terminal scrollback: a glyph in the first column starts a speaker, other lines go on."""
-    lines = _islands(exports, GLYPHS).withColumn("said", tx.trimmed(F.regexp_replace("value", GLYPHS, ""))).where("run > 0")
-    runs = lines.groupBy("name", "run").agg(F.max(F.when(F.col("is_head"), F.substring("value", 1, 1))).alias("glyph"), F.array_sort(F.collect_list(F.struct("line", "said"))).alias("b"))
-    runs = runs.withColumn("text", tx.trimmed(F.array_join(F.filter(F.transform("b", lambda x: x["said"]), lambda t: t != ""), " "))).where("text <> ''")
-    nth = F.row_number().over(W.partitionBy("name").orderBy("run")) - 1
-    rows = runs.withColumn("nth", nth)
-    at = times.as_text(F.timestamp_seconds(F.unix_timestamp(F.lit(anchor).cast("timestamp")) + F.col("nth")))
-    return rows.select("name", "nth", F.lit("export").alias("agent"), F.when(F.col("glyph") == "❯", "user").otherwise("assistant").alias("role"), at.alias("created_at"), "text")
+    """The same from an archive's chapters (name, place, text), each read in its own row; nth is the place."""
+    lines = F.split("text", LINE_END)
+    after = F.slice(lines, 2, F.greatest(F.lit(1), F.size(lines)))
+    end = F.array_position(F.transform(after, lambda x: F.rtrim(x)), "@bye")
+    body = F.filter(F.when(end > 0, F.slice(after, F.lit(1), end.cast("int") - 1)).otherwise(after), lambda x: ~x.rlike("^@(?:[^@]|$)"))
+    rows = rows.withColumn("head", F.get(lines, F.lit(0))).withColumn("nth", F.col("place"))
+    return _headed(rows, F.array_join(body, "\n")).select(*MESSAGE)
+
+
+def created(line: Column) -> Column:
+    """The instant of a header line such as **Created:** 7/7/2026, 9:39:41 PM (month first, UTC); null for other lines."""
+    part = lambda i: F.regexp_extract(line, CREATED, i).try_cast("int")
+    pm, hour = F.upper(F.regexp_extract(line, CREATED, 7)) == "PM", part(4)
+    hour = F.when(pm & (hour < 12), hour + 12).when(~pm & (hour == 12), 0).otherwise(hour)
+    return F.when(line.rlike(CREATED), F.try_make_timestamp(part(3), part(1), part(2), hour, part(5), F.coalesce(part(6), F.lit(0))))
+
+
+def _anchored(exports: DataFrame, anchor: str | None) -> DataFrame:
+    return exports if anchor is None else exports.withColumn("anchor", F.lit(anchor))
+
+
+def _timed(rows: DataFrame) -> Column:
+    """A second later for each message, from the anchor on."""
+    return times.as_text(F.timestamp_seconds(F.unix_timestamp(F.col("anchor").cast("timestamp")) + F.col("nth")))
+
+
+def markdown(exports: DataFrame, anchor: str | None = None, agent: str = "opencode") -> DataFrame:
+    """Messages of Markdown exports, a second apart from the header's **Created:** or the anchor on."""
+    lines = _islands(_anchored(exports, anchor), SPEAKER, r"(?!)").where(F.rtrim("value") != "---")
+    own = F.min_by(created(F.col("value")), F.when(created(F.col("value")).isNotNull() & (F.col("line") < HEADER_LINES), F.col("line"))).over(W.partitionBy("name"))
+    lines = lines.withColumn("anchor", F.coalesce(own, F.col("anchor").cast("timestamp")))
+    rows = _bodies(lines, "\n", "anchor").withColumn("text", tx.trimmed(F.col("body"))).where("text <> ''")
+    rows = _nth(rows).withColumn("role", F.lower(F.regexp_extract("head", SPEAKER, 1))).withColumn("agent", F.lit(agent))
+    return rows.withColumn("created_at", _timed(rows)).select(*MESSAGE)
+
+
+def scrollback(exports: DataFrame, anchor: str | None = None, agent: str = "claude-code") -> DataFrame:
+    """Messages of terminal scrollback: a glyph in the first column starts a speaker, other lines go on, chrome ends it."""
+    lines = _islands(_anchored(exports, anchor), GLYPHS, CHROME)
+    said = tx.trimmed(F.regexp_replace("value", GLYPHS, ""))
+    # The heading's own line is speech too.
+    lines = lines.withColumn("is_mark", F.col("is_mark") & ~F.col("is_head")).withColumn("glyph", F.when(F.col("is_head"), F.substring("value", 1, 1))).withColumn("value", F.when(said != "", said))
+    body = F.array_sort(F.collect_list(F.when(~F.col("is_mark") & F.col("value").isNotNull(), F.struct("line", "value"))))
+    runs = lines.groupBy("name", "run").agg(F.max("glyph").alias("glyph"), body.alias("b"), F.max("anchor").alias("anchor")).where("glyph IS NOT NULL")
+    runs = runs.withColumn("text", F.array_join(F.transform("b", lambda x: x["value"]), " ")).where("text <> ''")
+    rows = _nth(runs).withColumn("role", F.when(F.col("glyph") == "❯", "user").otherwise("assistant")).withColumn("agent", F.lit(agent))
+    return rows.withColumn("created_at", _timed(rows)).select(*MESSAGE)

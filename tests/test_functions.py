@@ -86,3 +86,29 @@ def test_bm25_is_that_of_fts5(spark):
 def test_phrases_have_terms_only(query):
     if query.strip():
         assert all(p and all(t and not t.isspace() for t in p) for p in tx.phrases_of(query))
+
+
+def test_folding_is_that_of_fts5(spark):
+    """Every letter that the table folds, one diacritic or two, composed or not, against SQLite's tokenizer."""
+    letters = [chr(c) for c in [*range(0xC0, 0x17F), *range(0x180, 0x250), *range(0x1E00, 0x1E9B), *range(0x1EA0, 0x1F00)] if chr(c).isalpha()] + ["é", "äx"]
+    c = sqlite3.connect(":memory:")
+    c.execute("CREATE VIRTUAL TABLE f USING fts5(x)")
+    c.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, 'instance')")
+    c.executemany("INSERT INTO f(rowid, x) VALUES (?, ?)", list(enumerate(letters)))
+    want = dict(c.execute("SELECT doc, term FROM v"))
+    df = spark.createDataFrame(list(enumerate(letters)), "i int, x string").select("i", tx.terms(F.col("x")).alias("t"))
+    got = {r["i"]: r["t"] for r in df.collect()}
+    assert {i: letters[i] for i in got if got[i] != [want[i]]} == {}
+
+
+def test_white_space_of_any_script(spark):
+    x = "a b c　d\te"
+    assert one(spark, x, tx.dedup_key) == "a b c d e" and one(spark, x, tx.words) == ["a", "b", "c", "d", "e"]
+    assert one(spark, x, tx.fts_quoted) == " OR ".join(f'"{c}"' for c in "abcde")
+
+
+def test_chat_scope_and_canonical_json(spark):
+    for path, want in (("/a/p/chat/x", "p"), ("/a/p/chats/2026/x", "p"), ("/a/chat/p/chat/x", "p"), ("/a/b/x", "b"), ("/chat/x", "chat")):
+        assert one(spark, path, tx.chat_scope) == want, path
+    assert one(spark, '{"b": [3, {"z": 1, "a": null}], "a": "é\\n"}', tx.canonical_json) == '{"a":"é\\n","b":[3,{"a":null,"z":1}]}'
+    assert one(spark, "1.10", tx.protocol) == (1, 10) and one(spark, "1", tx.protocol) is None

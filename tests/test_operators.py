@@ -5,6 +5,7 @@ from palimpsest.operators import consolidate as cx
 from palimpsest.operators import facts as fx
 from palimpsest.operators import fuse as ux
 from palimpsest.operators import lifecycle as lx
+from palimpsest.operators import postings as px
 from palimpsest.operators import search as sx
 from palimpsest.operators import vectors as vx
 from palimpsest.sources.projections import MEMORY
@@ -93,3 +94,51 @@ def test_rules_fold(spark):
     rows = [("s", "k", "a", "add", "one", "t1", 1), ("s", "k", "a", "retire", None, "t2", 2), ("s", "k", "b", "add", "two", "t3", 3), ("s", "p", "a", "add", "x", "t1", 1), ("s", "p", "a", "retire", None, "t2", 2), ("s", "p", "a", "purge", None, "t3", 3), ("s", "q", "a", "add", "x", "t1", 1), ("s", "q", "a", "purge", None, "t2", 2)]
     got = {r["rule_id"]: (r["text"], r["agent"], r["created_at"], r["updated_at"], r["status"]) for r in lx.rules(spark.createDataFrame(rows, "scope string, rule_id string, agent string, op string, text string, ts string, seq int")).collect()}
     assert got == {"k": ("two", "b", "t1", "t3", "active"), "q": ("x", "a", "t1", "t1", "active")}
+
+
+def test_index_scores_as_all_texts_do(spark, tmp_path):
+    m = memories(spark, ("1", "the cat sat on the mat"), ("2", "boot_magic is on"), ("3", "boot magic magic boot magic"), ("4", "Élan vital, élan!"), ("5", ""), ("6", "the the the", {"scope": "t"}))
+    index = px.build(m, str(tmp_path / "i"))
+    for query in ("cat", "boot_magic", "elan the", "the-the boot", "absent", "cat cat", "--"):
+        want = {r["id"]: round(r["score"], 9) for r in sx.scored(m, query).collect()}
+        assert {r["id"]: round(r["score"], 9) for r in px.scored(index, query).collect()} == want, query
+    both = [[(r["id"], r["rank"]) for r in sx.search(m, "the boot", scope="s", index=i).orderBy("rank").collect()] for i in (None, index)]
+    assert both[0] == both[1] and len(both[0]) == 3
+    plan = px.scored(index, "cat")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,cat)" in plan
+
+
+def test_rescope_refuses_as_a_whole(spark):
+    m = memories(spark, ("1", "a"), ("2", "b", {"rule_id": "k", "role": "rule"}), ("3", "c", {"scope": "t", "rule_id": "k", "role": "rule"}))
+    where = lambda df: {r["id"]: r["scope"] for r in df.collect()}
+    assert where(lx.rescoped(m, "s", "t")) == {"1": "s", "2": "s", "3": "t"}
+    chosen = spark.createDataFrame([("1",), ("2",)], "id string")
+    assert where(lx.rescoped(m, "s", "t", chosen)) == {"1": "t", "2": "s", "3": "t"}  # a selection moves no rule
+    assert where(lx.rescoped(m, "s", "u")) == {"1": "u", "2": "u", "3": "t"}
+    facts = spark.createDataFrame([("1", "s", "f"), ("3", "t", "g")], "memory_id string, scope string, fact string")
+    assert {r["fact"]: r["scope"] for r in lx.facts_rescoped(facts, m, lx.rescoped(m, "s", "u")).collect()} == {"f": "u", "g": "t"}
+
+
+def test_an_asked_for_hybrid_search_errs(spark):
+    v = spark.createDataFrame([("1", "m", [1.0])], "memory_id string, model string, embedding array<double>")
+    assert [ux.mode(v, "m"), ux.mode(v, "n"), ux.mode(v, "m", "fts"), ux.mode(v, "m", "hybrid")] == ["hybrid", "fts", "fts", "hybrid"]
+    with pytest.raises(ux.NoVectors):
+        ux.mode(v, "n", "hybrid")
+
+
+def test_store_of_the_first_version(spark):
+    old = spark.createDataFrame([("1", "a", "s", "user", "x", "t", "own")], "id string, agent string, scope string, role string, content string, created_at string, extra string")
+    new = lx.migrated(old)
+    assert new.columns == [*[c for c, _ in lx.MEMORY_SCHEMA], "extra"] and new.first()["access_count"] is None
+    assert lx.migrated(new).columns == new.columns
+    with pytest.raises(ValueError):
+        lx.migrated(old.drop("scope"))
+
+
+def test_vector_codec(spark):
+    import struct
+
+    values = [0.5, -0.1, 0.0, 1e-40, 3.4e38, 1.0, -2.0, 0.99999994]
+    df = spark.createDataFrame([(values,), ([],)], "v array<float>").select(vx.encoded(F.col("v")).alias("b"), "v")
+    rows = df.select("b", "v", vx.decoded(F.col("b")).alias("d"), vx.decoded(F.concat("b", F.lit(b"xyz"))).alias("rest")).collect()
+    assert bytes(rows[0]["b"]) == struct.pack("<8f", *values) and all(r["d"] == r["v"] == r["rest"] for r in rows)
