@@ -89,29 +89,44 @@ def losers_closed(memories: DataFrame, losers: DataFrame, now: str) -> DataFrame
     return rows.withColumn("valid_to", F.when(close, F.lit(now)).otherwise(F.col("valid_to"))).drop("winner", "loser")
 
 
+def word_classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes (class, created_at, scope, neg, n, w) of current memories with the same scope, words and negation, and their members (scope, class, id).
+
+    A class is named by its oldest member. Both are checkpointed, so texts are cut into words once.
+    """
+    rows = plain(memories).select("id", "scope", "created_at", F.sort_array(tx.words(F.col("content"))).alias("w"), tx.is_negated(F.col("content")).alias("neg")).where(F.size("w") > 0)
+    key = F.md5(F.encode(F.array_join("w", " "), "UTF-8"))  # words hold no blank
+    found = rows.withColumn("key", key).groupBy("scope", "key", "neg")
+    classes = found.agg(F.min(F.struct("created_at", "id")).alias("first"), F.any_value("w").alias("w"))
+    classes = classes.select("scope", "key", "neg", F.col("first.id").alias("class"), F.col("first.created_at").alias("created_at"), F.size("w").alias("n"), "w").checkpoint()
+    members = rows.select("id", "scope", key.alias("key"), "neg").join(classes.select("scope", "key", "neg", "class"), ["scope", "key", "neg"])
+    return classes.drop("key"), members.select("scope", "class", "id")
+
+
 def contradictions(memories: DataFrame, percent: int = 50) -> DataFrame:
-    """scope, a, b, jaccard, negated: pairs of a scope, one of them negated, whose word sets are that alike.
+    """scope, a, b, jaccard, negated: pairs of classes of a scope, one of them negated, whose word sets are that alike.
 
-    a is the older. Sets are ordered by how many memories hold a word; sets that are alike enough share one of
-    their rarest words, which find the pairs, and sizes bound them before the sets are compared.
+    A class stands for all memories of one word set (``word_classes`` has the members), so copies make one pair
+    and not all of theirs. a is the older. Words are ordered by how many classes hold them; sets that are alike
+    enough share one of their rarest words, which find the pairs, and sizes bound them before sets are compared.
     """
-    rows = plain(memories).select("id", "scope", "created_at", tx.words(F.col("content")).alias("w"), tx.is_negated(F.col("content")).alias("neg"))
-    rows = rows.withColumn("n", F.size("w")).where("n > 0")
-    each = rows.select("id", "scope", "neg", "n", F.explode("w").alias("word"))
-    freq = each.groupBy("scope", "word").agg(F.count("*").alias("df"), F.count_if("neg").alias("negs"))
-    # A word that only negated or only other memories hold finds no pair, but keeps its place in the order.
-    line = each.join(freq, ["scope", "word"]).groupBy("id", "scope", "neg", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word", (F.col("negs").between(1, F.col("df") - 1)).alias("both")))).alias("line"))
+    classes, _ = word_classes(memories)
+    each = classes.select("class", "neg", "n", F.explode("w").alias("word"), "scope").select("class", "neg", "n", F.xxhash64("scope", "word").alias("item"))
+    freq = each.groupBy("item").agg(F.count("*").alias("df"), F.count_if("neg").alias("negs"))
+    # A word that only negated or only other classes hold finds no pair, but keeps its place in the order.
+    freq = freq.select("item", "df", F.col("negs").between(1, F.col("df") - 1).alias("both"))
+    line = each.join(freq, "item").groupBy("class", "neg", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item", "both"))).alias("line"))
     t = percent / 100
     prefix = F.slice("line", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
     core = F.col("n") - F.ceil(F.col("n") * 2 * t / (1 + t) - 1e-9) + 1  # of the smaller set fewer words suffice
-    marked = F.transform(prefix, lambda x, i: F.struct(x["word"].alias("word"), x["both"].alias("both"), (i < core).alias("core")))
-    probes = line.select("id", "scope", "neg", "n", F.explode(F.filter(marked, lambda x: x["both"])).alias("x")).select("id", "scope", "neg", "n", "x.word", "x.core")
+    marked = F.transform(prefix, lambda x, i: F.struct(x["item"].alias("item"), x["both"].alias("both"), (i < core).alias("core")))
+    probes = line.select("class", "neg", "n", F.inline(F.filter(marked, lambda x: x["both"]))).drop("both").checkpoint()
     l, r = probes.where("neg").alias("l"), probes.where("NOT neg").alias("r")
     near = F.when(F.col("l.n") >= F.col("r.n"), F.col("r.core")).otherwise(F.col("l.core")) & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
-    alike = (F.col("l.scope") == F.col("r.scope")) & (F.col("l.word") == F.col("r.word")) & near
-    pairs = l.join(r, alike).select(F.col("l.id").alias("p"), F.col("r.id").alias("q")).distinct()
-    side = lambda c: rows.select(F.col("id").alias(c), F.col("created_at").alias(f"{c}_at"), F.col("w").alias(f"{c}_w"), F.col("scope").alias(f"{c}_scope"))
-    full = pairs.join(side("p"), "p").join(side("q"), "q")
+    pairs = l.join(r, (F.col("l.item") == F.col("r.item")) & near).select(F.col("l.class").alias("p"), F.col("r.class").alias("q")).distinct()
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("created_at").alias(f"{c}_at"), F.col("w").alias(f"{c}_w"), F.col("scope").alias(f"{c}_scope"))
+    # An item is a hash of scope and word, so the scopes are compared again.
+    full = pairs.join(side("p"), "p").join(side("q"), "q").where("p_scope = q_scope")
     both = F.size(F.array_intersect("p_w", "q_w"))
     full = full.withColumn("jaccard", both / (F.size("p_w") + F.size("q_w") - both)).where(F.col("jaccard") >= percent / 100)
     first = F.struct("p_at", "p") < F.struct("q_at", "q")

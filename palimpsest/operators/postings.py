@@ -1,8 +1,9 @@
 """A persisted full-text index: postings by term, so that a search reads its own terms alone.
 
-Postings are a Parquet table (bucket, term, id, n, positions) in folders by a hash of the term, sorted by term
-within each file, so a query's terms prune folders and row groups. n is the number of the text's terms, kept
-with each posting, which spares a search the join to a table of lengths. One row of statistics counts all texts.
+Postings are a Parquet table (bucket, term, id, at, n), a row for each place of a term, in folders by a hash of
+the term and sorted by term within each file, so a query's terms prune folders and row groups, and columns of
+sorted repeats pack to little. n is the number of the text's terms, which spares a search the join to a table of
+lengths. One row of statistics counts all texts.
 """
 
 from __future__ import annotations
@@ -46,10 +47,11 @@ def build(rows: DataFrame, path: str, text: str = "content") -> Index:
     spark = rows.sparkSession
     terms = rows.select("id", tx.terms(F.col(text)).alias("terms"))
     each = terms.select("id", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "term"))
-    found = each.groupBy("term", "id", "n").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    found = found.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SHARES)))
-    found.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    terms.agg(F.count("*").alias("every"), F.avg(F.size("terms")).alias("avg")).write.parquet(f"{path}/stats")
+    each = each.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SHARES)))
+    each.sortWithinPartitions("bucket", "term", "id", "at").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # The lengths come from the index itself but for texts without terms, whose number does.
+    every, texts = rows.agg(F.count("*").alias("every")), spark.read.parquet(f"{path}/postings").agg(F.count("*").alias("all"))
+    every.crossJoin(texts).select("every", (F.col("all") / F.col("every")).alias("avg")).write.parquet(f"{path}/stats")  # a row each
     return Index(spark, path)
 
 
@@ -58,21 +60,22 @@ def scored(index: Index, query: str) -> DataFrame:
     phrases = tx.phrases_of(query)
     if not phrases:
         return index.spark.createDataFrame([], "id string, score double")
-    terms = sorted({t for p in phrases for t in p})
-    at = {t: f"_t{i}" for i, t in enumerate(terms)}
-    none = F.array().cast("array<int>")
-    # A text's positions of each term meet in one row: as many entries as the query has terms.
-    rows = index.postings(terms).groupBy("id", "n").agg(*[F.coalesce(F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True), none).alias(c) for t, c in at.items()])
-
-    def count(phrase: list[str]) -> Column:
-        if len(phrase) == 1:
-            return F.size(at[phrase[0]])
-        return F.size(F.filter(at[phrase[0]], lambda x: F.forall(F.array(*[F.array_contains(at[t], x + k) for k, t in enumerate(phrase[1:], 1)]), lambda y: y)))
-
-    counted = rows.select("id", "n", *[count(p).alias(f"_f{i}") for i, p in enumerate(phrases)])
+    found = index.postings(sorted({t for p in phrases for t in p}))
+    # A phrase begins at s where each of its terms k stands at s + k; a single term begins where it stands.
+    place = lambda i, k: F.struct(F.lit(i).alias("phrase"), (F.col("at") - k).alias("s"), F.lit(k).alias("k"))
+    parts = F.array(*[F.when(F.col("term") == t, place(i, k)) for i, p in enumerate(phrases) for k, t in enumerate(p)])
+    starts = found.select("id", "n", F.inline(F.filter(parts, lambda x: x.isNotNull())))
+    long = [i for i, p in enumerate(phrases) if len(p) > 1]
+    whole = starts.where(~F.col("phrase").isin(long)) if long else starts
+    whole = whole.select("id", "n", "phrase")
+    if long:
+        sizes = F.element_at(F.array(*[F.lit(len(p)) for p in phrases]), F.col("phrase") + 1)
+        met = starts.where(F.col("phrase").isin(long)).groupBy("id", "n", "phrase", "s").agg(F.count("*").alias("m"))
+        whole = whole.unionAll(met.where(F.col("m") == sizes).select("id", "n", "phrase"))
+    counted = whole.groupBy("id", "n").agg(*[F.count_if(F.col("phrase") == i).alias(f"_f{i}") for i in range(len(phrases))])
     fs = [f"_f{i}" for i in range(len(phrases))]
-    found = counted.agg(*[F.count_if(F.col(f) > 0).alias(f"_d{f}") for f in fs]).crossJoin(index.stats())  # a row each
-    hits = counted.where(" OR ".join(f"{f} > 0" for f in fs)).crossJoin(F.broadcast(found))
+    stats = counted.agg(*[F.count_if(F.col(f) > 0).alias(f"_d{f}") for f in fs]).crossJoin(index.stats())  # a row each
+    hits = counted.crossJoin(F.broadcast(stats))
     norm = K1 * (1 - B + B * F.col("n") / F.col("avg"))
     score = F.lit(0.0)
     for f in fs:

@@ -229,10 +229,12 @@ SELECT m.id, m.scope, CASE WHEN w.winner IS NOT NULL AND w.winner <> m.id THEN '
 FROM mem_docs m LEFT JOIN part p USING (id) LEFT JOIN winner w USING (component)""",
     "mem_docs", "vec",
 )
+WORD_CLASSES = rf""", every AS MATERIALIZED (SELECT id, scope, created_at, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> ''))) AS w,
+    len(list_filter({array(tx.NEGATIONS)}, lambda m: contains(lower(content), m))) > 0 AS neg FROM mem_neg),
+  r AS MATERIALIZED (SELECT scope, w, neg, arg_min(id, created_at || id) AS id, min(created_at) AS created_at FROM every WHERE len(w) > 0 GROUP BY scope, w, neg)"""
 oracle(
     "contradictions",
-    rf""", r AS MATERIALIZED (SELECT id, scope, created_at, list_distinct(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '')) AS w,
-    len(list_filter({array(tx.NEGATIONS)}, lambda m: contains(lower(content), m))) > 0 AS neg FROM mem_neg),
+    rf"""{WORD_CLASSES},
   e AS MATERIALIZED (SELECT id, scope, neg, unnest(w) AS word FROM r),
   p AS (SELECT x.id AS p, y.id AS q, count(*) AS n FROM e x JOIN e y ON x.scope = y.scope AND x.word = y.word AND x.neg AND NOT y.neg GROUP BY ALL)
 SELECT x.scope, CASE WHEN x.created_at || p < y.created_at || q THEN p ELSE q END AS a, CASE WHEN x.created_at || p < y.created_at || q THEN q ELSE p END AS b,
@@ -240,6 +242,7 @@ SELECT x.scope, CASE WHEN x.created_at || p < y.created_at || q THEN p ELSE q EN
 FROM p JOIN r x ON x.id = p JOIN r y ON y.id = q WHERE n / (len(x.w) + len(y.w) - n) >= 0.5""",
     "mem_neg",
 )
+oracle("contradiction_members", rf"{WORD_CLASSES} SELECT e.scope, r.id AS class, e.id FROM every e JOIN r ON r.scope = e.scope AND r.w = e.w AND r.neg = e.neg", "mem_neg")
 ACCESS = "(SELECT id, count(*) AS access_count, max(ts) AS last_accessed_at FROM access_log GROUP BY id)"
 oracle("access_counts", f"SELECT * FROM {ACCESS}", "access_log")
 oracle(

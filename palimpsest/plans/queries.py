@@ -68,6 +68,20 @@ def index_of(spark: SparkSession, rows: DataFrame, text: str = "content") -> pi.
     return _indexes[key]
 
 
+_facts: dict[tuple, str] = {}
+
+
+def facts_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The facts of a projection, extracted and written once, as a store holds them beside its memories."""
+    files = hashlib.sha256("\n".join(sorted(rows.inputFiles())).encode()).hexdigest()
+    key = (spark.sparkContext.applicationId, shared_dir(spark), rows.semanticHash(), files)
+    if key not in _facts:
+        path = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
+        fx.extract(rows).write.parquet(path)
+        _facts[key] = path
+    return spark.read.parquet(_facts[key])
+
+
 LIST = ("id", "scope", "role", "created_at", "valid_to")
 
 
@@ -163,7 +177,7 @@ def facts_report(spark, d):
 @query
 def fact_candidates(spark, d):
     m = px.mem_conv(spark, d)
-    return fx.candidates(fx.extract(m), m, WORDS, limit=50).select("rank", "id", F.round("score", 6).alias("score"))
+    return fx.candidates(facts_of(spark, m), m, WORDS, limit=50).select("rank", "id", F.round("score", 6).alias("score"))
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -215,8 +229,7 @@ def cosine_pairs(spark, d):
 
 def _channels(spark, d):
     m = px.mem_docs(spark, d)
-    facts = fx.extract(m)
-    return m, ux.channels_of(m, facts, px.vectors(spark, d), WORDS, _query_vector(spark, d), "m", index=index_of(spark, m))
+    return m, ux.channels_of(m, facts_of(spark, m), px.vectors(spark, d), WORDS, _query_vector(spark, d), "m", index=index_of(spark, m))
 
 
 @query
@@ -263,7 +276,7 @@ def context_recency(spark, d):
 @query
 def context_query(spark, d):
     m = px.mem_conv(spark, d)
-    _, rows = ux.context(m, fx.extract(m), SCOPE, BUDGET, query=WORDS, index=index_of(spark, m))
+    _, rows = ux.context(m, facts_of(spark, m), SCOPE, BUDGET, query=WORDS, index=index_of(spark, m))
     return rows.where("included").select("id", "cost", "created_at")
 
 
@@ -310,9 +323,17 @@ def dedup_apply(spark, d):
 
 @query
 def contradictions(spark, d):
+    ready(spark)
     return cx.contradictions(px.mem_neg(spark, d)).select("scope", "a", "b", F.round("jaccard", 6).alias("jaccard"), "negated")
 
 
+@query
+def contradiction_members(spark, d):
+    """The memories of each class that ``contradictions`` pairs."""
+    ready(spark)
+    return cx.word_classes(px.mem_neg(spark, d))[1]
+
+
 @query
 def access_counts(spark, d):
     return cx.access_counts(px.access_log(spark, d))

@@ -93,7 +93,8 @@ def block_text(content: Column, tools: bool = False, thinking: bool = False) ->
 
 def _finished(rows: DataFrame, text: Column, dropped: Column, *keep: str) -> DataFrame:
     """Rows (session, line, source_id, role, created_at) with the stored text, and the reason to drop what has none."""
-    rows = rows.withColumn("text", tx.scrubbed(tx.normalized(text))).withColumn("dropped", dropped)
+    # Behind a generator the text is made once, however many columns read it.
+    rows = rows.drop("text", "dropped").select("*", F.inline(F.array(F.struct(tx.scrubbed(tx.normalized(text)).alias("text"), dropped.alias("dropped")))))
     rows = rows.withColumn("dropped", F.when(F.col("dropped").isNull() & (F.coalesce("text", F.lit("")) == ""), "empty").otherwise(F.col("dropped")))
     rows = rows.withColumn("dropped", F.when(F.col("dropped").isNull() & F.col("created_at").isNull(), "bad_time").otherwise(F.col("dropped")))
     return rows.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text"))).select(*TURN, *keep)

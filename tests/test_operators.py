@@ -76,6 +76,10 @@ def test_vector_twins_within_scope(spark, monkeypatch):
 
 
 def test_contradictions(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    copies = memories(spark, *[(f"{i:02d}", "the build uses gcc" if i % 2 else "the build never uses  gcc") for i in range(30)])
+    assert [(r["a"], r["b"], r["negated"]) for r in cx.contradictions(copies).collect()] == [("00", "01", "00")]  # one pair, not 225
+    assert {(r["class"], r["id"]) for r in cx.word_classes(copies)[1].collect()} == {("01" if i % 2 else "00", f"{i:02d}") for i in range(30)}
     m = memories(spark, ("1", "the build uses gcc"), ("2", "the build does not use gcc"), ("3", "the build never uses gcc"), ("4", "unrelated words here"), ("5", "the build never uses gcc", {"scope": "t"}))
     got = {(r["a"], r["b"], r["negated"], round(r["jaccard"], 3)) for r in cx.contradictions(m).collect()}
     assert got == {("1", "3", "3", 0.8)}
