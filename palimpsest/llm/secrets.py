@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import text_of, written
@@ -34,36 +35,40 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
-#: The kinds, in the order in which spans of equal start are listed.
-RULES = (
+#: The base kinds, in the order in which spans of equal start are listed.
+BASE_RULES = (
     Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18),
     # Runs are maximal, so the shorter ones need not be made to be dropped.
     Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
 )
+#: Kinds that the ledger adds to the base ones, listed after them.
+ADDED_RULES = (
+    Rule("github", 1, r"gh[opsu]_[A-Za-z0-9]{36,}", 0, 40),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 32),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x0A\x0D]*", 0, 27),
+)
+RULES = (*BASE_RULES, *ADDED_RULES)
+#: Code points of a block, in which a place is found by counting from the block's start.
+BLOCK = 4096
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """The rule's spans in text (code points, end exclusive): leftmost, not overlapping, in order.
-
-    The text between the matches and the matches themselves give the places by summing their lengths.
-    """
+def parts_of(text: Column, rule: Rule) -> Column:
+    """The rule's matches in text, leftmost and not overlapping: characters, whether it counts, characters of the text before it."""
     pattern = F.lit(rule.pattern)
-    hits, groups, gaps = F.regexp_extract_all(text, pattern, 0), F.regexp_extract_all(text, pattern, rule.group), F.split(text, rule.pattern)
+    hits, gaps = F.regexp_extract_all(text, pattern, 0), F.split(text, rule.pattern)
+    groups = hits if rule.group == 0 else F.regexp_extract_all(text, pattern, rule.group)
     parts = F.zip_with(hits, groups, lambda h, g: F.struct(F.char_length(h).alias("n"), (F.char_length(g) >= rule.least).alias("ok")))
-    parts = F.zip_with(parts, F.slice(gaps, 1, F.size(hits)), lambda p, gap: F.struct(p["n"].alias("n"), p["ok"].alias("ok"), F.char_length(gap).alias("gap")))
-    none = F.array().cast("array<struct<start:int, end:int, ok:boolean>>")
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["n"]).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["n"]).alias("end"), p["ok"].alias("ok")))).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    kept = F.transform(F.filter(placed, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return F.when(F.size(hits) > 0, kept).otherwise(F.array().cast("array<struct<start:int, end:int>>"))
+    parts = F.zip_with(parts, gaps, lambda p, gap: F.struct(p["n"].alias("n"), p["ok"].alias("ok"), F.char_length(gap).alias("gap")))
+    return F.filter(parts, lambda p: p["n"].isNotNull())  # behind the last match is one more gap
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """blob, rule, spans of rows (blob, rule, parts): places by running sums over a text's matches, however many."""
+    each = found.select("blob", "rule", F.posexplode_outer("parts").alias("i", "p"))
+    end = F.sum(F.col("p.gap") + F.col("p.n")).over(W.partitionBy("blob", "rule").orderBy("i")).cast("int")
+    each = each.select("blob", "rule", F.when(F.col("p.ok"), F.struct((end - F.col("p.n")).alias("start"), end.alias("end"))).alias("s"))
+    return each.groupBy("blob", "rule").agg(F.sort_array(F.collect_list("s")).alias("spans"))
 
 
 def addressed(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -71,11 +76,11 @@ def addressed(versions: DataFrame, text: str = "text") -> DataFrame:
     return versions.withColumn("blob", F.unhex(F.sha2(F.encode(text_of(versions, text), "UTF-8"), 256)))
 
 
-def updated(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The ledger with all pairs of the versions' blobs and the rules, scanning only those it lacks.
+def scanned(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """Ledger rows for those pairs of the versions' blobs and the rules that the ledger lacks; nothing else is scanned.
 
     versions: a row for each historical version, with its text and any other columns; a null text counts
-    as empty, copies are scanned once, and an empty table adds nothing. ledger: what an earlier call gave
+    as empty, copies are scanned once, and an empty table adds nothing. ledger: what earlier calls gave
     (LEDGER). Copies are dropped before the shuffle as well, so a blob with very many copies stays small.
     """
     known = addressed(versions, text)
@@ -86,13 +91,21 @@ def updated(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     else:
         blobs = blobs.withColumn("seen", F.lit(None).cast("array<string>"))
     fresh = lambda r: ~F.coalesce(F.array_contains("seen", r.id), F.lit(False))
-    scans = F.array(*[F.struct(F.lit(r.id).alias("rule"), F.when(fresh(r), spans_of(F.col("text"), r)).alias("spans")) for r in rules])
-    new = blobs.select("blob", F.inline(scans)).where("spans IS NOT NULL")
-    return written(new if ledger is None else ledger.select("blob", "rule", "spans").unionAll(new))
+    scans = F.array(*[F.struct(F.lit(r.id).alias("rule"), F.when(fresh(r), parts_of(F.col("text"), r)).alias("parts")) for r in rules])
+    return written(placed(blobs.select("blob", F.inline(scans)).where("parts IS NOT NULL")))
+
+
+def updated(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The ledger with all pairs of the versions' blobs and the rules: the old rows as they are, and those of ``scanned``."""
+    new = scanned(versions, ledger, rules, text)
+    return new if ledger is None else ledger.select("blob", "rule", "spans").unionAll(new)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """versions with found: array of (kind, start, end) by start, then by the rules' order; without the text, unless asked for."""
+    """versions with found: array of (kind, start, end) by start, then by the rules' order; without the text, unless asked for.
+
+    A column found is replaced; columns of any other name stay as they are.
+    """
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.id, i)])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     hits = ledger.where(F.col("rule").isin([r.id for r in rules]) & (F.size("spans") > 0))
@@ -100,12 +113,15 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     # At most one row for each rule and blob.
     by_blob = each.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
     by_blob = by_blob.select("blob", F.transform("s", lambda x: F.struct(F.get(kinds, x["nth"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("found"))
-    rest = addressed(versions, text).drop("found", *[] if keep_text else [text])
+    rest = [c for c in versions.columns if c != "found" and (keep_text or c != text)]
+    rows = versions.select(F.struct(*[versions[c] for c in rest]).alias("row"), F.unhex(F.sha2(F.encode(text_of(versions, text), "UTF-8"), 256)).alias("blob"))
     # Copies of one blob are dealt to SALTS tasks; the few blobs with findings go to each of them.
-    rest = rest.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rest.columns if c != "blob"]), F.lit(SALTS)).cast("int"))
-    by_blob = by_blob.select("blob", "found", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
+    salt = F.xxhash64(*[F.col("row")[c] for c in rest if c != text]) if set(rest) - {text} else F.monotonically_increasing_id()
+    rows = rows.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    by_blob = by_blob.select("blob", "found", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     none = F.array().cast("array<struct<kind:string, start:int, end:int>>")
-    return rest.join(by_blob, ["blob", "_salt"], "left").withColumn("found", F.coalesce("found", none)).drop("blob", "_salt")
+    done = rows.join(by_blob, ["blob", "salt"], "left")
+    return done.select(*[F.col("row")[c].alias(c) for c in rest], F.coalesce("found", none).alias("found"))
 
 
 def oracle() -> str:
@@ -124,22 +140,42 @@ placed AS (
     CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start_at FROM each),
 found AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start_at || ':' || (start_at + n), ',' ORDER BY start_at, nth) FILTER (nth < {len(BASE_RULES)}) AS base,
     string_agg(kind || ':' || start_at || ':' || (start_at + n), ',' ORDER BY start_at, nth) AS spans FROM placed WHERE ok GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN found f USING (doc_id)"""
 
 
-def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """text with each run of overlapping spans of ``found`` (sorted by start) replaced by ``mark``."""
-    done = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
-        ),
-    )
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text))))
+def redacted(rows: DataFrame, text: str = "text", found: str = "found", mark: str = "[SECRET]") -> DataFrame:
+    """rows with each run of overlapping spans of ``found`` (sorted by start) in text replaced by ``mark``.
+
+    Texts are cut into blocks of BLOCK code points once, so that a place is found by counting within a block
+    and the work is a text's length and BLOCK for each span. A text without spans, and a null one, stays.
+    """
+    names = rows.columns
+    spans = F.when(F.size(F.col(found)) > 0, F.col(found))
+    # A span opens a run if none before it reaches its start: the greatest end so far, from sorted starts and ends.
+    # Starts that are no less than as many ends as there are spans before them lie behind all those.
+    once = lambda df, **columns: df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+    packed = rows.select(F.struct(*[rows[c] for c in names]).alias("row"), spans.alias("spans"), F.col(text).alias("of"))
+    # What lambdas read of other arrays is a column of its own, made once for a row and not for each element.
+    packed = once(packed, ends=F.sort_array(F.transform("spans", lambda s: s["end"])), blocks=F.when(F.col("spans").isNotNull(), F.regexp_extract_all(F.col("of"), F.lit(f"(?s).{{1,{BLOCK}}}"), 0)))
+    spans, ends = F.col("spans"), F.col("ends")
+    opens = F.filter(F.transform(spans, lambda s, i: F.when((i == 0) | (F.get(ends, i - 1) <= s["start"]), s["start"])), lambda x: x.isNotNull())
+    closes = F.filter(F.transform(ends, lambda e, i: F.when((i == F.size(spans) - 1) | (F.get(spans, i + 1)["start"] >= e), e)), lambda x: x.isNotNull())
+    inner = once(packed, opens=opens, closes=closes)
+
+    def piece(lo: Column, hi: Column) -> Column:
+        """The text from place lo to hi."""
+        a, b = F.floor(lo / BLOCK).cast("int"), F.floor(hi / BLOCK).cast("int")
+        block = lambda k: F.coalesce(F.get("blocks", k), F.lit(""))
+        far = F.concat(F.substring(block(a), lo % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice("blocks", a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(block(b), F.lit(1), hi % BLOCK))
+        return F.when(a == b, F.substring(block(a), lo % BLOCK + 1, hi - lo)).otherwise(far)
+
+    whole = (F.size("blocks") * BLOCK).cast("int")  # a place in no block, behind the last character
+    pieces = F.transform(F.sequence(F.lit(0), F.size("opens")), lambda i: piece(F.when(i == 0, 0).otherwise(F.get("closes", i - 1)), F.coalesce(F.get("opens", i), whole)))
+    out = F.when(F.size("opens") > 0, F.array_join(pieces, mark)).otherwise(F.col("row")[text])
+    return inner.select(*[out.alias(c) if c == text else F.col("row")[c].alias(c) for c in names])
 
 
 def listed(found: Column) -> Column:
@@ -150,9 +186,11 @@ def listed(found: Column) -> Column:
 def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document.
 
-    The ledger starts empty and adds no spans of its own to the rules', so spans lists the base ones.
+    The counts and base_sha256 are of BASE_RULES' spans, which stay as they are; spans lists those of
+    ADDED_RULES as well. The ledger starts empty; every row is one version. Null texts count as empty.
     """
     versions = docs.select("doc_id", "text")
     found = findings(versions, updated(versions))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(r.kind) for r in RULES], F.sha2(F.encode(listed(F.col("found")), "UTF-8"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    base = listed(F.filter("found", lambda s: s["kind"].isin([r.kind for r in BASE_RULES])))
+    return found.select("doc_id", *[count(r.kind) for r in BASE_RULES], F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))

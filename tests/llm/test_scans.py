@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -40,19 +42,63 @@ def test_ledger_scans_only_unseen_pairs(spark):
     again = secrets.updated(more, marked)
     assert again.count() == 2 * len(secrets.RULES)
     found = {r["path"]: [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in secrets.findings(more, again).collect()}
-    assert found["a"] == found["b"] == [("assign", 1, 2), ("access", 1, 2), ("hex", 1, 2)]  # kept from the ledger, not scanned again
+    assert found["a"] == found["b"] == [(r.kind, 1, 2) for r in secrets.RULES]  # kept from the ledger, not scanned again
     assert found["c"] == [("access", 0, 20)]
     newer = (secrets.Rule("hex", 2, r"[0-9a-f]{16,}", 0, 16),)
     assert secrets.updated(one, ledger, newer).where("rule = 'hex@2'").count() == 1
+    # Of a known blob and a new one, with one rule more, each lacking pair is scanned and no other.
+    assert secrets.scanned(more, ledger, (*secrets.RULES, *newer)).groupBy("rule").count().where("rule <> 'hex@2' AND count <> 1").count() == 0
+    assert secrets.scanned(more, ledger, (*secrets.RULES, *newer)).count() == len(secrets.RULES) + 2
+    assert secrets.scanned(one, ledger).count() == 0
 
 
 def test_redaction_and_empty(spark):
     df = spark.createDataFrame([(1, "x token=0123456789abcdef0123 y"), (2, None)], "doc_id long, text string")
-    rows = secrets.findings(df, secrets.updated(df), keep_text=True).select("doc_id", secrets.redacted(F.col("text"), F.col("found")).alias("t")).collect()
-    assert {r["doc_id"]: r["t"] for r in rows} == {1: "x [SECRET] y", 2: None}
+    rows = secrets.redacted(secrets.findings(df, secrets.updated(df), keep_text=True)).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == {1: "x [SECRET] y", 2: None}
     assert secrets.secrets(df.limit(0)).count() == 0
 
 
+def test_redaction_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 7)
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("aé𝔘\n b") for _ in range(rng.randint(0, 60)))
+        found = sorted((a, rng.randint(a + 1, len(text))) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 6)))) if text else []
+        rows.append((i, text, [("k", a, b) for a, b in found], f"_{i}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, found array<struct<kind:string,start:int,end:int>>, _salt string")
+    got = {r["doc_id"]: (r["text"], r["_salt"]) for r in secrets.redacted(df).collect()}
+    for i, text, found, salt in rows:
+        out, at = "", 0
+        for _, a, b in found:
+            out += "" if a < at else text[at:a] + "|"
+            at = max(at, b)
+        assert got[i] == ((out + text[at:]).replace("|", "[SECRET]"), salt), (text, found)
+    kept = secrets.findings(df.drop("found"), secrets.updated(df), keep_text=True)
+    assert kept.columns == ["doc_id", "text", "_salt", "found"] and {r["_salt"] for r in kept.collect()} == {r[3] for r in rows}
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Time and result of 100,000 matches."""
+    n = 100_000
+    text = "é token=0123456789abcdef0123" * n
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    found = secrets.findings(df, secrets.updated(df), keep_text=True)
+    row = secrets.redacted(found).first()
+    assert row["text"] == "é [SECRET]" * n and len(row["found"]) == 2 * n and time.time() - began < 60
+
+
+def test_added_kinds(spark):
+    token, jwt = "ghp_" + "A1b2" * 9, "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghij"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIE\nabcd\n"
+    text = f"a {token} b {jwt} c {pem}-----END RSA PRIVATE KEY-----"
+    r = secrets.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [f"{k}:{text.index(x)}:{text.index(x) + len(x)}" for k, x in (("github", token), ("jwt", jwt), ("pem", pem))]
+    assert r["spans"] == ",".join(want) and r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["n_assign"] == r["n_access"] == r["n_hex"] == 0
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[1][1]
     cut = " ".join(mit.split()[:-2])  # most, not all, of its shingles
