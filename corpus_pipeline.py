@@ -35,12 +35,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced and n_chars counted anew where that happened."""
+    """All documents, with secrets in their texts replaced and n_chars counted anew where that happened.
+
+    Rows of any kind stay: null and empty texts as they are, repeated rows each for itself; an empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     found = secrets.findings(docs, secrets.updated(docs.select("text")), keep_text=True)
-    new = found.withColumn("new", secrets.redacted(F.col("text"), F.col("found")))
-    n_chars = F.when(F.size("found") > 0, F.char_length("new").cast("long")).otherwise(F.col("n_chars"))
-    return new.select("doc_id", F.col("new").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    new = secrets.redacted(found)
+    n_chars = F.when(F.size("found") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return new.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
