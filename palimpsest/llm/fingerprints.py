@@ -2,8 +2,8 @@
 
 Paragraphs are lines, and long ones are cut where the words' content says so, so that an edit changes only
 pieces near it. Piece, paragraph, section and root digests form the tree: equal roots mean equal texts, and
-where roots differ, only differing branches need a look. A fingerprint carries the root and each piece's
-tag and weight, so likeness follows from two fingerprints alone.
+where roots differ, only differing branches need a look. A fingerprint is the tree itself, each node with its
+tag and its weight in characters, so likeness and the places of edits follow from two fingerprints alone.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ KEPT_WORDS = 400_000
 SECTION = 16
 #: Documents of one range that a task sorts, about.
 RANGE_ROWS = 10_000
+#: Ranges at most, whose bounds the driver and the tasks hold; beyond, ranges grow.
+MOST_RANGES = 20_000
 
 
 class Cuts(dict):
@@ -77,26 +79,78 @@ def tree(text: str) -> list[list[list[tuple[bytes, int]]]]:
 
 
 def fingerprint(text: str) -> str:
-    """root:tag.weight,tag.weight... with 32 hex digits of the root and 8 of each piece."""
-    sections = tree(text)
-    root = digest(b"root", *[digest(b"section", *[digest(b"paragraph", *[d for d, _ in p]) for p in s]) for s in sections])
-    return f"{root.hex()}:" + ",".join(f"{d[:4].hex()}.{n:x}" for d, n in chain.from_iterable(chain.from_iterable(sections)))
+    """root:section/section..., the root as 32 hex digits and every other node as tag.weight (8 and hex digits).
+
+    A section is its node, = and its paragraphs, joined by ;. A paragraph is its one piece's node, or its own
+    and in brackets those of its pieces, joined by commas. Weights leave line ends out.
+    """
+    node = lambda d, n: f"{d[:4].hex()}.{n:x}"
+    sections, roots = [], []
+    for s in tree(text):
+        inner, marks, weight = [], [], 0
+        for p in s:
+            n = sum(w for _, w in p)
+            mark = digest(b"paragraph", *[d for d, _ in p])
+            inner.append(node(*p[0]) if len(p) == 1 else f"{node(mark, n)}[{','.join(node(*x) for x in p)}]")
+            marks.append(mark)
+            weight += n
+        roots.append(digest(b"section", *marks))
+        sections.append(f"{node(roots[-1], weight)}={';'.join(inner)}")
+    return f"{digest(b'root', *roots).hex()}:{'/'.join(sections)}"
+
+
+def branches(node: str) -> list[str]:
+    """The nodes below a section (tag.weight=...) or a paragraph (tag.weight[...]); a piece is below itself."""
+    _, of_section, inner = node.partition("=")
+    if of_section:
+        return inner.split(";")
+    _, of_paragraph, inner = node.partition("[")
+    return inner[:-1].split(",") if of_paragraph else [node]
+
+
+def head(node: str) -> str:
+    """tag.weight of a node."""
+    return node.partition("=")[0].partition("[")[0]
 
 
 def likeness(a: str, b: str) -> float:
-    """The share of the two texts' characters that lies in pieces of both: 1 for equal roots."""
+    """The share of the two texts' characters that lies in branches of both: 1 for equal roots.
+
+    Sections of both count as a whole; of the others the paragraphs, and of those that differ the pieces meet.
+    """
     if a[:32] == b[:32]:
         return 1.0
-    x, y = (Counter(f[33:].split(",")) for f in (a, b))
-    weigh = lambda c: sum(int(k.partition(".")[2], 16) * n for k, n in c.items())
-    return 2 * weigh(x & y) / max(1, weigh(x) + weigh(y))
+    weight = lambda h: int(h.partition(".")[2], 16)
+    x, y = a[33:].split("/"), b[33:].split("/")
+    total = sum(weight(head(n)) for n in chain(x, y))
+    shared = 0
+    for _ in range(3):
+        hx, hy = list(map(head, x)), list(map(head, y))
+        both = Counter(hx) & Counter(hy)
+        shared += sum(weight(h) * n for h, n in both.items())
+        x, y = (list(chain.from_iterable(map(branches, unmatched(nodes, heads, both)))) for nodes, heads in ((x, hx), (y, hy)))
+    return 2 * shared / max(1, total)
+
+
+def unmatched(nodes: list[str], heads: list[str], both: Counter) -> list[str]:
+    """The nodes that are left when as many of each head as ``both`` says are taken away."""
+    left, out = Counter(both), []
+    for node, h in zip(nodes, heads, strict=True):
+        if left[h]:
+            left[h] -= 1
+        else:
+            out.append(node)
+    return out
 
 
 def differing(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(section, paragraph, piece) of text b's pieces that lie in branches a lacks: where b was edited."""
-    ta = tree(a)
-    sections, paragraphs, leaves = {str(s) for s in ta}, {str(p) for s in ta for p in s}, {d for s in ta for p in s for d, _ in p}
-    return [(i, j, k) for i, s in enumerate(tree(b)) if str(s) not in sections for j, p in enumerate(s) if str(p) not in paragraphs for k, (d, _) in enumerate(p) if d not in leaves]
+    """(section, paragraph, piece) of the pieces of fingerprint b that lie in branches a lacks: where the text was edited."""
+    if a[:32] == b[:32]:
+        return []
+    mine = a[33:].split("/")
+    paragraphs = list(chain.from_iterable(map(branches, mine)))
+    sections, lines, leaves = set(map(head, mine)), set(map(head, paragraphs)), set(chain.from_iterable(map(branches, paragraphs)))
+    return [(i, j, k) for i, s in enumerate(b[33:].split("/")) if head(s) not in sections for j, p in enumerate(branches(s)) if head(p) not in lines for k, leaf in enumerate(branches(p)) if leaf not in leaves]
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -114,10 +168,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Ranges come from approximate quantiles of doc_id. The first document of each range is also dealt to
     the range before it, and the very first to the last, so no row needs another range's. What is sent to
-    the tasks is two numbers for each RANGE_ROWS documents.
+    the tasks is two numbers for each range.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    n = max(1, rows.count() // RANGE_ROWS)
+    n = min(MOST_RANGES, max(1, rows.count() // RANGE_ROWS))
     cuts = np.unique(np.array(rows.approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else [], dtype=np.int64))
 
     @F.pandas_udf("int")
