@@ -25,7 +25,9 @@ MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES, READ_BYTES = 16 << 20, 1 << 20
 #: Bytes after which a new archive is begun.
 FILE_BYTES = 256 << 20
-RECORD = "record_id string, record_type string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+#: Bytes before a window's place that are let go together.
+KEPT_BYTES = 4 << 20
+RECORD = "record_id string, record_type string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, fault string"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -82,12 +84,12 @@ def write(records: DataFrame, folder: str) -> DataFrame:
 
 
 class Window:
-    """A file's bytes from lo on, read in steps as they are asked for."""
+    """A file's bytes from lo on, read in steps as they are asked for, in one buffer that isn't copied for each record."""
 
     def __init__(self, file: pa.NativeFile, lo: int, size: int):
-        self.file, self.lo, self.size, self.data = file, lo, size, b""
+        self.file, self.lo, self.size, self.data = file, lo, size, bytearray()
 
-    def upto(self, end: int) -> bytes:
+    def upto(self, end: int) -> bytearray:
         """The bytes from lo to at least end, or to the file's end."""
         while self.lo + len(self.data) < min(end, self.size):
             self.file.seek(self.lo + len(self.data))
@@ -95,7 +97,10 @@ class Window:
         return self.data
 
     def drop(self, before: int) -> None:
-        self.data, self.lo = self.data[before - self.lo :], before
+        """Bytes before a place aren't needed any more."""
+        if before - self.lo >= KEPT_BYTES:
+            del self.data[: before - self.lo]
+            self.lo = before
 
 
 def member(window: Window, at: int) -> tuple[bytes, int] | None:
@@ -122,22 +127,36 @@ def member(window: Window, at: int) -> tuple[bytes, int] | None:
     return (b"".join(out), pos - len(z.unused_data)) if seen is None else None
 
 
+def number(value: str | bytes | None) -> int | None:
+    """A length as a header gives it; null where it is none."""
+    try:
+        return None if value is None else int(value)
+    except ValueError:
+        return None
+
+
 def parsed(data: bytes) -> tuple | None:
-    """The columns of RECORD, or None for other kinds of record."""
+    """The columns of RECORD, or None for other kinds of record.
+
+    What is wrong with a record is its fault, and then it has no payload: a Content-Length that is no number
+    or that the block doesn't reach, or a payload that hasn't its digest.
+    """
     head, _, block = data.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8", errors="replace").split("\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     kind = fields.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    block = block[: int(fields.get("content-length", 0))]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
+    size = number(fields.get("content-length"))
+    fault = "length" if size is None or not 0 <= size <= len(block) else None
+    http, _, payload = (block if fault else block[:size]).partition(b"\r\n\r\n")
+    stated = [number(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    length = stated[0] if stated and stated[0] is not None else len(payload)
     bare = lambda k: v.removeprefix("<urn:page:").removesuffix(">") if (v := fields.get(k)) is not None else None
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and (len(payload) != length or base32_sha1(payload) != digest):
-        raise ValueError(f"record {fields.get('warc-record-id')}: its payload doesn't have the digest {digest}")
-    return bare("warc-record-id"), kind, fields.get("warc-target-uri"), bare("warc-refers-to"), digest, length, payload if kind == "response" else None
+    if not fault and kind == "response" and (len(payload) != length or base32_sha1(payload) != digest):
+        fault = "digest"
+    return bare("warc-record-id"), kind, fields.get("warc-target-uri"), bare("warc-refers-to"), digest, length, payload if kind == "response" and not fault else None, fault
 
 
 def owned(window: Window, lo: int, hi: int) -> Iterator[tuple[bytes, int]]:
@@ -165,13 +184,14 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records (RECORD) of the archives (path, bytes) of a table such as ``write`` gives; an empty table gives none.
 
     Records are found from any byte on: a range's first record needs no index. Responses are held against
-    their payload digest. Members that hold no WARC record are passed over.
+    their payload digest, and a record that is wrong has a fault instead of a payload. Members that hold no
+    WARC record are passed over.
     """
     n = F.greatest(F.lit(1), F.ceil(F.col("bytes") / range_bytes)).cast("int")
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     ranges = ranges.select("path", "bytes", (F.col("i") * F.lit(range_bytes)).cast("long").alias("lo"))
     names = [c.split()[0] for c in RECORD.split(", ")]
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,5 +255,5 @@ def round_trip(pages: DataFrame, folder: str | None = None, range_bytes: int = R
     made = write(records(pages), folder)
     back = read(made, range_bytes)
     ident = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
-    rows = back.select(ident("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", ident("refers_to").alias("refers_to"))
+    rows = back.where("fault IS NULL").select(ident("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", ident("refers_to").alias("refers_to"))
     return complete(rows, made)

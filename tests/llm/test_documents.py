@@ -39,7 +39,7 @@ def test_warc_passes_over_what_is_no_record(tmp_path):
         with pa.OSFile(str(path)) as f:
             starts += [at for _, at in warc.owned(warc.Window(f, lo, len(data)), lo, min(len(data), lo + 7))]
     assert starts == [data.index(member), data.rindex(member)]
-    assert warc.parsed(warc.member(warc.Window(pa.OSFile(str(path)), starts[0], len(data)), starts[0])[0])[-1] == b"abc"
+    assert warc.parsed(warc.member(warc.Window(pa.OSFile(str(path)), starts[0], len(data)), starts[0])[0])[-2:] == (b"abc", None)
 
 
 @pytest.mark.parametrize("rows", [20_000, 30])
@@ -66,7 +66,78 @@ def test_trees():
         x = "".join(rng.choice("ab \n.") for _ in range(rng.randint(0, 400)))
         assert "\n".join("".join(fp.pieces(line)) for line in x.split("\n")) == x
         assert (fp.fingerprint(x) == fp.fingerprint(x + "a")) is False and fp.likeness(fp.fingerprint(x), fp.fingerprint(x)) == 1
-    assert fp.differing("a b\nc d\ne f", "a b\nc x\ne f") == [(0, 1, 0)] and fp.differing("a", "a") == []
+    f = fp.fingerprint
+    assert fp.differing(f("a b\nc d\ne f"), f("a b\nc x\ne f")) == [(0, 1, 0)] and fp.differing(f("a"), f("a")) == []
+    x = "\n".join(f"line {i} " + " ".join(f"w{i}x{k}" for k in range(60)) for i in range(50))
+    assert {(i, j) for i, j, _ in fp.differing(f(x), f(x.replace("w40x30", "new")))} == {(40 // fp.SECTION, 40 % fp.SECTION)}
+
+
+def plain_tree(text):
+    """The tree by its description alone: sections of paragraphs of (digest, characters)."""
+    sections, now = [], []
+    for line in text.split("\n"):
+        if now and (line == "" or len(now) == 16):
+            sections.append(now)
+            now = []
+        words, cut, out = line.split(" "), [], []
+        for i, w in enumerate(words):
+            cut.append(w)
+            last = i == len(words) - 1
+            if not last and len(words) > 16 and ((zlib.crc32(w.encode()) % 8 == 0 and len(cut) >= 8) or len(cut) == 48):
+                out.append(" ".join(cut) + " ")
+                cut = []
+        out.append(" ".join(cut))
+        now.append([(hashlib.blake2b(p.encode(), digest_size=16).digest(), len(p)) for p in out])
+    return [*sections, now]
+
+
+def plain_fingerprint(text):
+    h = lambda kind, parts: hashlib.blake2b(kind + b"".join(parts), digest_size=16).digest()
+    node = lambda d, n: d.hex()[:8] + "." + hex(n)[2:]
+    secs, marks = [], []
+    for s in plain_tree(text):
+        ps = [(h(b"paragraph", [d for d, _ in p]), sum(n for _, n in p), p) for p in s]
+        marks.append(h(b"section", [d for d, _, _ in ps]))
+        secs.append(node(marks[-1], sum(n for _, n, _ in ps)) + "=" + ";".join(node(*p[0]) if len(p) == 1 else node(d, n) + "[" + ",".join(node(*x) for x in p) + "]" for d, n, p in ps))
+    return h(b"root", marks).hex() + ":" + "/".join(secs)
+
+
+def plain_likeness(x, y):
+    """Characters in common branches by taking sections, then paragraphs, then pieces out of both lists."""
+    if plain_fingerprint(x) == plain_fingerprint(y):
+        return 1.0
+    level = [[(str(s), sum(n for p in s for _, n in p), s) for s in plain_tree(t)] for t in (x, y)]
+    total, shared = sum(n for side in level for _, n, _ in side), 0
+    for depth in range(3):
+        a, b = level
+        for item in list(a):
+            twin = next((o for o in b if o[0] == item[0]), None)
+            if twin:
+                shared += item[1]
+                a.remove(item)
+                b.remove(twin)
+        if depth < 2:
+            level = [[(str(c), n if depth else sum(m for _, m in c), c) for _, _, inner in side for c, n in ((c, c[1] if depth else 0) for c in inner)] for side in (a, b)]
+    return 2 * shared / max(1, total)
+
+
+def test_fingerprints_against_a_plain_tree(small, spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()][:80] + ["", "\n", "a\n\nb", "x " * 5000]
+    for x, y in zip(texts, texts[1:], strict=False):
+        e = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        for other in (y, e, x):
+            assert fp.fingerprint(other) == plain_fingerprint(other)
+            assert fp.likeness(fp.fingerprint(x), fp.fingerprint(other)) == pytest.approx(plain_likeness(x, other), abs=1e-6)
+
+
+def test_warc_faults_are_told_and_end_nothing(spark, tmp_path):
+    good = warc.record("1", "u", "response", None, warc.base32_sha1(b"abc"), b"abc")
+    raw = zlib.decompress(good, wbits=31)
+    bad = [raw.replace(b"abc", b"abd"), raw.replace(b"Content-Length: ", b"Content-Length: x"), raw.replace(b"http; msgtype=response\r\nContent-Length: ", b"http; msgtype=response\r\nContent-Length: 9")]
+    data = b"".join([good, *[(lambda z: z.compress(x) + z.flush())(zlib.compressobj(6, zlib.DEFLATED, 31)) for x in bad], good])
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    got = warc.read(spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(data))], "path string, bytes long")).collect()
+    assert sorted((str(r["fault"]), r["payload"] is None) for r in got) == [("None", False), ("None", False), ("digest", True), ("length", True), ("length", True)]
 
 
 def test_edits_with_nulls_ties_and_few_rows(spark):
