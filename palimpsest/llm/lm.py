@@ -29,6 +29,8 @@ HEAD_WORDS = 200_000
 HELD_WORDS = 300_000
 #: Bytes of words that are scored together.
 BLOCK_BYTES = 200_000
+#: Words of more bytes are taken alone, LONG_BYTES at a time, so that no array is many times a long word's length.
+LONG_BYTES = 50_000
 #: Weight of the first scores against the counts, in pieces.
 PRIOR = 1000.0
 ADD = 0.1
@@ -90,8 +92,9 @@ class Lattice:
 
     def blocks(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Indices and bytes of words of equal length (a blank before each), a bounded number at a time."""
-        lens = np.array([len(w) + 1 for w in words])
+        lens = np.array([len(w) + 1 for w in words], dtype=np.int64)
         order = np.argsort(lens, kind="stable")
+        order = order[lens[order] <= LONG_BYTES]
         at = 0
         while at < len(order):
             n = int(lens[order[at]])
@@ -100,6 +103,36 @@ class Lattice:
             yield part, np.frombuffer(b"".join(b" " + words[i] for i in part), dtype=np.uint8).reshape(-1, n)
             at = end
 
+    def long_word(self, word: bytes, weight: np.ndarray, total: np.ndarray | None = None, count: float = 0.0) -> float:
+        """Log of one word's summed weight, LONG_BYTES at a time; total, if given, gets its pieces' expected uses."""
+        text = np.frombuffer(b" " + word, dtype=np.uint8)
+        n = len(text)
+
+        def starts(lo: int) -> list[list[tuple[int, int, float]]]:
+            """For each place from lo on: length, id and weight of the pieces that begin there."""
+            out: list[list[tuple[int, int, float]]] = [[] for _ in range(min(n, lo + LONG_BYTES) - lo)]
+            for k, ident in self.hits(text[None, lo : lo + LONG_BYTES + self.longest]).items():
+                for at in np.flatnonzero(ident[0, : len(out)] >= 0).tolist():
+                    out[at].append((k, int(ident[0, at]), float(weight[ident[0, at]])))
+            return out
+
+        add = lambda x, y: y if x == -math.inf else x if y == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+        a = [-math.inf] * (n + 1)
+        a[0] = 0.0
+        for lo in range(0, n, LONG_BYTES):
+            for at, found in enumerate(starts(lo), lo):
+                for k, _, w in found:
+                    a[at + k] = add(a[at + k], a[at] + w)
+        if total is not None:
+            b = [-math.inf] * (n + 1)
+            b[n] = 0.0
+            for lo in reversed(range(0, n, LONG_BYTES)):
+                for at, found in reversed(list(enumerate(starts(lo), lo))):
+                    for k, piece, w in found:
+                        b[at] = add(b[at], b[at + k] + w)
+                        total[piece] += count * math.exp(a[at] + w + b[at + k] - a[n])
+        return a[n]
+
     def log_weights(self, words: list[bytes], weight: np.ndarray) -> np.ndarray:
         """Natural log of each word's marginal probability."""
         out = np.zeros(len(words))
@@ -108,6 +141,9 @@ class Lattice:
             found = self.hits(text)
             logs, used = {k: padded[x] for k, x in found.items()}, {k: (x >= 0).any(axis=0) for k, x in found.items()}
             out[part] = self.forward(text.shape[1], text.shape[0], logs, used)[:, -1]
+        for i, w in enumerate(words):
+            if len(w) >= LONG_BYTES:
+                out[i] = self.long_word(w, weight)
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -128,6 +164,9 @@ class Lattice:
                 rows, at = np.nonzero(ident >= 0)
                 p = np.exp(a[rows, at] + logs[k][rows, at] + b[rows, at + k] - a[rows, n]) * counts[part[rows]]
                 total += np.bincount(ident[rows, at], weights=p, minlength=len(total))
+        for w, c in zip(words, counts, strict=True):
+            if len(w) >= LONG_BYTES:
+                self.long_word(w, weight, total, float(c))
         return total
 
 
@@ -215,23 +254,25 @@ def learnt(words: DataFrame, docs: int, path: str) -> Totals:
 
 
 def scored_words(words: DataFrame, totals: Totals, path: str) -> DataFrame:
-    """word, c, lp: natural log of the word's marginal probability."""
+    """word, c, lp, lp0: natural logs of the word's marginal probability by the fitted weights and by the vocabulary's own."""
     sent = words.sparkSession.sparkContext.broadcast(totals.weight)  # a number for each piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, _ = vocabulary(path)
+        lattice, first = vocabulary(path)
         for b in slices(batches, 50_000):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lattice.log_weights(b.column(0).to_pylist(), sent.value))], names=["word", "c", "lp"])
+            w = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(lattice.log_weights(w, x)) for x in (sent.value, first)]], names=["word", "c", "lp", "lp0"])
 
-    return written(words.mapInArrow(run, "word binary, c long, lp double"))
+    return written(words.mapInArrow(run, "word binary, c long, lp double, lp0 double"))
 
 
 def score(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score of every whole text.
 
     It learns from the rows whose crc32(doc_id as text) mod 10 isn't 0. Tokens are the words, A-Z lower-cased,
     and one end. base_score is the sum of log10((c + 0.1) / (N + 0.1 (V + 1))), score the lattice's log10
-    probability of the words and the end. Null and empty texts have the end alone; a null doc_id counts as
+    probability of the words and the end by weights fitted to the training words, and vocabulary_score the same
+    by the vocabulary's own. Null and empty texts have the end alone; a null doc_id counts as
     the empty text in crc32; repeated rows each count; without training rows the first weights hold. Other
     columns are left out. path: a sentencepiece model on every worker.
     """
@@ -243,10 +284,10 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     base = math.log10(totals.tokens + ADD * (totals.distinct + 1))
     # HEAD_WORDS rows at most are collected and broadcast.
     top = words.orderBy(F.desc("c"), "word").limit(HEAD_WORDS).toArrow().combine_chunks()
-    head = spark.sparkContext.broadcast((top.column("word").to_pylist(), np.r_[top.column("c").to_numpy(), 0].astype(float), np.r_[top.column("lp").to_numpy(), 0.0]))
+    head = spark.sparkContext.broadcast((top.column("word").to_pylist(), np.r_[top.column("c").to_numpy(), 0].astype(float), np.r_[top.column("lp").to_numpy(), 0.0], np.r_[top.column("lp0").to_numpy(), 0.0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, c, lp = head.value
+        names, c, lp, lp0 = head.value
         place = dict(zip(names, range(len(names)), strict=True))
         logs = np.r_[np.log10(c[:-1] + ADD) - base, 0.0]
         known = np.r_[c[:-1] > 0, False]
@@ -257,17 +298,17 @@ def score(docs: DataFrame, path: str) -> DataFrame:
                 w = words_of(text)
                 at = np.fromiter(map(place.get, w, repeat(-1)), dtype=np.int64, count=len(w))
                 rest = Counter(w[i] for i in np.flatnonzero(at < 0).tolist())
-                out.append((row, doc_id, held_out, len(w), int(known[at].sum()), float(logs[at].sum()), float(lp[at].sum()), list(rest), list(rest.values())))
+                out.append((row, doc_id, held_out, len(w), int(known[at].sum()), float(logs[at].sum()), float(lp[at].sum()), float(lp0[at].sum()), list(rest), list(rest.values())))
                 row += 1
-            kinds = [pa.int64(), b.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), b.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
 
-    columns = ["row", "doc_id", "held_out", "n", "known", "base", "lp", "rest", "times"]
+    columns = ["row", "doc_id", "held_out", "n", "known", "base", "lp", "lp0", "rest", "times"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    part = written(rows.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n long, known long, base double, lp double, rest array<binary>, times array<long>"))
+    part = written(rows.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n long, known long, base double, lp double, lp0 double, rest array<binary>, times array<long>"))
     rare = part.select("row", F.inline(F.arrays_zip("rest", "times"))).withColumnsRenamed({"rest": "word", "times": "k"})
     rare = rare.join(words, "word").groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known2"), F.sum(F.col("k") * (F.log10(F.col("c") + ADD) - base)).alias("base2"), F.sum(F.col("k") * F.col("lp")).alias("lp2")
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known2"), F.sum(F.col("k") * (F.log10(F.col("c") + ADD) - base)).alias("base2"), F.sum(F.col("k") * F.col("lp")).alias("lp2"), F.sum(F.col("k") * F.col("lp0")).alias("lp3")
     )
     end_base = math.log10(totals.docs + ADD) - base
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -279,4 +320,5 @@ def score(docs: DataFrame, path: str) -> DataFrame:
         F.lit(totals.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("base2") + end_base).alias("base_score"),
         ((F.col("lp") + zero("lp2") + totals.end) / math.log(10)).alias("score"),
+        ((F.col("lp0") + zero("lp3") + totals.end) / math.log(10)).alias("vocabulary_score"),
     )
