@@ -65,6 +65,62 @@ def test_scores_against_brute_force(spark, small, head, monkeypatch):
     assert lm.score(df.limit(0), PIECES).count() == 0
 
 
+def test_score_against_an_independent_fit(spark):
+    """The score from its definition: one pass of expected counts over all cuts, then the sum over all cuts of each word."""
+    lattice, weight = lm.vocabulary(PIECES)
+    first = {p: math.exp(w) for p, w in zip(lattice.pieces, weight)}
+    texts = ["the cat then", "a cat the", "Then né zq", "", None, "cat cat cat the"] + [f"when the w{i}" for i in range(20)]
+    docs = list(enumerate(texts))
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    words = lambda t: (t or "").lower().encode().split()
+
+    def cuts(s):
+        return [[s[:k], *rest] for k in range(1, len(s) + 1) if s[:k] in first for rest in cuts(s[k:])] if s else [[]]
+
+    value = lambda cut, of: math.prod(of[p] for p in cut)
+    uses = collections.Counter({p: w * 1000.0 for p, w in first.items()})
+    n_docs = sum(not held(i) for i, _ in docs)
+    for i, t in docs:
+        for w in [] if held(i) else words(t):
+            every = cuts(b" " + w)
+            whole = sum(value(c, first) for c in every)
+            for c in every:
+                for p in c:
+                    uses[p] += value(c, first) / whole
+    total = sum(uses.values()) + n_docs + 1
+    fitted = {p: n / total for p, n in uses.items()}
+    score = lambda t, of: sum(math.log10(sum(value(c, of) for c in cuts(b" " + w))) for w in words(t)) + math.log10((n_docs + 1) / total)
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), PIECES).collect()}
+    for i, t in docs:
+        assert got[i]["score"] == pytest.approx(score(t, fitted), abs=1e-6) and got[i]["vocabulary_score"] == pytest.approx(score(t, first), abs=1e-6)
+
+
+def test_long_words_are_taken_in_parts(monkeypatch):
+    lattice, weight = lm.vocabulary(PIECES)
+    words = [b"thewhencat" * 40, b"the"]
+    want, uses = lattice.log_weights(words, weight), lattice.expected(words, np.array([2.0, 3.0]), weight)
+    monkeypatch.setattr(lm, "LONG_BYTES", 64)
+    assert np.allclose(lattice.log_weights(words, weight), want) and np.allclose(lattice.expected(words, np.array([2.0, 3.0]), weight), uses)
+
+
+def test_quality_weights_are_the_least_loss():
+    """By the loss alone: no step from the fitted weights lessens it, and the threshold leaves out the share that is bad."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    x = rng.normal(size=(200, 4)) * [1, 5, 0.1, 2] + [0, 3, 1, -2]
+    y = (x @ [1.0, -0.3, 2.0, 0.0] + rng.normal(size=200) > 1.5).astype(int)
+    model = quality.fit_pairs(x, y)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    draw = np.random.Generator(np.random.PCG64(7))
+    n = min(quality.PAIRS, len(good) * len(bad) * 4)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d = z[draw.choice(good, n)] - z[draw.choice(bad, n)]
+    loss = lambda w: np.logaddexp(0, -(d @ w)).mean() + 5e-4 * (w @ w)
+    w = model.weight * x.std(axis=0)
+    assert all(loss(w + s * 1e-3 * e) > loss(w) for e in np.eye(4) for s in (-1, 1))
+    s = model.scores(x)
+    assert abs((s < quality.CUT).mean() - len(bad) / len(y)) < 0.02 and np.corrcoef(s >= quality.CUT, y)[0, 1] > 0.5
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -111,6 +111,26 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_recall_of_edited_licenses(spark):
+    """Every template with words changed here and there, against exact containment of all its shingles."""
+    rng = random.Random(4)
+    rows = []
+    for _, text in licenses.TEMPLATES:
+        for rate in (0.0, 0.01, 0.02, 0.03, 0.05, 0.1):
+            w = [rng.choice(["alpha", "beta"]) if rng.random() < rate else x for x in text.split()]
+            rows.append((len(rows), "Some words before. " + " ".join(w) + " And after."))
+    sets = [licenses.shingles_in(t, licenses.WIDTH) for _, t in licenses.TEMPLATES]
+    want = set()
+    for i, text in rows:
+        line = f" {' '.join(licenses.words_in(text))} "
+        for n, s in enumerate(sets):
+            if 100 * sum(f" {x} " in line for x in s) >= licenses.LEAST_PERCENT * len(s):
+                want.add((i, n))
+    got = {(r["doc_id"], r["template"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print(f"recall {len(got & want) / len(want)} of {len(want)}")
+    assert got == want and len(want) > 80
+
+
 def test_scattered_shingles_of_a_license(spark):
     """Templates of four shingles, every shingle alone between other words: contained without a run of any."""
     templates = [(f"T{n}", " ".join(f"t{n}w{k}" for k in range(8))) for n in range(200)]
