@@ -8,6 +8,7 @@ and findings are joined back to every path that has the blob.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,13 +23,17 @@ LEDGER = "blob binary, rule string, spans array<struct<start:int, end:int>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches of pattern whose group ``group`` has at least ``least`` characters."""
+    """A kind of secret: matches of pattern whose group ``group`` has at least ``least`` characters.
+
+    Any match holds one of ``needs``, so texts without them are spared the pattern.
+    """
 
     kind: str
     version: int
     pattern: str
     group: int
     least: int
+    needs: tuple[str, ...] = ()
 
     @property
     def id(self) -> str:
@@ -38,15 +43,15 @@ class Rule:
 #: The base kinds, in the order in which spans of equal start are listed.
 BASE_RULES = (
     Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18),
+    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18, ("AKIA",)),
     # Runs are maximal, so the shorter ones need not be made to be dropped.
     Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
 )
 #: Kinds that the ledger adds to the base ones, listed after them.
 ADDED_RULES = (
-    Rule("github", 1, r"gh[opsu]_[A-Za-z0-9]{36,}", 0, 40),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 32),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x0A\x0D]*", 0, 27),
+    Rule("github", 1, r"gh[opsu]_[A-Za-z0-9]{36,}", 0, 40, ("gho_", "ghp_", "ghs_", "ghu_")),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 32, ("eyJ",)),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x0A\x0D]*", 0, 27, ("-----BEGIN ",)),
 )
 RULES = (*BASE_RULES, *ADDED_RULES)
 #: Code points of a block, in which a place is found by counting from the block's start.
@@ -60,7 +65,11 @@ def parts_of(text: Column, rule: Rule) -> Column:
     groups = hits if rule.group == 0 else F.regexp_extract_all(text, pattern, rule.group)
     parts = F.zip_with(hits, groups, lambda h, g: F.struct(F.char_length(h).alias("n"), (F.char_length(g) >= rule.least).alias("ok")))
     parts = F.zip_with(parts, gaps, lambda p, gap: F.struct(p["n"].alias("n"), p["ok"].alias("ok"), F.char_length(gap).alias("gap")))
-    return F.filter(parts, lambda p: p["n"].isNotNull())  # behind the last match is one more gap
+    parts = F.filter(parts, lambda p: p["n"].isNotNull())  # behind the last match is one more gap
+    if not rule.needs:
+        return parts
+    some = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in rule.needs])
+    return F.when(some, parts).otherwise(F.array().cast("array<struct<n:int,ok:boolean,gap:int>>"))
 
 
 def placed(found: DataFrame) -> DataFrame:
