@@ -62,13 +62,12 @@ def parts_of(text: Column, rule: Rule) -> Column:
     """The rule's matches in text, leftmost and not overlapping: characters, whether it counts, characters of the text before it."""
     pattern = F.lit(rule.pattern)
     hits, gaps = F.regexp_extract_all(text, pattern, 0), F.split(text, rule.pattern)
-    groups = hits if rule.group == 0 else F.regexp_extract_all(text, pattern, rule.group)
-    parts = F.zip_with(hits, groups, lambda h, g: F.struct(F.char_length(h).alias("n"), (F.char_length(g) >= rule.least).alias("ok")))
+    one = lambda h, g: F.struct(F.char_length(h).alias("n"), (F.char_length(g) >= rule.least).alias("ok"))
+    parts = F.transform(hits, lambda h: one(h, h)) if rule.group == 0 else F.zip_with(hits, F.regexp_extract_all(text, pattern, rule.group), one)
     parts = F.zip_with(parts, gaps, lambda p, gap: F.struct(p["n"].alias("n"), p["ok"].alias("ok"), F.char_length(gap).alias("gap")))
     parts = F.filter(parts, lambda p: p["n"].isNotNull())  # behind the last match is one more gap
-    if not rule.needs:
-        return parts
-    some = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in rule.needs])
+    # Texts without a match, nearly all, are read once, and by literals where a rule has any.
+    some = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in rule.needs]) if rule.needs else text.rlike(rule.pattern)
     return F.when(some, parts).otherwise(F.array().cast("array<struct<n:int,ok:boolean,gap:int>>"))
 
 
