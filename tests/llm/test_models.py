@@ -132,6 +132,27 @@ def test_quality_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.95
 
 
+def test_quality_learns_labels_that_lie_in_words_alone(spark):
+    """Texts of one form, good and bad by which of two sets of equally long words they draw most from."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    kinds = ["".join(rng.choice(letters, 5)) for _ in range(40)]
+    y = {i: int(rng.random() < 0.7) for i in range(600)}
+    rows = [(i, " ".join(kinds[int(rng.integers(20)) + (20 if rng.random() < (0.7 if v else 0.3) else 0)] for _ in range(60))) for i, v in y.items()]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(y.items()), "doc_id long, quality int")).collect()
+    held = [r["predicted"] == y[r["doc_id"]] for r in got if r["held_out"]]
+    assert len(held) > 80 and sum(held) / len(held) > 0.9
+
+
+def test_letter_profile_is_that_of_all_windows(monkeypatch):
+    text = "a née text of some length, as long as that".encode() * 50
+    want = quality.letter_profile(text)
+    monkeypatch.setattr(quality, "WINDOW_BYTES", 7)
+    assert quality.letter_profile(text) == want and sum(x * x for x in want) == pytest.approx(1)
+    for short in (b"", b"a", b"ab"):
+        assert quality.letter_profile(short) == [0.0] * quality.PLACES
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, 9), (2, "", 9), (None, "a b", 9), (2, "", 9)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1), (None, 0), (7, None)], "doc_id long, quality int")
