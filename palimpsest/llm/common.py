@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal values in the first ``by`` columns of sorted batches, as tables."""
+    held: list[pa.RecordBatch] = []
+    mark = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = np.stack([b.column(k).to_numpy() for k in range(by)])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and tuple(at[:, lo]) != mark:
+                yield pa.Table.from_batches(held)
+                held = []
+            mark = tuple(at[:, lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(docs[text], F.lit(""))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices, text_of, written
+from palimpsest.llm.common import runs, slices, text_of, written
 
 #: Code points of the shortest key that counts.
 SHORTEST = 10
@@ -140,30 +140,11 @@ def lines_of(rows: DataFrame, shortest: int) -> DataFrame:
     return written(rows.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, row long, h long, g long"))
 
 
-def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
-    """Runs of rows with equal values in the first ``by`` columns of sorted batches, as tables."""
-    held: list[pa.RecordBatch] = []
-    mark = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        at = np.stack([b.column(k).to_numpy() for k in range(by)])
-        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if held and tuple(at[:, lo]) != mark:
-                yield pa.Table.from_batches(held)
-                held = []
-            mark = tuple(at[:, lo])
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def shards_of(repeated: DataFrame) -> DataFrame:
     """shard and its arrays, from rows (shard, h, g, n, owner)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, 1):
+        for t in runs(batches, 1):
             h, g, n, owner = (t.column(k).to_numpy() for k in range(1, 5))
             arrays = packed(h.view(np.uint64), g.view(np.uint64), n, owner)
             kinds = [pa.list_(pa.binary()), *[pa.binary()] * 4]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, bpe, conversations, fingerprints, licenses, line_dedup, lm, near_dup, packing, quality, secrets, warc
+from palimpsest.llm import ann, bpe, conversations, fingerprints, lexical, licenses, line_dedup, lm, near_dup, packing, quality, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,11 +76,15 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.reports(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann, op2_licenses, op3_near_dup, op4_bpe, op5_warc, op6_lm, op7_secrets, op8_packing, op9_fingerprints, op10_quality, op11_line_dedup, op13_conversations)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann, op2_licenses, op3_near_dup, op4_bpe, op5_warc, op6_lm, op7_secrets, op8_packing, op9_fingerprints, op10_quality, op11_line_dedup, op12_lexical, op13_conversations)}
 ORACLE_SQL: dict[str, str] = {
     "op1_ann": """
 WITH v AS (
@@ -114,5 +118,6 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
 FROM (SELECT *, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS first FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))""",
     "op7_secrets": secrets.oracle(),
     "op11_line_dedup": line_dedup.ORACLE,
+    "op12_lexical": lexical.ORACLE,
     "op13_conversations": conversations.oracle(),
 }
