@@ -1,11 +1,11 @@
 """Conversation structure repair by Knuth's lightest derivation.
 
-What a repair may do is a weighted hypergraph. Its axioms are the edits that each row allows; an item (i, state)
-says that i rows are repaired and that the roles so far leave the pattern ``(s?(ua)+)?`` in ``state``; a
-deduction ties an item and an edit to the next item. A derivation's value is its (cost, audit), ordered by cost, then by
-the audit's bytes. Deductions are superior functions: what they give is never below what they take. So the
-agenda pops values in order, the first value popped for an item is its lightest, and the work ends when a
-goal item is popped.
+What a repair may do is a weighted hypergraph. Its axioms are the edits that each row allows, with their costs; an
+item (i, state) says that i rows are repaired and that the roles so far leave the pattern ``(s?(ua)+)?`` in
+``state``; a deduction ties an item and an edit to the next item and writes the edit's initial. A value is a (cost,
+audit), ordered by cost, then by the audit's bytes. Deductions are superior functions: what they give is never below
+what they take (an edit's own audit is empty, as "KD" + "R" would be below "R"). So the agenda pops values in
+order, the first value popped for an item is its lightest, and the work ends when a goal item is popped.
 
 Order is kept when audits are continued: of two audits of equal cost for the same rows neither is a prefix of the other,
 because the longer one would have paid for its further edits. Hence a long conversation is read in blocks:
@@ -49,10 +49,11 @@ Value = tuple[int, str]
 
 @dataclass
 class Deduction:
-    """From values of all of ``tail`` the value of ``head`` follows: costs are summed, audits joined in order."""
+    """From values of all of ``tail`` the value of ``head`` follows: costs are summed, audits joined, and ``letter`` added."""
 
     head: Hashable
     tail: tuple[Hashable, ...]
+    letter: str
     open: int = field(init=False)
 
     def __post_init__(self) -> None:
@@ -79,7 +80,7 @@ def lightest(axioms: dict[Hashable, Value], deductions: Iterable[Deduction], goa
             d.open -= 1
             if not d.open and d.head not in final:
                 values = [final[x] for x in d.tail]
-                heapq.heappush(agenda, ((sum(c for c, _ in values), "".join(a for _, a in values)), d.head))
+                heapq.heappush(agenda, ((sum(c for c, _ in values), "".join(a for _, a in values) + d.letter), d.head))
     return final
 
 
@@ -99,15 +100,15 @@ def block_ends(starts: dict[int, Value], rows: list[tuple[str, int]], last: bool
     axioms: dict[Hashable, Value] = {("at", 0, q): v for q, v in starts.items()}
     deductions = []
     for i in range(len(rows) + 1):
-        axioms["edit", i, INSERT] = (COSTS[INSERT], INSERT)
-        deductions += [Deduction(("at", i, NEXT[q, ROLE[q][0]]), (("at", i, q), ("edit", i, INSERT))) for q in ROLE]
+        axioms["edit", i, INSERT] = (COSTS[INSERT], "")
+        deductions += [Deduction(("at", i, NEXT[q, ROLE[q][0]]), (("at", i, q), ("edit", i, INSERT)), INSERT) for q in ROLE]
     for i, (initial, fault) in enumerate(rows):
         for letter, cost in edits_of(fault):
-            axioms["edit", i, letter] = (cost, letter)
+            axioms["edit", i, letter] = (cost, "")
             for q in ROLE:
                 to = q if letter == DELETE else NEXT.get((q, initial if letter == KEEP else ROLE[q][0]))
                 if to is not None:
-                    deductions.append(Deduction(("at", i + 1, to), (("at", i, q), ("edit", i, letter))))
+                    deductions.append(Deduction(("at", i + 1, to), (("at", i, q), ("edit", i, letter)), letter))
     n = len(rows)
     ends = {("at", n, q) for q in ENDS}
     final = lightest(axioms, deductions, (lambda item: item in ends) if last else (lambda item: False))
@@ -248,7 +249,7 @@ def reports(turns: DataFrame) -> DataFrame:
 
     gaps, blank, duplicate, truncated, illegal count faults of the rows that are present: turns that are missing
     between the first and last (rows without a turn don't count), each row's first fault, and neighbours whose
-    initials aren't su, ua or au. The digest is the SHA-256 of the repaired rows as ``role:text``, joined by \\n. A
+    initials aren't su, ua or au. An empty role has no initial and fits no place of the pattern. The digest is the SHA-256 of the repaired rows as ``role:text``, joined by \\n. A
     conversation without rows has zeros, an empty audit and the digest of nothing. Repeated rows are duplicates.
     """
 
