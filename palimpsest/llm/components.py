@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import written
 
+#: Rows of a link table that one task handles, about.
+TASK_ROWS = 100_000
+
+
+def dealt_by_rows(table: DataFrame):
+    """A function that gives what follows from the written table as many tasks as its counted rows need.
+
+    Where the session's shuffle partitions aren't more than that, they stay.
+    """
+    tasks = 1 + table.count() // TASK_ROWS
+    most = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (lambda df: df.coalesce(tasks)) if tasks < most else (lambda df: df)
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (smallest id reachable) for every id in ``links``; an empty table gives no rows.
@@ -16,20 +29,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links, links to itself and links with a null end change nothing.
     """
     both = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = written(both.distinct())
-    while True:
+    edges = written(both)
+    few = dealt_by_rows(edges)
+    while not edges.isEmpty():
         # Large star: from every id, its larger neighbours go to its smallest neighbour or itself.
         sides = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).withColumnRenamed("u", "k")
-        large = sides.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        low = few(sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).withColumnRenamed("u", "k"))
+        large = few(few(sides.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("m").alias("u"), "v").where("u < v")).distinct())
         # Small star: each id and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "k")
-        near = large.join(least, F.col("v") == F.col("k"))
+        least = few(large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "k"))
+        near = few(large.join(least, F.col("v") == F.col("k")))
         small = near.select(F.col("m").alias("u"), "v").unionAll(near.select(F.col("m").alias("u"), F.col("u").alias("v"))).where("u < v").distinct()
-        new = written(small)
+        edges = written(few(small))
+        few = dealt_by_rows(edges)
         # Done when every id has one link, to an id that has none to a smaller one.
-        stars = new.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u"))
+        stars = few(edges.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u")))
         open_ids = stars.where("n > 1").select("v").unionAll(stars.select("u").join(stars.select(F.col("v").alias("u")), "u", "left_semi").select(F.col("u").alias("v")))
-        edges = new
-        if open_ids.isEmpty():
-            return edges.select(F.col("v").alias("id"), F.col("u").alias("component")).unionAll(edges.select(F.col("u").alias("id"), F.col("u").alias("component"))).distinct()
+        if few(open_ids).isEmpty():
+            break
+    roots = few(edges.select("u").distinct()).select(F.col("u").alias("id"), F.col("u").alias("component"))
+    return edges.select(F.col("v").alias("id"), F.col("u").alias("component")).unionAll(roots)

@@ -374,8 +374,11 @@ def in_tiles(rows: DataFrame, payload: DataFrame, percent: int, full: bool) -> D
     return written(dealt(rows, payload).mapInArrow(run, "a binary, b binary"))
 
 
-def class_links(docs: DataFrame, made: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links a, b that tie the classes of linked sets together, and the classes (key, rep, n_shingles)."""
+def class_links(docs: DataFrame, made: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ties the classes of linked sets together, and the classes (key, rep, n_shingles).
+
+    The first links are given as labels (id, component) of the classes that they tie, the others as links a, b.
+    """
     real = made.where("id IS NOT NULL AND set_key IS NOT NULL").withColumnRenamed("set_key", "key")
     first = real.groupBy("key").agg(F.min("id").alias("rep"))
     reps = real.join(first.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").dropDuplicates(["key"])
@@ -389,7 +392,8 @@ def class_links(docs: DataFrame, made: DataFrame, width: int, percent: int) -> t
     wanted = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
     links = written(verified(pairs, sets_of(wanted), percent))
     # Leads have met all members of their buckets; others have met nobody but them.
-    rows = members.where("n > 2 AND key != lead").join(components(links).withColumnRenamed("id", "key"), "key", "left")
+    tied = components(links)
+    rows = members.where("n > 2 AND key != lead").join(tied.withColumnRenamed("id", "key"), "key", "left")
     rows = rows.select(F.col("band").alias("bucket"), "key", F.coalesce("component", "key").alias("component"), "n_shingles")
     still = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     rows = written(rows.join(still, "bucket", "left_semi"))
@@ -400,12 +404,21 @@ def class_links(docs: DataFrame, made: DataFrame, width: int, percent: int) -> t
     met = met.select(F.when(F.col("whole"), F.xxhash64("family")).otherwise(F.col("bucket")).alias("bucket"), "key", "component", "n_shingles").distinct()
     met = written(met)
     sets = sets_of(met.select("key").distinct()).withColumnRenamed("items", "payload")
-    return links.unionAll(in_tiles(met, sets, percent, full=True)), reps.select("key", "rep", "n_shingles")
+    return tied, in_tiles(met, sets, percent, full=True), reps.select("key", "rep", "n_shingles")
 
 
-def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """key, component: the smallest rep among the classes that links tie to each class."""
-    tied = components(links).withColumnsRenamed({"id": "key", "component": "group"})
+def labelled(classes: DataFrame, tied: DataFrame, links: DataFrame) -> DataFrame:
+    """key, component: the smallest rep among the classes that labels and links tie to each class.
+
+    Only links between different labels are left to follow, and what they tie takes the label that they lead to.
+    """
+    side = lambda c: tied.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label"))
+    rest = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    further = components(rest).select(F.col("id").alias("component"), F.col("component").alias("further"))
+    moved = tied.join(further, "component", "left").select(F.col("id").alias("key"), F.coalesce("further", "component").alias("group"))
+    # Classes that no label held before name themselves in the links.
+    alone = further.join(tied.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("key"), F.col("further").alias("group"))
+    tied = written(moved.unionAll(alone))
     low = tied.join(classes.select("key", "rep"), "key").groupBy("group").agg(F.min("rep").alias("component"))
     found = tied.join(low, "group").select("key", "component")
     return classes.join(found, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
@@ -422,12 +435,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     with a probability of about 3e-6; all else is exact.
     """
     made = sketches(docs, width)
-    links, classes = class_links(docs, made, width, percent)
+    tied, links, classes = class_links(docs, made, width, percent)
     real = made.where("id IS NOT NULL AND set_key IS NOT NULL").select("id", F.col("set_key").alias("key"))
     # Several texts of one doc_id tie their classes together.
     low = real.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("id", "a")
     links = links.unionAll(real.join(low, "id").where("key != a").select("a", F.col("key").alias("b")))
-    label = labelled(classes, links).withColumnRenamed("key", "set_key")
+    label = labelled(classes, tied, links).withColumnRenamed("key", "set_key")
     rows = made.select(F.col("id").alias("doc_id"), "n_shingles", "set_key")
     has = F.col("doc_id").isNotNull() & F.col("set_key").isNotNull()
     full = rows.where(has).join(label, "set_key", "left").select("doc_id", "n_shingles", "component")
@@ -444,8 +457,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Rows that repeat doc_id and text are one. Rows with a null doc_id, and blank texts, all stay.
     """
     made = sketches(docs, width)
-    links, classes = class_links(docs, made, width, percent)
-    label = labelled(classes, links).join(classes, "key")
+    tied, links, classes = class_links(docs, made, width, percent)
+    label = labelled(classes, tied, links).join(classes, "key")
     best = label.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("best"))
     rows = made.where("id IS NOT NULL AND set_key IS NOT NULL").select("id", F.col("set_key").alias("key"))
     judged = rows.join(best.select(F.col("best.rep").alias("id"), F.col("best.key").alias("key"), F.lit(True).alias("stays")), ["id", "key"], "left")
