@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import Bpe, byte_symbols
+from palimpsest.llm.bpe import Bpe, byte_symbols, tokenizer
 from palimpsest.llm.common import slices, text_of, written
 
 #: A range of tails (length, first rank, count, start and tokens of the part placed, place on the line of tails) and
@@ -131,15 +131,26 @@ def quick_tokenizer(path: str) -> tuple[tiktoken.Encoding, int]:
     return tiktoken.Encoding("byte_bpe", pat_str=Bpe.PATTERN, mergeable_ranks=ranks, special_tokens=special), ids[-1]
 
 
+def ids_of(text: str, path: str) -> bytes:
+    """A whole text's ids, as little-endian unsigned 32-bit integers.
+
+    tiktoken's pattern gives up on some texts, such as a million blanks; those go the exact encoder's way.
+    """
+    coder, _ = quick_tokenizer(path)
+    try:
+        return coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+    except ValueError:
+        return tokenizer(path).encode([text])[0]
+
+
 def tokenised(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     """doc_id, doc_tokens, tail (tokens in the last, not full piece), crcs (of the full pieces), tail_ids (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, _ = quick_tokenizer(path)
         end = np.uint32(end_id).tobytes()
         step = 4 * size
         for b in slices(batches):
-            ids = [coder.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() + end for t in b.column(1).to_pylist()]
+            ids = [ids_of(t, path) + end for t in b.column(1).to_pylist()]
             cut = [len(x) // step * step for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -114,3 +114,21 @@ def test_pieces_and_sequences(spark, small):
         assert end <= 1024
         padding += 0 if end & (end - 1) == 0 else 1024 - end
     assert padding <= 2048
+
+
+LONG = [" " * 2_000_000, "\n" * 2_000_000, "\t" * 1_000_000, "\xa0" * 1_000_000, "a" * 2_000_000, "x" + " " * 1_000_000 + "y<|endoftext|>"]
+
+
+def test_very_long_runs_of_one_letter(spark):
+    want, _ = reference_ids(LONG)
+    got = {r["doc_id"]: r for r in bpe.digests(frame(spark, LONG), PATH).collect()}
+    for i, ids in enumerate(want):
+        assert got[i or None]["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
+    pieces = {}
+    for r in packing.pack(frame(spark, LONG).drop("ids", "n_tokens"), PATH).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    for i, ids in enumerate(want):
+        ids = np.append(ids, np.uint32(0)).astype("<u4")
+        mine = sorted(pieces[i or None])
+        assert [a for a, _, _ in mine] == [0, *np.cumsum([n for _, n, _ in mine])[:-1].tolist()] and sum(n for _, n, _ in mine) == len(ids)
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == crc for a, n, crc in mine)
