@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,18 @@ def normalized(value: Column) -> Column:
     return as_text(F.try_to_timestamp(F.trim(value)))
 
 
+def instant(value: str) -> str:
+    """The same of a single text: UTC with milliseconds (what lies between them goes). A text without a day, a time and an offset is refused."""
+    try:
+        at = datetime.fromisoformat(value.strip())
+    except ValueError:
+        at = None
+    if at is None or at.tzinfo is None:
+        raise ValueError(f"not an instant in ISO 8601: {value!r}")
+    at = at.astimezone(UTC)
+    return f"{at:%Y-%m-%dT%H:%M:%S}.{at.microsecond // 1000:03d}Z"
+
+
 def from_millis(ms: Column) -> Column:
     return as_text(F.timestamp_millis(ms))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import ids
 from palimpsest.functions import text as tx
+from palimpsest.operators import postings
+from palimpsest.operators.postings import Index
 from palimpsest.operators.search import CURRENT, Validity, by_score, scored, with_rank
 
 #: How a fact begins, the bullets before it, its least length, and the most of one memory.
@@ -41,14 +43,22 @@ def report(memories: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("scanned"), F.coalesce(F.sum("n"), F.lit(0)).alias("facts"), F.count_if(F.col("n") > 0).alias("memories_with_facts"))
 
 
-def candidates(facts: DataFrame, memories: DataFrame, query: str, scope: str | None = None, validity: Validity = CURRENT, limit: int = 20) -> DataFrame:
-    """id, score, rank of memories by the best of their matching facts; the limit counts memories."""
-    hits = scored(facts.select("id", "memory_id", "fact"), query, text="fact").select(F.col("id").alias("fact_id"), F.col("memory_id").alias("id"), "score")
+def candidates(facts: DataFrame, memories: DataFrame, query: str, scope: str | None = None, validity: Validity = CURRENT, limit: int = 20, index: Index | None = None) -> DataFrame:
+    """id, score, rank of memories by the best of their matching facts; the limit counts memories.
+
+    With an index of the facts (id, fact) only its postings of the query's terms are read; a memory has MOST_FACTS
+    facts at most, so the best memories are among the best MOST_FACTS times as many facts.
+    """
     alive = memories.where(validity.holds() & F.col("rule_id").isNull())
     if scope is not None:
         alive = alive.where(F.col("scope") == scope)
-    best = hits.join(alive.select("id"), "id").groupBy("id").agg(F.max(F.struct(F.round("score", 10).alias("s"))).alias("m"))
-    return with_rank(best.select("id", F.col("m.s").alias("score")), *by_score(), limit=limit)
+    if index is None:
+        hits = scored(facts.select("id", "memory_id", "fact"), query, text="fact").select(F.col("memory_id").alias("id"), "score").join(alive.select("id"), "id")
+    else:
+        known = facts.select("id", "memory_id").join(alive.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+        hits = postings.best(index, query, MOST_FACTS * limit, known).join(known, "id").select(F.col("memory_id").alias("id"), "score")
+    best = hits.groupBy("id").agg(F.max(F.round("score", 10)).alias("score"))
+    return with_rank(best, *by_score(), limit=limit)
 
 
 def latest(versions: DataFrame, key: str, order: str) -> DataFrame:

@@ -23,11 +23,11 @@ def fuse(channels: dict[str, DataFrame], k: float = K) -> DataFrame:
     return reduce(DataFrame.unionAll, each).groupBy("id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
-def channels_of(memories: DataFrame, facts: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, model: str, scope: str | None = None, validity: Validity = CURRENT, index: Index | None = None) -> dict[str, DataFrame]:
-    """The ranked lists of a hybrid search; rules leave the full-text one after its limit."""
+def channels_of(memories: DataFrame, facts: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, model: str, scope: str | None = None, validity: Validity = CURRENT, index: Index | None = None, fact_index: Index | None = None) -> dict[str, DataFrame]:
+    """The ranked lists of a hybrid search; rules leave the full-text one after its limit. index: of the memories; fact_index: of the facts."""
     found = {
         "fts": sx.search(memories, query, scope, validity, CHANNEL_LIMIT, index).where("rule_id IS NULL").select("id", "rank"),
-        "facts": fx.candidates(facts, memories, query, scope, validity, CHANNEL_LIMIT).select("id", "rank"),
+        "facts": fx.candidates(facts, memories, query, scope, validity, CHANNEL_LIMIT, fact_index).select("id", "rank"),
     }
     if vectors is not None and vector is not None:
         found["vector"] = vx.topk(vectors, memories, vector, model, scope, validity, CHANNEL_LIMIT).select("id", "rank")
@@ -110,7 +110,7 @@ def budget_search(memories: DataFrame, query: str, budget: int, limit: int = 20,
     return packed(sx.search(memories, query, limit=limit, index=index), budget, "rank")
 
 
-def context(memories: DataFrame, facts: DataFrame, scope: str, budget: int, query: str | None = None, limit: int = 50, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
+def context(memories: DataFrame, facts: DataFrame, scope: str, budget: int, query: str | None = None, limit: int = 50, index: Index | None = None, fact_index: Index | None = None) -> tuple[DataFrame, DataFrame]:
     """A scope's active rules, and its candidates with cost and included.
 
     Rules count in full even beyond the budget, and candidates share what remains. Without a query these
@@ -121,7 +121,7 @@ def context(memories: DataFrame, facts: DataFrame, scope: str, budget: int, quer
     recent = sx.recall(memories, scope, limit).where("rule_id IS NULL")
     recent = recent.withColumn("rank", F.row_number().over(sx.W.orderBy(F.desc("place"))) - 1)
     if query and query.strip():
-        found = channels_of(memories, facts, None, query, None, "", scope, index=index)
+        found = channels_of(memories, facts, None, query, None, "", scope, index=index, fact_index=fact_index)
         order = fuse({"recency": recent, **found})
         rows = memories.join(F.broadcast(order), "id").withColumn("priority", -F.round("score", 10))
     else:

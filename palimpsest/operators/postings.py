@@ -1,14 +1,23 @@
-"""A persisted full-text index: postings by term, so that a search reads its own terms alone.
+"""A full-text index in immutable segments, kept in step with what it indexes, and ranked search that reads few blocks of it.
 
-Postings are a Parquet table (bucket, term, id, at, n), a row for each place of a term, in folders by a hash of
-the term and sorted by term within each file, so a query's terms prune folders and row groups, and columns of
-sorted repeats pack to little. n is the number of the text's terms, which spares a search the join to a table of
-lengths. One row of statistics counts all texts.
+A segment holds the postings of the texts that one change brought: a row (term, block, id, n, at) for each
+term of a text, at being its places and n the number of the text's terms. Folders go by a hash of the term, and
+files are sorted by term and block. Blocks are texts of like length. A second table bounds each term in each
+block: its texts, its greatest count, the shortest text's n. A change also names the texts that it takes away: its
+``dead`` ids bury what older segments hold of them, and ``minus`` counts their terms, so that statistics are
+sums over segments and equal those of an index built anew. Segments are merged from their postings alone.
+
+A ranked search computes what each block can give at most, scores the most promising blocks, and then only those
+that can still reach the last place.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import uuid
+import zlib
+from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,75 +25,316 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as tx
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Folders of an index, and tasks that write each, so that a frequent term's postings are written by several.
-BUCKETS, SHARES = 64, 4
+#: Texts of a block, and occurrences of a folder, about.
+BLOCK_TEXTS, BUCKET_TERMS = 8192, 4_000_000
+#: Blocks that a ranked search scores before it knows what the others must reach.
+FIRST_BLOCKS = 8
+#: So many blocks are named in the filter that reaches the files; more are told apart after it.
+PUSHED_BLOCKS = 1000
+#: A run of this many late segments is merged when none is more than GROWTH times as large as all that follow it.
+RUN, GROWTH = 4, 4
+POSTINGS = "term string, block long, id string, n int, at array<int>, bucket int"
+BOUNDS = "term string, block long, texts long, most int, least int, places long, bucket int"
+
+
+@dataclass(frozen=True)
+class Segment:
+    """What one change has written below ``path``, and its counts: texts and terms that came and that went."""
+
+    path: str
+    number: int
+    buckets: int
+    texts: int = 0
+    terms: int = 0
+    dead_texts: int = 0
+    dead_terms: int = 0
 
 
 @dataclass(frozen=True)
 class Index:
-    """An index of texts below a folder."""
+    """The segments of an index, oldest first. A change makes a new value; readers keep the one they have."""
 
     spark: SparkSession
     path: str
+    segments: tuple[Segment, ...] = ()
+
+    def table(self, s: Segment, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{s.path}/{name}")
+
+    def of_terms(self, name: str, schema: str, terms: list[str]) -> DataFrame:
+        """The rows of some terms in all segments, with the segment's number; other folders and row groups aren't read."""
+        each = []
+        for s in self.segments:
+            if s.terms:
+                buckets = sorted({bucket_of(t, s.buckets) for t in terms})
+                each.append(self.table(s, name, schema).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket").withColumn("segment", F.lit(s.number)))
+        return reduce(DataFrame.unionAll, each) if each else self.spark.createDataFrame([], f"{schema.removesuffix(', bucket int')}, segment int")
+
+    def dead(self) -> DataFrame | None:
+        """id, until: a text's postings in segments before ``until`` are buried. None if nothing ever was."""
+        each = [self.table(s, "dead", "id string").withColumn("until", F.lit(s.number)) for s in self.segments if s.dead_texts]
+        return reduce(DataFrame.unionAll, each).groupBy("id").agg(F.max("until").alias("until")) if each else None
 
     def postings(self, terms: list[str]) -> DataFrame:
-        """The postings of some terms; nothing else is read."""
-        rows = self.spark.read.parquet(f"{self.path}/postings")
-        buckets = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(bucket(F.col("term"))).collect()})  # one for each term of a query
-        return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        """segment, term, block, id, n, at of some terms of the texts that are there."""
+        rows, dead = self.of_terms("postings", POSTINGS, terms), self.dead()
+        if dead is None:
+            return rows
+        dead = dead.withColumnRenamed("id", "dead_id")
+        return rows.join(dead, (F.col("id") == F.col("dead_id")) & (F.col("segment") < F.col("until")), "left_anti")
 
-    def stats(self) -> DataFrame:
-        """every, avg: the number of texts and the mean of their lengths in one row."""
-        return self.spark.read.parquet(f"{self.path}/stats")
+    @property
+    def every(self) -> int:
+        return sum(s.texts - s.dead_texts for s in self.segments)
 
+    @property
+    def mean(self) -> float:
+        """Terms of a text on average."""
+        return sum(s.terms - s.dead_terms for s in self.segments) / max(1, self.every)
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """How many texts hold each term, from the segments' counts."""
+        up = self.of_terms("bounds", BOUNDS, terms).groupBy("term").agg(F.sum("texts").alias("n"))
+        each = [self.table(s, "minus", "term string, texts long").where(F.col("term").isin(terms)).select("term", (-F.col("texts")).alias("n")) for s in self.segments if s.dead_texts]
+        rows = reduce(DataFrame.unionAll, [up, *each]).groupBy("term").agg(F.sum("n").alias("n"))
+        return {r["term"]: r["n"] for r in rows.collect()}  # a query's terms
 
+    def changed(self, added: DataFrame | None, gone: DataFrame | None = None) -> Index:
+        """The index after one more change, which writes one segment and reads no other.
 
-def build(rows: DataFrame, path: str, text: str = "content") -> Index:
-    """Write the index of rows (id, text) to a folder that driver and executors share. Texts without terms count in the statistics."""
+        added: rows (id, text) of new texts and of the new wording of old ones. gone: rows (id, text) of those that go or
+        are reworded, as they were indexed. Ids are unique among what is there. An empty change adds nothing.
+        """
+        number = 1 + max((s.number for s in self.segments), default=0)
+        s = Segment(f"{self.path}/segment-{number:06d}-{uuid.uuid4().hex[:8]}", number, 1)
+        if added is not None:
+            s = write_texts(s, added)
+        if gone is not None:
+            s = write_dead(s, gone)
+        return replace(self, segments=(*self.segments, s)) if s.texts or s.dead_texts else self
+
+    def merged(self) -> Index:
+        """The index with its late segments merged, if they are many and small (see RUN and GROWTH)."""
+        late, total = 0, 0
+        for s in reversed(self.segments):
+            if late and s.texts > GROWTH * max(1, total):
+                break
+            late, total = late + 1, total + s.texts
+        return self.joined(late) if late >= RUN else self
+
+    def joined(self, late: int) -> Index:
+        """The index with its last ``late`` segments as one, made of their postings without the texts that died meanwhile.
+
+        Nothing before them changes. What died of older segments stays dead; where there are none, nothing stays dead.
+        """
+        run, older = replace(self, segments=self.segments[-late:]), self.segments[:-late]
+        last = run.segments[-1]
+        sums = {k: sum(asdict(s)[k] for s in run.segments) for k in ("texts", "terms", "dead_texts", "dead_terms")}
+        if not older:
+            sums = {"texts": run.every, "terms": sums["terms"] - sums["dead_terms"], "dead_texts": 0, "dead_terms": 0}
+        s = Segment(f"{self.path}/segment-{last.number:06d}-{uuid.uuid4().hex[:8]}", last.number, buckets_for(sums["terms"]), **sums)
+        rows = [run.table(x, "postings", POSTINGS).drop("bucket").withColumn("segment", F.lit(x.number)) for x in run.segments if x.terms]
+        if rows:
+            alive, dead = reduce(DataFrame.unionAll, rows), run.dead()
+            if dead is not None:
+                alive = alive.join(dead.withColumnRenamed("id", "dead_id"), (F.col("id") == F.col("dead_id")) & (F.col("segment") < F.col("until")), "left_anti")
+            shift = F.shiftright("block", CLASS_BITS)
+            sizes = alive.groupBy(shift.alias("class")).agg(F.countDistinct("id").alias("n")).collect()  # a row for each class of lengths
+            alive = alive.withColumn("block", block_in(shift, F.col("id"), {r["class"]: r["n"] for r in sizes}))
+            write_postings(s, alive.withColumn("bucket", bucket(F.col("term"), s.buckets)).repartition("bucket", "block"))
+        if s.dead_texts:
+            reduce(DataFrame.unionAll, [run.table(x, "dead", "id string") for x in run.segments if x.dead_texts]).distinct().write.parquet(f"{s.path}/dead")
+            # Of the texts that died, those of this run are no longer in its postings: they aren't to be subtracted again.
+            count = lambda x, name, c: run.table(x, name, f"term string, {c} long").select("term", F.col(c).alias("n"))
+            minus = [count(x, "minus", "texts") for x in run.segments if x.dead_texts]
+            minus += [count(x, "bounds", "texts").select("term", (-F.col("n")).alias("n")) for x in run.segments if x.terms] + ([count(s, "bounds", "texts")] if rows else [])
+            left = reduce(DataFrame.unionAll, minus).groupBy("term").agg(F.sum("n").alias("texts")).where("texts > 0")
+            left.write.parquet(f"{s.path}/minus")
+        return replace(self, segments=(*older, s))
+
+
+#: A block's number is its class of lengths, then its place in the class.
+CLASS_BITS = 24
+
+
+def bucket_of(term: str, buckets: int) -> int:
+    return zlib.crc32(term.encode()) % buckets
+
+
+def bucket(term: Column, buckets: int) -> Column:
+    return (F.crc32(term.cast("binary")) % buckets).cast("int")
+
+
+def buckets_for(terms: int) -> int:
+    return max(1, -(-terms // BUCKET_TERMS))
+
+
+def block_in(length_class: Column, ident: Column, sizes: dict[int, int]) -> Column:
+    """The block of a text: its class of lengths, and one of as many places as the class's size asks for."""
+    many = {c: -(-n // BLOCK_TEXTS) for c, n in sizes.items() if n > BLOCK_TEXTS}
+    places = F.lit(1)
+    for c, k in many.items():
+        places = F.when(length_class == c, k).otherwise(places)
+    return F.shiftleft(length_class.cast("long"), CLASS_BITS) + F.pmod(F.xxhash64(ident), places)
+
+
+def write_texts(s: Segment, rows: DataFrame) -> Segment:
+    """Write the postings and bounds of rows (id, text)."""
+    ident, text = rows.columns[:2]
+    length = F.octet_length(text)
+    length_class = F.floor(4 * F.log2(length.cast("double") + 1)).cast("int")
+    # Four classes for each doubling of a text's bytes: their number depends on lengths alone.
+    sizes = rows.groupBy(length_class.alias("class")).agg(F.count("*").alias("n"), F.sum(length).alias("bytes")).collect()
+    texts = sum(r["n"] for r in sizes)
+    s = replace(s, texts=texts, buckets=buckets_for(sum(r["bytes"] for r in sizes) // 5))
+    if not texts:
+        return s
+    terms = rows.select(F.col(ident).alias("id"), block_in(length_class, F.col(ident), {r["class"]: r["n"] for r in sizes}).alias("block"), tx.terms(F.col(text)).alias("terms"))
+    each = terms.select("id", "block", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "term"))
+    each = each.withColumn("bucket", bucket(F.col("term"), s.buckets)).repartition("bucket", "block")
+    # The same partitioning serves the grouping; a frequent term is dealt by block.
+    return write_postings(s, each.groupBy("bucket", "block", "term", "id", "n").agg(F.sort_array(F.collect_list("at")).alias("at")))
+
+
+def write_postings(s: Segment, rows: DataFrame) -> Segment:
+    """Write rows (bucket, term, block, id, n, at), and what bounds them."""
     spark = rows.sparkSession
-    terms = rows.select("id", tx.terms(F.col(text)).alias("terms"))
-    each = terms.select("id", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "term"))
-    each = each.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SHARES)))
-    each.sortWithinPartitions("bucket", "term", "id", "at").write.partitionBy("bucket").parquet(f"{path}/postings")
-    # The lengths come from the index itself but for texts without terms, whose number does.
-    every, texts = rows.agg(F.count("*").alias("every")), spark.read.parquet(f"{path}/postings").agg(F.count("*").alias("all"))
-    every.crossJoin(texts).select("every", (F.col("all") / F.col("every")).alias("avg")).write.parquet(f"{path}/stats")  # a row each
-    return Index(spark, path)
+    rows.select("term", "block", "id", "n", "at", "bucket").sortWithinPartitions("bucket", "term", "block", "id").write.partitionBy("bucket").parquet(f"{s.path}/postings")
+    back = spark.read.schema(POSTINGS).parquet(f"{s.path}/postings")
+    least = F.min("n").alias("least")
+    bounds = back.groupBy("bucket", "term", "block").agg(F.count("*").alias("texts"), F.max(F.size("at")).alias("most"), least, F.sum(F.size("at")).alias("places"))
+    bounds.select("term", "block", "texts", "most", "least", "places", "bucket").repartition("bucket").sortWithinPartitions("term", "block").write.partitionBy("bucket").parquet(f"{s.path}/bounds")
+    return replace(s, terms=spark.read.schema(BOUNDS).parquet(f"{s.path}/bounds").agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0])
+
+
+def write_dead(s: Segment, rows: DataFrame) -> Segment:
+    """Write the ids of rows (id, text) that are no longer there, and how many of them hold each term."""
+    spark = rows.sparkSession
+    ident, text = rows.columns[:2]
+    terms = rows.select(F.col(ident).alias("id"), tx.terms(F.col(text)).alias("terms"))
+    terms.select("id", F.size("terms").alias("n")).write.parquet(f"{s.path}/dead")
+    n, places = spark.read.schema("id string, n int").parquet(f"{s.path}/dead").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n:
+        terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("texts")).write.parquet(f"{s.path}/minus")
+    return replace(s, dead_texts=n, dead_terms=places)
+
+
+def build(rows: DataFrame, path: str, text: str = "content") -> Index:
+    """The index of rows (id, text) in a folder that driver and executors share. Texts without terms count in the statistics."""
+    return Index(rows.sparkSession, path).changed(rows.select("id", F.coalesce(text, F.lit("")).alias("text")))
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """A query's phrases over an index, with the weight of each phrase."""
+
+    index: Index
+    phrases: list[list[str]]
+    weights: list[float]
+
+    @classmethod
+    def of(cls, index: Index, query: str) -> Ranking:
+        phrases = tx.phrases_of(query)
+        single = sorted({p[0] for p in phrases if len(p) == 1})
+        found = index.frequencies(single) if single else {}
+        long = [p for p in phrases if len(p) > 1]
+        if long:  # how many texts hold a phrase of several terms is known from their places alone
+            rows = counted(index.postings(sorted({t for p in long for t in p})), long)
+            counts = rows.agg(*[F.count_if(F.col(f"_f{i}") > 0) for i in range(len(long))]).first()
+            found |= {" ".join(p): n for p, n in zip(long, counts, strict=True)}
+        idf = lambda n: math.log((index.every - n + 0.5) / (n + 0.5))
+        weights = [w if (w := idf(found.get(" ".join(p), 0))) > 0 else LEAST_IDF for p in phrases]
+        return cls(index, phrases, weights)
+
+    @property
+    def terms(self) -> list[str]:
+        return sorted({t for p in self.phrases for t in p})
+
+    def value(self, i: int, count: Column, n: Column) -> Column:
+        """What phrase i gives a text of n terms that holds it so many times."""
+        norm = K1 * (1 - B + B * n / self.index.mean) if self.index.mean else F.lit(K1)
+        return F.when(count > 0, F.lit(self.weights[i]) * count * (K1 + 1) / (count + norm)).otherwise(0.0)
+
+    def scored(self, blocks: list[tuple[int, int]] | None = None) -> DataFrame:
+        """id, score (greater is better) of the texts that hold a phrase, in all blocks or in some (segment, block)."""
+        rows = self.index.postings(self.terms)
+        if blocks is not None:
+            if len(blocks) <= PUSHED_BLOCKS:  # files are sorted by term and block
+                rows = rows.where(F.col("block").isin(sorted({b for _, b in blocks})))
+            rows = rows.join(F.broadcast(self.index.spark.createDataFrame(blocks, "segment int, block long")), ["segment", "block"], "left_semi")
+        hits = counted(rows, self.phrases)
+        score = sum((self.value(i, F.col(f"_f{i}"), F.col("n")) for i in range(len(self.phrases))), F.lit(0.0))
+        return hits.where(" OR ".join(f"_f{i} > 0" for i in range(len(self.phrases)))).select("id", score.alias("score"))
+
+    def bounds(self) -> DataFrame:
+        """segment, block, most: what each block can give at most."""
+        rows = self.index.of_terms("bounds", BOUNDS, self.terms)
+        wide = rows.groupBy("segment", "block").agg(*[c for i, t in enumerate(self.terms) for c in (F.max(F.when(F.col("term") == t, F.col("most"))).alias(f"_m{i}"), F.max(F.when(F.col("term") == t, F.col("least"))).alias(f"_l{i}"))])
+        total = F.lit(0.0)
+        for i, p in enumerate(self.phrases):
+            at = [self.terms.index(t) for t in dict.fromkeys(p)]
+            # least() and greatest() pass over nulls, but a phrase needs all of its terms.
+            every = reduce(Column.__and__, [F.col(f"_m{k}").isNotNull() for k in at])
+            count, n = (F.col(f"_{c}{at[0]}") if len(at) == 1 else f(*[F.col(f"_{c}{k}") for k in at]) for c, f in (("m", F.least), ("l", F.greatest)))
+            total = total + F.when(every, self.value(i, count, n)).otherwise(0.0)
+        return wide.select("segment", "block", total.alias("most"))
+
+    def best(self, k: int, alive: DataFrame | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
+        """id, score of texts among which are the k best (all that tie with the last too), and the blocks (segment, block) that were worth reading.
+
+        alive: the ids that count. The first blocks' k-th score is what a block must be able to reach.
+        """
+        bounds = self.bounds()
+        order = bounds.where("most > 0").orderBy(F.desc("most"), "segment", "block")
+        first = [(r["segment"], r["block"]) for r in order.limit(FIRST_BLOCKS).collect()]
+        among = lambda rows: rows if alive is None else rows.join(alive.select("id"), "id", "left_semi")
+        top = among(self.scored(first)).select(F.round("score", 10).alias("s")).orderBy(F.desc("s")).limit(k).agg(F.count("*"), F.min("s")).first()
+        floor = top[1] if top[0] == k else 0.0
+        # Two numbers for some thousand texts each, and only of blocks that can still matter.
+        rest = [tuple(r) for r in bounds.where((F.col("most") > 0) & (F.col("most") >= floor - 1e-9)).select("segment", "block").collect()]
+        return among(self.scored(rest)).where(F.col("score") >= floor - 1e-9), rest
+
+
+def moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def counted(rows: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """id, n, and how often each phrase occurs (_f0, ...), from postings of their terms."""
+    terms = sorted({t for p in phrases for t in p})
+    number = {t: i for i, t in enumerate(terms)}
+    joint = {t for p in phrases if len(p) > 1 for t in p}
+    of = lambda t, c: F.max(F.when(F.col("term") == t, c))
+    wide = rows.groupBy("id", "n").agg(*[of(t, F.col("at") if t in joint else F.size("at")).alias(f"_t{number[t]}") for t in terms])
+
+    def count(p: list[str]) -> Column:
+        if len(p) == 1:
+            c = F.col(f"_t{number[p[0]]}")
+            return F.coalesce(F.size(c) if p[0] in joint else c, F.lit(0))
+        # A phrase begins at s where each of its terms k stands at s + k.
+        return F.coalesce(F.size(reduce(F.array_intersect, [moved(F.col(f"_t{number[t]}"), k) for k, t in enumerate(p)])), F.lit(0))
+
+    return wide.select("id", "n", *[count(p).alias(f"_f{i}") for i, p in enumerate(phrases)])
 
 
 def scored(index: Index, query: str) -> DataFrame:
     """id, score (greater is better) of all texts that hold a phrase of the query."""
-    phrases = tx.phrases_of(query)
-    if not phrases:
+    if not tx.phrases_of(query):
         return index.spark.createDataFrame([], "id string, score double")
-    found = index.postings(sorted({t for p in phrases for t in p}))
-    # A phrase begins at s where each of its terms k stands at s + k; a single term begins where it stands.
-    place = lambda i, k: F.struct(F.lit(i).alias("phrase"), (F.col("at") - k).alias("s"), F.lit(k).alias("k"))
-    parts = F.array(*[F.when(F.col("term") == t, place(i, k)) for i, p in enumerate(phrases) for k, t in enumerate(p)])
-    starts = found.select("id", "n", F.inline(F.filter(parts, lambda x: x.isNotNull())))
-    long = [i for i, p in enumerate(phrases) if len(p) > 1]
-    whole = starts.where(~F.col("phrase").isin(long)) if long else starts
-    whole = whole.select("id", "n", "phrase")
-    if long:
-        sizes = F.element_at(F.array(*[F.lit(len(p)) for p in phrases]), F.col("phrase") + 1)
-        met = starts.where(F.col("phrase").isin(long)).groupBy("id", "n", "phrase", "s").agg(F.count("*").alias("m"))
-        whole = whole.unionAll(met.where(F.col("m") == sizes).select("id", "n", "phrase"))
-    counted = whole.groupBy("id", "n").agg(*[F.count_if(F.col("phrase") == i).alias(f"_f{i}") for i in range(len(phrases))])
-    fs = [f"_f{i}" for i in range(len(phrases))]
-    stats = counted.agg(*[F.count_if(F.col(f) > 0).alias(f"_d{f}") for f in fs]).crossJoin(index.stats())  # a row each
-    hits = counted.crossJoin(F.broadcast(stats))
-    norm = K1 * (1 - B + B * F.col("n") / F.col("avg"))
-    score = F.lit(0.0)
-    for f in fs:
-        df = F.col(f"_d{f}")
-        idf = F.ln((F.col("every") - df + 0.5) / (df + 0.5))
-        score = score + F.when(idf <= 0, LEAST_IDF).otherwise(idf) * F.col(f) * (K1 + 1) / (F.col(f) + norm)
-    return hits.select("id", score.alias("score"))
+    return Ranking.of(index, query).scored()
+
+
+def best(index: Index, query: str, k: int, alive: DataFrame | None = None) -> DataFrame:
+    """id, score of texts among which are the k best of those that are alive (id); few blocks are read."""
+    if not tx.phrases_of(query):
+        return index.spark.createDataFrame([], "id string, score double")
+    return Ranking.of(index, query).best(k, alive)[0]
 
 
 def matching(index: Index, query: str) -> DataFrame:
     """id of all texts that hold a phrase of the query."""
-    return scored(index, query).select("id")
+    phrases = tx.phrases_of(query)
+    if not phrases:
+        return index.spark.createDataFrame([], "id string")
+    rows = counted(index.postings(sorted({t for p in phrases for t in p})), phrases)
+    return rows.where(" OR ".join(f"_f{i} > 0" for i in range(len(phrases)))).select("id")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
+from palimpsest.functions import times
 from palimpsest.operators import postings
 from palimpsest.operators.postings import Index
 
@@ -17,14 +18,20 @@ K1, B, LEAST_IDF = postings.K1, postings.B, postings.LEAST_IDF
 
 @dataclass(frozen=True)
 class Validity:
-    """Which versions count: current ones, those valid at an instant (UTC text), or all."""
+    """Which versions count: current ones, those valid at an instant, or all.
+
+    The instant is ISO 8601 with an offset (or Z) in any precision; it is compared in the form in which memories hold
+    theirs. What isn't an instant is refused.
+    """
 
     as_of: str | None = None
     all: bool = False
 
     def __post_init__(self):
-        if self.as_of and self.all:
+        if self.as_of is not None and self.all:
             raise ValueError("as_of and all exclude each other")
+        if self.as_of is not None:
+            object.__setattr__(self, "as_of", times.instant(self.as_of))
 
     def holds(self) -> Column:
         if self.all:
@@ -84,8 +91,8 @@ def by_score() -> tuple[Column, Column]:
 def search(memories: DataFrame, query: str, scope: str | None = None, validity: Validity = CURRENT, limit: int = 20, index: Index | None = None) -> DataFrame:
     """The best ``limit`` memories for a query, rules included: rank, score and the memories' columns.
 
-    With an index of the memories only its postings of the query's terms are read, and no text but the best
-    ones'; without one all texts are.
+    With an index of the memories only its postings of the query's terms are read, in those blocks that can reach
+    the limit, and no text but the best ones'; without one all texts are.
     """
     if index is None:
         hits = scored(memories, query).where(validity.holds())
@@ -95,7 +102,7 @@ def search(memories: DataFrame, query: str, scope: str | None = None, validity:
     alive = memories.where(validity.holds())
     if scope is not None:
         alive = alive.where(F.col("scope") == scope)
-    best = with_rank(postings.scored(index, query).join(alive.select("id"), "id"), *by_score(), limit=limit)
+    best = with_rank(postings.best(index, query, limit, alive), *by_score(), limit=limit)
     return memories.join(F.broadcast(best), "id").select(*memories.columns, "score", "rank")
 
 

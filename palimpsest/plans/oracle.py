@@ -458,3 +458,20 @@ oracle(
   UNION ALL SELECT 'tool_use', 1 FROM msg WHERE line % 2 = 1 AND line <> 5) WHERE reason IS NOT NULL GROUP BY reason""",
     "msg",
 )
+
+#: What the commits of the kept store come to.
+KEPT = f"""
+  SELECT id, CASE WHEN scope = 's1' AND role = 'user' THEN 's2' ELSE scope END AS scope, CASE WHEN again THEN 'keeper' ELSE agent END AS agent, CASE WHEN again THEN 'active' ELSE status END AS status,
+    CASE WHEN again THEN '{NOW}' END AS updated_at, CASE WHEN valid_to IS NOT NULL THEN '{NOW}' END AS valid_to, superseded_by, CASE WHEN again THEN 'reworded thing: ' || content ELSE content END AS content,
+    CASE WHEN role = 'assistant' THEN CASE WHEN right(id, 1) = '1' THEN 2 ELSE 1 END END AS access_count, role, created_at
+  FROM (SELECT *, coalesce(role = 'rule' AND n % 3 = 0 AND n % 5 <> 0, false) AS again FROM (SELECT *, CAST(substr(rule_id, 2) AS BIGINT) AS n FROM mem_conv)) WHERE NOT coalesce(role = 'rule' AND n % 5 = 0, false)"""
+oracle("store_now", f"SELECT id, scope, agent, status, updated_at, valid_to, superseded_by, CAST(access_count AS INTEGER) AS access_count, md5(content) AS digest FROM ({KEPT})", "mem_conv")
+oracle("store_current", "SELECT id, scope, created_at FROM mem_conv WHERE valid_to IS NULL", "mem_conv")
+oracle("store_search", f"SELECT rank, id, scope, round(score, 6) AS score FROM {ranked('(SELECT * FROM ' + bm25('(' + KEPT + ')', 'content', q.WORDS) + ' WHERE valid_to IS NULL)', 50)}", "mem_conv")
+oracle(
+    "store_versions",
+    """SELECT CAST(v AS INTEGER) AS version, count(*) FILTER (NOT (v >= 5 AND purged)) AS memories, count(*) FILTER (v >= 3 AND valid_to IS NOT NULL) AS closed, count(*) FILTER (v >= 4 AND role = 'assistant') AS counted,
+      count(*) FILTER (NOT (v >= 5 AND purged) AND (scope = 's2' OR v >= 6 AND scope = 's1' AND role = 'user')) AS moved
+    FROM (SELECT *, coalesce(role = 'rule' AND CAST(substr(rule_id, 2) AS BIGINT) % 5 = 0, false) AS purged FROM mem_conv), range(1, 7) t(v) WHERE v >= 2 OR right(id, 1) IN ('0', '1') GROUP BY v""",
+    "mem_conv",
+)

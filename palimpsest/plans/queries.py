@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -20,8 +19,10 @@ from palimpsest.operators import grid as gx
 from palimpsest.operators import lifecycle as lx
 from palimpsest.operators import postings as pi
 from palimpsest.operators import search as sx
+from palimpsest.operators import store as ox
 from palimpsest.operators import vectors as vx
 from palimpsest.sources import exports as ex
+from palimpsest.sources import files
 from palimpsest.sources import projections as px
 from palimpsest.sources import transcripts as tr
 from palimpsest.streaming import ingest as si
@@ -56,30 +57,32 @@ def shared_dir(spark: SparkSession) -> str:
     return (conf or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-_indexes: dict[tuple, pi.Index] = {}
+_made: dict[tuple, object] = {}
 
 
-def index_of(spark: SparkSession, rows: DataFrame, text: str = "content") -> pi.Index:
-    """The full-text index of a projection, built once for each application and state of the files that it reads."""
-    files = hashlib.sha256("\n".join(sorted(rows.inputFiles())).encode()).hexdigest()
-    key = (spark.sparkContext.applicationId, shared_dir(spark), rows.select("id", F.col(text)).semanticHash(), files)
-    if key not in _indexes:
-        _indexes[key] = pi.build(rows, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", text)
-    return _indexes[key]
+def once(spark: SparkSession, rows: DataFrame, name: str, make: Callable[[str], object]) -> object:
+    """What ``make`` makes in a folder of its own, once for an application, plan and state (paths, sizes, times) of the files that it reads."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), name, rows.semanticHash(), files.state(spark, rows.inputFiles()))
+    if key not in _made:
+        _made[key] = make(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[key]
 
 
-_facts: dict[tuple, str] = {}
+def index_of(spark: SparkSession, rows: DataFrame, text: str = "content") -> pi.Index:
+    """The full-text index of a projection."""
+    return once(spark, rows.select("id", text), "index", lambda path: pi.build(rows, path, text))
 
 
 def facts_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The facts of a projection, extracted and written once, as a store holds them beside its memories."""
-    files = hashlib.sha256("\n".join(sorted(rows.inputFiles())).encode()).hexdigest()
-    key = (spark.sparkContext.applicationId, shared_dir(spark), rows.semanticHash(), files)
-    if key not in _facts:
-        path = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
-        fx.extract(rows).write.parquet(path)
-        _facts[key] = path
-    return spark.read.parquet(_facts[key])
+    """The facts of a projection, extracted and written, as a store holds them beside its memories."""
+
+    def write(path: str) -> tuple:
+        facts = fx.extract(rows)
+        facts.write.parquet(path)
+        return path, facts.schema
+
+    path, schema = once(spark, rows, "facts", write)
+    return spark.read.schema(schema).parquet(path)
 
 
 LIST = ("id", "scope", "role", "created_at", "valid_to")
@@ -177,7 +180,8 @@ def facts_report(spark, d):
 @query
 def fact_candidates(spark, d):
     m = px.mem_conv(spark, d)
-    return fx.candidates(facts_of(spark, m), m, WORDS, limit=50).select("rank", "id", F.round("score", 6).alias("score"))
+    facts = facts_of(spark, m)
+    return fx.candidates(facts, m, WORDS, limit=50, index=index_of(spark, facts, "fact")).select("rank", "id", F.round("score", 6).alias("score"))
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -229,7 +233,8 @@ def cosine_pairs(spark, d):
 
 def _channels(spark, d):
     m = px.mem_docs(spark, d)
-    return m, ux.channels_of(m, facts_of(spark, m), px.vectors(spark, d), WORDS, _query_vector(spark, d), "m", index=index_of(spark, m))
+    facts = facts_of(spark, m)
+    return m, ux.channels_of(m, facts, px.vectors(spark, d), WORDS, _query_vector(spark, d), "m", index=index_of(spark, m), fact_index=index_of(spark, facts, "fact"))
 
 
 @query
@@ -276,7 +281,8 @@ def context_recency(spark, d):
 @query
 def context_query(spark, d):
     m = px.mem_conv(spark, d)
-    _, rows = ux.context(m, facts_of(spark, m), SCOPE, BUDGET, query=WORDS, index=index_of(spark, m))
+    facts = facts_of(spark, m)
+    _, rows = ux.context(m, facts, SCOPE, BUDGET, query=WORDS, index=index_of(spark, m), fact_index=index_of(spark, facts, "fact"))
     return rows.where("included").select("id", "cost", "created_at")
 
 
@@ -512,6 +518,60 @@ def remember(spark, d):
     return back.groupBy("scope", "agent").agg(F.countDistinct("id").alias("ids"), F.sum(F.char_length("content")).alias("chars"), F.min("created_at").alias("created_at"), F.count("valid_to").alias("closed"))
 
 
+def _kept(spark, d) -> ox.Store:
+    """A store that turns were ingested into (half of them, then all), in which some were superseded, counted, moved and made rules of, in one commit each."""
+    m = px.mem_conv(spark, d)
+
+    def make(path: str) -> ox.Store:
+        store, plain = ox.Store(spark, path), m.drop("valid_from", "valid_to", "superseded_by")
+        store.ingest(plain.where("substr(id, -1) IN ('0', '1')"))
+        store.ingest(plain)
+        store.supersede(m.where("valid_to IS NOT NULL").select(F.col("id").alias("target"), "scope", "superseded_by"), NOW)
+        seen = m.where("role = 'assistant'").select("id", F.lit(NOW).alias("ts"))
+        store.touch(seen.unionAll(seen.where("substr(id, -1) = '1'")))
+        r = m.where("rule_id IS NOT NULL").withColumn("n", F.substring("rule_id", 2, 18).cast("long"))
+        event = lambda rows, op, seq, text: rows.select("scope", "rule_id", F.lit("keeper").alias("agent"), F.lit(op).alias("op"), text.alias("text"), F.lit(NOW).alias("ts"), F.lit(seq).alias("seq"))
+        none = F.lit(None).cast("string")
+        fives = r.where("n % 5 = 0")
+        events = event(fives, "retire", 1, none).unionAll(event(fives, "purge", 2, none)).unionAll(event(r.where("n % 3 = 0 AND n % 5 <> 0"), "add", 3, F.concat(F.lit("reworded thing: "), "content")))
+        store.set_rules(events)
+        store.rescope(SCOPE, OTHER, m.where("role = 'user'").select("id"))
+        return store
+
+    return once(spark, m, "kept", make)
+
+
+@query
+def store_now(spark, d):
+    """What the commits leave."""
+    return _kept(spark, d).memories().select("id", "scope", "agent", "status", "updated_at", "valid_to", "superseded_by", "access_count", F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
+@query
+def store_versions(spark, d):
+    """Every version as it was."""
+    store = _kept(spark, d)
+    one = lambda n: store.memories(n).agg(F.lit(n).alias("version"), F.count("*").alias("memories"), F.count("valid_to").alias("closed"), F.count("access_count").alias("counted"), F.count_if(F.col("scope") == OTHER).alias("moved"))
+    return reduce(DataFrame.unionAll, [one(n) for n in range(1, 7)])
+
+
+@query
+def store_current(spark, d):
+    """Current memories after compaction, from their own files."""
+    store = ox.Store(spark, f"{shared_dir(spark)}/compact-{uuid.uuid4().hex}")
+    m = px.mem_conv(spark, d)
+    store.ingest(m)
+    store.compact()
+    return store.memories(current=True).select("id", "scope", "created_at")
+
+
+@query
+def store_search(spark, d):
+    """A search by the index that the commits have kept in step: superseded turns leave it, reworded rules are found by their new words."""
+    store = _kept(spark, d)
+    return sx.search(store.memories(), WORDS, limit=50, index=store.index()).select("rank", "id", "scope", F.round("score", 6).alias("score"))
+
+
 @query
 def json_envelope(spark, d):
     rows = sx.recall(px.mem_conv(spark, d), SCOPE).select("place", "id", "role")
