@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import crc_mod, slices, text_of
 from palimpsest.llm.near_dup import WordHashes
 
-#: Labelled rows that the fit takes, and preference pairs it draws from them, at most.
-TRAIN_ROWS, PAIRS = 20_000, 200_000
+#: Labels that the fit takes, texts that it takes with them (more than labels where ids repeat), and preference pairs it draws from them, at most.
+TRAIN_ROWS, TRAIN_TEXTS, PAIRS = 20_000, 40_000, 200_000
 #: The weight of the squared weights in the loss. In four folds of sf0.1's training rows 0.001, 0.01 and 0.05
 #: were alike at the threshold (7, 9, 10 wrong of 3,155) and in order (106, 56, 44 pairs of good and bad rows the wrong way).
 RIDGE = 0.01
@@ -163,13 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Fit on labelled rows (doc_id, ``label`` 0 or 1) whose crc32(doc_id) mod 5 isn't 0, TRAIN_ROWS at most.
 
     The rows are those of smallest hash of doc_id, so the sample is the same on every run. Other labels,
-    null ids and ids that docs lacks are left out; a doc_id with several rows counts with each.
+    null ids and ids that docs lacks are left out. A doc_id with several rows counts with each, up to TRAIN_TEXTS
+    in all, again by the smallest hash of doc_id.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.where(crc_mod(F.col("doc_id"), 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(TRAIN_ROWS)
-    # At most TRAIN_ROWS narrow rows are broadcast, and as many feature rows collected.
+    # At most TRAIN_ROWS narrow rows are broadcast, and TRAIN_TEXTS feature rows collected.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    found = featured(rows, "doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(2 * TRAIN_ROWS).toArrow()
+    found = featured(rows, "doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(TRAIN_TEXTS).toArrow()
     x = pa.concat_arrays([c.flatten() for c in found.column("x").chunks] or [pa.array([], pa.float64())]).to_numpy().reshape(-1, N_FEATURES)
     return fit_pairs(x, found.column("y").to_numpy(), RIDGE)
 
