@@ -94,19 +94,34 @@ def without_reminders(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<system-reminder>.*?(?:</system-reminder>|\z)", "")
 
 
+#: White space of any script, as regular expressions know it.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Without white space at the ends; linear in the text, however many blanks lie within it."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_synthetic(text: Column) -> Column:
     return trimmed(text).rlike("^(?:" + "|".join(SYNTHETIC) + ")")
 
 
+def stripped(text: Column) -> Column:
+    """Without control sequences, reminders and white space at the ends."""
+    return trimmed(without_reminders(without_ansi(text)))
+
+
+def cut(clean: Column, most: int = MAX_CHARS) -> Column:
+    """The first ``most`` characters, with a note of how many were cut off."""
+    short = F.concat(F.substring(clean, 1, most), F.lit("\n[truncated "), (F.char_length(clean) - most).cast("string"), F.lit(" characters]"))
+    return F.when(F.char_length(clean) > most, short).otherwise(clean)
+
+
 def normalized(text: Column, most: int = MAX_CHARS) -> Column:
     """The text as a turn is stored: stripped, trimmed and cut with a note; null if empty or made by the harness."""
-    clean = trimmed(without_reminders(without_ansi(text)))
-    cut = F.concat(F.substring(clean, 1, most), F.lit("\n[truncated "), (F.char_length(clean) - most).cast("string"), F.lit(" characters]"))
-    return F.when((clean == "") | is_synthetic(clean), None).when(F.char_length(clean) > most, cut).otherwise(clean)
+    clean = stripped(text)
+    return F.when((clean == "") | is_synthetic(clean), None).otherwise(cut(clean, most))
 
 
 def redact_steps() -> list[tuple[str, str, str]]:

@@ -94,7 +94,9 @@ def block_text(content: Column, tools: bool = False, thinking: bool = False) ->
 def _finished(rows: DataFrame, text: Column, dropped: Column, *keep: str) -> DataFrame:
     """Rows (session, line, source_id, role, created_at) with the stored text, and the reason to drop what has none."""
     # Behind a generator the text is made once, however many columns read it.
-    rows = rows.drop("text", "dropped").select("*", F.inline(F.array(F.struct(tx.scrubbed(tx.normalized(text)).alias("text"), dropped.alias("dropped")))))
+    rows = rows.drop("clean", "dropped").select("*", F.inline(F.array(F.struct(tx.stripped(text).alias("clean"), dropped.alias("dropped")))))
+    rows = rows.withColumn("dropped", F.when(F.col("dropped").isNull() & tx.is_synthetic(F.col("clean")), "command_synthetic").otherwise(F.col("dropped")))
+    rows = rows.drop("text").select("*", F.inline(F.array(F.struct(tx.scrubbed(tx.cut(F.col("clean"))).alias("text")))))
     rows = rows.withColumn("dropped", F.when(F.col("dropped").isNull() & (F.coalesce("text", F.lit("")) == ""), "empty").otherwise(F.col("dropped")))
     rows = rows.withColumn("dropped", F.when(F.col("dropped").isNull() & F.col("created_at").isNull(), "bad_time").otherwise(F.col("dropped")))
     return rows.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text"))).select(*TURN, *keep)
@@ -136,6 +138,14 @@ def step_log(lines: DataFrame, tools: bool = False, thinking: bool = False, side
     A step's id is the digest of seven of its fields. Of equal ids the first stands for their place within
     its second. nested (session, ...): sessions that another one started, left out unless asked for.
     """
+    rows = step_rows(lines, tools, thinking, sidechains, nested)
+    # The first of equal steps has a place among its second's; finished ones count once.
+    rows = rows.withColumn("earliest", F.min("line").over(W.partitionBy("session", "source_id"))).withColumn("nth", F.row_number().over(W.partitionBy("session", "source_id", "pending").orderBy("line")))
+    return step_turns(rows.withColumn("place", F.dense_rank().over(W.partitionBy("session", "second").orderBy("earliest")) - 1))
+
+
+def step_rows(lines: DataFrame, tools: bool = False, thinking: bool = False, sidechains: bool = False, nested: DataFrame | None = None) -> DataFrame:
+    """What each line of a step log says by itself: session, line, source_id, role, raw, second, pending, and why it gives no turn, before and after replays are known."""
     rows = lines.withColumn("v", F.try_parse_json("value"))
     rows = rows.withColumn("torn", F.col("v").isNull())
     part = lambda c, kind="string": F.expr(f"try_variant_get(v, '$.{c}', '{kind}')")
@@ -149,43 +159,57 @@ def step_log(lines: DataFrame, tools: bool = False, thinking: bool = False, side
         rows = rows.join(nested.select("session", F.lit(True).alias("nested")).distinct(), "session", "left")
     else:
         rows = rows.withColumn("nested", F.lit(None).cast("boolean"))
-    # The first of equal steps has a place among its second's; finished ones count once.
     rows = rows.withColumn("pending", F.coalesce(F.col("status") == "RUNNING", F.lit(False))).withColumn("second", F.unix_timestamp("at"))
-    rows = rows.withColumn("first", F.min("line").over(W.partitionBy("session", "source_id"))).withColumn("nth", F.row_number().over(W.partitionBy("session", "source_id", "pending").orderBy("line")))
-    rows = rows.withColumn("place", F.dense_rank().over(W.partitionBy("session", "second").orderBy("first")) - 1)
-    rows = rows.withColumn("created_at", times.from_millis(F.col("second") * 1000 + F.least("place", F.lit(999))))
     done, tool = F.coalesce(F.col("status") == "DONE", F.lit(False)), F.coalesce(F.col("kind").isin(*TOOL_STEPS), F.lit(False))
     user, answer = F.col("kind") == "USER_INPUT", F.col("kind") == "PLANNER_RESPONSE"
     asked = F.regexp_extract("content", r"(?s)<USER_REQUEST>(.*?)</USER_REQUEST>", 1)
     used = F.expr("transform(calls, c -> concat('[tool_use: ', coalesce(try_variant_get(c, '$.name', 'string'), try_variant_get(c, '$.function.name', 'string'), 'unknown'), ']'))")
-    parts = F.concat(F.when(F.lit(thinking) & (F.coalesce("thought", F.lit("")) != ""), F.array("thought")).otherwise(F.array().cast("array<string>")), F.array("content"), F.coalesce(used, F.array().cast("array<string>")) if tools else F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    parts = F.concat(F.when(F.lit(thinking) & (F.coalesce("thought", F.lit("")) != ""), F.array("thought")).otherwise(none), F.array("content"), F.coalesce(used, none) if tools else none)
     raw = F.when(user, tx.trimmed(asked)).when(answer, F.array_join(parts, "\n")).when(tool, F.concat(F.lit("["), "kind", F.lit(": "), F.octet_length("content").cast("string"), F.lit(" bytes]")))
-    why = (
-        F.when(F.col("torn"), "torn_line").when(F.col("at").isNull(), "bad_time").when(F.col("pending"), "pending").when(F.col("nth") > 1, "replayed")
-        .when(F.coalesce("nested", F.lit(False)) & ~F.lit(sidechains) & (user | answer | tool), "sidechain")
+    before = F.when(F.col("torn"), "torn_line").when(F.col("at").isNull(), "bad_time").when(F.col("pending"), "pending")
+    after = (
+        F.when(F.coalesce("nested", F.lit(False)) & ~F.lit(sidechains) & (user | answer | tool), "sidechain")
         .when(user & (~done | ~F.col("content").rlike(r"(?s)<USER_REQUEST>.*</USER_REQUEST>")), "unknown_record")
         .when(tool & F.col("status").isin("DONE", "ERROR"), None if tools else "tool_result")
         .when(F.col("kind").isin(*SILENT_STEPS), "non_message").when(~(user & done) & ~(answer & done), "unknown_record").when(F.col("kind").isNull(), "unknown_record")
     )
-    rows = rows.withColumn("role", F.when(user, "user").otherwise("assistant")).withColumn("raw", raw).withColumn("why", why)
-    return _finished(rows, F.col("raw"), F.col("why"))
+    return rows.select("session", "line", "source_id", F.when(user, "user").otherwise("assistant").alias("role"), raw.alias("raw"), "second", "pending", before.alias("before"), after.alias("after"))
+
+
+def step_turns(rows: DataFrame) -> DataFrame:
+    """The turns of ``step_rows`` whose nth among equal finished steps, and place among a second's different ones, are known."""
+    at = times.from_millis(F.col("second") * 1000 + F.least("place", F.lit(999)))
+    why = F.coalesce("before", F.when(F.col("nth") > 1, "replayed"), "after")
+    return _finished(rows.withColumn("created_at", at).withColumn("why", why), F.col("raw"), F.col("why"))
 
 
 def chunk_log(lines: DataFrame) -> DataFrame:
     """Logs of message chunks: neighbours of one kind are one turn, and the run that is open at the end is pending."""
-    r = _parsed(lines, "method string, timestamp long, params struct<update:struct<sessionUpdate:string,content:struct<type:string,text:string>>>")
-    u = F.col("r.params.update")
-    kind = F.when(u["sessionUpdate"] == "user_message_chunk", "user").when(u["sessionUpdate"] == "agent_message_chunk", "assistant").otherwise("other")
     order = W.partitionBy("session").orderBy("line")
-    rows = r.where("NOT torn").select("session", "line", kind.alias("role"), F.when(u["content"]["type"] == "text", u["content"]["text"]).alias("part"), F.col("r.timestamp").alias("second"))
+    rows = chunk_rows(lines)
     rows = rows.withColumn("new", F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order)).withColumn("last", F.max("line").over(W.partitionBy("session")))
     runs = rows.where("role <> 'other'").groupBy("session", "run", "role").agg(
         F.min("line").alias("line"), F.max("line").alias("end"), F.first("last").alias("last"), F.min("second").alias("second"), F.array_sort(F.collect_list(F.struct("line", "part"))).alias("parts")
     )
-    text = F.array_join(F.transform("parts", lambda p: p["part"]), "")
     nth = F.row_number().over(W.partitionBy("session", "second").orderBy("line")) - 1
-    runs = runs.withColumn("raw", text).withColumn("source_id", ids.positional_id(F.col("line"), F.get("parts", F.lit(0))["part"])).withColumn("created_at", times.from_millis(F.col("second") * 1000 + F.least(nth, F.lit(999))))
-    return _finished(runs, F.col("raw"), F.when(F.col("end") == F.col("last"), "pending"))
+    runs = runs.withColumn("raw", F.array_join(F.transform("parts", lambda p: p["part"]), "")).withColumn("first", F.get("parts", F.lit(0))["part"])
+    return chunk_turns(runs.withColumn("nth", nth).withColumn("pending", F.col("end") == F.col("last")))
+
+
+def chunk_rows(lines: DataFrame) -> DataFrame:
+    """What each line of a chunk log says by itself: session, line, role (user, assistant or other), part, second."""
+    r = _parsed(lines, "method string, timestamp long, params struct<update:struct<sessionUpdate:string,content:struct<type:string,text:string>>>")
+    u = F.col("r.params.update")
+    kind = F.when(u["sessionUpdate"] == "user_message_chunk", "user").when(u["sessionUpdate"] == "agent_message_chunk", "assistant").otherwise("other")
+    return r.where("NOT torn").select("session", "line", kind.alias("role"), F.when(u["content"]["type"] == "text", u["content"]["text"]).alias("part"), F.col("r.timestamp").alias("second"))
+
+
+def chunk_turns(runs: DataFrame) -> DataFrame:
+    """The turns of runs (session, line, role, raw, first, second, nth among a second's runs, pending)."""
+    at = times.from_millis(F.col("second") * 1000 + F.least("nth", F.lit(999)))
+    rows = runs.withColumn("source_id", ids.positional_id(F.col("line"), F.col("first"))).withColumn("created_at", at)
+    return _finished(rows, F.col("raw"), F.when(F.col("pending"), "pending"))
 
 
 def prompt_log(lines: DataFrame) -> DataFrame:
