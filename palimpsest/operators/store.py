@@ -175,15 +175,16 @@ class Store:
         return self.commit(change)
 
     def set_rules(self, events: DataFrame) -> Version:
-        """Apply rule events (scope, rule_id, agent, op, text, ts, seq): each rule is folded from what the store holds and the events after it."""
+        """Apply rule events (scope, rule_id, agent, op, text, ts, seq from 0): each rule is folded from what the store holds and the events after it."""
 
         def change(old: DataFrame) -> DataFrame:
             asked = events.select("scope", "rule_id").distinct()
             known = old.where("rule_id IS NOT NULL").join(asked, ["scope", "rule_id"], "left_semi")
-            added = known.select("scope", "rule_id", "agent", F.lit("add").alias("op"), F.col("content").alias("text"), F.col("created_at").alias("ts"), F.lit(-2).alias("seq"))
+            added = known.select("scope", "rule_id", "agent", F.lit("add").alias("op"), F.col("content").alias("text"), F.col("created_at").alias("ts"), F.lit(0).alias("seq"))
             touched = F.coalesce("updated_at", "created_at")
-            retired = known.where("status = 'retired'").select("scope", "rule_id", "agent", F.lit("retire"), F.lit(None).cast("string"), touched, F.lit(-1))
-            now = lx.rules(added.unionAll(retired).unionByName(events.select(added.columns)))
+            retired = known.where("status = 'retired'").select("scope", "rule_id", "agent", F.lit("retire"), F.lit(None).cast("string"), touched, F.lit(1))
+            later = events.select(added.columns).withColumn("seq", F.col("seq") + 2)
+            now = lx.rules(added.unionAll(retired).unionByName(later))
             ident = F.coalesce("id", F.concat_ws(":", F.lit("rule"), "scope", "rule_id"))
             rows = asked.join(known.select("scope", "rule_id", "id", "last_accessed_at", "access_count"), ["scope", "rule_id"], "left").withColumn("id", ident)
             rows = rows.join(now.withColumn("there", F.lit(True)), ["scope", "rule_id"], "left").withColumn("gone", F.col("there").isNull())
