@@ -29,7 +29,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links, links to itself and links with a null end change nothing.
     """
     both = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = written(both)
+    raw = written(both)
+    edges = written(dealt_by_rows(raw)(raw.distinct()))
     few = dealt_by_rows(edges)
     while not edges.isEmpty():
         # Large star: from every id, its larger neighbours go to its smallest neighbour or itself.
