@@ -197,14 +197,41 @@ def chapters(history: DataFrame) -> DataFrame:
     return rows.join(first, "scope").select("scope", (F.col("rank") - F.col("first")).alias("place"), "text")
 
 
+#: Chapters of one part of an archive.
+PART_CHAPTERS = 10_000
+
+
+def _head(n: Column, through: Column) -> Column:
+    title = tx.texinfo_escaped(F.col("scope"))
+    return F.concat(F.lit("\\input texinfo\n@documentencoding UTF-8\n@settitle Chat history for scope: "), title, F.lit("\n@c Messages: "), n.cast("string"), F.lit("\n@c Through: "), through, F.lit("\n\n@node Top\n@top Chat history for scope: "), title, F.lit("\n\n"))
+
+
+def archive_parts(history: DataFrame, size: int = PART_CHAPTERS) -> DataFrame:
+    """scope, part, document: each scope's archive in parts of ``size`` chapters from 0; end to end they are what ``archive`` gives.
+
+    The first part has the header, the last the trailer. A row holds one part, so a scope may be of any size.
+    """
+    rows = chapters(history).withColumn("part", F.floor(F.col("place") / size))
+    ends = history.where("role <> 'rule'").groupBy("scope").agg(F.count("*").alias("n"), F.max("created_at").alias("through"))
+    parts = rows.groupBy("scope", "part").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("c")).join(ends, "scope")
+    body = F.array_join(F.transform("c", lambda x: x["text"]), "")
+    head = F.when(F.col("part") == 0, _head(F.col("n"), F.col("through"))).otherwise("")
+    tail = F.when(F.col("part") == F.floor((F.col("n") - 1) / size), "@bye\n").otherwise("")
+    return parts.select("scope", "part", F.concat(head, body, tail).alias("document"))
+
+
+def write_archives(history: DataFrame, path: str, size: int = PART_CHAPTERS) -> None:
+    """Write the parts as text files ``scope=.../part=.../``; in order of part a scope's files are its archive."""
+    parts = archive_parts(history, size).withColumn("part", F.format_string("%08d", F.col("part").cast("long")))
+    parts.repartition("scope", "part").write.partitionBy("scope", "part").option("lineSep", "").text(path)
+
+
 def archive(history: DataFrame) -> DataFrame:
     """scope, document: a scope's history as Texinfo, one chapter for each message.
 
     One document holds one scope, so its messages meet in one row, as in the file it is written to. That
-    row bounds a scope by what an array and a string can hold (2 GB); ``chapters`` has no such bound.
+    row bounds a scope by what an array and a string can hold (2 GB); ``archive_parts`` has no such bound.
     """
-    esc = tx.texinfo_escaped
     rows = history.where("role <> 'rule'").groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", _chapter().alias("c")))).alias("m"))
-    title = esc(F.col("scope"))
-    head = F.concat(F.lit("\\input texinfo\n@documentencoding UTF-8\n@settitle Chat history for scope: "), title, F.lit("\n@c Messages: "), F.size("m").cast("string"), F.lit("\n@c Through: "), F.element_at("m", -1)["created_at"], F.lit("\n\n@node Top\n@top Chat history for scope: "), title, F.lit("\n\n"))
+    head = _head(F.size("m"), F.element_at("m", -1)["created_at"])
     return rows.select("scope", F.concat(head, F.array_join(F.transform("m", lambda x: x["c"]), ""), F.lit("@bye\n")).alias("document"))

@@ -4,8 +4,8 @@ A version is a small manifest that names change sets, each a Parquet folder of w
 are from now on, or marks of those that go), and the segments of the full-text index. A commit computes its rows
 from the version that it read, writes them, and creates the next manifest, which only one writer can do; another
 starts over from what is there then. So readers see whole versions, and each version can be read again. Reading
-merges: of each id the latest row counts. ``compact`` writes one change set for all, dealt so that current
-memories lie in files of their own.
+merges: of each id the latest row counts. ``compact`` writes one change set for all, dealt by validity: current
+memories lie in files of their own, old ones in those of the month that closed them.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import lifecycle as lx
 from palimpsest.operators.postings import Index, Segment
+from palimpsest.operators.search import Validity
 from palimpsest.sources import files
 
 COLUMNS = tuple(c for c, _ in lx.MEMORY_SCHEMA)
 ROWS = ", ".join(f"{c} {kind}" for c, kind in lx.MEMORY_SCHEMA)
-#: Files tell current memories from old ones by a folder.
-STORED = f"{ROWS}, gone boolean, current boolean"
+#: Folders tell current memories (OPEN) from old ones, and those by the month in which they were superseded.
+STORED = f"{ROWS}, gone boolean, closed string"
+OPEN = "open"
+ALL = Validity(all=True)
 
 
 class Conflict(RuntimeError):
@@ -72,21 +75,24 @@ class Store:
         each = [self.spark.read.schema(STORED).parquet(p).withColumn("number", F.lit(n)) for p, n in changes]
         return reduce(DataFrame.unionAll, each) if each else self.spark.createDataFrame([], f"{STORED}, number int")
 
-    def memories(self, version: Version | int | None = None, current: bool = False) -> DataFrame:
-        """All memories of a version (the latest), as they are in it; or the current ones alone, which spares the folders of old ones.
+    def memories(self, version: Version | int | None = None, validity: Validity = ALL) -> DataFrame:
+        """The memories of a version (the latest) as they are in it: all of them, the current ones, or those valid at an instant.
 
-        The first change set is read as it is but for the ids that later ones hold, so only those are grouped.
+        The first change set is read as it is but for the ids that later ones hold, so only those are grouped. Of it,
+        current reads skip the folders of old memories, and those of an instant the months before it.
         """
         v = version if isinstance(version, Version) else self.version(version)
         base, later = v.changes[:1], v.changes[1:]
-        there = F.col("valid_to").isNull() if current else F.lit(True)
         rows = self._rows(base).where("NOT gone")
-        if current:
-            rows = rows.where("current")
+        if not validity.all:
+            kept = F.col("closed") == OPEN
+            rows = rows.where(kept if validity.as_of is None else kept | (F.col("closed") >= validity.as_of[:7]))
+        rows = rows.where(validity.holds())
         if later:
             new = self._rows(later)
             last = new.groupBy("id").agg(F.max_by(F.struct(*COLUMNS[1:], "gone"), "number").alias("r")).select("id", "r.*")
-            rows = rows.join(new.select("id"), "id", "left_anti").select(*COLUMNS).unionByName(last.where("NOT gone").where(there).select(*COLUMNS))
+            last = last.where("NOT gone").where(validity.holds())
+            rows = rows.join(new.select("id"), "id", "left_anti").select(*COLUMNS).unionByName(last.select(*COLUMNS))
         return rows.select(*COLUMNS)
 
     def index(self, version: Version | int | None = None) -> Index:
@@ -138,7 +144,7 @@ class Store:
         return self.index(v).changed(met.where("NOT gone").select("id", "text"), met.where("was").select("id", F.col("old").alias("text"))).merged()
 
     def compact(self, tries: int = 10) -> Version:
-        """A version with the same memories and index in one change set, current memories in files of their own, each sorted by scope and time.
+        """A version with the same memories and index in one change set, dealt by validity and sorted by scope and time.
 
         Older versions stay readable; what only they name isn't deleted.
         """
@@ -219,8 +225,8 @@ class Store:
 
 
 def write_changes(rows: DataFrame, path: str, sort: bool = False) -> None:
-    """Write rows as a change set: current ones (valid_to null) in a folder of their own, so that reading them alone skips the rest."""
-    rows = rows.select(*COLUMNS, "gone", F.col("valid_to").isNull().alias("current"))
+    """Write rows as a change set, in folders by ``closed``: OPEN, or the month of valid_to."""
+    rows = rows.select(*COLUMNS, "gone", F.coalesce(F.substring("valid_to", 1, 7), F.lit(OPEN)).alias("closed"))
     if sort:
-        rows = rows.repartitionByRange("current", "scope", "created_at", "id").sortWithinPartitions("current", "scope", "created_at", "id")
-    rows.write.partitionBy("current").parquet(path)
+        rows = rows.repartitionByRange("closed", "scope", "created_at", "id").sortWithinPartitions("closed", "scope", "created_at", "id")
+    rows.write.partitionBy("closed").parquet(path)

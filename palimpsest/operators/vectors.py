@@ -32,8 +32,10 @@ def encoded(vector: Column) -> Column:
 
 
 def _bits(x: Column) -> Column:
-    """The 32 bits of a finite number as a float, as a whole number."""
-    x = x.cast("float").cast("double")
+    """The 32 bits of a number as a float, as a whole number: zeros keep their sign, all that is no number is one pattern."""
+    given = x.cast("float").cast("double")
+    odd = F.isnan(given) | (F.abs(given) == float("inf"))
+    x = F.when(odd, F.lit(1.0)).otherwise(given)  # what follows holds for finite numbers
     size = F.abs(x)
     e = F.when(size >= 2.0**-126, F.floor(F.log2(size))).otherwise(-126)
     # log2 may round up or down beside a power of two.
@@ -42,18 +44,19 @@ def _bits(x: Column) -> Column:
     m = size / F.pow(F.lit(2.0), e)
     normal = m >= 1
     whole = F.when(normal, (e + 127) * (1 << 23) + (m - 1) * (1 << 23)).otherwise(m * (1 << 23))
-    sign = F.when((x < 0), F.lit(1 << 31)).otherwise(F.lit(0))
-    return sign + whole.cast("long")
+    whole = F.when(F.isnan(given), 0x7FC00000).when(odd, 0x7F800000).otherwise(whole.cast("long"))
+    negative = ~F.isnan(given) & F.startswith(given.cast("string"), F.lit("-"))  # -0.0 isn't less than 0
+    return F.when(negative, F.lit(1 << 31)).otherwise(F.lit(0)) + whole
 
 
 def decoded(blob: Column) -> Column:
-    """The vector of such bytes; a rest of under four bytes is left out."""
+    """The vector of such bytes, infinities and what is no number included; a rest of under four bytes is left out."""
 
     def number(h: Column) -> Column:
         part = lambda k: F.substring(h, k, 2)
         bits = F.conv(F.concat(part(7), part(5), part(3), part(1)), 16, 10).cast("long")
         e, m = F.shiftright(bits, 23).bitwiseAND(255), bits.bitwiseAND((1 << 23) - 1) / float(1 << 23)
-        size = F.when(e == 0, m * 2.0**-126).otherwise((m + 1) * F.pow(F.lit(2.0), e - 127))
+        size = F.when(e == 0, m * 2.0**-126).when((e == 255) & (m > 0), float("nan")).when(e == 255, float("inf")).otherwise((m + 1) * F.pow(F.lit(2.0), e - 127))
         return F.when(bits >= 1 << 31, -size).otherwise(size).cast("float")
 
     return F.transform(F.regexp_extract_all(F.hex(blob), F.lit(".{8}"), 0), number)

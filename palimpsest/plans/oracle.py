@@ -475,3 +475,33 @@ oracle(
     FROM (SELECT *, coalesce(role = 'rule' AND CAST(substr(rule_id, 2) AS BIGINT) % 5 = 0, false) AS purged FROM mem_conv), range(1, 7) t(v) WHERE v >= 2 OR right(id, 1) IN ('0', '1') GROUP BY v""",
     "mem_conv",
 )
+oracle("vector_codec_special", ORACLE["vector_codec"].replace("string_agg(", "", 0).replace(" AS blob, true", " || '00000000000000800000807f000080ff0000c07f' AS blob, true"))
+oracle(
+    "stream_steps",
+    f"""SELECT {uuid5("'memory-turn:antigravity:' || session || ':' || source_id")} AS id, 'antigravity' AS agent, role, text AS content, created_at FROM (
+SELECT session, replace({uuid5(STEP)}, '-', '') AS source_id, role, {STORED} AS text, CASE nth WHEN 0 THEN created_at ELSE replace(created_at, '.000Z', '.001Z') END AS created_at
+FROM (SELECT *, unnest(['null', '[{{"args":{{"a":2,"z":1}},"name":"b"}}]']) AS calls, unnest([0, 1]) AS nth FROM msg) WHERE {GOOD})""",
+    "msg",
+)
+ORACLE["stream_chunks"] = ORACLE["src_grok_runs"].replace("SELECT session, (line", f"SELECT {uuid5(chr(39) + 'memory-turn:grok:' + chr(39) + ' || session || ' + chr(39) + ':' + chr(39) + ' || source_id')} AS id, 'grok' AS agent, role, text AS content, created_at FROM (SELECT session, (line") + ")"
+oracle(
+    "synthetic_turns",
+    f"""SELECT reason, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT unnest(['command_synthetic', 'empty', 'non_message']) AS reason, 0 AS n
+  UNION ALL SELECT CASE WHEN role = 'system' THEN 'non_message' WHEN line = 2 THEN 'command_synthetic' WHEN line NOT IN (3, 4) AND {STORED} = '' THEN 'empty' END, 1 FROM msg WHERE line <> 5) WHERE reason IS NOT NULL GROUP BY reason""",
+    "msg",
+)
+PART = 40
+CHAPTER = f"'@chapter Message by ' || {ESC.format('agent')} || ' (' || {ESC.format('role')} || ') at ' || created_at || chr(10) || {ESC.format('content')} || chr(10) || chr(10)"
+oracle(
+    "archive_parts",
+    f"""SELECT scope, part, md5(CASE WHEN part = 0 THEN head ELSE '' END || body || CASE WHEN part = most THEN '@bye' || chr(10) ELSE '' END) AS digest FROM (
+  SELECT *, max(part) OVER (PARTITION BY scope) AS most, '\\input texinfo' || chr(10) || '@documentencoding UTF-8' || chr(10) || '@settitle Chat history for scope: ' || {ESC.format("scope")} || chr(10) || '@c Messages: ' || sum(n) OVER (PARTITION BY scope) || chr(10)
+    || '@c Through: ' || max(through) OVER (PARTITION BY scope) || chr(10) || chr(10) || '@node Top' || chr(10) || '@top Chat history for scope: ' || {ESC.format("scope")} || chr(10) || chr(10) AS head
+  FROM (SELECT scope, place // {PART} AS part, count(*) AS n, max(created_at) AS through, string_agg({CHAPTER}, '' ORDER BY place) AS body
+    FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY created_at, id) - 1 AS place FROM mem_conv WHERE role <> 'rule') GROUP BY scope, place // {PART}))""",
+    "mem_conv",
+)
+NEEDLES = "['thing', 'Eaux', 'er', 'ß', 'q', 'no such text at all', '. th']"
+oracle("substring_search", f"SELECT needle, id FROM mem_docs, (SELECT unnest({NEEDLES}) AS needle) WHERE contains(lower(content), lower(needle))", "mem_docs")
+oracle("store_as_of", f"SELECT id, scope, valid_to FROM mem_conv WHERE created_at <= '{q.AS_OF}' AND (valid_to IS NULL OR valid_to > '{q.AS_OF}')", "mem_conv")

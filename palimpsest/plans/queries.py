@@ -15,6 +15,7 @@ from palimpsest.functions import text as tx
 from palimpsest.operators import consolidate as cx
 from palimpsest.operators import facts as fx
 from palimpsest.operators import fuse as ux
+from palimpsest.operators import grams as gr
 from palimpsest.operators import grid as gx
 from palimpsest.operators import lifecycle as lx
 from palimpsest.operators import postings as pi
@@ -26,6 +27,7 @@ from palimpsest.sources import files
 from palimpsest.sources import projections as px
 from palimpsest.sources import transcripts as tr
 from palimpsest.streaming import ingest as si
+from palimpsest.streaming import sessions as ss
 from palimpsest.sources.projections import NOW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,6 +427,13 @@ def archive_render(spark, d):
     return lx.archive(px.mem_conv(spark, d))
 
 
+@query
+def archive_parts(spark, d):
+    """Archives in parts of 40 chapters."""
+    ready(spark)
+    return lx.archive_parts(px.mem_conv(spark, d), 40).select("scope", "part", F.md5(F.encode("document", "UTF-8")).alias("digest"))
+
+
 @query
 def texinfo_roundtrip(spark, d):
     text = F.replace(F.replace(F.col("content"), F.lit("e"), F.lit("{e")), F.lit("a"), F.lit("@}"))
@@ -562,7 +571,16 @@ def store_current(spark, d):
     m = px.mem_conv(spark, d)
     store.ingest(m)
     store.compact()
-    return store.memories(current=True).select("id", "scope", "created_at")
+    return store.memories(validity=sx.CURRENT).select("id", "scope", "created_at")
+
+
+@query
+def store_as_of(spark, d):
+    """Memories as they were at an instant, without the months that were closed before it."""
+    store = ox.Store(spark, f"{shared_dir(spark)}/compact-{uuid.uuid4().hex}")
+    store.ingest(px.mem_conv(spark, d))
+    store.compact()
+    return store.memories(validity=sx.Validity(as_of=AS_OF)).select("id", "scope", "valid_to")
 
 
 @query
@@ -590,6 +608,15 @@ def vector_codec(spark, d):
     return v.select("vec_id", F.lower(F.hex("blob")).alias("blob"), (vx.decoded(F.col("blob")) == F.col("v")).alias("same"))
 
 
+@query
+def vector_codec_special(spark, d):
+    """Every vector with zeros of both signs, infinities and what is no number behind it."""
+    special = F.array(*[F.lit(x).cast("float") for x in (0.0, -0.0, float("inf"), float("-inf"), float("nan"))])
+    v = px.table(spark, d, "embeddings").select("vec_id", F.concat(F.col("embedding").cast("array<float>"), special).alias("v"))
+    v = v.select("vec_id", "v", F.inline(F.array(F.struct(vx.encoded(F.col("v")).alias("blob")))))
+    return v.select("vec_id", F.lower(F.hex("blob")).alias("blob"), (vx.decoded(F.col("blob")) == F.col("v")).alias("same"))
+
+
 @query
 def json_canonical(spark, d):
     """An object's keys in order, whatever their order was."""
@@ -663,6 +690,18 @@ def grid_filter(spark, d):
     return gx.filtered(px.mem_conv(spark, d).select("id", "agent", "content", "status"), "TIVE").select("id", "status")
 
 
+#: Texts that substring searches look for: of all lengths, with letters of other cases.
+NEEDLES = ("thing", "Eaux", "er", "ß", "q", "no such text at all", ". th")
+
+
+@query
+def substring_search(spark, d):
+    """Rows that contain a text, by an index of three letters."""
+    m = px.mem_docs(spark, d)
+    grams = once(spark, m.select("id", "content"), "grams", lambda path: gr.build(m, path))
+    return reduce(DataFrame.unionAll, [gr.containing(grams, m, x).select(F.lit(x).alias("needle"), "id") for x in NEEDLES])
+
+
 @query
 def grid_sort(spark, d):
     ready(spark)
@@ -833,6 +872,15 @@ def filter_stats(spark, d):
     return tr.filter_stats(tr.block_log(_block_lines(spark, d)))
 
 
+@query
+def synthetic_turns(spark, d):
+    """Turns that a harness has written itself, among those of people: counted as such, and not as empty."""
+    lines = _block_lines(spark, d).where("line <> 5")
+    said = F.replace("value", F.lit('"content":"'), F.when(F.col("line") == 2, F.lit('"content":"  <command-name>/model</command-name> ')).otherwise(F.lit('"content":"')))
+    turns = tr.block_log(lines.withColumn("value", said))
+    return tr.counters(turns, lines).where("reason IN ('command_synthetic', 'empty', 'non_message')")
+
+
 @query
 def json_blocks(spark, d):
     rows = _block_lines(spark, d).withColumn("c", F.get_json_object("value", "$.message.content"))
@@ -849,8 +897,7 @@ def src_codex_turns(spark, d):
     return tr.turns_only(tr.two_channel_log(lines)).select(*TURN_KEYS)
 
 
-@query
-def src_antigravity_turns(spark, d):
+def _step_lines(spark, d):
     m = _message(spark, d)
     kind = F.when(F.col("role") == "user", "USER_INPUT").when(F.col("role") == "assistant", "PLANNER_RESPONSE").otherwise("INFO")
     body = F.when(F.col("role") == "user", F.concat(F.lit("<USER_REQUEST>"), "text", F.lit("</USER_REQUEST>"))).otherwise(F.col("text"))
@@ -861,19 +908,27 @@ def src_antigravity_turns(spark, d):
 
     # The last step differs from the others in its tool calls alone, so it is no replay.
     lines = m.select("session", "line", F.posexplode(F.array(step("RUNNING"), step("DONE"), step("DONE"), step("DONE", tool_calls=calls))).alias("p", "value"))
-    lines = lines.select("session", (F.col("line") * 4 + F.col("p")).alias("line"), "value")
-    nested = m.where("conv_id % 10 = 9").select("session").distinct()
-    return tr.turns_only(tr.step_log(lines, nested=nested)).select(*TURN_KEYS)
+    return lines.select("session", (F.col("line") * 4 + F.col("p")).alias("line"), "value")
 
 
 @query
-def src_grok_runs(spark, d):
+def src_antigravity_turns(spark, d):
+    nested = _message(spark, d).where("conv_id % 10 = 9").select("session").distinct()
+    return tr.turns_only(tr.step_log(_step_lines(spark, d), nested=nested)).select(*TURN_KEYS)
+
+
+def _chunk_lines(spark, d):
     m = _message(spark, d).where("role <> 'system'")
     kind = F.when(F.col("role") == "user", "user_message_chunk").otherwise("agent_message_chunk")
     chunk = lambda text: _json(method=F.lit("session/update"), timestamp=F.unix_timestamp(F.col("at").cast("timestamp")), params=F.struct(F.struct(kind.alias("sessionUpdate"), F.struct(F.lit("text").alias("type"), text.alias("text")).alias("content")).alias("update")))
     half = F.floor(F.char_length("text") / 2).cast("int")
     lines = m.select("session", "line", F.posexplode(F.array(chunk(F.substring(F.col("text"), F.lit(1), half)), chunk(F.substring(F.col("text"), half + 1, F.char_length("text"))))).alias("p", "value"))
-    return tr.turns_only(tr.chunk_log(lines.select("session", (F.col("line") * 2 + F.col("p")).alias("line"), "value"))).select(*TURN_KEYS)
+    return lines.select("session", (F.col("line") * 2 + F.col("p")).alias("line"), "value")
+
+
+@query
+def src_grok_runs(spark, d):
+    return tr.turns_only(tr.chunk_log(_chunk_lines(spark, d))).select(*TURN_KEYS)
 
 
 @query
@@ -980,4 +1035,26 @@ def stream_ingest(spark, d):
     m.select("session", F.col("line").cast("string").alias("source_id"), "role", "text", F.col("at").alias("created_at")).write.json(f"{base}/log")
     for _ in range(2):
         si.ingest(spark, f"{base}/log", f"{base}/store", f"{base}/state", "session string, source_id string, role string, text string, created_at string", lambda df: df, "log", "chat")
-    return spark.read.parquet(f"{base}/store").select("id", "scope", "role", "text", "created_at")
+    return spark.read.schema(si.STORED).parquet(f"{base}/store").select("id", "scope", "role", "text", "created_at")
+
+
+@query
+def stream_steps(spark, d):
+    """Logs of steps, cut into pieces at every third line, as a stream whose reader keeps state: running steps and replays lie in other pieces than the steps that they are of."""
+    return _followed(spark, _step_lines(spark, d), "antigravity")
+
+
+@query
+def stream_chunks(spark, d):
+    """Logs of chunks, cut into pieces within messages; the message that is open at a session's end waits."""
+    return _followed(spark, _chunk_lines(spark, d), "grok")
+
+
+def _followed(spark, lines, harness):
+    base = f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}"
+    store = ox.Store(spark, f"{base}/store")
+    for piece in range(3):  # lines come in order, in three pieces
+        cut = F.floor(F.percent_rank().over(sx.W.partitionBy("session").orderBy("line")) * 2.999)
+        lines.withColumn("piece", cut).where(F.col("piece") == piece).drop("piece").write.mode("append").json(f"{base}/log/{piece}")
+        ss.follow(spark, f"{base}/log/*", store, f"{base}/state", harness, "chat")
+    return store.memories().select("id", "agent", "role", "content", "created_at")

@@ -76,3 +76,8 @@ def delete(spark: SparkSession, path: str) -> None:
     """Delete a file, or a folder with all that lies in it."""
     fs, p = _path(spark, path)
     fs.delete(p, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.mkdirs(p)

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import ids
 from palimpsest.operators.facts import first_of
+from palimpsest.sources import files
 
+#: What a store holds at least; one that nothing has come to yet can be read by it.
+STORED = "id string, session string, source_id string, role string, text string, created_at string, scope string, part int"
 #: Folders that sessions are dealt to in a store, so that a batch reads the ids of its own alone.
 PARTS = 64
 
@@ -43,4 +46,5 @@ def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, schema
 
     q = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    files.make_folder(spark, store)
     return len(done)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as tx
 from palimpsest.operators import consolidate as cx
 from palimpsest.operators import facts as fx
 from palimpsest.operators import fuse as ux
@@ -142,7 +143,53 @@ def test_store_of_the_first_version(spark):
 def test_vector_codec(spark):
     import struct
 
-    values = [0.5, -0.1, 0.0, 1e-40, 3.4e38, 1.0, -2.0, 0.99999994]
+    values = [0.5, -0.1, 0.0, 1e-40, 3.4e38, 1.0, -2.0, 0.99999994, float("inf"), float("-inf")]
     df = spark.createDataFrame([(values,), ([],)], "v array<float>").select(vx.encoded(F.col("v")).alias("b"), "v")
     rows = df.select("b", "v", vx.decoded(F.col("b")).alias("d"), vx.decoded(F.concat("b", F.lit(b"xyz"))).alias("rest")).collect()
-    assert bytes(rows[0]["b"]) == struct.pack("<8f", *values) and all(r["d"] == r["v"] == r["rest"] for r in rows)
+    assert bytes(rows[0]["b"]) == struct.pack("<10f", *values) and all(r["d"] == r["v"] == r["rest"] for r in rows)
+
+
+def test_vector_codec_of_zeros_and_no_numbers(spark):
+    import math
+    import struct
+
+    df = spark.createDataFrame([([-0.0, 0.0, float("nan")],)], "v array<float>").select(vx.encoded(F.col("v")).alias("b"))
+    r = df.select("b", vx.decoded(F.col("b")).alias("d")).first()
+    assert bytes(r["b"]) == struct.pack("<2f", -0.0, 0.0) + bytes.fromhex("0000c07f")
+    assert [math.copysign(1, x) for x in r["d"][:2]] == [-1, 1] and math.isnan(r["d"][2])
+    payload = spark.createDataFrame([(bytearray.fromhex("010080ff"),)], "b binary").select(vx.decoded(F.col("b")).alias("d")).first()
+    assert math.isnan(payload["d"][0])
+
+
+def test_instants_are_parsed():
+    from palimpsest.functions import times
+
+    assert times.instant(" 2026-08-01T02:00:00.1239+02:00 ") == "2026-08-01T00:00:00.123Z" and times.instant("2026-08-01T00:00:00Z") == sx.Validity(as_of="2026-08-01T00:00:00Z").as_of
+    for bad in ("yesterday", "2026-08-01", "2026-08-01T00:00:00", ""):
+        with pytest.raises(ValueError):
+            sx.Validity(as_of=bad)
+
+
+def test_substrings_by_grams(spark, tmp_path):
+    import random
+
+    from palimpsest.operators import grams as gr
+
+    rng = random.Random(9)
+    rows = [(str(i), "".join(rng.choice("abAB \n.éÉ😀") for _ in range(rng.choice((0, 1, 2, 3, 30))))) for i in range(120)] + [("n", None), ("long", "ab" * 200_000 + "xyz")]
+    df = spark.createDataFrame(rows, "id string, content string")
+    grams = gr.build(df, str(tmp_path / "g"))
+    for needle in ("a", "aB", "é", "É.", "aba", "a😀b", "\n", "abab", "ABXYZ", "zzz", "", "😀😀"):
+        want = {i for i, t in rows if needle.lower() in (t or "").lower()}
+        assert {r["id"] for r in gr.containing(grams, df, needle).collect()} == want, needle
+    some = gr.candidates(grams, "abxyz").collect()
+    assert [r["id"] for r in some] == ["long"]  # others aren't looked at
+
+
+def test_trimming_is_linear(spark):
+    import time
+
+    text = "a" + " " * 400_000 + "b\u2003 \n"
+    began = time.time()
+    r = spark.createDataFrame([(text,)], "t string").select(tx.normalized(F.col("t"), 10**6).alias("n")).first()
+    assert r["n"] == text[:-3] and time.time() - began < 20

@@ -108,11 +108,14 @@ def test_commits_and_their_index(spark, tmp_path):
     before = sorted(map(str, s.memories().collect()))
     s.compact()
     assert sorted(map(str, s.memories().collect())) == before and len(s.version().changes) == 1
-    now = s.memories(current=True)
-    assert sorted(map(str, now.collect())) == sorted(map(str, s.memories().where("valid_to IS NULL").collect()))
-    assert "PartitionFilters: [isnotnull(current" in now._jdf.queryExecution().executedPlan().toString()
+    files = lambda df: {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
+    for validity, folders in ((sx.CURRENT, {"open"}), (sx.Validity(as_of=NOW), {"open"}), (sx.Validity(as_of="2024-01-05T00:00:00Z"), {"open", "2024-02"}), (st.ALL, {"open", "2024-02"})):
+        got = s.memories(validity=validity)
+        assert sorted(map(str, got.collect())) == sorted(map(str, s.memories().where(validity.holds()).collect()))
+        assert {f.split("closed=")[1].split("/")[0] for f in files(got)} == folders
+    assert "PartitionFilters: [isnotnull(closed" in s.memories(validity=sx.CURRENT)._jdf.queryExecution().executedPlan().toString()
     s.ingest(frame(spark, [("z", "w1 z")]))
-    assert s.memories(current=True).where("id = 'z'").count() == 1
+    assert s.memories(validity=sx.CURRENT).where("id = 'z'").count() == 1
 
 
 def test_of_two_writers_one_starts_over(spark, tmp_path):
