@@ -505,3 +505,5 @@ oracle(
 NEEDLES = "['thing', 'Eaux', 'er', 'ß', 'q', 'no such text at all', '. th']"
 oracle("substring_search", f"SELECT needle, id FROM mem_docs, (SELECT unnest({NEEDLES}) AS needle) WHERE contains(lower(content), lower(needle))", "mem_docs")
 oracle("store_as_of", f"SELECT id, scope, valid_to FROM mem_conv WHERE created_at <= '{q.AS_OF}' AND (valid_to IS NULL OR valid_to > '{q.AS_OF}')", "mem_conv")
+oracle("session_recorded", "SELECT '/logs/rollout-' || conv_id || '.jsonl' AS session FROM conversations WHERE conv_id % 3 = 1 AND conv_id % 5 <> 4 AND conv_id % 7 <> 6 GROUP BY conv_id")
+oracle("session_located", "SELECT CAST(conv_id AS VARCHAR) AS asked, '/logs/rollout-' || conv_id || '.jsonl' AS session FROM conversations WHERE conv_id IN (1, 3) GROUP BY conv_id")

@@ -657,6 +657,35 @@ def session_listing(spark, d):
     return tr.in_workspace(listing, tr.session_owners(s), "/w/p1").select("session", "nested")
 
 
+def _recorded(spark, d):
+    """The first lines of logs: most record their working folder, some are torn or of another kind."""
+    t = px.table(spark, d, "conversations").select("conv_id").distinct()
+    kind = F.when(F.col("conv_id") % 7 == 6, "event_msg").otherwise("session_meta")
+    line = _json(type=kind, payload=F.struct(F.concat(F.lit("/w/p"), (F.col("conv_id") % 3).cast("string")).alias("cwd")))
+    name = F.concat(F.lit("/logs/rollout-"), F.col("conv_id").cast("string"), F.lit(".jsonl"))
+    value = F.when(F.col("conv_id") % 5 == 4, F.substring(line, 1, 30)).otherwise(line)
+    first = t.select("conv_id", name.alias("session"), F.lit(0).alias("line"), value.alias("value"))
+    # A later record of the kind changes nothing.
+    return first, first.drop("conv_id").unionAll(first.select("session", F.lit(1), F.lit('{"type":"session_meta","payload":{"cwd":"/w/p1"}}')))
+
+
+@query
+def session_recorded(spark, d):
+    """The sessions of a working folder, by what their first lines record."""
+    first, lines = _recorded(spark, d)
+    listing = first.select("session", F.timestamp_seconds(F.col("conv_id")).alias("modified"))
+    return tr.in_workspace(listing, tr.recorded_owners(lines), "/w/p1").select("session")
+
+
+@query
+def session_located(spark, d):
+    """Sessions asked for by name from one working folder: its own, another folder's, and one that isn't there."""
+    first, lines = _recorded(spark, d)
+    listing = first.select("session", F.timestamp_seconds(F.col("conv_id")).alias("modified"))
+    mine = tr.in_workspace(listing, tr.recorded_owners(lines), "/w/p1")
+    return reduce(DataFrame.unionAll, [tr.located(mine, listing, f"rollout-{n}").select(F.lit(n).alias("asked"), "session") for n in ("1", "3", "none")])
+
+
 @query
 def session_selected(spark, d):
     s = _summaries(spark, d)

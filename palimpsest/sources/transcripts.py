@@ -71,6 +71,20 @@ def session_owners(summaries: DataFrame) -> DataFrame:
     return summaries.select(F.col("conversation_id").alias("session"), folders.alias("workspaces"), nested.alias("nested"))
 
 
+def recorded_owners(lines: DataFrame) -> DataFrame:
+    """owners of ``in_workspace`` from logs whose first line records the working folder (type session_meta, payload.cwd); others have none."""
+    first = lines.groupBy("session").agg(F.min_by("value", "line").alias("value"))
+    r = F.from_json("value", "type string, payload struct<cwd:string>")
+    cwd = F.when(r["type"] == "session_meta", F.nullif(r["payload"]["cwd"], F.lit("")))
+    return first.select("session", F.array_compact(F.array(cwd)).alias("workspaces"), F.lit(False).alias("nested"))
+
+
+def located(listed: DataFrame, everywhere: DataFrame, which: str) -> DataFrame:
+    """A session (session, modified) by its name: that of the listing if it has one, else the newest of that name anywhere."""
+    near, far = (selected(x.select("session", "modified"), which).withColumn("far", F.lit(n)) for n, x in enumerate((listed, everywhere)))
+    return near.unionAll(far).orderBy("far").limit(1).drop("far")
+
+
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:
     """Lines with r, the record, and torn, whether it can't be read."""
     return lines.withColumn("r", F.from_json("value", schema)).withColumn("torn", F.expr("try_parse_json(value) IS NULL"))
