@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from palimpsest.functions import text as tx
-from palimpsest.operators import facts as fx
 from palimpsest.plans import queries as q
-from palimpsest.sources import transcripts as tr
 from palimpsest.sources.projections import NOW, START
 
+#: Fixed values, written out here as well so that a fault in the library's own doesn't hide: how facts begin, what
+#: negates, what readers count, credentials (prefix, kind, least characters after it), and what queries ask for, cut into terms.
+MARKERS = (
+    "decided:", "decision:", "todo", "fixme", "note:", "rule:", "fix:", "fixed:", "chose:", "chosen:", "rejected:",
+    "constraint:", "gotcha:", "warning:", "never ", "always ", "must ", "do not ", "don't ",
+)
+NEGATIONS = ("not ", "never ", "no longer ", "don't ", "do not ", "isn't ", "wasn't ", "stopped ")
+COUNTERS = ("unknown_record", "torn_line", "missing_uuid", "non_message", "pending", "thinking", "tool_use", "tool_result", "meta", "sidechain", "command_synthetic", "empty", "truncated")
+CREDENTIALS = (
+    ("github_pat_", "github-token", 16), ("sk-proj-", "openai-key", 16), ("ctx7sk-", "context7-key", 16), ("sk-ant-", "anthropic-key", 16), ("xoxb-", "slack-token", 12), ("xoxp-", "slack-token", 12),
+    ("ghp_", "github-token", 16), ("gho_", "github-token", 16), ("ghs_", "github-token", 16), ("AKIA", "aws-access-key", 12), ("ASIA", "aws-access-key", 12), ("AIza", "google-api-key", 30), ("sk-", "api-key", 20),
+)
+CREDENTIAL_KINDS = ("private-key", "bearer-token", "anthropic-key", "openai-key", "github-token", "aws-access-key", "slack-token", "google-api-key", "context7-key", "api-key")
+PHRASES = {
+    "thing of-the Éauxré lichen ertion ciónmente the": [["thing"], ["of", "the"], ["eauxre"], ["lichen"], ["ertion"], ["cionmente"], ["the"]],
+    "thing Éauxré lichen": [["thing"], ["eauxre"], ["lichen"]],
+    "the of and": [["the"], ["of"], ["and"]],
+    "lichen thing": [["lichen"], ["thing"]],
+    "ertion ciónmente": [["ertion"], ["cionmente"]],
+    "of-the": [["of", "the"]],
+}
+
 ORACLE: dict[str, str] = {}
 
 NULLS = "NULL::VARCHAR AS rule_id, NULL::VARCHAR AS status, NULL::VARCHAR AS valid_from, NULL::VARCHAR AS valid_to, NULL::VARCHAR AS superseded_by"
@@ -50,7 +69,7 @@ PARTS = {
             THEN list_concat([line], string_split(regexp_replace(line, '([.!?]) (\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1))) ELSE [line] END)),
           lambda u: ltrim(regexp_replace(trim(u, ' ' || chr(9) || chr(13)), '^(- |\* |• )', ''))) AS units
       FROM mem_conv WHERE valid_to IS NULL AND rule_id IS NULL""",
-    "fact_lists": f"SELECT *, list_filter(units, lambda u: length(u) >= 12 AND len(list_filter({array(fx.MARKERS)}, lambda m: starts_with(lower(u), m))) > 0) AS kept FROM fact_units",
+    "fact_lists": f"SELECT *, list_filter(units, lambda u: length(u) >= 12 AND len(list_filter({array(MARKERS)}, lambda m: starts_with(lower(u), m))) > 0) AS kept FROM fact_units",
     "fact_rows": """
       SELECT memory_id, scope, created_at, fact FROM (
         SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY i) AS n FROM (
@@ -81,7 +100,7 @@ TERMS = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')"
 
 def bm25(source: str, text: str, query: str) -> str:
     """Rows of the source that match, with score."""
-    phrases = tx.phrases_of(query)
+    phrases = PHRASES[query]
     counts = ", ".join(f"{phrase_count('tt', p)} AS f{i}" for i, p in enumerate(phrases))
     stats = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(phrases)))
     idf = lambda i: f"ln((every - n{i} + 0.5) / (n{i} + 0.5))"
@@ -230,7 +249,7 @@ FROM mem_docs m LEFT JOIN part p USING (id) LEFT JOIN winner w USING (component)
     "mem_docs", "vec",
 )
 WORD_CLASSES = rf""", every AS MATERIALIZED (SELECT id, scope, created_at, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> ''))) AS w,
-    len(list_filter({array(tx.NEGATIONS)}, lambda m: contains(lower(content), m))) > 0 AS neg FROM mem_neg),
+    len(list_filter({array(NEGATIONS)}, lambda m: contains(lower(content), m))) > 0 AS neg FROM mem_neg),
   r AS MATERIALIZED (SELECT scope, w, neg, arg_min(id, created_at || id) AS id, min(created_at) AS created_at FROM every WHERE len(w) > 0 GROUP BY scope, w, neg)"""
 oracle(
     "contradictions",
@@ -323,10 +342,11 @@ oracle("out_csv", "SELECT id, " + " || ',' || ".join(CSV.format(c) for c in ("id
 ANSI = r"regexp_replace(content, '\x1b\[[0-9;]*[a-zA-Z]', '', 'g')"
 REMIND = r"regexp_replace({0}, '(?s)<system-reminder>.*?</system-reminder>', '', 'g')"
 scrub = "content"
-for _, pattern, note in tx.redact_steps()[1:]:
+STEPS = [("bearer-token", r"Bearer [A-Za-z0-9_.\-]{12,}", "Bearer [redacted:bearer-token]")] + [(kind, rf"{prefix}[A-Za-z0-9_\-]{{{least},}}", f"[redacted:{kind}]") for prefix, kind, least in CREDENTIALS]
+for _, pattern, note in STEPS:
     scrub = f"regexp_replace({scrub}, {quoted(pattern)}, {quoted(note)}, 'g')"
 oracle("redact_scrub", f"SELECT id, md5({scrub}) AS digest, contains({scrub}, '[redacted:') AS hit FROM mem_secret", "mem_secret")
-kinds = {k: [p for kind, p, _ in tx.redact_steps()[1:] if kind == k] for k in tx.KINDS}
+kinds = {k: [p for kind, p, _ in STEPS if kind == k] for k in CREDENTIAL_KINDS}
 counts = ", ".join("CAST(sum(" + (" + ".join(f"len(regexp_extract_all(content, {quoted(p)}))" for p in ps) or "0") + f") AS BIGINT) AS {k.replace('-', '_')}" for k, ps in kinds.items())
 oracle("redaction_counts", f"SELECT {counts} FROM mem_secret", "mem_secret")
 oracle("strip_ansi", f"SELECT id, md5({ANSI}) AS digest FROM mem_secret", "mem_secret")
@@ -343,7 +363,7 @@ oracle("uuid5_fact_id", "SELECT id, " + uuid5("'memory-fact:' || id || ':' || co
 oracle("ts_normalize", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS utc, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.005Z') AS millis FROM events")
 oracle("ordered_in_second", "SELECT event_id, strftime(make_timestamp((sec * 1000 + least(row_number() OVER (PARTITION BY sec ORDER BY event_id) - 1, 999)) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM (SELECT event_id, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS sec FROM events)")
 oracle("anchor_series", f"SELECT conv_id, turn, strftime(TIMESTAMP '{START}' + to_seconds(CAST(conv_id * 60 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM conversations")
-HELD = " UNION ALL ".join(f"SELECT {quoted(text)} AS query, '{kind}' AS kind, id FROM (SELECT id, {TERMS.format('content')} AS tt FROM mem_conv WHERE valid_to IS NULL AND rule_id IS NULL) WHERE list_contains(tt, {quoted(tx.phrases_of(text)[0][0])})" for text, kind in q.MEASURED)
+HELD = " UNION ALL ".join(f"SELECT {quoted(text)} AS query, '{kind}' AS kind, id FROM (SELECT id, {TERMS.format('content')} AS tt FROM mem_conv WHERE valid_to IS NULL AND rule_id IS NULL) WHERE list_contains(tt, {quoted(PHRASES[text][0][0])})" for text, kind in q.MEASURED)
 QRELS = f"({HELD})"
 FOUND = " UNION ALL ".join(f"SELECT {quoted(text)} AS query, id, rank FROM {ranked('(SELECT * FROM ' + bm25('mem_conv', 'content', text) + ' WHERE valid_to IS NULL)', 10)}" for text, _ in q.MEASURED)
 oracle(
@@ -453,7 +473,7 @@ SELECT 'latest' AS asked, arg_max(session, conv_id) AS session FROM s UNION ALL
 oracle(
     "filter_counters",
     f"""SELECT reason, CAST(2 * sum(n) AS BIGINT) AS n FROM (
-  SELECT unnest({array(tr.COUNTERS)}) AS reason, 0 AS n
+  SELECT unnest({array(COUNTERS)}) AS reason, 0 AS n
   UNION ALL SELECT CASE WHEN line = 5 THEN 'torn_line' WHEN role = 'system' THEN 'non_message' WHEN line = 3 THEN 'meta' WHEN line = 4 THEN 'sidechain' WHEN {STORED} = '' THEN 'empty' END, 1 FROM msg
   UNION ALL SELECT 'tool_use', 1 FROM msg WHERE line % 2 = 1 AND line <> 5) WHERE reason IS NOT NULL GROUP BY reason""",
     "msg",
