@@ -94,7 +94,9 @@ def word_classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A class is named by its oldest member. Both are checkpointed, so texts are cut into words once.
     """
-    rows = plain(memories).select("id", "scope", "created_at", F.sort_array(tx.words(F.col("content"))).alias("w"), tx.is_negated(F.col("content")).alias("neg")).where(F.size("w") > 0)
+    made = F.struct(F.sort_array(tx.words(F.col("content"))).alias("w"), tx.is_negated(F.col("content")).alias("neg"))
+    # Behind a generator a text is cut once, however many columns read its words.
+    rows = plain(memories).select("id", "scope", "created_at", F.inline(F.array(made))).where(F.size("w") > 0)
     key = F.md5(F.encode(F.array_join("w", " "), "UTF-8"))  # words hold no blank
     found = rows.withColumn("key", key).groupBy("scope", "key", "neg")
     classes = found.agg(F.min(F.struct("created_at", "id")).alias("first"), F.any_value("w").alias("w"))
@@ -108,7 +110,8 @@ def contradictions(memories: DataFrame, percent: int = 50) -> DataFrame:
 
     A class stands for all memories of one word set (``word_classes`` has the members), so copies make one pair
     and not all of theirs. a is the older. Words are ordered by how many classes hold them; sets that are alike
-    enough share one of their rarest words, which find the pairs, and sizes bound them before sets are compared.
+    enough share one of their rarest words, which find the pairs. Sizes, and the words that are left behind the
+    first shared one, bound a pair before its sets are compared: as hashes, and as words where these leave it possible.
     """
     classes, _ = word_classes(memories)
     each = classes.select("class", "neg", "n", F.explode("w").alias("word"), "scope").select("class", "neg", "n", F.xxhash64("scope", "word").alias("item"))
@@ -119,14 +122,20 @@ def contradictions(memories: DataFrame, percent: int = 50) -> DataFrame:
     t = percent / 100
     prefix = F.slice("line", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
     core = F.col("n") - F.ceil(F.col("n") * 2 * t / (1 + t) - 1e-9) + 1  # of the smaller set fewer words suffice
-    marked = F.transform(prefix, lambda x, i: F.struct(x["item"].alias("item"), x["both"].alias("both"), (i < core).alias("core")))
+    marked = F.transform(prefix, lambda x, i: F.struct(x["item"].alias("item"), x["both"].alias("both"), (i < core).alias("core"), (F.col("n") - i).alias("left")))
     probes = line.select("class", "neg", "n", F.inline(F.filter(marked, lambda x: x["both"]))).drop("both").checkpoint()
     l, r = probes.where("neg").alias("l"), probes.where("NOT neg").alias("r")
     near = F.when(F.col("l.n") >= F.col("r.n"), F.col("r.core")).otherwise(F.col("l.core")) & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
+    # At the first word that both hold, in the common order, no more can follow than either has left.
+    near = near & (F.least("l.left", "r.left") * (100 + percent) >= (F.col("l.n") + F.col("r.n")) * percent)
     pairs = l.join(r, (F.col("l.item") == F.col("r.item")) & near).select(F.col("l.class").alias("p"), F.col("r.class").alias("q")).distinct()
+    hashed = lambda c: classes.select(F.col("class").alias(c), F.col("scope").alias(f"{c}_scope"), F.transform("w", lambda x: F.xxhash64(x)).alias(f"{c}_h"))
+    # An item is a hash of scope and word, so the scopes are compared again. One word more than the hashes show allows for two that share one.
+    likely = pairs.join(hashed("p"), "p").join(hashed("q"), "q").where("p_scope = q_scope")
+    shared = F.size(F.array_intersect("p_h", "q_h")) + 1
+    likely = likely.where(shared * (100 + percent) >= (F.size("p_h") + F.size("q_h")) * percent).select("p", "q")
     side = lambda c: classes.select(F.col("class").alias(c), F.col("created_at").alias(f"{c}_at"), F.col("w").alias(f"{c}_w"), F.col("scope").alias(f"{c}_scope"))
-    # An item is a hash of scope and word, so the scopes are compared again.
-    full = pairs.join(side("p"), "p").join(side("q"), "q").where("p_scope = q_scope")
+    full = likely.join(side("p"), "p").join(side("q"), "q")
     both = F.size(F.array_intersect("p_w", "q_w"))
     full = full.withColumn("jaccard", both / (F.size("p_w") + F.size("q_w") - both)).where(F.col("jaccard") >= percent / 100)
     first = F.struct("p_at", "p") < F.struct("q_at", "q")
