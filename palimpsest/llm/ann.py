@@ -102,9 +102,10 @@ def tile(k: int):
             error = (n[:, None] * ve[None, :] + e[:, None] * (vn + ve)[None, :]) * (1 + 1e-9) + 1e-12 * (n[:, None] + e[:, None]) * (vn + ve)[None, :]
             own = ids[:, None] == vid[None, :]
             low = np.where(own, -np.inf, rough - error)
+            high = np.where(own, -np.inf, rough + error)
             j = min(k, low.shape[1])
             least = np.partition(low, low.shape[1] - j, axis=1)[:, low.shape[1] - j]
-            qi, vi = np.nonzero((rough + error >= least[:, None]) & ~own)
+            qi, vi = np.nonzero((high >= least[:, None]) & ~own)
             # Equal vectors stand side by side, smaller ids first.
             _, group = np.unique(same[vi], return_inverse=True)
             stay = within(qi * (group.max(initial=0) + 1) + group, k)
@@ -112,7 +113,7 @@ def tile(k: int):
             first = np.searchsorted(qi, np.arange(len(ids) + 1))
             for i, query in enumerate(ids):
                 v = vi[first[i] : first[i + 1]]
-                out.append((query, vid[v], low[i, v], (rough + error)[i, v] if len(v) else v.astype(float), same[v]))
+                out.append((query, vid[v], low[i, v], high[i, v], same[v]))
         return pd.DataFrame(out, columns=names)
 
     return run
