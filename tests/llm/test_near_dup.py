@@ -168,8 +168,21 @@ def test_registers_estimate_and_merge(jaccard):
     assert hit == (j >= 0.7)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [100_000, 7])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(cc, "TASK_ROWS", rows)
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 5), (7, 7), (9, None)], "a long, b long")
     got = {r["id"]: r["component"] for r in cc.components(links).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 5: 3}
     assert cc.components(links.limit(0)).count() == 0
+    some = np.random.default_rng(rows).integers(0, 90, (60, 2)).tolist()
+    names = spark.createDataFrame([(f"{a:02}".encode(), f"{b:02}".encode()) for a, b in some], "a binary, b binary")
+    want = {}
+    for group in (set(map(tuple, some)),):
+        root = {x: x for p in group for x in p}
+        for _ in root:
+            for a, b in group:
+                root[a] = root[b] = min(root[a], root[b])
+        want = {f"{x:02}": f"{r:02}" for x, r in root.items()}
+    got = {bytes(r["id"]).decode(): bytes(r["component"]).decode() for r in cc.components(names.repartition(5)).collect()}
+    assert {x: got.get(x, x) for x in want} == want
