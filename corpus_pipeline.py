@@ -19,7 +19,12 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good; it learns from the labelled ones among them."""
+    """Documents that the classifier predicts to be good; it learns from the labelled ones among them.
+
+    Rows are judged one by one, also where they repeat an id or have none. Null and empty texts get the score of a text
+    without words. Without labels of both kinds all rows share one judgement. Other columns than those of documents are
+    left out; an empty table stays empty.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
@@ -47,7 +52,11 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of at most 1024 tokens."""
+    """The pieces of sequences of at most 1024 tokens.
+
+    Every row is packed, also where rows repeat an id or have none; a null or empty text is its end token alone. An empty
+    table gives no rows.
+    """
     return packing.pack(docs, vocabulary(), size=1024, end_id=0)
 
 
