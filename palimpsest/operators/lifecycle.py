@@ -69,7 +69,7 @@ def rules(events: DataFrame) -> DataFrame:
     """scope, rule_id, text, agent, created_at, updated_at, status from rule events (op add, retire or purge; seq).
 
     Adding keeps the first time and revives a retired rule. Purging drops a rule that is retired, and only
-    events after the last purge that took effect count.
+    events after the last purge that took effect count. Events follow each other by seq; their ts may run back.
     """
     key = ["scope", "rule_id"]
     before = W.partitionBy(*key).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
@@ -81,7 +81,7 @@ def rules(events: DataFrame) -> DataFrame:
     adds = F.col("op") == "add"
     out = live.groupBy(*key).agg(
         F.max_by(F.when(adds, F.col("text")), F.when(adds, F.col("seq"))).alias("text"), F.max_by(F.when(adds, F.col("agent")), F.when(adds, F.col("seq"))).alias("agent"),
-        F.min(F.when(adds, F.col("ts"))).alias("created_at"), F.max("ts").alias("updated_at"), F.max_by("op", "seq").alias("op"),
+        F.min_by("ts", F.when(adds, F.col("seq"))).alias("created_at"), F.max_by("ts", "seq").alias("updated_at"), F.max_by("op", "seq").alias("op"),
     )
     return out.select(*key, "text", "agent", "created_at", "updated_at", F.when(F.col("op") == "add", "active").otherwise("retired").alias("status"))
 

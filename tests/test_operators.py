@@ -111,6 +111,12 @@ def test_rules_fold(spark):
     assert got == {"k": ("two", "b", "t1", "t3", "active"), "q": ("x", "a", "t1", "t1", "active")}
 
 
+def test_rules_fold_in_sequence_though_times_run_back(spark):
+    rows = [("s", "k", "a", "add", "one", "t9", 1), ("s", "k", "a", "retire", None, "t2", 2), ("s", "k", "b", "add", "two", "t3", 3), ("s", "p", "a", "add", "x", "t9", 1), ("s", "p", "a", "retire", None, "t2", 2)]
+    got = {r["rule_id"]: (r["text"], r["created_at"], r["updated_at"], r["status"]) for r in lx.rules(spark.createDataFrame(rows, "scope string, rule_id string, agent string, op string, text string, ts string, seq int")).collect()}
+    assert got == {"k": ("two", "t9", "t3", "active"), "p": ("x", "t9", "t2", "retired")}
+
+
 def test_index_scores_as_all_texts_do(spark, tmp_path):
     m = memories(spark, ("1", "the cat sat on the mat"), ("2", "boot_magic is on"), ("3", "boot magic magic boot magic"), ("4", "Élan vital, élan!"), ("5", ""), ("6", "the the the", {"scope": "t"}))
     index = px.build(m, str(tmp_path / "i"))

@@ -68,3 +68,16 @@ def test_queries_collect_no_scope_or_group(spark, small, monkeypatch):
     monkeypatch.setattr(F, "collect_list", lambda *_: pytest.fail("a group is collected"))
     assert q.import_texinfo(spark, small).columns == ["name", "nth", "agent", "role", "created_at", "digest"]
     assert q.dedup_apply(spark, small).columns == ["id", "scope", "valid_to", "superseded_by"]
+
+
+def turns(spark, folder, rows):
+    """conversations of rows (conv_id, turn, role, text)."""
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return str(folder)
+
+
+def test_rules_of_late_conversations(spark, tmp_path):
+    """Conversation 777 begins behind the instant of its later events."""
+    d = turns(spark, tmp_path, [(777, 0, "system", "groß"), (749, 0, "system", "only once")])
+    got = {r["rule_id"]: (r["text"], r["created_at"], r["updated_at"], r["status"]) for r in q.rule_fold(spark, d).collect()}
+    assert got == {"r000777": ("GROẞ", "2024-02-02T09:00:00.000Z", q.NOW, "active"), "r000749": ("only once", "2024-02-01T05:00:00.000Z", q.NOW, "retired")}
