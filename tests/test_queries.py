@@ -81,3 +81,9 @@ def test_rules_of_late_conversations(spark, tmp_path):
     d = turns(spark, tmp_path, [(777, 0, "system", "groß"), (749, 0, "system", "only once")])
     got = {r["rule_id"]: (r["text"], r["created_at"], r["updated_at"], r["status"]) for r in q.rule_fold(spark, d).collect()}
     assert got == {"r000777": ("GROẞ", "2024-02-02T09:00:00.000Z", q.NOW, "active"), "r000749": ("only once", "2024-02-01T05:00:00.000Z", q.NOW, "retired")}
+
+
+def test_reworded_rules_of_late_conversations(spark, tmp_path):
+    d = turns(spark, tmp_path, [(777, 0, "system", "once"), (777, 1, "user", "more")])
+    got = {r["id"]: r["updated_at"] for r in q.store_now(spark, d).collect()}
+    assert got == {"c000777-000": q.NOW, "c000777-001": None}
