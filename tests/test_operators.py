@@ -96,6 +96,27 @@ def test_contradictions(spark):
     assert got == {("1", "3", "3", 0.8)}
 
 
+def test_contradictions_equal_all_pairs_and_few_others_meet(spark):
+    """Sets of 6 to 300 words at all degrees of likeness: the pairs are those of brute force, and most others end at their parities."""
+    import random
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rnd = random.Random(5)
+    texts = []
+    for k in range(80):
+        base = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([6, 20, 80, 300]))]
+        texts += [base, [w if rnd.random() > 0.1 * (k % 9) else f"x{rnd.randrange(4000)}" for w in base]]
+    sets = [set(t) for t in texts]
+    texts = [" ".join(t) if i % 2 else "never " + " ".join(t) for i, t in enumerate(texts)]
+    sets = [s if i % 2 else s | {"never"} for i, s in enumerate(sets)]
+    want = {(i, j) for i in range(0, 160, 2) for j in range(1, 160, 2) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    m = memories(spark, *[(f"{i:03d}", t, {"created_at": f"2024-01-01T00:00:00.{i:03d}Z"}) for i, t in enumerate(texts)])
+    got = {(int(r["negated"]), int(r["b"] if r["a"] == r["negated"] else r["a"])) for r in cx.contradictions(m).collect()}
+    assert got == want and len(want) > 30
+    pairs = cx.likely_pairs(cx.word_classes(m)[0], 50)
+    assert len(want) <= pairs.count() < 2 * len(want)
+
+
 def test_ingest_twice_adds_nothing(spark):
     turns = memories(spark, ("1", "a"), ("2", "b"), ("2", "again")).withColumn("ordinal", F.monotonically_increasing_id())
     store = memories(spark, ("9", "z"))
