@@ -12,6 +12,11 @@ from palimpsest.operators import grid as gx
 from palimpsest.operators.facts import first_of
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """Rows that a join meets by a shuffle, however few they are: a broadcast goes through the driver, and writes make many joins."""
+    return rows.hint("merge")
+
+
 def first_turns(turns: DataFrame) -> DataFrame:
     """One row for each id: that of least ``ordinal``."""
     return first_of(turns, "id", order=[F.col("ordinal")])
@@ -46,7 +51,7 @@ def superseded(base: DataFrame, log: DataFrame) -> DataFrame:
 def supersede_outcome(memories: DataFrame, requests: DataFrame) -> DataFrame:
     """target, scope, outcome of requests (target, scope) to supersede a memory."""
     m = memories.select(F.col("id").alias("target"), F.col("scope").alias("own"), "rule_id", "valid_to")
-    found = requests.join(m, "target", "left")
+    found = requests.join(shuffled(m), "target", "left")
     outcome = F.when(F.col("own").isNull() | (F.col("own") != F.col("scope")), "not-found").when(F.col("rule_id").isNotNull(), "target-is-rule").when(F.col("valid_to").isNotNull(), "already-superseded").otherwise("superseded")
     return found.select("target", "scope", outcome.alias("outcome"))
 
@@ -105,7 +110,7 @@ def _chosen(memories: DataFrame, source: str, selection: DataFrame | None) -> Da
     rows = memories.where(F.col("scope") == source)
     if selection is None:
         return rows
-    return rows.where("rule_id IS NULL").join(selection.select("id").distinct(), "id", "left_semi")
+    return rows.where("rule_id IS NULL").join(shuffled(selection.select("id").distinct()), "id", "left_semi")
 
 
 def rescope_counts(memories: DataFrame, facts: DataFrame, source: str, selection: DataFrame | None = None) -> DataFrame:
@@ -120,7 +125,7 @@ def rescope_conflicts(memories: DataFrame, target: str, source: str, selection:
     """rule_id of rules that would move into a scope which holds one of that id."""
     moved = _chosen(memories, source, selection).where("rule_id IS NOT NULL").select("rule_id").distinct()
     held = memories.where((F.col("scope") == target) & F.col("rule_id").isNotNull()).select("rule_id").distinct()
-    return moved.join(held, "rule_id")
+    return moved.join(shuffled(held), "rule_id")
 
 
 def rescoped(memories: DataFrame, source: str, target: str, selection: DataFrame | None = None) -> DataFrame:

@@ -92,7 +92,7 @@ class Store:
             new = self._rows(later)
             last = new.groupBy("id").agg(F.max_by(F.struct(*COLUMNS[1:], "gone"), "number").alias("r")).select("id", "r.*")
             last = last.where("NOT gone").where(validity.holds())
-            rows = rows.join(new.select("id"), "id", "left_anti").select(*COLUMNS).unionByName(last.select(*COLUMNS))
+            rows = rows.join(lx.shuffled(new.select("id")), "id", "left_anti").select(*COLUMNS).unionByName(last.select(*COLUMNS))
         return rows.select(*COLUMNS)
 
     def index(self, version: Version | int | None = None) -> Index:
@@ -137,7 +137,7 @@ class Store:
     def _indexed(self, v: Version, before: DataFrame, rows: DataFrame) -> Index:
         """The index after a change: texts that it leaves as they are cost nothing."""
         old = before.select("id", F.col("content").alias("old"), F.lit(True).alias("was"))
-        met = rows.select("id", "content", "gone").join(old, "id", "left").where("was IS NULL OR gone OR content IS DISTINCT FROM old")
+        met = rows.select("id", "content", "gone").join(lx.shuffled(old), "id", "left").where("was IS NULL OR gone OR content IS DISTINCT FROM old")
         met = met.select("id", F.coalesce("content", F.lit("")).alias("text"), F.coalesce("old", F.lit("")).alias("old"), "gone", F.coalesce("was", F.lit(False)).alias("was"))
         if met.isEmpty():
             return self.index(v)
@@ -168,7 +168,7 @@ class Store:
     def ingest(self, turns: DataFrame, txn: tuple[str, int] | None = None) -> Version:
         """Add memories whose ids the store lacks; of those that repeat an id the first (least ``ordinal``) counts."""
         first = lx.first_turns(turns) if "ordinal" in turns.columns else turns.dropDuplicates(["id"])
-        return self.commit(lambda old: first.join(old.select("id"), "id", "left_anti"), txn)
+        return self.commit(lambda old: first.join(lx.shuffled(old.select("id")), "id", "left_anti"), txn)
 
     def supersede(self, requests: DataFrame, now: str) -> Version:
         """Close the memories that requests (target, scope, superseded_by) may close, at ``now``; others stay (see ``supersede_outcome``)."""
@@ -176,7 +176,7 @@ class Store:
         def change(old: DataFrame) -> DataFrame:
             fit = lx.supersede_outcome(old, requests.select("target", "scope")).where("outcome = 'superseded'").select(F.col("target").alias("id"))
             by = requests.groupBy(F.col("target").alias("id")).agg(F.min("superseded_by").alias("by"))
-            return old.join(fit.distinct(), "id", "left_semi").join(by, "id").withColumns({"valid_to": F.lit(now), "superseded_by": F.col("by")}).drop("by")
+            return old.join(lx.shuffled(fit.distinct()), "id", "left_semi").join(lx.shuffled(by), "id").withColumns({"valid_to": F.lit(now), "superseded_by": F.col("by")}).drop("by")
 
         return self.commit(change)
 
@@ -185,15 +185,15 @@ class Store:
 
         def change(old: DataFrame) -> DataFrame:
             asked = events.select("scope", "rule_id").distinct()
-            known = old.where("rule_id IS NOT NULL").join(asked, ["scope", "rule_id"], "left_semi")
+            known = old.where("rule_id IS NOT NULL").join(lx.shuffled(asked), ["scope", "rule_id"], "left_semi")
             added = known.select("scope", "rule_id", "agent", F.lit("add").alias("op"), F.col("content").alias("text"), F.col("created_at").alias("ts"), F.lit(0).alias("seq"))
             touched = F.coalesce("updated_at", "created_at")
             retired = known.where("status = 'retired'").select("scope", "rule_id", "agent", F.lit("retire"), F.lit(None).cast("string"), touched, F.lit(1))
             later = events.select(added.columns).withColumn("seq", F.col("seq") + 2)
             now = lx.rules(added.unionAll(retired).unionByName(later))
             ident = F.coalesce("id", F.concat_ws(":", F.lit("rule"), "scope", "rule_id"))
-            rows = asked.join(known.select("scope", "rule_id", "id", "last_accessed_at", "access_count"), ["scope", "rule_id"], "left").withColumn("id", ident)
-            rows = rows.join(now.withColumn("there", F.lit(True)), ["scope", "rule_id"], "left").withColumn("gone", F.col("there").isNull())
+            rows = asked.join(lx.shuffled(known.select("scope", "rule_id", "id", "last_accessed_at", "access_count")), ["scope", "rule_id"], "left").withColumn("id", ident)
+            rows = rows.join(lx.shuffled(now.withColumn("there", F.lit(True))), ["scope", "rule_id"], "left").withColumn("gone", F.col("there").isNull())
             return rows.select("id", "agent", "scope", F.lit("rule").alias("role"), F.coalesce("text", F.lit("")).alias("content"), "created_at", "rule_id", "updated_at", "status", "last_accessed_at", "access_count", "gone")
 
         return self.commit(change)
@@ -203,7 +203,7 @@ class Store:
         seen = log.groupBy("id").agg(F.count("*").alias("n"), F.max("ts").alias("at"))
 
         def change(old: DataFrame) -> DataFrame:
-            rows = old.join(seen, "id")
+            rows = old.join(lx.shuffled(seen), "id")
             count = (F.coalesce("access_count", F.lit(0)) + F.col("n")).cast("int")
             return rows.withColumns({"access_count": count, "last_accessed_at": F.greatest("last_accessed_at", "at")}).drop("n", "at")
 
@@ -221,7 +221,7 @@ class Store:
 
     def forget(self, idents: DataFrame) -> Version:
         """Take memories (id) away."""
-        return self.commit(lambda old: old.join(idents.select("id").distinct(), "id", "left_semi").withColumn("gone", F.lit(True)))
+        return self.commit(lambda old: old.join(lx.shuffled(idents.select("id").distinct()), "id", "left_semi").withColumn("gone", F.lit(True)))
 
 
 def write_changes(rows: DataFrame, path: str, sort: bool = False) -> None:
