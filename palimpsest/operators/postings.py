@@ -81,7 +81,7 @@ class Index:
         if dead is None:
             return rows
         dead = dead.withColumnRenamed("id", "dead_id")
-        return rows.join(dead, (F.col("id") == F.col("dead_id")) & (F.col("segment") < F.col("until")), "left_anti")
+        return rows.join(dead.hint("merge"), (F.col("id") == F.col("dead_id")) & (F.col("segment") < F.col("until")), "left_anti")
 
     @property
     def every(self) -> int:
@@ -137,7 +137,7 @@ class Index:
         if rows:
             alive, dead = reduce(DataFrame.unionAll, rows), run.dead()
             if dead is not None:
-                alive = alive.join(dead.withColumnRenamed("id", "dead_id"), (F.col("id") == F.col("dead_id")) & (F.col("segment") < F.col("until")), "left_anti")
+                alive = alive.join(dead.withColumnRenamed("id", "dead_id").hint("merge"), (F.col("id") == F.col("dead_id")) & (F.col("segment") < F.col("until")), "left_anti")
             shift = F.shiftright("block", CLASS_BITS)
             sizes = alive.groupBy(shift.alias("class")).agg(F.countDistinct("id").alias("n")).collect()  # a row for each class of lengths
             alive = alive.withColumn("block", block_in(shift, F.col("id"), {r["class"]: r["n"] for r in sizes}))
@@ -287,7 +287,7 @@ class Ranking:
         bounds = self.bounds()
         order = bounds.where("most > 0").orderBy(F.desc("most"), "segment", "block")
         first = [(r["segment"], r["block"]) for r in order.limit(FIRST_BLOCKS).collect()]
-        among = lambda rows: rows if alive is None else rows.join(alive.select("id"), "id", "left_semi")
+        among = lambda rows: rows if alive is None else rows.join(alive.select("id").hint("merge"), "id", "left_semi")
         top = among(self.scored(first)).select(F.round("score", 10).alias("s")).orderBy(F.desc("s")).limit(k).agg(F.count("*"), F.min("s")).first()
         floor = top[1] if top[0] == k else 0.0
         # Two numbers for some thousand texts each, and only of blocks that can still matter.

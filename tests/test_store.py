@@ -158,3 +158,15 @@ def test_queries_see_tables_that_are_written_anew(spark, tmp_path):
     write(["thing", "other words and more of them"])
     assert [r["id"] for r in q.fts_match(spark, str(tmp_path)).collect()] == ["d000000"]
     assert [r["id"] for r in q.fts_search(spark, str(tmp_path)).collect()] == ["d000000"]
+
+
+def test_no_join_of_a_store_or_its_index_goes_through_the_driver(spark, tmp_path):
+    """What grows with the memories is shuffled, though these are few."""
+    rng = random.Random(9)
+    s = st.Store(spark, str(tmp_path / "s"))
+    s.ingest(frame(spark, texts(rng, 20)))
+    s.forget(spark.createDataFrame([("m0003",)], "id string"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(s.memories()) and "SortMergeJoin" in plan(s.memories())
+    rows = s.index().postings(["w1", "w2"])
+    assert "BroadcastHashJoin" not in plan(rows) and "SortMergeJoin" in plan(rows)
