@@ -2,7 +2,7 @@
 
 A segment holds the postings of the texts that one change brought: a row (term, block, id, n, at) for each
 term of a text, at being its places and n the number of the text's terms. Folders go by a hash of the term, and
-files are sorted by term and block. Blocks are texts of like length. A second table bounds each term in each
+files (a few for each folder) are sorted by term and block. Blocks are texts of like length. A second table bounds each term in each
 block: its texts, its greatest count, the shortest text's n. A change also names the texts that it takes away: its
 ``dead`` ids bury what older segments hold of them, and ``minus`` counts their terms, so that statistics are
 sums over segments and equal those of an index built anew. Segments are merged from their postings alone.
@@ -16,9 +16,13 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,10 @@ from palimpsest.functions import text as tx
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Texts of a block, and occurrences of a folder, about.
 BLOCK_TEXTS, BUCKET_TERMS = 8192, 4_000_000
+#: A bucket's rows go to so many tasks at least, and to one for so many texts.
+SHARES, SHARE_TEXTS = 8, 1_000_000
+#: Texts whose places a task groups at a time; the rest of an Arrow batch waits.
+SLICE_TEXTS = 512
 #: Blocks that a ranked search scores before it knows what the others must reach.
 FIRST_BLOCKS = 8
 #: So many blocks are named in the filter that reaches the files; more are told apart after it.
@@ -141,7 +149,7 @@ class Index:
             shift = F.shiftright("block", CLASS_BITS)
             sizes = alive.groupBy(shift.alias("class")).agg(F.countDistinct("id").alias("n")).collect()  # a row for each class of lengths
             alive = alive.withColumn("block", block_in(shift, F.col("id"), {r["class"]: r["n"] for r in sizes}))
-            write_postings(s, alive.withColumn("bucket", bucket(F.col("term"), s.buckets)).repartition("bucket", "block"))
+            write_postings(s, dealt(alive, s))
         if s.dead_texts:
             reduce(DataFrame.unionAll, [run.table(x, "dead", "id string") for x in run.segments if x.dead_texts]).distinct().write.parquet(f"{s.path}/dead")
             # Of the texts that died, those of this run are no longer in its postings: they aren't to be subtracted again.
@@ -178,6 +186,15 @@ def block_in(length_class: Column, ident: Column, sizes: dict[int, int]) -> Colu
     return F.shiftleft(length_class.cast("long"), CLASS_BITS) + F.pmod(F.xxhash64(ident), places)
 
 
+def dealt(rows: DataFrame, s: Segment) -> DataFrame:
+    """Rows with their bucket, each bucket's dealt to a few tasks by block, so that files are no more than these and frequent terms are parted.
+
+    Tasks of any blocks would write a file for each bucket, and both numbers grow with the input.
+    """
+    shares = max(SHARES, -(-s.texts // SHARE_TEXTS))
+    return rows.withColumn("bucket", bucket(F.col("term"), s.buckets)).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(shares)))
+
+
 def write_texts(s: Segment, rows: DataFrame) -> Segment:
     """Write the postings and bounds of rows (id, text)."""
     ident, text = rows.columns[:2]
@@ -189,11 +206,32 @@ def write_texts(s: Segment, rows: DataFrame) -> Segment:
     s = replace(s, texts=texts, buckets=buckets_for(sum(r["bytes"] for r in sizes) // 5))
     if not texts:
         return s
-    terms = rows.select(F.col(ident).alias("id"), block_in(length_class, F.col(ident), {r["class"]: r["n"] for r in sizes}).alias("block"), tx.terms(F.col(text)).alias("terms"))
-    each = terms.select("id", "block", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "term"))
-    each = each.withColumn("bucket", bucket(F.col("term"), s.buckets)).repartition("bucket", "block")
-    # The same partitioning serves the grouping; a frequent term is dealt by block.
-    return write_postings(s, each.groupBy("bucket", "block", "term", "id", "n").agg(F.sort_array(F.collect_list("at")).alias("at")))
+    line = F.array_join(tx.terms(F.col(text)), " ")
+    lines = rows.select(F.col(ident).alias("id"), block_in(length_class, F.col(ident), {r["class"]: r["n"] for r in sizes}).alias("block"), line.alias("line"))
+    # A text's places are grouped where its terms are made: what is shuffled is postings, and nothing is grouped after it.
+    each = lines.mapInArrow(placed, "id string, block long, n int, term string, at array<int>")
+    return write_postings(s, dealt(each, s))
+
+
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, block, n, term, at), one for a term of a text, of rows (id, block, line), a line being a text's terms between blanks."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_TEXTS):
+            rows = batch.slice(start, SLICE_TEXTS)
+            lists = pc.split_pattern(rows.column("line").filter(full := pc.not_equal(rows.column("line"), "")), " ")
+            rows, lengths = rows.filter(full), pc.list_value_length(lists).to_numpy().astype(np.int64)
+            if not len(lists):
+                continue
+            words = lists.flatten().dictionary_encode()
+            text, word = np.repeat(np.arange(len(lists)), lengths), words.indices.to_numpy().astype(np.int64)
+            at = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            key = text * len(words.dictionary) + word
+            order = np.argsort(key, kind="stable")  # places stay ascending
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            text, word = text[order][first], word[order][first]
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(at[order], pa.int32()))
+            columns = [rows.column("id").take(pa.array(text)), rows.column("block").take(pa.array(text)), pa.array(lengths[text], pa.int32()), words.dictionary.take(pa.array(word)), places]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "block", "n", "term", "at"])
 
 
 def write_postings(s: Segment, rows: DataFrame) -> Segment:

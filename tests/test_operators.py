@@ -230,3 +230,29 @@ def test_trimming_is_linear(spark):
     began = time.time()
     r = spark.createDataFrame([(text,)], "t string").select(tx.normalized(F.col("t"), 10**6).alias("n")).first()
     assert r["n"] == text[:-3] and time.time() - began < 20
+
+
+def test_an_index_has_few_files_and_the_places_of_each_term(spark, tmp_path, monkeypatch):
+    """Files are a few for each folder, whatever the tasks; before, each task wrote one into each folder."""
+    monkeypatch.setattr(px, "BLOCK_TEXTS", 4)
+    monkeypatch.setattr(px, "BUCKET_TERMS", 80)
+    monkeypatch.setattr(px, "SLICE_TEXTS", 3)
+    texts = [" ".join(f"w{i * j % 41}" for j in range(i % 30)) for i in range(200)] + ["", "?!", "Éa-éA", "one"]
+    df = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(texts)], "id string, content string").repartition(3)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = px.build(df, str(tmp_path / "i"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    (s,) = index.segments
+    assert s.buckets >= 10 and len(list((tmp_path / "i").rglob("postings/*/*.parquet"))) <= 8 * s.buckets
+    got = {(r["term"], r["id"], r["n"]): r["at"] for r in index.table(s, "postings", px.POSTINGS).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        words = ["ea", "ea"] if t.startswith("É") else [] if t == "?!" else t.split()
+        for at, w in enumerate(words):
+            want.setdefault((w, f"{i:03d}", len(words)), []).append(at)
+    assert got == want and s.terms == sum(map(len, want.values()))
