@@ -256,3 +256,15 @@ def test_an_index_has_few_files_and_the_places_of_each_term(spark, tmp_path, mon
         for at, w in enumerate(words):
             want.setdefault((w, f"{i:03d}", len(words)), []).append(at)
     assert got == want and s.terms == sum(map(len, want.values()))
+
+
+def test_grams_are_grouped_before_they_are_dealt(spark, tmp_path, monkeypatch):
+    """A row holds the ids of many texts; before, each gram of each text was a row."""
+    from palimpsest.operators import grams as gr
+
+    df = spark.createDataFrame([(f"{i:03d}", "Same 😀" + "x" * (i % 3)) for i in range(300)] + [("n", None)], "id string, content string").coalesce(1)
+    grams = gr.build(df, str(tmp_path / "g"))
+    places = spark.read.parquet(str(tmp_path / "g/places"))
+    assert places.count() == places.select("gram").distinct().count()
+    assert sorted(r["n"] for r in grams.table("counts", "n long").where(F.col("gram") == "sam").collect()) == [300]
+    assert {r["id"] for r in gr.containing(grams, df, "😀XX").collect()} == {f"{i:03d}" for i in range(2, 300, 3)}
