@@ -268,3 +268,19 @@ def test_grams_are_grouped_before_they_are_dealt(spark, tmp_path, monkeypatch):
     assert places.count() == places.select("gram").distinct().count()
     assert sorted(r["n"] for r in grams.table("counts", "n long").where(F.col("gram") == "sam").collect()) == [300]
     assert {r["id"] for r in gr.containing(grams, df, "😀XX").collect()} == {f"{i:03d}" for i in range(2, 300, 3)}
+
+
+def test_duplicates_are_looked_for_once(spark):
+    """Texts are normalised and pairs made once, however many parts of the groups need them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def same(x):
+        seen.add(1)
+        return x
+
+    rows = [("a", "s", "One two", "t1"), ("b", "s", "one  two", "t2"), ("c", "s", "three", "t3"), ("d", "s", "four", "t4")]
+    m = spark.createDataFrame(rows, "id string, scope string, text string, created_at string").select("id", "scope", "created_at", same("text").alias("content"), *[F.lit(None).cast("string").alias(c) for c in ("valid_to", "rule_id")])
+    near = spark.createDataFrame([("s", "b", "c")], "scope string, a string, b string").select("scope", same("a").alias("a"), "b")
+    got = [tuple(r) for r in cx.dedup_groups(m, near).collect()]
+    assert got == [("s", "c", "a,b", "exact,vector")] and seen.value == len(rows) + 1
