@@ -18,6 +18,8 @@ SPEAKER = r"^## (User|Assistant)(?:\s*$| \(.*$)"
 GLYPHS = "^[❯●]"
 #: Fixed value: glyphs of tool results, spinners and status lines, which end what was said.
 CHROME = "^[⎿✻⏺]"
+#: A line of a single @ in Texinfo, and the one that ends an archive.
+MARKUP, BYE = "^@(?:[^@]|$)", r"^@bye\s*$"
 CREATED = r"^\s*\*\*Created:\*\*\s*(\d+)/(\d+)/(\d+), (\d+):(\d+)(?::(\d+))? ([AaPp][Mm])\s*$"
 HEADER_LINES = 40
 FORMATS = ("texinfo", "markdown", "scrollback")
@@ -49,46 +51,71 @@ def read_exports(spark: SparkSession, path: str, recursive: bool = False, forced
 def imported(exports: DataFrame, scope: str | None = None) -> DataFrame:
     """Messages of exports (name, text, format, anchor, scope) of all formats, with scope and id; one of no format fails."""
     kind = F.coalesce("format", F.raise_error(F.concat(F.lit("not recognised: "), "name")).cast("string"))
-    of = lambda k: exports.where(kind == k)
-    found = texinfo(of("texinfo")).unionByName(markdown(of("markdown"))).unionByName(scrollback(of("scrollback")))
-    found = found.join(exports.select("name", (F.lit(scope) if scope else F.col("scope")).alias("scope")), "name")
+    # All formats in one pass: a branch for each would read every file again.
+    found = _messages(exports.withColumns({"format": kind, "scope": F.lit(scope) if scope else F.col("scope")}), "scope")
     ident = ids.import_id(F.col("scope"), F.col("agent"), F.col("role"), F.col("created_at"), F.col("text"))
     return found.select(ident.alias("id"), "scope", *MESSAGE)
 
 
-def _islands(exports: DataFrame, head: str, close: str) -> DataFrame:
-    """Lines of exports with run, the number of headings and closing lines so far: a run that a heading begins is a message."""
-    more = [c for c in ("anchor",) if c in exports.columns]
-    lines = exports.select("name", *more, F.posexplode(F.split("text", LINE_END)).alias("line", "value"))
-    lines = lines.withColumn("is_head", F.col("value").rlike(head)).withColumn("is_mark", F.col("is_head") | F.col("value").rlike(close))
-    return lines.withColumn("run", F.sum(F.col("is_mark").cast("int")).over(W.partitionBy("name").orderBy("line")))
+def _by_format(texinfo: Column, markdown: Column, scrollback: Column) -> Column:
+    kind = F.col("format")
+    return F.when(kind == "texinfo", texinfo).when(kind == "markdown", markdown).when(kind == "scrollback", scrollback)
 
 
-def _bodies(lines: DataFrame, sep: str, *more: str) -> DataFrame:
-    """name, run, head, b (the lines that follow the heading, joined by sep) of the runs that a heading begins."""
-    body = F.array_sort(F.collect_list(F.when(~F.col("is_mark"), F.struct("line", "value"))))
-    runs = lines.groupBy("name", "run").agg(F.max(F.when(F.col("is_head"), F.col("value"))).alias("head"), body.alias("b"), *[F.max(c).alias(c) for c in more])
-    return runs.where("head IS NOT NULL").withColumn("body", F.array_join(F.transform("b", lambda x: x["value"]), sep)).drop("b")
+def _messages(exports: DataFrame, *more: str, markdown: str = "opencode", scrollback: str = "claude-code") -> DataFrame:
+    """Messages of exports (name, text, format, and perhaps anchor) in one pass, with more of the exports' columns; markdown, scrollback: the agents.
 
+    A line that begins or ends a message starts a run of lines; a run that a heading begins is a message.
+    """
+    if "anchor" not in exports.columns:
+        exports = exports.withColumn("anchor", F.lit(None).cast("string"))
+    value = F.col("value")
+    lines = exports.select("name", "format", "anchor", *more, F.posexplode(F.split("text", LINE_END)).alias("line", "value"))
+    is_head = _by_format(value.rlike(HEADING), value.rlike(SPEAKER), value.rlike(GLYPHS))
+    is_end = _by_format(value.rlike(BYE), F.lit(False), value.rlike(CHROME))
+    lines = lines.withColumns({"is_head": is_head, "is_end": is_end})
+    lines = lines.withColumn("run", F.sum((F.col("is_head") | F.col("is_end")).cast("int")).over(W.partitionBy("name").orderBy("line")))
+    at = F.when(F.col("format") == "markdown", created(value))
+    own = F.min_by(at, F.when(at.isNotNull() & (F.col("line") < HEADER_LINES), F.col("line"))).over(W.partitionBy("name"))
+    lines = lines.withColumn("anchor", F.coalesce(own, F.col("anchor").cast("timestamp")))
+    # In scrollback the heading's own line is speech too.
+    lines = lines.withColumn("said", F.when(F.col("format") == "scrollback", tx.trimmed(F.regexp_replace("value", GLYPHS, ""))).otherwise(value))
+    inner = ~F.col("is_head") & ~F.col("is_end")
+    kept = _by_format(inner & ~value.rlike(MARKUP), inner & (F.rtrim("value") != "---"), ~F.col("is_end") & (F.col("said") != ""))
+    body = F.array_sort(F.collect_list(F.when(kept, F.struct("line", "said"))))
+    runs = lines.groupBy("name", "run").agg(F.max(F.when(F.col("is_head"), value)).alias("head"), body.alias("b"), *[F.max(c).alias(c) for c in ("format", "anchor", *more)]).where("head IS NOT NULL")
+    said = F.transform("b", lambda x: x["said"])
+    runs = runs.withColumn("body", F.when(F.col("format") == "scrollback", F.array_join(said, " ")).otherwise(F.array_join(said, "\n"))).drop("b")
+    text = _by_format(_unescaped(F.col("body")), tx.trimmed(F.col("body")), F.col("body"))
+    rows = runs.withColumn("text", text).where(F.when(F.col("format") == "texinfo", tx.trimmed(F.col("text"))).otherwise(F.col("text")) != "")
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("name").orderBy("run")) - 1)
+    # Those without instants of their own are a second apart, from the anchor on.
+    timed = times.as_text(F.timestamp_seconds(F.unix_timestamp("anchor") + F.col("nth")))
+    by, role, at = _heading()
+    speaker = F.lower(F.regexp_extract("head", SPEAKER, 1))
+    glyph = F.when(F.startswith("head", F.lit("❯")), "user").otherwise("assistant")
+    rows = rows.withColumns({"agent": _by_format(by, F.lit(markdown), F.lit(scrollback)), "role": _by_format(role, speaker, glyph), "created_at": _by_format(at, timed, timed)})
+    return rows.select(*MESSAGE, *more)
+
+
+def _heading() -> tuple[Column, Column, Column]:
+    """agent, role, created_at of a Texinfo heading; one without an instant fails."""
+    part = lambda i: F.regexp_extract("head", HEADING, i)
+    return tx.texinfo_unescaped(part(1)), part(2), F.coalesce(times.normalized(part(3)), F.raise_error(F.concat(F.lit("no instant in: "), "head")))
 
-def _nth(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy("name").orderBy("run")) - 1)
 
+def _unescaped(body: Column) -> Column:
+    return tx.texinfo_unescaped(F.regexp_replace(body, r"\n+\z", ""))
 
-def _headed(rows: DataFrame, body: Column) -> DataFrame:
-    """agent, role, created_at, text of rows with head; blank texts are no messages."""
-    part = lambda i: F.regexp_extract("head", HEADING, i)
-    at = times.normalized(part(3))
-    at = F.coalesce(at, F.raise_error(F.concat(F.lit("no instant in: "), "head")))
-    text = tx.texinfo_unescaped(F.regexp_replace(body, r"\n+\z", ""))
-    rows = rows.withColumn("text", text).where(tx.trimmed(F.col("text")) != "")
-    return rows.withColumn("agent", tx.texinfo_unescaped(part(1))).withColumn("role", part(2)).withColumn("created_at", at)
+
+def _formatted(exports: DataFrame, kind: str, anchor: str | None = None) -> DataFrame:
+    exports = exports.withColumn("format", F.lit(kind))
+    return exports if anchor is None else exports.withColumn("anchor", F.lit(anchor))
 
 
 def texinfo(exports: DataFrame) -> DataFrame:
     """Messages of Texinfo archives. A line of a single @ is markup, never text, and @bye ends a message."""
-    lines = _islands(exports, HEADING, r"^@bye\s*$").where(~F.col("value").rlike("^@(?:[^@]|$)") | F.col("is_mark"))
-    return _nth(_headed(_bodies(lines, "\n"), F.col("body"))).select(*MESSAGE)
+    return _messages(_formatted(exports, "texinfo"))
 
 
 def texinfo_chapters(rows: DataFrame) -> DataFrame:
@@ -96,9 +123,10 @@ def texinfo_chapters(rows: DataFrame) -> DataFrame:
     lines = F.split("text", LINE_END)
     after = F.slice(lines, 2, F.greatest(F.lit(1), F.size(lines)))
     end = F.array_position(F.transform(after, lambda x: F.rtrim(x)), "@bye")
-    body = F.filter(F.when(end > 0, F.slice(after, F.lit(1), end.cast("int") - 1)).otherwise(after), lambda x: ~x.rlike("^@(?:[^@]|$)"))
-    rows = rows.withColumn("head", F.get(lines, F.lit(0))).withColumn("nth", F.col("place"))
-    return _headed(rows, F.array_join(body, "\n")).select(*MESSAGE)
+    body = F.filter(F.when(end > 0, F.slice(after, F.lit(1), end.cast("int") - 1)).otherwise(after), lambda x: ~x.rlike(MARKUP))
+    agent, role, at = _heading()
+    rows = rows.withColumns({"head": F.get(lines, F.lit(0)), "nth": F.col("place"), "text": _unescaped(F.array_join(body, "\n"))}).where(tx.trimmed(F.col("text")) != "")
+    return rows.withColumns({"agent": agent, "role": role, "created_at": at}).select(*MESSAGE)
 
 
 def created(line: Column) -> Column:
@@ -109,33 +137,11 @@ def created(line: Column) -> Column:
     return F.when(line.rlike(CREATED), F.try_make_timestamp(part(3), part(1), part(2), hour, part(5), F.coalesce(part(6), F.lit(0))))
 
 
-def _anchored(exports: DataFrame, anchor: str | None) -> DataFrame:
-    return exports if anchor is None else exports.withColumn("anchor", F.lit(anchor))
-
-
-def _timed(rows: DataFrame) -> Column:
-    """A second later for each message, from the anchor on."""
-    return times.as_text(F.timestamp_seconds(F.unix_timestamp(F.col("anchor").cast("timestamp")) + F.col("nth")))
-
-
 def markdown(exports: DataFrame, anchor: str | None = None, agent: str = "opencode") -> DataFrame:
     """Messages of Markdown exports, a second apart from the header's **Created:** or the anchor on."""
-    lines = _islands(_anchored(exports, anchor), SPEAKER, r"(?!)").where(F.rtrim("value") != "---")
-    own = F.min_by(created(F.col("value")), F.when(created(F.col("value")).isNotNull() & (F.col("line") < HEADER_LINES), F.col("line"))).over(W.partitionBy("name"))
-    lines = lines.withColumn("anchor", F.coalesce(own, F.col("anchor").cast("timestamp")))
-    rows = _bodies(lines, "\n", "anchor").withColumn("text", tx.trimmed(F.col("body"))).where("text <> ''")
-    rows = _nth(rows).withColumn("role", F.lower(F.regexp_extract("head", SPEAKER, 1))).withColumn("agent", F.lit(agent))
-    return rows.withColumn("created_at", _timed(rows)).select(*MESSAGE)
+    return _messages(_formatted(exports, "markdown", anchor), markdown=agent)
 
 
 def scrollback(exports: DataFrame, anchor: str | None = None, agent: str = "claude-code") -> DataFrame:
     """Messages of terminal scrollback: a glyph in the first column starts a speaker, other lines go on, chrome ends it."""
-    lines = _islands(_anchored(exports, anchor), GLYPHS, CHROME)
-    said = tx.trimmed(F.regexp_replace("value", GLYPHS, ""))
-    # The heading's own line is speech too.
-    lines = lines.withColumn("is_mark", F.col("is_mark") & ~F.col("is_head")).withColumn("glyph", F.when(F.col("is_head"), F.substring("value", 1, 1))).withColumn("value", F.when(said != "", said))
-    body = F.array_sort(F.collect_list(F.when(~F.col("is_mark") & F.col("value").isNotNull(), F.struct("line", "value"))))
-    runs = lines.groupBy("name", "run").agg(F.max("glyph").alias("glyph"), body.alias("b"), F.max("anchor").alias("anchor")).where("glyph IS NOT NULL")
-    runs = runs.withColumn("text", F.array_join(F.transform("b", lambda x: x["value"]), " ")).where("text <> ''")
-    rows = _nth(runs).withColumn("role", F.when(F.col("glyph") == "❯", "user").otherwise("assistant")).withColumn("agent", F.lit(agent))
-    return rows.withColumn("created_at", _timed(rows)).select(*MESSAGE)
+    return _messages(_formatted(exports, "scrollback", anchor), scrollback=agent)

@@ -151,3 +151,21 @@ def test_readers():
         tr.reader("cursor")
     with pytest.raises(ValueError):
         tr.reader("nobody")
+
+
+def test_each_export_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(x):
+        read.add(1)
+        return x
+
+    rows = [("a", "## User\nhi\n", "2026-01-01T00:00:00Z", "p"), ("b", "❯ go\n● done\n", "2026-01-01T00:00:00Z", "q"), ("c", "@chapter Message by x (user) at 2024-01-01T00:00:00Z\nyes\n", None, "p")]
+    made = spark.createDataFrame(rows, "name string, t string, anchor string, scope string").select("name", text("t").alias("text"), "anchor", "scope")
+    got = sorted((r["name"], r["nth"], r["scope"], r["agent"], r["role"], r["created_at"], r["text"]) for r in ex.imported(made.withColumn("format", ex.sniffed(F.col("text")))).collect())
+    assert got == [
+        ("a", 0, "p", "opencode", "user", "2026-01-01T00:00:00.000Z", "hi"), ("b", 0, "q", "claude-code", "user", "2026-01-01T00:00:00.000Z", "go"),
+        ("b", 1, "q", "claude-code", "assistant", "2026-01-01T00:00:01.000Z", "done"), ("c", 0, "p", "x", "user", "2024-01-01T00:00:00.000Z", "yes"),
+    ]
+    assert read.value == len(rows)
