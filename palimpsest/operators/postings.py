@@ -2,7 +2,7 @@
 
 A segment holds the postings of the texts that one change brought: a row (term, block, id, n, at) for each
 term of a text, at being its places and n the number of the text's terms. Folders go by a hash of the term, and
-files (a few for each folder) are sorted by term and block. Blocks are texts of like length. A second table bounds each term in each
+files (a few for each folder) are sorted by term and block; a column of its own counts the places. Blocks are texts of like length. A second table bounds each term in each
 block: its texts, its greatest count, the shortest text's n. A change also names the texts that it takes away: its
 ``dead`` ids bury what older segments hold of them, and ``minus`` counts their terms, so that statistics are
 sums over segments and equal those of an index built anew. Segments are merged from their postings alone.
@@ -18,7 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BLOCK_TEXTS, BUCKET_TERMS = 8192, 4_000_000
 #: A bucket's rows go to so many tasks at least, and to one for so many texts.
 SHARES, SHARE_TEXTS = 8, 1_000_000
-#: Texts whose places a task groups at a time; the rest of an Arrow batch waits.
-SLICE_TEXTS = 512
+#: Texts, and bytes of their terms, whose places a task groups at a time; the rest of an Arrow batch waits.
+SLICE_TEXTS, SLICE_BYTES = 4096, 16_000_000
 #: Blocks that a ranked search scores before it knows what the others must reach.
 FIRST_BLOCKS = 8
 #: So many blocks are named in the filter that reaches the files; more are told apart after it.
@@ -209,38 +209,60 @@ def write_texts(s: Segment, rows: DataFrame) -> Segment:
     line = F.array_join(tx.terms(F.col(text)), " ")
     lines = rows.select(F.col(ident).alias("id"), block_in(length_class, F.col(ident), {r["class"]: r["n"] for r in sizes}).alias("block"), line.alias("line"))
     # A text's places are grouped where its terms are made: what is shuffled is postings, and nothing is grouped after it.
-    each = lines.mapInArrow(placed, "id string, block long, n int, term string, at array<int>")
+    each = lines.mapInArrow(partial(placed, buckets=s.buckets), "id string, block long, n int, term string, at array<int>")
     return write_postings(s, dealt(each, s))
 
 
-def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, block, n, term, at), one for a term of a text, of rows (id, block, line), a line being a text's terms between blanks."""
+def placed(batches: Iterator[pa.RecordBatch], buckets: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows (id, block, n, term, at), one for a term of a text, of rows (id, block, line), a line being a text's terms between blanks.
+
+    A slice's rows come in the order of the files (bucket, term, block), so what sorts them after the shuffle merges long runs.
+    """
+    for rows in sliced(batches):
+        rows = rows.filter(pc.not_equal(rows.column("line"), ""))
+        if not rows.num_rows:
+            continue
+        rows = rows.take(pc.sort_indices(rows, [("block", "ascending"), ("id", "ascending")]))
+        lists = pc.split_pattern(rows.column("line"), " ")
+        lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        order = pc.sort_indices(words.dictionary).to_numpy()
+        folders = np.fromiter((bucket_of(t, buckets) for t in words.dictionary.to_pylist()), np.int32, len(order))
+        order = order[np.argsort(folders[order], kind="stable")]
+        terms, rank = words.dictionary.take(pa.array(order)), np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        text, word = np.repeat(np.arange(len(lists)), lengths), rank[words.indices.to_numpy()]
+        at = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        # Two stable sorts of 16 bits, which take linear time; texts and places stay ascending.
+        order = np.argsort((word & 0xFFFF).astype(np.uint16), kind="stable")
+        order = order[np.argsort((word[order] >> 16).astype(np.uint16), kind="stable")]
+        text, word = text[order], word[order]
+        first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(word.astype(np.int64), prepend=-1) != 0))
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(text)), pa.int32()), pa.array(at[order], pa.int32()))
+        text, word = text[first], word[first]
+        columns = [rows.column("id").take(pa.array(text)), rows.column("block").take(pa.array(text)), pa.array(lengths[text], pa.int32()), terms.take(pa.array(word)), places]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "block", "n", "term", "at"])
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows (id, block, line), at most SLICE_TEXTS and about SLICE_BYTES of lines at a time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_TEXTS):
-            rows = batch.slice(start, SLICE_TEXTS)
-            lists = pc.split_pattern(rows.column("line").filter(full := pc.not_equal(rows.column("line"), "")), " ")
-            rows, lengths = rows.filter(full), pc.list_value_length(lists).to_numpy().astype(np.int64)
-            if not len(lists):
-                continue
-            words = lists.flatten().dictionary_encode()
-            text, word = np.repeat(np.arange(len(lists)), lengths), words.indices.to_numpy().astype(np.int64)
-            at = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            key = text * len(words.dictionary) + word
-            order = np.argsort(key, kind="stable")  # places stay ascending
-            first = np.flatnonzero(np.diff(key[order], prepend=-1))
-            text, word = text[order][first], word[order][first]
-            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(at[order], pa.int32()))
-            columns = [rows.column("id").take(pa.array(text)), rows.column("block").take(pa.array(text)), pa.array(lengths[text], pa.int32()), words.dictionary.take(pa.array(word)), places]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "block", "n", "term", "at"])
+        ends, start = np.cumsum(pc.fill_null(pc.binary_length(batch.column("line")), 0).to_numpy().astype(np.int64)), 0
+        while start < batch.num_rows:
+            full = int(np.searchsorted(ends, SLICE_BYTES + (ends[start - 1] if start else 0)))
+            end = min(start + SLICE_TEXTS, max(start + 1, full))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def write_postings(s: Segment, rows: DataFrame) -> Segment:
     """Write rows (bucket, term, block, id, n, at), and what bounds them."""
     spark = rows.sparkSession
-    rows.select("term", "block", "id", "n", "at", "bucket").sortWithinPartitions("bucket", "term", "block", "id").write.partitionBy("bucket").parquet(f"{s.path}/postings")
-    back = spark.read.schema(POSTINGS).parquet(f"{s.path}/postings")
-    least = F.min("n").alias("least")
-    bounds = back.groupBy("bucket", "term", "block").agg(F.count("*").alias("texts"), F.max(F.size("at")).alias("most"), least, F.sum(F.size("at")).alias("places"))
+    # The number of places has a column, so that bounds are made without reading places. Ids need no order.
+    rows = rows.select("term", "block", "id", "n", "at", F.size("at").alias("times"), "bucket")
+    rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{s.path}/postings")
+    back = spark.read.schema(f"{POSTINGS}, times int").parquet(f"{s.path}/postings")
+    bounds = back.groupBy("bucket", "term", "block").agg(F.count("*").alias("texts"), F.max("times").alias("most"), F.min("n").alias("least"), F.sum("times").alias("places"))
     bounds.select("term", "block", "texts", "most", "least", "places", "bucket").repartition("bucket").sortWithinPartitions("term", "block").write.partitionBy("bucket").parquet(f"{s.path}/bounds")
     return replace(s, terms=spark.read.schema(BOUNDS).parquet(f"{s.path}/bounds").agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0])
 

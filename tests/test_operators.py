@@ -258,6 +258,27 @@ def test_an_index_has_few_files_and_the_places_of_each_term(spark, tmp_path, mon
     assert got == want and s.terms == sum(map(len, want.values()))
 
 
+def test_an_index_sorts_what_is_nearly_sorted(spark, tmp_path, monkeypatch):
+    """Each slice's rows come in the order of the files, however texts lie; before, they came text by text. Bounds need no places."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(px, "SLICE_BYTES", 400)
+    texts = [(f"{i * 7 % 60:02d}", i % 3, " ".join(f"w{i * j % 23}" for j in range(i % 20))) for i in range(60)] + [("long", 1, "ab " * 300 + "c"), ("none", 2, None)]
+    batch = pa.RecordBatch.from_pylist([{"id": i, "block": b, "line": t} for i, b, t in texts])
+    got = list(px.placed([batch], buckets=5))
+    assert len(got) > 5
+    for rows in (g.to_pylist() for g in got):
+        order = [(px.bucket_of(r["term"], 5), r["term"], r["block"]) for r in rows]
+        assert order == sorted(order)
+    found = [((r["id"], r["term"]), (r["n"], r["at"])) for g in got for r in g.to_pylist()]
+    want = {(i, w): (len(ws), [k for k, x in enumerate(ws) if x == w]) for i, _, t in texts if (ws := (t or "").split()) for w in ws}
+    assert len(found) == len(want) and dict(found) == want
+    index = px.build(spark.createDataFrame([(i, t) for i, _, t in texts], "id string, content string"), str(tmp_path / "i"))
+    (s,) = index.segments
+    places = spark.read.parquet(f"{s.path}/postings")
+    assert places.where("times <> size(at)").isEmpty() and places.agg(F.sum("times")).first()[0] == s.terms == sum(len((t or "").split()) for _, _, t in texts)
+
+
 def test_grams_are_grouped_before_they_are_dealt(spark, tmp_path, monkeypatch):
     """A row holds the ids of many texts; before, each gram of each text was a row."""
     from palimpsest.operators import grams as gr
