@@ -117,6 +117,67 @@ def test_contradictions_equal_all_pairs_and_few_others_meet(spark):
     assert len(want) <= pairs.count() < 2 * len(want)
 
 
+def _shuffled(spark):
+    """Bytes of all shuffles of the session so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_contradictions_move_sets_and_not_pairs(spark):
+    """Sets of one vocabulary, where most share rare words: what is shuffled is a few times their words."""
+    import random
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rnd = random.Random(7)
+    texts = ["never " * (i % 2) + " ".join(f"word{rnd.randrange(1500)}" for _ in range(60)) for i in range(600)]
+    m = memories(spark, *[(f"{i:03d}", t) for i, t in enumerate(texts)])
+    before = _shuffled(spark)
+    assert cx.contradictions(m).count() == 0
+    assert _shuffled(spark) - before < 4 * sum(map(len, texts))
+
+
+def test_contradictions_in_many_blocks(spark, monkeypatch):
+    """Sets of 1 to 400 words in three scopes (one without a name, which meets nothing), cut into many blocks, some of sets of one size: the pairs are those of brute force."""
+    import random
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    monkeypatch.setattr(cx, "BLOCK_BYTES", 1000)
+    rnd, texts = random.Random(3), []
+    for k in range(120):
+        base = rnd.sample(range(500), rnd.choice([1, 2, 5, 12, 12, 12, 40, 400]))
+        texts += [base, [w if rnd.random() > 0.08 * (k % 7) else 600 + rnd.randrange(3000) for w in base]]
+    texts = [{f"w{w}" for w in t} | ({"never"} if i % 2 else set()) for i, t in enumerate(texts)]
+    scope = lambda i: ("s", "t", None)[i // 2 % 3]
+    rows = [(f"{i:03d}", " ".join(sorted(t)) + " ", {"scope": scope(i), "created_at": f"2024-01-01T00:00:00.{i * 7 % 1000:03d}Z"}) for i, t in enumerate(texts)]
+    rows += [(*rows[0][:2], rows[0][2])]  # a row twice is one
+    like = {(i, j): len(texts[i] & texts[j]) / len(texts[i] | texts[j]) for i in range(1, 240, 2) for j in range(0, 240, 2) if scope(i) == scope(j) is not None}
+    for percent in (50, 80):
+        want = {(i, j): x for (i, j), x in like.items() if x >= percent / 100}
+        got = cx.contradictions(memories(spark, *rows), percent).collect()
+        assert len(got) == len(want) > 10 and {(int(r["negated"]), int(r["b"] if r["a"] == r["negated"] else r["a"])): r["jaccard"] for r in got} == want
+        assert all(r["scope"] == scope(int(r["a"])) and int(r["a"]) * 7 % 1000 < int(r["b"]) * 7 % 1000 for r in got)
+    sizes = cx.blocks_of(cx.word_classes(memories(spark, *rows))[0].where("scope IS NOT NULL"))
+    blocks = {(r["scope"], r["neg"]): r["blocks"] for r in sizes.select("scope", "neg", "blocks").distinct().collect()}
+    assert len(blocks) == 4 and min(blocks.values()) > 3
+    assert cx.cells_of(sizes, 50).count() < 0.8 * sum(blocks[x, True] * blocks[x, False] for x in "st")  # blocks of unlike sizes don't meet
+
+
+def test_pairs_leave_a_task_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from palimpsest.operators import overlap
+
+    monkeypatch.setattr(overlap, "PAIRS_OUT", 50)
+    rows = [(i % 2 == 1, 3, f"{i:02d}", "a b" + " cd"[i % 3 :: 3]) for i in range(40)]
+    cell = pa.RecordBatch.from_pylist([{"scope": "s", "neg": neg, "n": len(t.split()), "class": c, "created_at": c, "text": t} for neg, _, c, t in rows])
+    found = list(overlap.pairs_of(50)(iter([cell.slice(0, 15), cell.slice(15)])))
+    assert len(found) > 3 and all(b.num_rows < 50 + 20 for b in found)
+    want = {(p[2], q[2]) for p in rows if p[0] for q in rows if not q[0] if 2 * len(set(p[3].split()) & set(q[3].split())) >= len(set(p[3].split()) | set(q[3].split()))}
+    assert {(r["p"], r["q"]) for b in found for r in b.to_pylist()} == want and sum(b.num_rows for b in found) == len(want)
+
+
 def test_ingest_twice_adds_nothing(spark):
     turns = memories(spark, ("1", "a"), ("2", "b"), ("2", "again")).withColumn("ordinal", F.monotonically_increasing_id())
     store = memories(spark, ("9", "z"))
