@@ -170,11 +170,12 @@ def test_pairs_leave_a_task_in_parts(monkeypatch):
     from palimpsest.operators import overlap
 
     monkeypatch.setattr(overlap, "PAIRS_OUT", 50)
-    rows = [(i % 2 == 1, 3, f"{i:02d}", "a b" + " cd"[i % 3 :: 3]) for i in range(40)]
-    cell = pa.RecordBatch.from_pylist([{"scope": "s", "neg": neg, "n": len(t.split()), "class": c, "created_at": c, "text": t} for neg, _, c, t in rows])
+    rows = [(i % 2 == 1, f"{i:02d}", ("a b", "a b c", "c d e")[i % 3]) for i in range(40)]
+    cell = pa.RecordBatch.from_pylist([{"scope": "s", "neg": neg, "n": len(t.split()), "class": c, "created_at": c, "text": t} for neg, c, t in rows])
     found = list(overlap.pairs_of(50)(iter([cell.slice(0, 15), cell.slice(15)])))
     assert len(found) > 3 and all(b.num_rows < 50 + 20 for b in found)
-    want = {(p[2], q[2]) for p in rows if p[0] for q in rows if not q[0] if 2 * len(set(p[3].split()) & set(q[3].split())) >= len(set(p[3].split()) | set(q[3].split()))}
+    sets = [(neg, c, set(t.split())) for neg, c, t in rows]
+    want = {(p, q) for neg, p, x in sets if neg for other, q, y in sets if not other and 2 * len(x & y) >= len(x | y)}
     assert {(r["p"], r["q"]) for b in found for r in b.to_pylist()} == want and sum(b.num_rows for b in found) == len(want)
 
 
